@@ -133,10 +133,9 @@ def runs(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np
         long_run = np.repeat(sizes >= k, n)
         out[long_run] = whole[keep]
     for t in np.flatnonzero((sizes > 0) & (sizes < k)):
-        h = U(int(sizes[t]))
-        for i, x in enumerate(hashes[bounds[t] : bounds[t + 1]]):
-            h = h + x * _ORDER[8 + i]
-        out[out_bounds[t]] = mix(np.array([h * _ORDER[40]]))[0]
+        own = hashes[bounds[t] : bounds[t + 1]]
+        total = (own * _ORDER[8 : 8 + len(own)]).sum(keepdims=True) + U(int(sizes[t]))
+        out[out_bounds[t]] = mix(total * _ORDER[40])[0]
     return out, out_bounds
 
 
