@@ -1,8 +1,9 @@
 """Packing tokens into windows by Karmarkar-Karp multiway differencing.
 
 Each task packs the documents of its partition, so nothing is shuffled. A document's ids are cut
-every `window` ids; whole windows are sequences of their own. What is left of each document waits
-until `group` such pieces are there (or the partition ends) and is then dealt to windows.
+every `window` ids; whole windows are sequences of their own. What is left of each document, in
+equal pieces of a third of a window at most, waits until `group` pieces are there (or the partition
+ends) and is then dealt to windows. Larger pieces would leave three to four per cent of padding.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ class Packer:
     """Pieces in, rows of placed pieces out."""
 
     def __init__(self, window: int, group: int, first: int, slack: float = 0.015):
-        self.window, self.group, self.next, self.slack = window, group, first, slack
+        self.window, self.group, self.next, self.slack, self.largest = window, group, first, slack, max(1, window // 3)
         self.rows: list[tuple] = []
         self.left: list[tuple] = []  # key, start, ids, number of the document's ids
 
@@ -89,8 +90,11 @@ class Packer:
         whole = len(ids) // w * w
         for s in range(0, whole, w):
             self.place([(key, s, ids[s : s + w], len(ids))])
-        if whole < len(ids):
-            self.left.append((key, whole, ids[whole:].copy() if whole else ids, len(ids)))
+        rest = len(ids) - whole
+        parts = -(-rest // self.largest)
+        for i in range(parts):
+            lo, hi = whole + rest * i // parts, whole + rest * (i + 1) // parts
+            self.left.append((key, lo, ids[lo:hi].copy(), len(ids)))
         if len(self.left) >= self.group:
             self.deal()
 
