@@ -85,47 +85,53 @@ def balance(histogram: DataFrame, goals: DataFrame, n_sources: int, most: float)
     return state.select("source", "source_size", "target", "x", "mean")
 
 
+def _solved(sized: DataFrame, most: float) -> tuple[DataFrame, int]:
+    """source, source_size, target, x, mean for rows of source and size; the number of sources."""
+    histogram = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
+    sizes = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    goals = cut(targets(sizes, most))
+    n_sources = goals.count()
+    solved = balance(histogram, goals, n_sources, most)
+    empty = goals.where("source_size = 0").select("source", "source_size", "target", F.lit(0.0).alias("x"), F.lit(1.0).alias("mean"))
+    return cut(solved.unionByName(empty)), n_sources
+
+
+def _planned(rows: DataFrame, sources: DataFrame, n_sources: int, most: int, seed: int) -> DataFrame:
+    """rows of id, source, size (and more) with source_size, target, rate, taken, copies, begun. Nothing is shuffled if sources are few."""
+    out = _by_source(rows, sources, n_sources).withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(0.0)).drop("x", "mean")
+    up = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    out = out.withColumn("taken", F.least(F.floor(F.col("rate") * F.col("size") + up), most * F.col("size")).cast("long"))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
+    return out.withColumn("begun", F.col("taken") - F.col("copies") * F.col("size"))
+
+
 def mix(docs: DataFrame, most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
     """id, source, size, source_size, target, rate, taken, copies, begun for each row of docs.
 
     taken: words of the document that the mix takes, repeats counted: copies whole copies and the
     first `begun` words of one more; never more than most * size. Each source's taken words differ
-    from its target by the rounding of each document to a whole word, which is up or down by a hash
-    of the id.
+    from its target by the rounding of each document to a whole word, up or down by a hash of its id.
 
     Null and empty texts, and texts of blanks, have size 0 and nothing is taken. A null source is a
-    source, the last. Rows that repeat an id count each and are rounded alike. A source without words
-    has target 0. An empty table gives no rows. Other columns are not looked at.
+    source, the last. Rows that repeat an id count each and are rounded alike. A source without
+    words has target 0. An empty table gives no rows. Other columns are not looked at.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
-    histogram = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
-    sizes = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    goals = cut(targets(sizes, most))
-    n_sources = goals.count()
-    solved = balance(histogram, goals, n_sources, most).select("source", "x", "mean")
-    found = _by_source(goals, solved, n_sources)
-    flat = goals.join(solved.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left_anti").withColumns({"x": F.lit(0.0), "mean": F.lit(1.0)})
-    out = _by_source(rows, found.unionByName(flat), n_sources).withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(0.0))
-    up = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = out.withColumn("taken", F.least(F.floor(F.col("rate") * F.col("size") + up), most * F.col("size")).cast("long"))
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return out.withColumn("copies", whole).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "taken", "copies", (F.col("taken") - F.col("copies") * F.col("size")).alias("begun"))
+    out = _planned(rows, *_solved(rows, most), most, seed)
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "taken", "copies", "begun")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: int = 3) -> DataFrame:
-    """docs as the mix has them: each row as often as it has copies, a begun copy cut after its words; columns as before.
-
-    Rates depend on source and size alone, so each row carries its own numbers and texts are not shuffled.
-    """
-    plan = mix(docs, most, id_col, source_col, text_col)
-    # One row for each source and size and rounding would do; ids say it for each document.
-    plan = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col(source_col).alias("_source"), "copies", "begun").distinct()
-    rows = docs.withColumn("_n", n_words(F.col(text_col)))
-    rows = rows.join(plan, rows[id_col].eqNullSafe(plan["_id"]) & (rows["_n"] == plan["_size"]) & rows[source_col].eqNullSafe(plan["_source"]))
+def mixed(docs: DataFrame, most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """docs as the mix has them: each row as often as it has copies, a begun copy cut after its words; columns as before. Texts are not shuffled."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.struct(*docs.columns).alias("row"))
+    out = _planned(rows, *_solved(rows.select("source", "size"), most), most, seed)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies") + (F.col("begun") > 0).cast("int")))
-    rows = rows.where("copies > 0 or begun > 0").withColumn("_copy", copies).withColumn("_cut", F.col("_copy") > F.col("copies"))
-    start = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("begun").cast("int")), "")
-    rows = rows.withColumn(text_col, F.when(F.col("_cut"), start).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+    out = out.where("copies > 0 or begun > 0").select("row", "copies", "begun", copies.alias("copy"))
+    text = F.col(f"row.{text_col}")
+    start = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("begun").cast("int")), "")
+    columns = {c: F.col(f"row.{c}") for c in docs.columns}
+    part = F.col("copy") > F.col("copies")
+    columns[text_col] = F.when(part, start).otherwise(text)
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(part, F.length(start).cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*(c.alias(name) for name, c in columns.items()))
