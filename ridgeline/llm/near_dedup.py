@@ -4,9 +4,10 @@
 2. Register bands bring classes together in buckets. In each bucket every class is paired with the
    bucket's head, which links most of a group of any size with as many pairs as rows.
 3. Likelihood of the two sketches rules out pairs; the rest are verified on their full sets.
-4. Buckets whose members are still in several components are compared in full, in blocks of
-   bounded size: members outside the bucket's main component against all. So every pair that meets
-   in a bucket is either compared or already in one component; no bucket is capped.
+4. Buckets whose members are still in several components are compared on full sets, in blocks of
+   bounded size: members outside the bucket's main component against all of a fitting size. So
+   every pair that meets in a bucket is either compared or already in one component; no bucket is
+   capped, and no task returns more links than it holds members.
 """
 
 from __future__ import annotations
@@ -92,60 +93,93 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, similarity: float) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").where(keep("sa", "sb", "na", "nb")).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """a, b of the pairs whose full sets are similar enough. Texts are shuffled once."""
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """node, n, shingles (sorted, as bytes) of the wanted classes. Texts are shuffled once, here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), words):
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([textblocks.signed(s) for s in sets], pa.list_(pa.int64()))],
-                    names=["node", "shingles"],
+                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["node", "n", "shingles"],
                 )
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ids = classes.join(wanted, "node").select("id").distinct()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = own.join(ids, own.id.eqNullSafe(ids.id), "left_semi").select("text")
-    sets = texts.mapInArrow(run, "node long, shingles array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, n long, shingles binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs whose full sets are similar enough."""
+
+    @F.pandas_udf("long")
+    def both(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", both("sa", "sb").alias("both"))
+    return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _apart(banded: DataFrame, heads: DataFrame, classes: DataFrame, labels: DataFrame, m: int, similarity: float) -> DataFrame:
-    """a, b: pairs over components of one bucket that the sketches do not rule out, head aside.
+def _apart(banded: DataFrame, heads: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components that a bucket holds, beside those to its head.
 
-    A bucket of c classes, k of them outside its main component, gives about 2 c k / SIDE rows.
+    Members outside a bucket's main component are compared with all members whose sizes allow the
+    similarity, on full sets, in blocks of about SIDE by SIDE. A block returns links that join
+    components, no more than it has members.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base, probe = pdf[~pdf.probe].reset_index(drop=True), pdf[pdf.probe].reset_index(drop=True)
-        if not len(base) or not len(probe):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        x = np.frombuffer(b"".join(base.sketch), np.uint16).reshape(-1, m)
-        y = np.frombuffer(b"".join(probe.sketch), np.uint16).reshape(-1, m)
-        out = []
-        bn, pn, bc, pc, bs, ps = (f[c].to_numpy() for c in ("n", "component", "node") for f in (base, probe))
-        for j in range(len(y)):
-            at = np.flatnonzero(bc != pc[j])
-            at = at[setsketch.worth_verifying(x[at], np.broadcast_to(y[j], (len(at), m)), bn[at], np.full(len(at), pn[j]), similarity)] if len(at) else at
-            out.append(np.stack([np.minimum(bs[at], ps[j]), np.maximum(bs[at], ps[j])], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
-
-    known = classes.select("node", "n", "sketch").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    held = banded.join(heads.where("c > 2"), "key").join(known.select("node", "component"), "node")
+        found = []
+        if len(base) and len(probe):
+            x = [np.frombuffer(s, np.uint64) for s in base.shingles]
+            y = [np.frombuffer(s, np.uint64) for s in probe.shingles]
+            known, x = np.unique(np.concatenate(x), return_inverse=True)
+            bounds = np.concatenate([[0], np.cumsum(base.n.to_numpy())])[:-1]
+            bn, bc, pc = base.n.to_numpy(), base.component.to_numpy(), probe.component.to_numpy()
+            up: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            for j, s in enumerate(y):
+                size = len(s)
+                fit = (100 * np.minimum(bn, size) >= percent * np.maximum(bn, size)) & (bc != pc[j])
+                if not fit.any():
+                    continue
+                at = np.searchsorted(known, s)
+                at[at == len(known)] = 0
+                has = np.zeros(len(known), np.int64)
+                has[at[known[at] == s]] = 1
+                both = np.add.reduceat(has[x], bounds)
+                for i in np.flatnonzero(fit & (100 * both >= percent * (bn + size - both))):
+                    u, v = top(int(bc[i])), top(int(pc[j]))
+                    if u != v:
+                        up[u] = v
+                        found.append(sorted((int(base.node[i]), int(probe.node[j]))))
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    step = float(np.log(100 / percent)) * (1 + 1e-9)
+    sized = F.floor(F.log(F.col("n").cast("double")) / step)  # sizes that allow the similarity differ by one at most
+    known = cut(sets.select("node", sized.alias("size")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    held = banded.join(heads.where("c > 2"), "key").join(known, "node")
     mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    # Members of one component that are alone in their bucket need no look; the head was compared before.
-    held = cut(held.join(mixed, "key", "left_semi").where("node <> head").select("key", "node", "component"))
-    of = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("c"), F.max("count").alias("most"))
-    of = of.where("c > most").select("key", "main", F.ceil(F.col("c") / SIDE).alias("nb"), F.ceil((F.col("c") - F.col("most")) / SIDE).alias("np"))
-    rows = held.join(of, "key")
-    base = rows.select("key", "node", F.lit(False).alias("probe"), F.pmod(F.xxhash64("node", F.lit(1)), "nb").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("np") - 1)).alias("j"))
-    probe = rows.where("component <> main").select("key", "node", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(2)), "np").alias("j"))
-    blocks = base.unionByName(probe.select(base.columns)).join(known, "node")
-    return blocks.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    held = cut(held.join(mixed, "key", "left_semi").where("node <> head").select("key", "node", "size", "component"))  # all were compared with the head
+    of = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    held = cut(held.join(of.select("key", "main"), "key").withColumn("probe", F.col("component") != F.col("main")).drop("main"))
+    probes = held.where("probe").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    blocks = held.groupBy("key", "size").agg(F.ceil(F.count("*") / SIDE).alias("bs")).join(probes.groupBy("key", "size").agg(F.ceil(F.count("*") / SIDE).alias("ps")), ["key", "size"])
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    columns = ["key", "size", "node", "component", "probe", "i", "j"]
+    base = held.withColumn("probe", F.lit(False)).join(blocks, ["key", "size"]).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), "bs")).withColumn("j", every("ps"))
+    probe = probes.join(blocks, ["key", "size"]).withColumn("j", F.pmod(F.xxhash64("node", F.lit(2)), "ps")).withColumn("i", every("bs"))
+    rows = base.select(columns).union(probe.select(columns)).join(sets, "node")
+    return rows.groupBy("key", "size", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = 128, bands: int = 32) -> DataFrame:
@@ -166,13 +200,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     banded = _banded(classes, m, bands)
     heads = cut(banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1"))
+    sets = cut(_sets(docs, classes, banded.join(heads, "key").select("node").distinct(), id_col, text_col, words))
     stars = banded.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_verified(cut(_likely(stars, classes, m, similarity)), docs, classes, id_col, text_col, words, percent))
+    links = cut(_verified(_likely(stars, classes, m, similarity), sets, percent))
     labels = cut(components(links))
-    more = cut(_likely(_apart(banded, heads, classes, labels, m, similarity), classes, m, similarity))
+    more = cut(_apart(banded, heads, sets, labels, percent))
     if not more.isEmpty():
-        found = cut(_verified(more, docs, classes, id_col, text_col, words, percent))
-        labels = cut(components(links.union(found)))
+        labels = cut(components(links.union(more)))
     info = classes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = info.groupBy("component").agg(F.min("id").alias("component_id"))
     info = info.join(least, "component").select("node", "component_id")
