@@ -182,7 +182,7 @@ def _unquote(s: str) -> str:
 
 def _value(s: str, row: dict[str, Column]) -> Column:
     """A $name's column, or a literal; what a row does not have is empty."""
-    s = _unquote(s.strip())
+    s = _unquote(s)
     if s.startswith("$"):
         return F.coalesce(row[s[1:]], F.lit("")) if s[1:] in row else F.lit("")
     return F.lit(s)
@@ -213,11 +213,11 @@ def _condition(s: str, row: dict[str, Column], line: int) -> Column:
         name, comma, pattern = s[12:-1].partition(",")
         if not comma:
             raise ProgramError(f"line {line}: REGEX_MATCH needs a value and a pattern")
-        return _value(name, row).rlike(translate(_unquote(pattern.strip())).java)
+        return _value(name.strip(), row).rlike(translate(_unquote(pattern.strip())).java)
     for op in ("==", "!="):
         left, found, right = s.partition(f" {op} ")
         if found:
-            same = _value(left, row) == _value(right, row)
+            same = _value(left.strip(), row) == _value(right.strip(), row)
             return same if op == "==" else ~same
     raise ProgramError(f"line {line}: condition {s!r}")
 
@@ -238,7 +238,7 @@ def assigned(found: list[Instruction], row: dict[str, Column]) -> dict[str, Colu
             if c < 0:
                 raise ProgramError(f"line {x.line}: no ':' after '?'")
             yes, no = expr[q + 1 : q + 1 + c], expr[q + 2 + c :]
-            row[name] = F.when(_condition(expr[:q], row, x.line), _value(yes, row)).otherwise(_value(no, row))
+            row[name] = F.when(_condition(expr[:q], row, x.line), _value(yes.strip(), row)).otherwise(_value(no.strip(), row))
         else:
             row[name] = F.concat(*(_value(a, row) for a in x.args[1:]))
     return row
