@@ -1,0 +1,346 @@
+"""Each operator on odd tables, and against a brute-force version or an exact round trip."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ridgeline.llm import ann, language, licences, line_dedup, merkle, mixing, packing, pages, toxicity
+from ridgeline.llm.queries import oracle_sql, queries
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, "a b c. d e f"), (None, "no id"), (2, None), (3, ""), (4, " \n\t "), (5, "x" * 100_000), (6, "word " * 30_000), (7, "ünï çödé\nzwei\n\ndrei"), (7, "ünï çödé\nzwei\n\ndrei"), (8, "a b c. d e f"), (9, "😀" * 50 + "\r\n")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows with columns whose names the operators use inside."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string")
+    return df.withColumns({"source": F.when(F.col("doc_id") > 3, F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string"))), "lang": F.lit("en"), "n_chars": F.length("text").cast("long"), "id": F.lit(1), "node": F.lit("x"), "host": F.lit("h"), "prior": F.lit(0), "gone": F.lit("g"), "size": F.lit(3), "rate": F.lit(1)}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_registered():
+    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries())] == []
+    assert set(oracle_sql()) <= set(queries())
+
+
+# Toxicity.
+
+
+def test_toxicity_on_held_out_labels(spark):
+    big = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    found = toxicity.toxicity(spark.read.parquet(f"{big}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    y, s = found.toxic.to_numpy(), found.score.to_numpy()
+    better = (s[y == 1][:, None] > s[y == 0][None]).mean()
+    assert better > 0.85
+    assert ((found.score >= 0.5) == (found.predicted == 1)).all() and found.score.between(0, 1).all()
+    assert all((zlib.crc32(str(i).encode()) % 5 == 0) for i in found.doc_id)
+
+
+def test_toxicity_on_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (8, 1), (5, 1), (6, 0), (7, None), (99, 1)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (2, 3, 4)}) == 1
+    assert toxicity.toxicity(odd.limit(0), labels).count() == 0
+
+
+def test_backing_off_shares_counts(spark):
+    rows = spark.createDataFrame([(1, f"the gruntish{i} one gruntled{i}") for i in range(60)] + [(0, f"the pleasant{i} one quietly{i}") for i in range(60)], "toxic int, text string")
+    model = toxicity.fit_counts(rows, 1000)
+    import pyarrow as pa
+
+    block = next(toxicity.textblocks.blocks(pa.array(["the gruntishness pleasantry"]), toxicity.LOOSE))
+    r = toxicity.ratios(block, model)
+    assert r[1] > 0.5 > -0.5 > r[2]  # words never seen, told by how they begin
+
+
+# Licences.
+
+
+def test_licences_against_brute_force(spark, docs):
+    def grams(t):
+        w = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else set(map(tuple, [w] if w else []))
+
+    templates = [(n, grams(t)) for n, ts in licences.TEMPLATES.items() for t in ts]
+    extra = spark.createDataFrame([(-1, "x\nReleased under the MIT License\nLicensed under the Apache License, Version 2.0"), (-2, "permission is hereby granted"), (-3, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(extra)
+    got = {r.doc_id: (r.licence, r.dice and round(r.dice, 9), r.line, r.notices) for r in licences.scan(rows).collect()}
+    for r in rows.collect():
+        best, n = (None, None, None), 0
+        for k, line in enumerate((r.text or "").split("\n"), 1):
+            g = grams(line)
+            found = max(((2 * len(g & t) / (len(g) + len(t)), -i) for i, (_, t) in enumerate(templates) if g), default=(0, 0))
+            if found[0] >= 0.8:
+                n += 1
+                if best[1] is None or found[0] > best[1]:
+                    best = (templates[-found[1]][0], found[0], k)
+        assert got[r.doc_id] == (best[0], best[1] and round(best[1], 9), best[2], n)
+
+
+def test_licences_on_odd_rows(odd):
+    assert licences.scan(odd).where("licence is null and notices = 0").count() == len(ODD)
+    assert licences.scan(odd.limit(0)).count() == 0
+
+
+# Fingerprints.
+
+
+def test_fingerprints_on_odd_rows(odd):
+    rows = merkle.fingerprints(odd).collect()
+    assert len(rows) == len(ODD)
+    text = sorted(((r.doc_id is not None, r.doc_id or 0), r.text or "") for r in odd.collect())
+    expected = []
+    for i, (key, t) in enumerate(text):
+        follow, half = text[(i + 1) % len(text)][1], len(t) // 2
+        expected.append((key[1], len(t), hashlib.sha256((t[: len(t) - half] + follow[:half]).encode()).hexdigest()))
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in rows) == sorted(expected)
+    by = {r.doc_id: r for r in rows}
+    assert by[1].fingerprint == by[8].fingerprint and by[2].fingerprint == by[3].fingerprint != by[4].fingerprint
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    assert merkle.fingerprints(odd.limit(0)).count() == 0
+
+
+def test_fingerprints_over_many_runs_match_sql(spark, docs, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(merkle, "RUN", 16)
+    got = merkle.fingerprints(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = con.sql(oracle_sql()["op3_fingerprints"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert got.equals(want[got.columns.tolist()].astype(got.dtypes.to_dict()))
+
+
+def test_edits_are_located(spark):
+    a = "\n".join(f"paragraph {i} says this." for i in range(40))
+    b = a.replace("paragraph 17 says", "paragraph 17 denies")
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    df = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "fa"), "b", "fb")
+    r = df.select(merkle.edits(F.col("fa"), F.col("fb")).alias("e"), merkle.edits(F.col("fa"), F.col("fa")).alias("n"), merkle.likeness(F.col("fa"), F.col("fb")).alias("l")).first()
+    assert r.e == [17] and r.n == [] and 0.9 < r.l < 1
+
+
+# Nearest neighbours.
+
+
+def brute(rows, top):
+    fine = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
+    out = {}
+    for q in fine:
+        s = sorted(((-(fine[q] @ v) / (np.linalg.norm(v) * np.linalg.norm(fine[q])), i) for i, v in fine.items() if i != q and len(v) == len(fine[q])))
+        out[q] = [(i, -x) for x, i in s[:top]]
+    return out
+
+
+def test_neighbours_recall_and_scores(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    queries_ = vectors.where("vec_id % 5 = 0")
+    got = {}
+    for r in ann.nearest(vectors, queries_, per_list=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute([(r.vec_id, r.embedding) for r in vectors.collect()], 5)
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in got]
+    assert len(got) == queries_.count() and np.mean(hits) >= 0.9
+    for q, found in got.items():
+        assert len(found) == 5 and [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+        assert all(abs(s - dict(brute_scores)[i]) < 1e-12 for brute_scores in [want[q]] for i, s in found if i in dict(brute_scores))
+
+
+def test_neighbours_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (7, [0.0, 1.0]), (8, None), (9, [0.0, 0.0]), (10, [nan, 1.0]), (11, [inf, 1.0]), (12, [None, 1.0]), (13, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (100, [0.0, 0.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("q", F.lit(2))
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 50, 1.0), (0, 4, 7, 0.0), (50, 1, 0, 1.0), (50, 2, 2, 1.0), (50, 3, 3, 1.0), (50, 4, 7, 0.0)]
+    assert ann.nearest(df.limit(0), df).count() == 0
+
+
+# Lines.
+
+
+def test_line_dedup(spark, odd):
+    passage = " ".join(f"p{i}" for i in range(60))
+    parts = [" ".join(f"q{j}_{i}" for i in range(20)) for j in range(4)]
+    rows = [(1, f"own one\n{passage}\nend one"), (2, f"own two\n{passage} \nend two"), (3, "\n".join(["head", *parts, "tail"])), (4, "\n".join(["other", *parts, "last"])), (5, "\n".join(["x", *parts[:2], "y"])), (6, f"{passage}"), (7, "own one\nend one"), (8, "\n".join([parts[0], "break", parts[1], "break", parts[2]]))]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == dict(rows) | {2: "own two\nend two", 4: "other\nlast", 6: ""}
+    assert (got[4].lines_deleted, got[4].words_deleted, got[1].words_deleted) == (4, 80, 0)
+    found = line_dedup.line_dedup(odd)
+    assert found.columns == [*odd.columns, "lines_deleted", "words_deleted"] and found.count() == len(ODD)
+    assert line_dedup.line_dedup(odd.limit(0)).count() == 0
+
+
+def test_patience_is_a_common_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 12, rng.integers(0, 30)), rng.integers(0, 12, rng.integers(0, 30))
+        at = line_dedup.patience(a, b)
+        it = iter(b.tolist())
+        assert at == sorted(set(at)) and all(x in it for x in a[at].tolist())
+    same = rng.integers(0, 5, 50)
+    assert line_dedup.patience(same, same) == list(range(50))
+
+
+# Language.
+
+
+def test_language(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, "lang", "text", "doc_id")
+    nothing = F.lit(None).cast("string")
+    known = language.identify(docs, model, "text", F.col("source"), nothing, nothing)
+    assert known.where("language = lang").count() > 0.99 * docs.count() and known.where("not accepted").count() < 0.01 * docs.count()
+    rows = language.identify(odd, model, "text", F.col("source"), nothing, F.lit("EN-us")).collect()
+    assert len(rows) == len(ODD) and all(r.language == "und" and not r.accepted and r.confidence == 0 for r in rows if r.doc_id in (2, 3, 4))
+    assert language.identify(odd.limit(0), model, "text", F.col("source"), nothing, nothing).count() == 0
+    foreign = spark.createDataFrame([(1, "мама мыла раму и все были очень рады этому дню " * 5)], "doc_id long, text string")
+    assert not language.identify(foreign, model, "text", nothing, nothing, nothing).first().accepted
+
+
+def test_evidence_decides_where_text_does_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, "lang", "text", "doc_id")
+    many = docs.where("lang in ('fr', 'de')").select(F.concat(F.lit("www."), "lang", F.lit(".example.org")).alias("h"), "text", F.lit(None).cast("string").alias("d"))
+    unclear = spark.createDataFrame([("www.fr.example.org", "abc", None), ("www.de.example.org", "abc", None), ("new.example.org", "abc", "fr")], "h string, text string, d string")
+    rows = language.identify(many.union(unclear), model, "text", F.col("h"), F.lit("org"), F.col("d")).where("text = 'abc'").collect()
+    assert {(r.h, r.language) for r in rows} == {("www.fr.example.org", "fr"), ("www.de.example.org", "de"), ("new.example.org", "fr")}
+
+
+# Mixing.
+
+
+def targets_by_hand(sizes, most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    left, total, out = set(order), sum(sizes.values()), {}
+    while left:
+        level = (total - sum(out.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if weight[s] * level > most * sizes[s] + 1e-9}
+        if not over:
+            return out | {s: weight[s] * level for s in left}
+        out |= {s: most * sizes[s] for s in over}
+        left -= over
+    return out
+
+
+def test_mixing(spark, odd):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(600):
+        s = [None, "a", "b", "c", "z", "ä"][min(5, int(rng.exponential(1.2)))]
+        rows.append((i, s, "w " * int(rng.lognormal(3, 1.5))))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"x": F.lit(1), "target": F.lit("t"), "mean": F.lit(2)})
+    got = mixing.mix(df).collect()
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    goal, taken = targets_by_hand(sizes), {}
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - goal[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size == 3 * len(rows[r.doc_id][2].split())
+        assert r.copies * r.size + r.begun == r.taken
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - goal[s]) <= 30 for s in goal)
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == sorted(map(tuple, got), key=str)
+    copies = mixing.mixed(df)
+    assert copies.columns == df.columns
+    words = {r.doc_id: r.n for r in copies.groupBy("doc_id").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert words == {r.doc_id: r.taken for r in got if r.taken}
+    found = mixing.mix(odd).collect()
+    assert len(found) == len(ODD) and all(r.taken == 0 for r in found if r.doc_id in (2, 3, 4))
+    assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed(odd).columns == odd.columns
+
+
+def test_rates_tilt_exponentially(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", "w " * (i % 7 + 1)) for i in range(400)], "doc_id long, source string, text string")
+    for s, pdf in mixing.mix(df).toPandas().groupby("source"):
+        pdf = pdf[pdf.rate < 3]
+        assert np.allclose(np.log(pdf.rate) / pdf["size"], (np.log(pdf.rate) / pdf["size"]).iloc[0], atol=1e-9)
+
+
+# HTML.
+
+
+def test_extraction(spark):
+    def page(body, head="<title>T</title>"):
+        return f"<html><head>{head}</head><body>{body}</body></html>"
+
+    rows = [
+        (1, "http://a.org/1", page('<nav><a>menu</a></nav><div class="ad">buy</div><article><header><h1>Head &amp; line</h1></header><p>One <b>bo</b>ld<br>two&nbsp;three<p>Next<ul><li>x<li>y</ul><section id="comments"><p>nice!</p></section><form><p>f</p></form></article><footer>foot</footer>')),
+        (2, "http://b.org/1", page('<div id="top-menu">Home</div><div>Site name</div><div id="content"><p>Story one.</p><!-- <p>no</p> --><script>if (a < b) "</p>"</script></div><div class="cookie-notice">ok?</div>')),
+        (3, "http://b.org/2", page('<div id="top-menu">Home</div><div>Site name</div><div id="content"><p>Story two.</p></div><div class="cookie-notice">ok?</div>')),
+        (4, "http://b.org/3", page('<div id="top-menu">Home</div><div>Site name</div><div id="content"><p>Story three.</p></div><div class="cookie-notice">ok?</div>')),
+        (5, None, None), (6, "x", ""), (7, "http://c.org", "<p>unclosed &lt;b&gt; &am"), (8, "http://c.org", "<article><p>cut <b"), (9, "http://c.org", page("<main><p>a</p></main>" + "<p>b</p>" * 3)),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(0)).withColumn("tokens", F.lit(1))
+    got = {r.page_id: r for r in pages.extract(df).collect()}
+    assert got[1].text == "Head & line\nOne bold two three\nNext\nx\ny"
+    assert [got[i].text for i in range(2, 10)] == ["Story one.", "Story two.", "Story three.", "", "", "unclosed <b> &am", "cut", "a"]
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_extraction_of_the_table(spark):
+    import html
+
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    for r in df.collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = [html.unescape(re.sub("<[^>]+>", "", x.replace("<br>", "\n"))) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert got[r.page_id] == "\n".join(" ".join(x.split()) for x in parts if x.strip())
+
+
+# Packing.
+
+
+def test_packing(spark, odd, docs):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(packing.tokenizer_path("word_bpe_49k.json"))
+    for df, rows in ((odd, ODD), (docs, [tuple(r) for r in docs.select("doc_id", "text").collect()])):
+        pieces = packing.pack(df.repartition(3)).collect()
+        whole = {}
+        for doc_id, text in rows:
+            whole.setdefault(doc_id, []).append([*encode.encode(text or "", add_special_tokens=False).ids, 1])
+        found, sequences = {}, {}
+        for p in pieces:
+            assert p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) and len(p.ids) == p.length > 0
+            sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+            found.setdefault(p.doc_id, {}).setdefault(p.start, []).append(p.ids)
+        for doc_id, own in whole.items():
+            if len(own) == 1:
+                assert sum((found[doc_id][s][0] for s in sorted(found[doc_id])), []) == own[0]
+            assert sum(p.length for p in pieces if p.doc_id == doc_id) == sum(map(len, own))
+        padding = 0
+        for parts in sequences.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+            padding += 0 if at & (at - 1) == 0 else 2048 - at
+        assert padding <= 0.04 * sum(p.length for p in pieces)
+    assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_differencing_balances():
+    rng = np.random.default_rng(8)
+    for n, k in ((1, 1), (5, 2), (200, 7), (64, 64), (3, 9)):
+        sizes = rng.integers(1, 600, n).tolist()
+        dealt = packing.differencing(sizes, k)
+        assert sorted(i for w in dealt for i in w) == list(range(n)) and len(dealt) <= k
+        loads = [sum(sizes[i] for i in w) for w in dealt]
+        if n > 20 * k:
+            assert max(loads) - min(loads) <= 3
+    assert all(sum([700, 700, 700][i] for i in w) <= 1000 for w in packing.windows([700, 700, 700], 1000))
