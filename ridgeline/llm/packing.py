@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from ridgeline.llm.tuning import small_batches
 
-#: Chunks of text whose ids a task keeps at most.
-MEMO = 300_000
+#: Parts of texts whose ids a process keeps, beside those of one batch.
+MEMO = 1_200_000
+MARKS = frozenset(".,;:!?")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -123,7 +124,8 @@ class Packer:
 
 
 class Encoder:
-    """Ids of texts. Ids of the parts between blanks don't depend on each other, so each distinct part is encoded once."""
+    """Ids of texts. Ids of the parts between blanks don't depend on each other, nor do those of a
+    word and the mark behind it, so each distinct word is encoded once and kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,18 +133,54 @@ class Encoder:
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
 
+    def learn(self, parts: list[str]) -> None:
+        """Adds parts to the memo. Words of letters are one unit of the tokenizer each and are encoded together."""
+        memo, alike, words, odd = self.memo, {}, {}, []
+        for p in parts:
+            stem, mark = (p[:-1], p[-1]) if p[-1:] in MARKS and p[:-1].isalpha() else (p, "")
+            if stem.isalpha():
+                stem = stem.lower() if stem.isascii() else stem
+                alike[p] = stem, mark
+                if stem not in memo:
+                    words[stem] = None
+                if mark and mark not in memo:
+                    odd.append(mark)
+            else:
+                odd.append(p)
+        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            memo[p] = np.array(e.ids, "<u4").tobytes()
+        names = list(words)
+        for lo in range(0, len(names), 4096):
+            some = names[lo : lo + 4096]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, bounds = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
+            for k, name in enumerate(some):
+                memo[name] = ids[4 * bounds[k] : 4 * bounds[k + 1]]
+        for p, (stem, mark) in alike.items():
+            if p != stem:
+                memo[p] = memo[stem] + memo[mark] if mark else memo[stem]
+
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}
         memo = self.memo
         for own in parts:
-            new = list({p for p in own if p not in memo})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
+            new = {p for p in own if p not in memo}
+            if new:
+                self.learn(list(new))
             yield np.frombuffer(b"".join([memo[p] for p in own]), "<u4")
-            if len(memo) > MEMO + 1_000_000:
-                memo.clear()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder, which tasks share one after the other."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenizer_path(name: str) -> str:
@@ -165,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 20
     small_batches(docs.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer if os.sep in tokenizer else tokenizer_path(tokenizer))
+        encode = encoder(tokenizer if os.sep in tokenizer else tokenizer_path(tokenizer))
         packer = Packer(window, group, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for key, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
