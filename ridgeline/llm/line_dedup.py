@@ -127,10 +127,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of whose lines go has the empty text. Shorter passages stay. An empty table gives no rows;
     other columns are carried along, whatever their names.
     """
-    found = cut(repeated_lines(docs, id_col, text_col, min_words))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["_text_hash"] == found["_hash"]), "left")
-    left = F.array_join(F.filter(lines(F.col(text_col)), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = rows.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(left))
-    out = out.withColumn("lines_deleted", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")))
-    return out.withColumn("words_deleted", F.coalesce("gone_words", F.lit(0))).select(*docs.columns, "lines_deleted", "words_deleted")
+    found = cut(repeated_lines(docs, id_col, text_col, min_words)).toDF("_dedup_id", "_dedup_of", "_dedup_gone", "_dedup_words")
+    gone = F.col("_dedup_gone")
+    rows = docs.withColumn("_dedup_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(found, rows[id_col].eqNullSafe(found["_dedup_id"]) & (F.col("_dedup_hash") == F.col("_dedup_of")), "left")
+    left = F.array_join(F.filter(lines(F.col(text_col)), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = rows.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(left))
+    deleted = F.when(gone.isNull(), 0).otherwise(F.size(gone)).alias("lines_deleted")
+    return out.select(*docs.columns, deleted, F.coalesce("_dedup_words", F.lit(0)).alias("words_deleted"))
