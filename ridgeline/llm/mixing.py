@@ -65,10 +65,14 @@ def balance(histogram: DataFrame, goals: DataFrame, n_sources: int, most: float)
     shape = held.groupBy(F.col("source").alias("_s")).agg(F.sum("n").alias("docs"), F.min("size").alias("least"))
     state = goals.join(shape, F.col("source").eqNullSafe(F.col("_s"))).withColumn("mean", F.col("source_size") / F.col("docs"))
     span = F.col("mean") / F.col("least")
-    state = cut(state.select("source", "source_size", "target", "mean", F.lit(0.0).alias("x"), (-60 * span).alias("lo"), (F.log(F.lit(float(most))) * span * (1 + 1e-12)).alias("hi"), F.lit(False).alias("done")))
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)  # every rate is at its bound
+    top = F.log(F.lit(float(most))) * span * (1 + 1e-9)
+    state = cut(state.select("source", "source_size", "target", "mean", F.when(full, top).otherwise(0.0).alias("x"), (-60 * span).alias("lo"), top.alias("hi"), full.alias("done")))
     exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
     words = F.col("n") * F.col("size")
     for _ in range(STEPS):
+        if state.where("not done").isEmpty():
+            break
         rows = _by_source(held, state.select("source", "x", "mean"), n_sources).withColumn("r", _rate(most))
         slope = F.when(F.col("r") < most, words * F.col("size") / F.col("mean") * F.col("r")).otherwise(0.0)
         sums = rows.groupBy(F.col("source").alias("_s")).agg(exact(words * F.col("r")).alias("taken"), exact(slope).alias("slope"))
@@ -80,8 +84,6 @@ def balance(histogram: DataFrame, goals: DataFrame, n_sources: int, most: float)
         done = F.abs(F.col("taken") - F.col("target")) <= 1e-7 * F.col("target")
         now = now.withColumn("x", F.when(F.col("done") | done, F.col("x")).otherwise(step)).withColumn("done", F.col("done") | done)
         state = cut(now.select(state.columns))
-        if state.where("not done").isEmpty():
-            break
     return state.select("source", "source_size", "target", "x", "mean")
 
 
