@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,21 @@ def repeated_prefixes(df: DataFrame, key: str, text: str, n: int = 3) -> DataFra
     lines = df.select(key, F.explode(F.split(text, "\n", -1)).alias("line"))
     prefix = F.regexp_extract("line", r"^\s*(\S+\s+\S+)", 1)
     return lines.select(key, F.regexp_replace(prefix, r"\s+", " ").alias("prefix")).where("prefix <> ''").groupBy(key, "prefix").agg(F.count("*").alias("lines")).where(F.col("lines") >= n)
+
+
+def sequence_difference(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
+    """keys, pos, sign, line: an edit script of two texts' lines, with lines kept (blank), gone (-) and new (+) (SET-02).
+
+    The script is a valid one, not the shortest in all cases. Each pair of texts is a row.
+    """
+    @F.pandas_udf("array<struct<sign:string,line:string>>")
+    def script(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> list[tuple[str, str]]:
+            x, y, out = (x or "").split("\n"), (y or "").split("\n"), []
+            for kind, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+                out += [(" ", s) for s in x[i:j]] if kind == "equal" else [("-", s) for s in x[i:j]] + [("+", s) for s in y[k:m]]
+            return [{"sign": s, "line": t} for s, t in out]
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    return pairs.select(*keys, F.posexplode(script(F.col(old), F.col(new))).alias("pos", "s")).select(*keys, "pos", "s.*")
