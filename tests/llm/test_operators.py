@@ -282,7 +282,7 @@ def test_extraction(spark):
         (4, "http://b.org/3", page('<div id="top-menu">Home</div><div>Site name</div><div id="content"><p>Story three.</p></div><div class="cookie-notice">ok?</div>')),
         (5, None, None), (6, "x", ""), (7, "http://c.org", "<p>unclosed &lt;b&gt; &am"), (8, "http://c.org", "<article><p>cut <b"), (9, "http://c.org", page("<main><p>a</p></main>" + "<p>b</p>" * 3)),
     ]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(0)).withColumn("tokens", F.lit(1))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(0)).withColumn("tokens", F.lit(1)).withColumn("blocks", F.lit(1))
     got = {r.page_id: r for r in pages.extract(df).collect()}
     assert got[1].text == "Head & line\nOne bold two three\nNext\nx\ny"
     assert [got[i].text for i in range(2, 10)] == ["Story one.", "Story two.", "Story three.", "", "", "unclosed <b> &am", "cut", "a"]
