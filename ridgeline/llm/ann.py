@@ -4,7 +4,8 @@ Centroids come from balanced halving of a bounded sample. Each distinct vector g
 its nearest centroid and, near a boundary, to further lists whose centroids are hardly farther.
 A query finds centroids by walking a graph of them in memory and keeps the lists whose distance is
 within a ratio of the nearest; the ratio is the one that reached the wanted recall on the sample.
-Lists and their queries are then met in blocks of bounded size and scored in double precision.
+Lists and their queries are then met in blocks of bounded size and scored in double precision: first
+the nearest lists, whose scores bound what the further lists need to return.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.session import cut
 
-#: Vectors in a block, and queries in one.
-BLOCK, ASKED = 2048, 512
+#: Values of the vectors in a block, queries in one, and lists that set a query's bound.
+BLOCK_VALUES, ASKED, LEAD = 1 << 18, 512, 8
 
 
 @dataclass
@@ -150,9 +151,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, id_col: str =
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     kind = vectors.schema[id_col].dataType.simpleString()
+    # Floats stay floats on the way, which is exact and half as much; tasks reckon in doubles.
+    vector = "array<float>" if {df.schema[vector_col].dataType.simpleString() for df in (vectors, queries)} == {"array<float>"} else "array<double>"
 
     def clean(df: DataFrame) -> DataFrame:
-        v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+        v = F.col(vector_col).cast(vector)
         df = df.select(F.col(id_col).alias("id"), v.alias("v")).where("id is not null and v is not null")
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.where(fine & F.exists("v", lambda x: x != 0))
@@ -183,32 +186,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, id_col: str =
         for batch in batches:
             if batch.num_rows:
                 found = [held.value.lists(q) for q in _unit(_matrix(batch.column(0), dim))]
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "v", "q"])
+                sizes = [len(f) for f in found]
+                place = np.concatenate([np.arange(n) for n in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), pa.array(place.astype(np.int32)), batch.column(1).take(pa.array(np.repeat(np.arange(len(found)), sizes)))], names=["list", "place", "q"])
 
-    placed = cut(rows.mapInArrow(place, f"list int, v array<double>, ids array<{kind}>"))
-    read = cut(goals.mapInArrow(walk, "list int, v array<double>, q long"))
-    blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("s")).join(read.groupBy("list").agg(F.ceil(F.count("*") / ASKED).alias("t")), "list")
+    placed = cut(rows.mapInArrow(place, f"list int, v {vector}, ids array<{kind}>"))
+    read = cut(goals.mapInArrow(walk, "list int, place int, q long"))
+    block = max(256, BLOCK_VALUES // dim)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = placed.join(blocks, "list").select("list", F.pmod(F.xxhash64("v"), "s").alias("i"), every("t").alias("j"), "v", "ids")
-    right = read.join(blocks, "list").select("list", every("s").alias("i"), F.pmod(F.xxhash64("q"), "t").alias("j"), "v", "q")
 
     def meet(base: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(asks):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
-        x, y = np.array(base.v.tolist()), np.array(asks.v.tolist())
+        x, y = np.stack(base.v.to_numpy()).astype(np.float64), np.stack(asks.v.to_numpy()).astype(np.float64)
         k = min(top + 3, len(x))
         best = np.argpartition(-(_unit(y) @ _unit(x).T), k - 1, axis=1)[:, :k]
         flat = best.ravel()
         own = np.repeat(np.arange(len(y)), k)
         dots = (x[flat] * y[own]).sum(1)
         score = dots / (np.sqrt((x * x).sum(1))[flat] * np.sqrt((y * y).sum(1))[own])
-        return pd.DataFrame({"q": asks.q.to_numpy()[own], "ids": base.ids.to_numpy()[flat], "score": score})
-
-    key = ["list", "i", "j"]
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, f"q long, ids array<{kind}>, score double")
-    # Of each query vector: the entries of the lists it read, once each; the best top + 1 hold the answer for any id.
-    met = met.withColumn("first", F.element_at("ids", 1)).groupBy("q", "first").agg(F.max("score").alias("score"), F.max("ids").alias("ids"))
+        keep = score >= asks.bound.to_numpy()[own]
+        return pd.DataFrame({"q": asks.q.to_numpy()[own[keep]], "ids": base.ids.to_numpy()[flat[keep]], "score": score[keep]})
+
+    def search(asks: DataFrame) -> DataFrame:
+        """q, first, score, ids: what queries (list, q, v, bound) find in their lists, each entry once."""
+        blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / block).alias("s")).join(asks.groupBy("list").agg(F.ceil(F.count("*") / ASKED).alias("t")), "list")
+        left = placed.join(blocks, "list").select("list", F.pmod(F.xxhash64("v"), "s").alias("i"), every("t").alias("j"), "v", "ids")
+        right = asks.join(blocks, "list").select("list", every("s").alias("i"), F.pmod(F.xxhash64("q"), "t").alias("j"), "v", "q", "bound")
+        key = ["list", "i", "j"]
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, f"q long, ids array<{kind}>, score double")
+        return found.withColumn("first", F.element_at("ids", 1)).groupBy("q", "first").agg(F.max("score").alias("score"), F.max("ids").alias("ids"))
+
+    # The nearest lists give each query a score that top + 1 entries reach; from the further lists only what reaches it too can count.
+    near = cut(search(read.where(F.col("place") < LEAD).join(goals, "q").withColumn("bound", F.lit(-2.0))))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "first")
+    bound = near.withColumn("n", F.row_number().over(best)).where(F.col("n") == top + 1).select("q", (F.col("score") - 1e-12).alias("bound"))
+    asks = goals.join(bound, "q", "left").select("q", "v", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
+    met = near.unionByName(search(read.where(F.col("place") >= LEAD).join(asks, "q"))).groupBy("q", "first").agg(F.max("score").alias("score"), F.max("ids").alias("ids"))
     by_q = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     met = met.withColumn("n", F.row_number().over(by_q)).where(F.col("n") <= top + 1).join(goals, "q").select("v", "score", F.explode("ids").alias("id"))
     out = asked.withColumnRenamed("id", "query_id").join(met, "v").where("query_id <> id").select("query_id", "id", "score")
