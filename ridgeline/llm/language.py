@@ -29,6 +29,8 @@ UNKNOWN = "und"
 PULL, FULL = 20.0, 120.0
 #: Up to so many hosts, priors are broadcast (a number for each language); beyond, they are joined.
 FEW = 20_000
+#: Bytes of texts that are scored at a time.
+PART = 1 << 17
 _FOLD = np.where(textblocks.LOOSE, 32, textblocks.LOWER).astype(np.uint8)
 
 
@@ -50,18 +52,19 @@ def likelihoods(texts: pa.Array, model: Model) -> np.ndarray:
     """Tempered log likelihoods of texts, and in the last column whether a text has letters."""
     offsets, data = textblocks.buffers(texts)
     out = np.zeros((len(offsets) - 1, len(model.languages) + 1))
-    for lo, hi in textblocks.spans(offsets):
+    for lo, hi in textblocks.spans(offsets, PART):
         own = offsets[lo : hi + 1] - offsets[lo]
-        raw = data[offsets[lo] : offsets[hi]]
-        letters = np.concatenate([[0], np.cumsum(~textblocks.LOOSE[raw])])
-        w = model.weights[_codes(raw)]
-        w = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, 0)])
-        for t in range(lo, hi):
-            a, b = own[t - lo], own[t - lo + 1]
-            n = b - a - 2
-            if n > 0:
-                out[t, :-1] = (w[b - 2] - w[a]) / n * min(n, FULL)
-            out[t, -1] = letters[b] - letters[a] > 0
+        for at in range(0, max(1, int(own[-1])), PART):  # more than once for a text that is longer
+            raw = data[offsets[lo] + at : min(offsets[hi], offsets[lo] + at + PART + 2)]
+            w = model.weights[_codes(raw)]
+            w = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, 0)])
+            letters = np.concatenate([[0], np.cumsum(~textblocks.LOOSE[raw[:PART]])])
+            a, b = np.clip(own[:-1] - at, 0, len(w) - 1), np.clip(own[1:] - 2 - at, 0, len(w) - 1)
+            out[lo:hi, :-1] += w[np.maximum(a, b)] - w[a]
+            out[lo:hi, -1] += letters[np.clip(own[1:] - at, 0, len(letters) - 1)] - letters[np.clip(own[:-1] - at, 0, len(letters) - 1)]
+    n = np.diff(offsets) - 2
+    out[:, :-1] *= (np.minimum(n, FULL) / np.maximum(n, 1) * (n > 0))[:, None]
+    out[:, -1] = out[:, -1] > 0
     return out
 
 
