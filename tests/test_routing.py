@@ -1,0 +1,143 @@
+"""Peers, VRFs and policies of configurations."""
+
+from ridgeline.operators import routing
+
+INDENTED = """hostname x
+router bgp 65001
+ neighbor-group EDGE
+  remote-as 65009
+  update-source Loopback0
+  bfd minimum-interval 50
+  address-family ipv4 unicast
+   route-policy GIN in
+   route-policy GOUT out
+  !
+ !
+ neighbor 10.0.0.1
+  use neighbor-group EDGE
+  description to the edge
+  address-family ipv4 unicast
+   route-policy OWN in
+   next-hop-self
+  !
+ !
+ neighbor 10.0.0.2
+  remote-as 65002
+  shutdown
+ !
+ vrf BLUE
+  rd 1:1
+  neighbor 10.1.0.1
+   remote-as 65100
+   address-family ipv4 unicast
+    soft-reconfiguration inbound
+   !
+  !
+ !
+!
+"""
+NESTED = """routing-options {
+    autonomous-system 65001;
+}
+protocols {
+    bgp {
+        group IN {
+            type internal;
+            local-address 1.1.1.1;
+            export OUT;
+            family inet {
+                unicast;
+            }
+            family inet-vpn {
+                unicast;
+            }
+            neighbor 2.2.2.2 {
+                description "core two";
+            }
+            neighbor 3.3.3.3 {
+                export SPECIAL;
+                peer-as 65003;
+            }
+        }
+    }
+}
+routing-instances {
+    RED {
+        instance-type vrf;
+        route-distinguisher 1:2;
+        vrf-import RI;
+    }
+    SWITCH {
+        instance-type virtual-switch;
+    }
+}
+policy-options {
+    policy-statement P {
+        term a {
+            from {
+                protocol bgp;
+                community C;
+            }
+            then {
+                metric 10;
+                accept;
+            }
+        }
+        term b {
+            then accept;
+        }
+        then reject;
+    }
+}
+"""
+BLOCKS = """#
+ip vpn-instance A
+ ipv4-family
+  route-distinguisher 1:1
+  vpn-target 1:10 1:11 import-extcommunity
+  vpn-target 1:12 export-extcommunity
+#
+ip vpn-instance A
+ route-distinguisher 9:9
+ tnl-policy T
+ vpn-target 9:9 import-extcommunity
+#
+route-policy P permit node 10
+ if-match ip-prefix NETS
+ apply local-preference 200
+ apply community 1:1 additive
+#
+route-policy P deny node 20
+#
+"""
+
+
+def test_indented_and_flat_peers(spark):
+    flat = "\n".join(x.strip() for x in INDENTED.split("\n"))
+    df = spark.createDataFrame([("i", INDENTED), ("f", flat), ("n", None), ("e", "")], "id string, text string")
+    got = routing.indented_peers(df, "text", ["id"]).collect()
+    for kind in ("i", "f"):
+        own = {(r.vrf, r.peer_ip): (r.local_as, r.remote_as, r.peer_group, r.description, r.update_source, r.address_family, r.import_policy, r.export_policy, r.next_hop_self, r.soft_reconfig, r.bfd_enabled, r.enabled) for r in got if r.id == kind}
+        assert own == {
+            ("", "10.0.0.1"): (65001, 65009, "EDGE", "to the edge", "Loopback0", "ipv4 unicast", "OWN", "GOUT", 1, 0, 1, 1),
+            ("", "10.0.0.2"): (65001, 65002, "", "", "", "", "", "", 0, 0, 0, 0),
+            ("BLUE", "10.1.0.1"): (65001, 65100, "", "", "", "ipv4 unicast", "", "", 0, 1, 0, 1),
+        }, kind
+    assert {r.id for r in got} == {"i", "f"} and len(got) == 6
+
+
+def test_nested(spark):
+    df = spark.createDataFrame([("j", NESTED), ("n", None)], "id string, text string")
+    got = {(r.peer_ip, r.address_family): (r.local_as, r.remote_as, r.peer_group, r.description, r.update_source, r.export_policy) for r in routing.nested_peers(df, "text", ["id"]).collect()}
+    two, three = (65001, 65001, "IN", "core two", "1.1.1.1", "OUT"), (65001, 65003, "IN", "", "1.1.1.1", "SPECIAL")
+    assert got == {("2.2.2.2", "ipv4-unicast"): two, ("2.2.2.2", "vpnv4"): two, ("3.3.3.3", "ipv4-unicast"): three, ("3.3.3.3", "vpnv4"): three}
+    assert [tuple(r) for r in routing.nested_vrfs(df, "text", ["id"]).collect()] == [("j", "RED", "1:2", "RI", "")]
+    nodes = [tuple(r)[1:] for r in routing.nested_policy_nodes(df, "text", ["id"]).orderBy("sequence").collect()]
+    assert nodes == [("P", "a", 10, "accept", ["protocol bgp", "community C"], ["metric 10"]), ("P", "b", 20, "accept", [], []), ("P", "_default", 30, "reject", [], [])]
+
+
+def test_blocks(spark):
+    df = spark.createDataFrame([("h", BLOCKS), ("n", None)], "id string, text string")
+    assert [tuple(r) for r in routing.vrfs(df, "text", ["id"]).collect()] == [("h", "A", "1:1", "1:10 1:11", "1:12", "T", "")]
+    nodes = [(r.policy, r.sequence, r.action, [tuple(x) for x in r.match], [tuple(x) for x in r["apply"]]) for r in routing.policy_nodes(df, "text", ["id"]).orderBy("sequence").collect()]
+    assert nodes == [("P", 10, "permit", [("ip-prefix", "NETS")], [("local-preference", "200"), ("community", "1:1 additive")]), ("P", 20, "deny", [], [])]
