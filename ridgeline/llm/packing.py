@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 
 from ridgeline.llm.tuning import small_batches
 
-#: Parts of texts in a generation of those whose ids a process keeps, beside those of one batch.
-#: Two generations are kept; a part that is met again moves to the younger one.
-MEMO = 160_000
+#: Parts of texts whose ids a task keeps, beside those of one batch; nothing stays in the process when a task ends.
+MEMO = 400_000
 MARKS = frozenset(".,;:!?")
 
 
@@ -132,7 +131,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
 
     def learn(self, parts: list[str]) -> None:
         """Adds parts to the memo. Words of letters are one unit of the tokenizer each and are encoded together."""
@@ -164,13 +163,10 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
+            self.memo = {}
+        memo = self.memo
         for own in parts:
             new = {p for p in own if p not in memo}
-            for p in [p for p in new if p in old]:
-                memo[p] = old[p]
-                new.remove(p)
             if new:
                 self.learn(list(new))
             yield np.frombuffer(b"".join([memo[p] for p in own]), "<u4")
@@ -214,6 +210,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 20
                 packer.add(key, np.append(own, np.uint32(end_id)).astype("<u4"))
             yield from flush(packer)
         packer.deal()
+        encode.memo = {}
         yield from flush(packer)
 
     def flush(packer: Packer) -> Iterator[pa.RecordBatch]:
