@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, with their ids, placed in sequences of 2048."""
-    return pack(docs)
+    return pack(docs, keep=False)
 
 
 STAGES = [

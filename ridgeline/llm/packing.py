@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from ridgeline.llm.tuning import small_batches
 
-#: Parts of texts whose ids a task keeps, beside those of one batch; nothing stays in the process when a task ends.
-MEMO = 400_000
+#: Parts of texts whose ids a process keeps, beside those of one batch.
+MEMO = 1_200_000
 MARKS = frozenset(".,;:!?")
 
 
@@ -189,7 +189,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 2048, end_id: int = 1, group: int = 1024, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 2048, end_id: int = 1, group: int = 1024, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, keep: bool = True) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document is its text's ids (null text: none) and end_id. Each id lies in one piece; pieces of
@@ -197,7 +197,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 20
     a file name in the public_tokenizers folder of each executor, or a path.
 
     Rows that repeat an id are documents of their own. A null id is kept. An empty table gives no
-    rows. Other columns are not looked at. A very long text fills whole windows; only its last ids
+    rows. keep: encoded words stay in the process for later tasks, which is faster; without it a
+    task lets them go at its end. Other columns are not looked at. A very long text fills whole windows; only its last ids
     wait for others. A task keeps `group` pieces and their ids at most.
     """
     small_batches(docs.sparkSession, 256)
@@ -210,7 +211,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 20
                 packer.add(key, np.append(own, np.uint32(end_id)).astype("<u4"))
             yield from flush(packer)
         packer.deal()
-        encode.memo = {}
+        if not keep:
+            encode.memo = {}
         yield from flush(packer)
 
     def flush(packer: Packer) -> Iterator[pa.RecordBatch]:
