@@ -131,14 +131,25 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.whole = Tokenizer.from_file(path), {}, {}
+
+    def plain(self, word: str) -> bool:
+        """Whether a word is letters that the tokenizer doesn't part: it makes some, such as U+0130, into a letter and a mark."""
+        if not word.isalpha():
+            return False
+        if word.isascii():
+            return True
+        for c in word:
+            if c not in self.whole:
+                self.whole[c] = not any(self.tokenizer.encode(f"a{c}a", add_special_tokens=False).word_ids)
+        return all(self.whole[c] for c in word)
 
     def learn(self, parts: list[str]) -> None:
-        """Adds parts to the memo. Words of letters are one unit of the tokenizer each and are encoded together."""
+        """Adds parts to the memo. Plain words are one unit of the tokenizer each and are encoded together."""
         memo, alike, words, odd = self.memo, {}, {}, []
         for p in parts:
             stem, mark = (p[:-1], p[-1]) if p[-1:] in MARKS and p[:-1].isalpha() else (p, "")
-            if stem.isalpha():
+            if self.plain(stem):
                 stem = stem.lower() if stem.isascii() else stem
                 alike[p] = stem, mark
                 if stem not in memo:
@@ -153,6 +164,10 @@ class Encoder:
         for lo in range(0, len(names), 4096):
             some = names[lo : lo + 4096]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            if len(set(e.word_ids)) != len(some):  # not a unit for each word after all
+                for name, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    memo[name] = np.array(e.ids, "<u4").tobytes()
+                continue
             ids, bounds = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
             for k, name in enumerate(some):
                 memo[name] = ids[4 * bounds[k] : 4 * bounds[k + 1]]

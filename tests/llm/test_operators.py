@@ -334,6 +334,17 @@ def test_packing(spark, odd, docs):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_letters_that_the_tokenizer_parts():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    one = Tokenizer.from_file(path)
+    letters = [c for c in map(chr, range(128, 0x30000)) if c.isalpha()]
+    texts = ["İstanbul güzel bir şehir.", "Diyarbakır, İzmir. Aİ. güzel", "\u0958\u093e \u0958 \u09dc\u09dd. क ख", " ".join(f"a{c}b {c}. x{c}" for c in letters)]
+    for text, ids in zip(texts, packing.Encoder(path)(texts), strict=True):
+        assert ids.tolist() == one.encode(text, add_special_tokens=False).ids
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(8)
     for n, k in ((1, 1), (5, 2), (200, 7), (64, 64), (3, 9)):
