@@ -301,6 +301,13 @@ def test_extraction_of_the_table(spark):
         assert got[r.page_id] == "\n".join(" ".join(x.split()) for x in parts if x.strip())
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    body = lambda x: f"<html><body><div>Site name</div><div><p>Story {x} begins.</p><p>Story {x} ends.</p></div></body></html>"
+    rows = [(i, "http://a.org/", body("one" if i < 6 else i)) for i in range(10)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Story {x} begins.\nStory {x} ends." for i in range(10) for x in ["one" if i < 6 else i]}
+
+
 # Packing.
 
 
