@@ -301,6 +301,27 @@ def test_extraction_of_the_table(spark):
         assert got[r.page_id] == "\n".join(" ".join(x.split()) for x in parts if x.strip())
 
 
+def test_wrappers_with_names_of_boxes(spark):
+    story = "<article><p>Story.</p><div class='share'>tell</div></article>"
+    bodies = [
+        (f'<div class="content has-sidebar">{story}</div>', "Story."),
+        (f'<div id="layout-no-sidebar">{story}</div><p>foot</p>', "Story."),
+        (f'<div class="menu-open"><main>{story}</main></div>', "Story."),
+        (f'<div class="search-results">{story}</div>', "Story."),
+        (f'<div class="search">{story}<div class="menu">m</div></div><p>foot</p>', "Story."),
+        ('<div class="overlay"><div><p>Story.</p></div></div>', "Story."),
+        (f'{story}<div class="sidebar"><article><p>other</p></article></div>', "Story."),
+        ('<p>Story.</p><div class="comments"><article><p>nice</p></article></div>', "Story."),
+        ('<div class="main-menu">m</div><div class="page-header nav-wrapper">h</div><div class="cookie-notice">c</div><p>Story.</p>', "Story."),
+        ('<nav><article><p>no</p></article></nav><div class="comments"><p>nice</p></div>', ""),
+    ]
+    rows = [(i, f"http://h{i}.org/", f"<html><body>{b}</body></html>") for i, (b, _) in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("declared", F.lit(0))
+    want = {i: text for i, (_, text) in enumerate(bodies)}
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+    assert {r.page_id: r.text for r in pages.article_texts(df).collect()} == want
+
+
 def test_copies_of_a_page_are_no_template(spark):
     body = lambda x: f"<html><body><div>Site name</div><div><p>Story {x} begins.</p><p>Story {x} ends.</p></div></body></html>"
     rows = [(i, "http://a.org/", body("one" if i < 6 else i)) for i in range(10)]
