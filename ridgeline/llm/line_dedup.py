@@ -2,8 +2,11 @@
 
 A line that several documents have pairs each of them with the first that has it, so pairs are as
 many as repeated lines, however frequent one is. Each pair's line hashes are aligned by patience
-diff, and lines aligned with an earlier document are marked. Runs of marked lines of at least
-min_words words go from the later document.
+diff, and lines aligned with an earlier document are marked; what is left is aligned again for as
+long as that finds whole passages, so that passages may come in another order. Lines that could be
+in a passage but were not aligned are paired anew, with the first of the documents that still have
+them, for as long as a round marks something. Runs of marked lines of at least min_words words go
+from the later document.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from ridgeline.session import cut
 def patience(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Numbers of the lines of a that are aligned with equal lines of b.
 
-    Lines that both have once are anchors; the longest increasing chain of them is kept, grown over
-    equal neighbours, and the gaps between are aligned in the same way.
+    Lines that both have once are anchors, or, in a gap without any, the first, second, ... of equal
+    lines with the same one of the other side. The longest increasing chain of anchors is kept,
+    grown over equal neighbours, and the gaps between are aligned in the same way.
     """
     out, rest = [], [(0, len(a), 0, len(b))]
     while rest:
@@ -42,6 +46,8 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[int]:
         uy, iy, ny = np.unique(y, return_index=True, return_counts=True)
         _, px, py = np.intersect1d(ux[nx == 1], uy[ny == 1], assume_unique=True, return_indices=True)
         at, to = ix[nx == 1][px], iy[ny == 1][py]
+        if not len(at):
+            at, to = _by_occurrence(x, y)
         order = np.argsort(at)
         at, to = at[order], to[order]
         if not len(at):
@@ -67,6 +73,53 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[int]:
     return sorted(out)
 
 
+def _by_occurrence(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal lines, each occurrence in x with the same one in y."""
+    places: dict[tuple[int, int], int] = {}
+    seen: dict[int, int] = {}
+    for j, v in enumerate(y.tolist()):
+        seen[v] = seen.get(v, 0) + 1
+        places[v, seen[v]] = j
+    at, to, seen = [], [], {}
+    for i, v in enumerate(x.tolist()):
+        seen[v] = seen.get(v, 0) + 1
+        if (v, seen[v]) in places:
+            at.append(i)
+            to.append(places[v, seen[v]])
+    return np.array(at, np.int64), np.array(to, np.int64)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, words: np.ndarray, min_words: int) -> list[int]:
+    """Numbers of the lines of a that patience() aligns with b, and of those that it aligns in whole passages once these are taken away."""
+    out, left = patience(a, b), np.arange(len(a))
+    marked = np.zeros(len(a), bool)
+    marked[out] = True
+    while True:
+        common = ~marked & (words > 0)
+        common[common] = np.isin(a[common], b)
+        if words[common].sum() < min_words:
+            return np.flatnonzero(marked).tolist()
+        left = np.flatnonzero(~marked)
+        more = np.zeros(len(a), bool)
+        more[left[patience(a[left], b)]] = True
+        found = runs(np.flatnonzero(more), words, min_words)
+        if not len(found):  # the chain may hold none, though a passage is left that it crosses: each run of common lines alone
+            inside = common | (words == 0)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+            for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+                if words[lo:hi].sum() >= min_words:
+                    found = np.concatenate([found, runs(lo + np.array(patience(a[lo:hi], b), np.int64), words, min_words)]).astype(np.int64)
+            if not len(found):
+                return np.flatnonzero(marked).tolist()
+        marked[found] = True
+
+
+def open_lines(marked: np.ndarray, seen: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Numbers of the lines that earlier documents have, that are not marked, and that a passage could hold."""
+    could = runs(np.flatnonzero(seen), words, min_words)
+    return np.setdiff1d(could, marked)
+
+
 def runs(marked: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
     """Marked lines in runs of at least min_words words. Lines without words neither end a run nor count."""
     mark = np.zeros(len(words), bool)
@@ -86,8 +139,12 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     small_batches(docs.sparkSession, 256)
 
     @F.pandas_udf("array<int>")
-    def align(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([patience(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)])
+    def align(a: pd.Series, b: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([aligned(np.asarray(x), np.asarray(y), np.asarray(w), min_words) for x, y, w in zip(a, b, words, strict=True)])
+
+    @F.pandas_udf("array<int>")
+    def still(marked: pd.Series, h: pd.Series, met: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([open_lines(np.asarray(m, np.int64), np.isin(np.asarray(x), np.asarray(y)), np.asarray(w), min_words) for m, x, y, w in zip(marked, h, met, words, strict=True)])
 
     @F.pandas_udf("array<int>")
     def gone(marked: pd.Series, words: pd.Series) -> pd.Series:
@@ -103,17 +160,38 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     once = F.array_distinct(F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] > 0))
     seen = long.select("k", F.explode(once).alias("x")).select("k", F.col("x.h").alias("line"), F.col("x.w").alias("w"))
     first = seen.groupBy("line").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
-    met = seen.join(first, "line").where("k <> first")
+    met = cut(seen.join(first, "line").where("k <> first"))
     # Lines that stand twice in a document count once here, so the bound is on those seen before at all.
     some = cut(met.groupBy("k", "first").agg(F.sum("w").alias("w")))
     enough = some.groupBy("k").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
     repeats = F.size("h") > F.size(F.array_distinct("h"))
     twice = held.where(repeats).select("k")
     enough = enough.where(F.col("w") >= min_words).select("k").union(enough.join(twice, "k").select("k")).distinct()
-    pairs = some.join(enough, "k").select("k", "first")
-    arrays = lambda k, h: held.select(F.col("k").alias(k), F.col("h").alias(h))
-    aligned = pairs.join(arrays("k", "a"), "k").join(arrays("first", "b"), "first").select("k", align("a", "b").alias("m"))
-    marked = aligned.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m"))  # no more than the lines of one document, for each earlier one
+    pairs = cut(some.join(enough, "k").select("k", "first"))
+    arrays_of = held.select(F.col("k").alias("first"), F.col("h").alias("b"))
+    marked_by = lambda pairs: pairs.join(held, "k").join(arrays_of, "first").select("k", align("h", "b", "w").alias("m"))
+    merged = lambda m: m.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m"))  # noqa: E731  # no more than the lines of one document, for each earlier one
+    marked = cut(merged(marked_by(pairs)))
+    # Lines that a passage could hold but that no first holder was aligned with. The first of those that have one is the next partner of the others, and leaves.
+    lines_met = met.groupBy("k").agg(F.count("*").alias("of"))
+    lacking = marked.join(held, "k").join(lines_met, "k").where(F.size(F.array_distinct(F.transform("m", lambda i: F.element_at("h", i + 1)))) < F.col("of")).select("k")
+    mine = cut(met.join(cut(lacking), "k", "left_semi").groupBy("k").agg(F.collect_set("line").alias("met")))
+    unmarked = lambda source: source.join(held, "k").select("k", F.array_distinct(F.transform(still("m", "h", "met", "w"), lambda i: F.element_at("h", i + 1))).alias("l")).where("size(l) > 0")
+    left = cut(unmarked(marked.join(mine, "k")).select("k", F.explode("l").alias("line")))
+    tried = pairs
+    while not left.isEmpty():
+        heads = left.groupBy("line").agg(F.min("k").alias("first"))
+        nxt = left.join(heads, "line").where("k <> first").select("k", "first").distinct()
+        fresh = nxt.join(tried, ["k", "first"], "left_anti")
+        more = cut(merged(marked_by(fresh)))
+        before = cut(marked.select("k", F.size("m").alias("n")))
+        marked = cut(merged(marked.union(more)))
+        changed = marked.join(before, "k").where(F.size("m") > F.col("n")).select("k")
+        if changed.isEmpty():
+            break
+        tried = cut(tried.union(fresh))
+        rest = unmarked(marked.join(left.select("k").distinct(), "k", "left_semi").join(mine, "k")).select("k", F.explode("l").alias("line"))
+        left = cut(rest.join(heads.select("line", F.col("first").alias("k")), ["k", "line"], "left_anti").join(left, ["k", "line"], "left_semi"))
     found = marked.join(held, "k").select("k", "w", gone("m", "w").alias("gone")).where(F.size("gone") > 0)
     return found.select(F.col("k.id").alias("_id"), F.col("k.hash").alias("_hash"), "gone", F.aggregate("gone", F.lit(0), lambda a, i: a + F.element_at("w", i + 1)).alias("gone_words"))
 

@@ -181,6 +181,26 @@ def test_line_dedup(spark, odd):
     assert line_dedup.line_dedup(odd.limit(0)).count() == 0
 
 
+def test_passages_that_cross_or_stand_twice(spark):
+    p, q = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    boiler = [" ".join(f"b{j}_{i}" for i in range(20)) for j in range(4)]
+    crossed = [(1, f"{p}\n{q}"), *((i, f"{q}\n{p}") for i in range(2, 6))]
+    got = line_dedup.line_dedup(spark.createDataFrame(crossed, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: crossed[0][1], **dict.fromkeys(range(2, 6), "")}
+    twice = "\n".join(["head", *boiler, "mid", *boiler, "tail"])
+    rows = [(1, twice), (2, "\n".join(["x", *boiler, "y"])), (3, "\n".join(["u", *boiler, "v", *boiler, "w"]))]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: twice, 2: "x\ny", 3: "u\nv\nw"}
+
+
+def test_lines_are_paired_anew(spark):
+    """The first holders of some lines have them in another order, too short to be passages there; a later one has the passage."""
+    s = [" ".join(f"s{j}_{i}" for i in range(18)) for j in range(4)]
+    rows = [(1, "\n".join(["a", s[3], "b", s[2], "c", s[1], "d", s[0], "e"])), *((i, "\n".join([f"f{i}", *s, f"g{i}"])) for i in range(2, 8))]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows[:2]) | {i: f"f{i}\ng{i}" for i in range(3, 8)}
+
+
 def test_patience_is_a_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
