@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ UNKNOWN = "und"
 PULL, FULL = 20.0, 120.0
 #: Up to so many hosts, priors are broadcast (a number for each language); beyond, they are joined.
 FEW = 20_000
-#: Bytes of texts that are scored at a time.
-PART = 1 << 17
+#: Bytes of texts that are scored at a time, and for how many classes; with more classes, fewer bytes.
+PART, CLASSES = 1 << 17, 33
 _FOLD = np.where(textblocks.LOOSE, 32, textblocks.LOWER).astype(np.uint8)
 
 
@@ -52,13 +52,14 @@ def likelihoods(texts: pa.Array, model: Model) -> np.ndarray:
     """Tempered log likelihoods of texts, and in the last column whether a text has letters."""
     offsets, data = textblocks.buffers(texts)
     out = np.zeros((len(offsets) - 1, len(model.languages) + 1))
-    for lo, hi in textblocks.spans(offsets, PART):
+    part = PART * CLASSES // max(CLASSES, len(model.languages))
+    for lo, hi in textblocks.spans(offsets, part):
         own = offsets[lo : hi + 1] - offsets[lo]
-        for at in range(0, max(1, int(own[-1])), PART):  # more than once for a text that is longer
-            raw = data[offsets[lo] + at : min(offsets[hi], offsets[lo] + at + PART + 2)]
+        for at in range(0, max(1, int(own[-1])), part):  # more than once for a text that is longer
+            raw = data[offsets[lo] + at : min(offsets[hi], offsets[lo] + at + part + 2)]
             w = model.weights[_codes(raw)]
             w = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, 0)])
-            letters = np.concatenate([[0], np.cumsum(~textblocks.LOOSE[raw[:PART]])])
+            letters = np.concatenate([[0], np.cumsum(~textblocks.LOOSE[raw[:part]])])
             a, b = np.clip(own[:-1] - at, 0, len(w) - 1), np.clip(own[1:] - 2 - at, 0, len(w) - 1)
             out[lo:hi, :-1] += w[np.maximum(a, b)] - w[a]
             out[lo:hi, -1] += letters[np.clip(own[1:] - at, 0, len(letters) - 1)] - letters[np.clip(own[:-1] - at, 0, len(letters) - 1)]
@@ -68,16 +69,19 @@ def likelihoods(texts: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language: int = 400, most: int = 32) -> Model:
-    """Trigram models of the `most` commonest languages that lang_col names, each from the per_language rows with the least hash of their ids."""
+def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language: int = 400) -> Model:
+    """Trigram models of all languages that lang_col names, each from the per_language rows with the least hash of their ids.
+
+    A language takes half a megabyte of each process's memory.
+    """
     small_batches(docs.sparkSession)
-    common = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "")).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most)
-    languages = sorted(r[0] for r in common.collect())
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("language"))
-    taken = None
-    for name in languages:
-        ids = docs.where(F.col(lang_col) == name).select(F.col(id_col).alias("_i"), F.lit(name).alias("_l")).orderBy(order, id_col).limit(per_language)
-        taken = ids if taken is None else taken.union(ids)
+    named = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "")).select(F.col(lang_col).alias("_l"), F.col(id_col).alias("_i"))
+    languages = sorted(r[0] for r in named.select("_l").distinct().collect())
+    taken = named.withColumn("_o", F.xxhash64(F.col("_i").cast("string"), F.lit("language")))
+    # The least of each of 64 shares of a language, so that a common one is not one task's, then the least of those.
+    for by in (["_l", F.pmod("_o", F.lit(64))], ["_l"]):
+        taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_o", "_i"))).where(F.col("_n") <= per_language).drop("_n")
+    taken = taken.select("_i", "_l")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -90,8 +94,8 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at].astype(np.int64))], names=["l", "code", "n"])
 
     weights = np.full((CODES, len(languages) + 1), -np.log(CODES))
-    if taken is not None:
-        rows = docs.join(F.broadcast(taken.distinct()), F.col(id_col) == F.col("_i")).select("_l", text_col)  # most * per_language ids
+    if languages:
+        rows = docs.join(F.broadcast(taken.distinct()), F.col(id_col) == F.col("_i")).select("_l", text_col)  # per_language ids a language
         got = rows.mapInArrow(run, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toArrow()  # CODES rows a language at most
         name, code, n = (got.column(c).to_numpy(zero_copy_only=False) for c in ("l", "code", "n"))
         for i, language in enumerate(languages):

@@ -228,6 +228,19 @@ def test_language(spark, odd):
     assert not language.identify(foreign, model, "text", nothing, nothing, nothing).first().accepted
 
 
+def test_every_labelled_language_has_a_model(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)]
+        rows += [(100 * k + i, f"l{k:02}", " ".join(rng.choice(words, 60))) for i in range(3 if k else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    model = language.fit(docs, "lang", "text", "doc_id")
+    assert model.languages == [*(f"l{k:02}" for k in range(40)), "und"]
+    nothing = F.lit(None).cast("string")
+    assert language.identify(docs, model, "text", nothing, nothing, nothing).where("accepted and language = lang").count() == len(rows)
+
+
 def test_evidence_decides_where_text_does_not(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs, "lang", "text", "doc_id")
