@@ -1,11 +1,12 @@
 """Near duplicates by SetSketch registers, banded, filtered by joint likelihood, then verified.
 
 1. Each text becomes a set of word shingles, a sketch and a class: equal sets are one class.
-2. Register bands bring classes together in buckets. In each bucket every class is paired with the
-   bucket's head, which links most of a group of any size with as many pairs as rows.
+2. Register bands bring classes together in buckets, each with a head. A class is compared with its
+   first head, then with those of its other heads that are still in another component. So a group of
+   any size is linked with hardly more comparisons than members.
 3. Likelihood of the two sketches rules out pairs; the rest are verified on their full sets.
 4. Buckets whose members are still in several components are compared on full sets, in blocks of
-   bounded size: members outside the bucket's main component against all of a fitting size. So
+   bounded bytes: members outside the bucket's main component against all of a fitting size. So
    every pair that meets in a bucket is either compared or already in one component; no bucket is
    capped, and no task returns more links than it holds members.
 """
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +27,8 @@ from ridgeline.llm.components import components
 from ridgeline.llm.tuning import small_batches
 from ridgeline.session import cut
 
-#: Classes on either side of a block that one task compares in full.
-SIDE = 256
+#: Bytes of sets on either side of a block that one task compares in full.
+SIDE = 4 << 20
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -90,7 +91,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, similarity: float) ->
         return pd.Series(setsketch.worth_verifying(x, y, na.to_numpy(), nb.to_numpy(), similarity))
 
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(keep("sa", "sb", "na", "nb")).select("a", "b", "na", "nb")
+    met = pairs.join(side("b"), "b").join(side("a"), "a")  # a may have many partners: what is dealt by it is split where it is skewed
+    return met.where(keep("sa", "sb", "na", "nb")).select("a", "b", "na", "nb")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -105,7 +107,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, t
                     names=["node", "n", "shingles"],
                 )
 
-    ids = classes.join(wanted, "node").select("id").distinct()
+    ids = classes.join(wanted, "node").select("id")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = own.join(ids, own.id.eqNullSafe(ids.id), "left_semi").select("text")
     return texts.mapInArrow(run, "node long, n long, shingles binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -119,15 +121,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", both("sa", "sb").alias("both"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", both("sa", "sb").alias("both"))
     return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _apart(banded: DataFrame, heads: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _apart(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """a, b: links between components that a bucket holds, beside those to its head.
 
     Members outside a bucket's main component are compared with all members whose sizes allow the
-    similarity, on full sets, in blocks of about SIDE by SIDE. A block returns links that join
+    similarity, on full sets, in blocks of SIDE bytes a side. A block returns links that join
     components, no more than it has members.
     """
 
@@ -135,45 +137,41 @@ def _apart(banded: DataFrame, heads: DataFrame, sets: DataFrame, labels: DataFra
         base, probe = pdf[~pdf.probe].reset_index(drop=True), pdf[pdf.probe].reset_index(drop=True)
         found = []
         if len(base) and len(probe):
-            x = [np.frombuffer(s, np.uint64) for s in base.shingles]
-            y = [np.frombuffer(s, np.uint64) for s in probe.shingles]
-            known, x = np.unique(np.concatenate(x), return_inverse=True)
+            known, x = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in base.shingles]), return_inverse=True)
             bounds = np.concatenate([[0], np.cumsum(base.n.to_numpy())])[:-1]
-            bn, bc, pc = base.n.to_numpy(), base.component.to_numpy(), probe.component.to_numpy()
-            up: dict[int, int] = {}
-
-            def top(c: int) -> int:
-                while c in up:
-                    c = up[c]
-                return c
-
-            for j, s in enumerate(y):
+            bn, root = base.n.to_numpy(), base.component.to_numpy().copy()
+            own = probe.component.to_numpy().copy()
+            has = np.zeros(len(known), np.int32)
+            for j, shingles in enumerate(probe.shingles):
+                s = np.frombuffer(shingles, np.uint64)
                 size = len(s)
-                fit = (100 * np.minimum(bn, size) >= percent * np.maximum(bn, size)) & (bc != pc[j])
+                fit = (100 * np.minimum(bn, size) >= percent * np.maximum(bn, size)) & (root != own[j])
                 if not fit.any():
                     continue
                 at = np.searchsorted(known, s)
                 at[at == len(known)] = 0
-                has = np.zeros(len(known), np.int64)
-                has[at[known[at] == s]] = 1
+                at = at[known[at] == s]
+                has[at] = 1
                 both = np.add.reduceat(has[x], bounds)
+                has[at] = 0
                 for i in np.flatnonzero(fit & (100 * both >= percent * (bn + size - both))):
-                    u, v = top(int(bc[i])), top(int(pc[j]))
-                    if u != v:
-                        up[u] = v
+                    if root[i] != own[j]:
+                        old, new = own[j], root[i]
+                        root[root == old], own[own == old] = new, new
                         found.append(sorted((int(base.node[i]), int(probe.node[j]))))
         return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     step = float(np.log(100 / percent)) * (1 + 1e-9)
     sized = F.floor(F.log(F.col("n").cast("double")) / step)  # sizes that allow the similarity differ by one at most
-    known = cut(sets.select("node", sized.alias("size")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    held = banded.join(heads.where("c > 2"), "key").join(known, "node")
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    held = cut(held.join(mixed, "key", "left_semi").where("node <> head").select("key", "node", "size", "component"))  # all were compared with the head
+    known = sets.select("node", sized.alias("size"), (8 * F.col("n")).alias("bytes")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = cut(met.where("c > 2").select("key", "node", "head").join(known, "node"))
+    mixed = cut(held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
+    held = held.join(mixed, "key", "left_semi").where("node <> head").select("key", "node", "size", "bytes", "component")  # all were compared with the head
     of = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    held = cut(held.join(of.select("key", "main"), "key").withColumn("probe", F.col("component") != F.col("main")).drop("main"))
+    held = cut(held.join(cut(of.select("key", "main")), "key").withColumn("probe", F.col("component") != F.col("main")).drop("main"))
     probes = held.where("probe").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    blocks = held.groupBy("key", "size").agg(F.ceil(F.count("*") / SIDE).alias("bs")).join(probes.groupBy("key", "size").agg(F.ceil(F.count("*") / SIDE).alias("ps")), ["key", "size"])
+    parts = lambda df, name: df.groupBy("key", "size").agg(F.ceil(F.sum("bytes") / SIDE).alias(name))
+    blocks = cut(parts(held, "bs").join(parts(probes, "ps"), ["key", "size"]))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     columns = ["key", "size", "node", "component", "probe", "i", "j"]
     base = held.withColumn("probe", F.lit(False)).join(blocks, ["key", "size"]).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), "bs")).withColumn("j", every("ps"))
@@ -200,13 +198,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     banded = _banded(classes, m, bands)
     heads = cut(banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1"))
-    sets = cut(_sets(docs, classes, banded.join(heads, "key").select("node").distinct(), id_col, text_col, words))
-    stars = banded.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_verified(_likely(stars, classes, m, similarity), sets, percent))
+    met = cut(banded.join(heads, "key"))
+    sets = cut(_sets(docs, classes, cut(met.select("node").distinct()), id_col, text_col, words))
+    own = Window.partitionBy("b").orderBy("a")  # a class has as many heads as bands at most
+    stars = cut(met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct().withColumn("nth", F.row_number().over(own)))
+    compared = lambda pairs: cut(_verified(_likely(pairs.select("a", "b"), classes, m, similarity), sets, percent))
+    links = compared(stars.where("nth = 1"))
     labels = cut(components(links))
-    more = cut(_apart(banded, heads, sets, labels, percent))
-    if not more.isEmpty():
-        labels = cut(components(links.union(more)))
+    at = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    apart = stars.where("nth > 1").join(at("b"), "b", "left").join(at("a"), "a", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    for more in (lambda: compared(apart), lambda: cut(_apart(met, sets, labels, percent))):
+        found = more()
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = cut(components(links))
     info = classes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = info.groupBy("component").agg(F.min("id").alias("component_id"))
     info = info.join(least, "component").select("node", "component_id")
