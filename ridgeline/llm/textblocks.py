@@ -40,7 +40,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, n at least."""
     if len(_powers[0]) < n + 1:
         for k, base in enumerate((_BASE, _BASE_INV)):
             steps = np.full(n + 1, base, np.uint64)
@@ -63,10 +64,13 @@ class Block:
 
     def hashes(self, most: int | None = None) -> np.ndarray:
         """A hash for each word, or for its first so many bytes."""
-        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-        _, inverse = _powers_to(len(self.data))
-        size = (ends - self.starts).astype(np.uint64)
-        h = (self.sums[ends] - self.sums[self.starts]) * inverse[self.starts]
+        return self.span_hashes(self.starts, self.ends if most is None else np.minimum(self.ends, self.starts + most))
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash for each span of bytes."""
+        _, inverse = powers(len(self.data))
+        size = (ends - starts).astype(np.uint64)
+        h = (self.sums[ends] - self.sums[starts]) * inverse[starts]
         return mix(h ^ (size * _ORDER[0]))
 
 
@@ -111,9 +115,9 @@ def blocks(texts: pa.Array, parts: np.ndarray = SPACE, lower: bool = True) -> It
         last = own[1:] - 1
         after[last[last >= 0]] = False
         ends = np.flatnonzero(inside & ~after) + 1
-        powers, _ = _powers_to(max(len(raw), BLOCK))
+        steps, _ = powers(max(len(raw), BLOCK))
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * powers[: len(raw)], out=sums[1:])
+        np.cumsum(_BYTE[raw] * steps[: len(raw)], out=sums[1:])
         yield Block(lo, own, raw, starts, ends, np.searchsorted(starts, own), sums)
 
 

@@ -205,11 +205,72 @@ def test_patience_is_a_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
         a, b = rng.integers(0, 12, rng.integers(0, 30)), rng.integers(0, 12, rng.integers(0, 30))
-        at = line_dedup.patience(a, b)
-        it = iter(b.tolist())
-        assert at == sorted(set(at)) and all(x in it for x in a[at].tolist())
+        at = np.array(line_dedup.patience(a, b), np.int64).reshape(-1, 2)
+        assert (np.diff(at, axis=0) > 0).all() and (a[at[:, 0]] == b[at[:, 1]]).all()
     same = rng.integers(0, 5, 50)
-    assert line_dedup.patience(same, same) == list(range(50))
+    assert line_dedup.patience(same, same) == [(i, i) for i in range(50)]
+
+
+def repeated_by_hand(rows, least):
+    """Texts less the lines that stand in a run of lines, of `least` words, that one earlier text has too; every pair is compared."""
+    blank = " \t\v\f\r"
+    of = lambda t: [(i, x.strip(blank), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate((t or "").split("\n"))]
+    lines = {k: [x for x in of(t) if x[2]] for k, t in rows}
+    out = {}
+    for k, t in rows:
+        gone, own = set(), lines[k]
+        for other in (lines[j] for j in lines if j < k):
+            places = {}
+            for q, (_, x, _) in enumerate(other):
+                places.setdefault(x, []).append(q)
+            for p in range(len(own)):
+                for q in places.get(own[p][1], []):
+                    n = 0
+                    while p + n < len(own) and q + n < len(other) and own[p + n][1] == other[q + n][1]:
+                        n += 1
+                    if sum(x[2] for x in own[p : p + n]) >= least:
+                        gone |= {x[0] for x in own[p : p + n]}
+        out[k] = t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+    return out
+
+
+def test_lines_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    pool = [" ".join(f"w{j}_{i}" for i in range(rng.integers(1, 14))) for j in range(24)] + ["", "  "]
+    rows = []
+    for k in range(120):
+        own = []
+        while len(own) < rng.integers(1, 40):
+            at = rng.integers(0, len(pool))
+            own += [f" {x}\t" for x in pool[at : at + rng.integers(1, 9)]] if rng.random() < 0.8 else [f"own {k} {len(own)}"]
+        rows.append((k, "\n".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for least in (1, 12, 51):
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(df, min_words=least).collect()}
+        assert got == repeated_by_hand(rows, least)
+
+
+def test_lines_of_the_table_against_all_pairs(spark, docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == repeated_by_hand(rows, 51)
+
+
+def test_blocks_come_from_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(0, f"x\n{b}\ny"), (1, f"{c}\nz\n{a}"), (2, f"h\n{a}\n{b}\n{c}\nt"), (3, f"u\n{a}\n{b}\n{c}\nv"), (5, f"1\n{a}\n2"), (6, f"1\n{b}"), (7, f"{c}\n3")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {3: "u\nv"}
+    apart = [rows[0], (1, f"{a}\nq"), (2, f"{c}\nr"), (4, f"{a}\n{b}\n{c}")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(apart, "doc_id long, text string")).collect()}
+    assert got == dict(apart)
+
+
+def test_lines_beside_columns_of_the_same_names(spark):
+    p = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, p, 7, "g"), (2, p, 8, "h")], "doc_id long, text string, lines_deleted int, gone string").withColumns({c: F.lit(c) for c in ("_dedup_gone", "_id", "_hash", "row", "hash", "k", "a.b")})
+    got = line_dedup.line_dedup(df)
+    assert got.columns == [c for c in df.columns if c != "lines_deleted"] + ["lines_deleted", "words_deleted"]
+    assert {(r.doc_id, r.text, r.gone, r._dedup_gone, r._id, r.lines_deleted) for r in got.collect()} == {(1, p, "g", "_dedup_gone", "_id", 0), (2, "", "h", "_dedup_gone", "_id", 1)}
 
 
 # Language.
@@ -346,6 +407,7 @@ def test_wrappers_with_names_of_boxes(spark):
         (f'{story}<div class="sidebar"><article><p>other</p></article></div>', "Story."),
         ('<p>Story.</p><div class="comments"><article><p>nice</p></article></div>', "Story."),
         ('<div class="main-menu">m</div><div class="page-header nav-wrapper">h</div><div class="cookie-notice">c</div><p>Story.</p>', "Story."),
+        ('<article><div class="side-effects"><p>Story</p></div><section id="legal-analysis">goes</section><p>on <a class="related">and</a> on.</p><div class="related-posts">r</div></article>', "Story\ngoes\non and on."),
         ('<nav><article><p>no</p></article></nav><div class="comments"><p>nice</p></div>', ""),
     ]
     rows = [(i, f"http://h{i}.org/", f"<html><body>{b}</body></html>") for i, (b, _) in enumerate(bodies)]
@@ -355,6 +417,34 @@ def test_wrappers_with_names_of_boxes(spark):
     assert {r.page_id: r.text for r in pages.article_texts(df).collect()} == want
 
 
+def test_paragraphs_that_few_pages_share_stay(spark):
+    rows = [(i, "http://a.org/", f"<html><body><article><h1>t{i}</h1><p>Shared words.</p><p>own {i}</p></article></body></html>") for i in range(5)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"t{i}\nShared words.\nown {i}" for i in range(5)}
+
+
+def test_classes_against_occurrence_vectors(spark):
+    """Templates from the full vectors of each token over all pages of a host, one by one."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        parts = ["<div>Site</div>", "<ul><li>One</li><li>Two</li></ul>" * (1 + i % 2), f"<p>text {i}</p>", *(f"<div class=c{k}>box {k}</div>" for k in range(4) if rng.random() < 0.6)]
+        rows.append((i, f"http://h{i % 3}.org/", f"<html><body>{''.join(parts)}</body></html>" if i % 7 else rows[i - 3][2] if i > 3 else "<p>x"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    got = {r.host: (set(r.always), set(r.mostly)) for r in pages.templates(pages._tokens(df.select("html", host.alias("host")))).collect()}
+    for h in range(3):
+        own = [pages.Reader(x).tokens for x in dict.fromkeys(html for i, _, html in rows if i % 3 == h)]
+        vectors = {}
+        for token in {t for x in own for t in x}:
+            vectors.setdefault(tuple(x[token] for x in own), set()).add(token)
+        spread = lambda v: sum(n > 0 for n in v)  # noqa: E731, B023
+        valid = {v: m for v, m in vectors.items() if len(m) >= pages.TOKENS and spread(v) >= pages.PAGES and 2 * spread(v) >= len(own)}
+        mostly = {t for m in valid.values() for t in m}
+        always = {t for v, m in valid.items() if spread(v) == len(own) >= pages.SURE for t in m}
+        assert got[f"h{h}.org"] == (always, mostly)
+
+
 def test_copies_of_a_page_are_no_template(spark):
     body = lambda x: f"<html><body><div>Site name</div><div><p>Story {x} begins.</p><p>Story {x} ends.</p></div></body></html>"
     rows = [(i, "http://a.org/", body("one" if i < 6 else i)) for i in range(10)]
