@@ -15,9 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ridgeline.llm import textblocks
 from ridgeline.llm.tuning import small_batches
@@ -105,20 +104,17 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language
     return Model([*languages, UNKNOWN], weights)
 
 
-def with_text_evidence(rows: DataFrame, text_col: str, model: Model) -> DataFrame:
-    """rows with `_text`, the tempered log likelihoods (null: no letters)."""
-    small_batches(rows.sparkSession)
-    held = rows.sparkSession.sparkContext.broadcast(model)
-    at = rows.columns.index(text_col)
+def text_evidence(spark: SparkSession, text: Column, model: Model) -> Column:
+    """The tempered log likelihoods of a text (null: no letters)."""
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = likelihoods(batch.column(at), held.value)
-            evidence = pa.array([x[:-1].tolist() if x[-1] else None for x in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, evidence], names=names)
+    @F.arrow_udf("array<double>")
+    def evidence(texts: pa.Array) -> pa.Array:
+        found = likelihoods(texts, held.value)
+        return pa.array([x[:-1].tolist() if x[-1] else None for x in found], pa.list_(pa.float64()))
 
-    names = [*rows.columns, "_text"]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_text", T.ArrayType(T.DoubleType()))]))
+    return evidence(text)
 
 
 def _best(scores: Column) -> Column:
@@ -151,23 +147,27 @@ def priors(told: DataFrame, n: int) -> DataFrame:
     return hosts.select("host", "suffix", F.transform("_prior", lambda p: F.log(p)).alias("prior"))
 
 
-def identify(rows: DataFrame, model: Model, text_col: str, host: Column, suffix: Column, declared: Column, least: float = 0.5) -> DataFrame:
-    """rows with language, confidence, accepted.
+def identify(rows: DataFrame, model: Model, text_col: str, host: Column, suffix: Column, declared: Column, least: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """Columns keep of rows (all of them), with language, confidence, accepted.
 
     host, suffix and declared are expressions over rows; null where there is no such evidence. A
     row is accepted if a language has a posterior of `least` or more. A null or empty text, or one
     without letters, is `und` with confidence 0 and not accepted, whatever the other evidence says.
-    Equal rows get equal results. An empty table gives no rows. Texts are not shuffled.
+    Equal rows get equal results. An empty table gives no rows. Columns may have any names; those
+    named like the three new ones are replaced. Texts are not shuffled. If keep leaves the text
+    out, each is scored once and its few numbers are kept; else once for the counts and once more.
     """
-    n, kept = len(model.languages), rows.columns
-    names = F.array(*[F.lit(x) for x in model.languages])
-    rows = rows.withColumns({"_host": F.coalesce(F.lower(host), F.lit("")), "_suffix": F.coalesce(F.lower(suffix), F.lit(""))})
+    n, names, wanted = len(model.languages), F.array(*[F.lit(x) for x in model.languages]), rows.columns if keep is None else keep
     primary = F.lower(F.regexp_extract(F.trim(declared), "^([A-Za-z]+)", 1))
-    rows = rows.withColumn("_declared", F.when(declared.isNull() | (primary == ""), -1).otherwise(F.coalesce(F.nullif(F.array_position(names, primary), F.lit(0)) - 1, F.lit(n))).cast("int"))
-    rows = with_text_evidence(rows, text_col, model)
-    said = rows.where("_text is not null").select(F.col("_host").alias("host"), F.col("_suffix").alias("suffix"), F.col("_declared").alias("declared"), _best(F.col("_text")).cast("int").alias("said"))
-    told = cut(said.groupBy("host", "suffix", "declared", "said").agg(F.count("*").alias("n")))
-    known = cut(priors(told, n).toDF("_h", "_s", "_prior"))
+    said = F.when(declared.isNull() | (primary == ""), -1).otherwise(F.coalesce(F.nullif(F.array_position(names, primary), F.lit(0)) - 1, F.lit(n))).cast("int")
+    row = F.struct(*(F.col(f"`{c}`") for c in wanted)).alias("row")
+    evidence = text_evidence(rows.sparkSession, F.col(text_col), model)
+    rows = rows.select(row, F.coalesce(F.lower(host), F.lit("")).alias("host"), F.coalesce(F.lower(suffix), F.lit("")).alias("suffix"), said.alias("declared"), evidence.alias("text"))
+    if text_col not in wanted:
+        rows = cut(rows)
+    told = rows.where("text is not null").select("host", "suffix", "declared", _best(F.col("text")).cast("int").alias("said"))
+    told = cut(told.groupBy("host", "suffix", "declared", "said").agg(F.count("*").alias("n")))
+    known = cut(priors(told, n).toDF("_host", "_suffix", "prior"))
     known = F.broadcast(known) if known.count() <= FEW else known
     # P(declared | language), from n * (n + 1) counts; declarations are right before any count.
     table = np.full((n + 1, n), 0.5)
@@ -177,10 +177,12 @@ def identify(rows: DataFrame, model: Model, text_col: str, host: Column, suffix:
     table = np.log(table / table.sum(0))
     declarations = F.from_json(F.lit(str([[0.0] * n, *table.tolist()])), "array<array<double>>")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    out = rows.join(known, (F.col("_host") == F.col("_h")) & (F.col("_suffix") == F.col("_s")), "left")
-    out = out.withColumn("_score", add(add(F.col("_text"), F.col("_prior")), F.element_at(declarations, F.col("_declared") + 2)))
-    out = out.withColumn("_top", F.array_max("_score"))
-    confidence = 1 / F.aggregate("_score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    language = F.element_at(names, F.array_position("_score", F.col("_top")).cast("int"))
-    out = out.withColumns({"language": F.coalesce(F.when(F.col("_top").isNotNull(), language), F.lit(UNKNOWN)), "confidence": F.coalesce(F.when(F.col("_top").isNotNull(), confidence), F.lit(0.0))})
-    return out.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("confidence") >= least)).select(*kept, "language", "confidence", "accepted")
+    out = rows.join(known, (F.col("host") == F.col("_host")) & (F.col("suffix") == F.col("_suffix")), "left")
+    out = out.select("row", add(add(F.col("text"), F.col("prior")), F.element_at(declarations, F.col("declared") + 2)).alias("score"))
+    out = out.withColumn("top", F.array_max("score"))
+    confidence = 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    language = F.element_at(names, F.array_position("score", F.col("top")).cast("int"))
+    found = {"language": F.coalesce(F.when(F.col("top").isNotNull(), language), F.lit(UNKNOWN)), "confidence": F.coalesce(F.when(F.col("top").isNotNull(), confidence), F.lit(0.0))}
+    out = out.withColumns(found).withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("confidence") >= least))
+    new = ["language", "confidence", "accepted"]
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in wanted if c not in new), *new)

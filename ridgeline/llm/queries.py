@@ -51,8 +51,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = article_texts(pages)
     host = F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1)
     rows = rows.union(found.select(F.lit(None).cast("long"), "page_id", "text", host, F.substring_index(host, ".", -1), "declared"))
-    out = language.identify(rows, model, "text", F.col("host"), F.col("suffix"), F.col("declared"))
-    return out.select("doc_id", "page_id", "language", "confidence", "accepted")
+    return language.identify(rows, model, "text", F.col("host"), F.col("suffix"), F.col("declared"), keep=["doc_id", "page_id"])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

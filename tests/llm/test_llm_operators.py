@@ -311,6 +311,61 @@ def test_evidence_decides_where_text_does_not(spark):
     assert {(r.h, r.language) for r in rows} == {("www.fr.example.org", "fr"), ("www.de.example.org", "de"), ("new.example.org", "fr")}
 
 
+def posterior_by_hand(rows, model, table):
+    """Bayes' rule for rows of text, host, suffix, declared, one at a time."""
+    import pyarrow as pa
+
+    n = len(model.languages)
+    text = [x[:-1] for x in language.likelihoods(pa.array([r[0] for r in rows]), model)]
+    said = [int(np.argmax(x)) for x in text]
+    levels = [lambda r: "*", lambda r: r[2], lambda r: ".".join(r[1].split(".")[-2:]), lambda r: r[1]]
+    out = []
+    for r, x in zip(rows, text, strict=True):
+        p = np.full(n, 1 / n)
+        for k, level in enumerate(levels):
+            c = np.bincount([s for o, s in zip(rows, said, strict=True) if level(o) == level(r)], minlength=n)
+            pull = language.PULL if k else 1
+            p = (c + pull * p) / (c.sum() + pull)
+        score = x + np.log(p) + (np.log(table)[model.languages.index(r[3])] if r[3] else 0)
+        e = np.exp(score - score.max())
+        out.append((model.languages[int(e.argmax())], float(e.max() / e.sum())))
+    return out
+
+
+def test_evidence_against_bayes_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs, "lang", "text", "doc_id")
+    rng, found = np.random.default_rng(8), docs.orderBy("doc_id").limit(80).collect()
+    hosts = ["a.x.org", "b.x.org", "y.net"]
+    rows = []
+    for r in found:
+        host = hosts[rng.integers(3)]
+        rows.append((r.text[: int(rng.integers(12, 300))], host, host.split(".")[-1], [None, r.lang][rng.integers(2)]))
+    n = len(model.languages)
+    table = np.full((n + 1, n), 0.5)
+    table[np.arange(n), np.arange(n)] += 20
+    import pyarrow as pa
+
+    for r, x in zip(rows, language.likelihoods(pa.array([r[0] for r in rows]), model), strict=True):
+        if r[3]:
+            table[model.languages.index(r[3]), int(np.argmax(x[:-1]))] += 1
+    want = posterior_by_hand(rows, model, table / table.sum(0))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, h string, s string, d string")
+    for keep in (None, ["i"]):
+        got = {r.i: (r.language, round(r.confidence, 9)) for r in language.identify(df, model, "t", F.col("h"), F.col("s"), F.col("d"), keep=keep).collect()}
+        assert got == {i: (x, round(c, 9)) for i, (x, c) in enumerate(want)}
+
+
+def test_language_beside_columns_of_the_same_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs, "lang", "text", "doc_id")
+    odd = docs.withColumns({c: F.lit("y") for c in ("_host", "host", "row", "prior", "score", "top", "language", "accepted")})
+    nothing = F.lit(None).cast("string")
+    out = language.identify(odd, model, "text", F.col("source"), nothing, nothing)
+    assert out.columns == [c for c in odd.columns if c not in ("language", "accepted")] + ["language", "confidence", "accepted"]
+    assert out.where("accepted and language = lang and _host = 'y' and host = 'y' and top = 'y'").count() > 0.98 * docs.count()
+
+
 # Mixing.
 
 
