@@ -1,12 +1,14 @@
 """Document fingerprints: Merkle trees over paragraphs and sections, in DataFrame functions alone.
 
 A paragraph is a line of the text, cut into leaves of a sentence or PIECE characters. A node's hash
-is that of its children's. Sections are runs of paragraphs that end where a paragraph's hash says
-so (one in eight), so an insertion moves no other boundary. A fingerprint is a string:
+is the MD5 of its children's hashes, whole all the way up. Sections are runs of paragraphs that end
+where a paragraph's hash says so (one in eight), so an insertion moves no other boundary. A
+fingerprint is a string in which only leaves are shortened, after they were hashed:
 
     root;section section ...;,paragraph.leaf.leaf,paragraph.leaf ...
 
-Equal texts have equal fingerprints, and roots alone tell. Branches that differ locate edits.
+with a blank at each section's end. Equal texts have equal fingerprints, and roots alone tell, as
+surely as MD5 does. Branches that differ locate edits: see with_edit().
 """
 
 from __future__ import annotations
@@ -20,18 +22,19 @@ LEAF = r"[^.!?]{1,48}[.!?]*|[.!?]+"
 RUN, RUNS = 512, 1 << 14
 
 
-def _short(c: Column) -> Column:
-    return F.substring(F.md5(c), 1, 8)
-
-
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the fingerprint of a text column."""
-    leaves = F.transform(F.split(F.col(text), "\n", -1), lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.concat(F.lit("."), _short(x))), ""))
-    df = df.withColumn("_leaves", leaves)
-    df = df.withColumn("_tree", F.array_join(F.transform("_leaves", lambda p: F.concat(F.lit(","), _short(p), p)), "")).drop("_leaves")
-    paragraphs = F.regexp_replace(F.col("_tree"), r"\.[0-9a-f]{8}", "")
-    ended = F.rtrim(F.regexp_replace(paragraphs, r",([01][0-9a-f]{7})", r",$1 "))
-    df = df.withColumn("_sections", F.array_join(F.transform(F.split(ended, " ", -1), _short), " "))
+    hashes = F.transform(F.split(F.col(text), "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), F.md5))
+    df = df.withColumn("_leaves", hashes)
+
+    def paragraph(leaf: Column) -> Column:
+        own = F.md5(F.array_join(leaf, ""))
+        end = F.when(F.left(own, F.lit(1)).isin("0", "1"), " ").otherwise("")
+        return F.concat(F.lit(","), own, F.array_join(F.transform(leaf, lambda x: F.concat(F.lit("."), F.left(x, F.lit(8)))), ""), end)
+
+    df = df.withColumn("_tree", F.rtrim(F.array_join(F.transform("_leaves", paragraph), ""))).drop("_leaves")
+    sections = F.transform(F.split(F.regexp_replace(F.col("_tree"), r"\.[0-9a-f]{8}", ""), " ", -1), F.md5)
+    df = df.withColumn("_sections", F.array_join(sections, " "))
     return df.withColumn(name, F.concat(F.md5("_sections"), F.lit(";"), "_sections", F.lit(";"), "_tree")).drop("_tree", "_sections")
 
 
@@ -39,51 +42,89 @@ def leaves(fingerprint: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fingerprint, F.lit(r"\.([0-9a-f]{8})"), F.lit(1)))
 
 
-def paragraphs(fingerprint: Column) -> Column:
-    return F.regexp_extract_all(fingerprint, F.lit(r",([0-9a-f]{8})"), F.lit(1))
+def root(fingerprint: Column) -> Column:
+    return F.substring_index(fingerprint, ";", 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared leaves of two fingerprints: Dice's coefficient, 1 for equal ones."""
     both = F.size(F.array_intersect(leaves(a), leaves(b))) * 2.0
     total = F.size(leaves(a)) + F.size(leaves(b))
-    return F.when(a == b, 1.0).when(total == 0, 0.0).otherwise(both / total)
+    return F.when(root(a) == root(b), 1.0).when(total == 0, 0.0).otherwise(both / total)
 
 
-def edits(a: Column, b: Column) -> Column:
-    """Numbers of the paragraphs of a (from 0) that b has not, under sections that differ."""
-    theirs = paragraphs(b)
-    marked = F.transform(paragraphs(a), lambda p, i: F.when(~F.array_contains(theirs, p), i))
-    return F.when(F.substring_index(a, ";", 1) == F.substring_index(b, ";", 1), F.array().cast("array<int>")).otherwise(F.filter(marked, lambda i: i.isNotNull()))
+def _agreeing(a: Column, b: Column) -> Column:
+    """Number of equal elements at the start of two arrays."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+
+
+EDIT = ("edit_section", "edit_paragraph", "edit_removed", "edit_added")
+
+
+def with_edit(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with where the trees of the fingerprints a and b differ, null if equal: the numbers (from 0) of
+    the first differing section and paragraph of a, and how many of its paragraphs are replaced by how
+    many of b.
+
+    The walk goes down only where hashes differ: sections that agree from the start and from the end
+    are left, and within the others paragraphs that do. So the run is the shortest outside of which
+    the texts agree, and a second copy of a paragraph counts by its place.
+    """
+    paragraphs = lambda trees: F.regexp_extract_all(F.array_join(trees, ""), F.lit(r",([0-9a-f]{32})"), F.lit(1))
+    less = lambda x, n: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
+    for k, x in enumerate((a, b)):
+        differ = root(F.col(a)) != root(F.col(b))
+        part = lambda n, x=x, differ=differ: F.split(F.when(differ, F.split_part(F.col(x), F.lit(";"), F.lit(n))), " ", -1)
+        df = df.withColumn(f"_s{k}", part(2)).withColumn(f"_t{k}", part(3))
+    df = df.withColumn("_head", _agreeing(F.col("_s0"), F.col("_s1")))
+    df = df.withColumn("_tail", _agreeing(F.reverse(less(F.col("_s0"), F.col("_head"))), F.reverse(less(F.col("_s1"), F.col("_head")))))
+    for k in (0, 1):
+        inner = F.slice(F.col(f"_t{k}"), F.col("_head") + 1, F.greatest(F.size(f"_t{k}") - F.col("_head") - F.col("_tail"), F.lit(0)))
+        df = df.withColumn(f"_p{k}", paragraphs(inner))
+    df = df.withColumn("_first", _agreeing(F.col("_p0"), F.col("_p1")))
+    df = df.withColumn("_last", _agreeing(F.reverse(less(F.col("_p0"), F.col("_first"))), F.reverse(less(F.col("_p1"), F.col("_first")))))
+    before = F.size(paragraphs(F.slice(F.col("_t0"), F.lit(1), F.col("_head"))))
+    left = [F.size(f"_p{k}") - F.col("_first") - F.col("_last") for k in (0, 1)]
+    found = [F.col("_head"), before + F.col("_first"), *left]
+    df = df.withColumns({name: F.when(F.col("_head").isNotNull(), x).cast("int") for name, x in zip(EDIT, found, strict=True)})
+    return df.drop("_s0", "_s1", "_t0", "_t1", "_head", "_tail", "_p0", "_p1", "_first", "_last")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with `_next`, the text of the next row by ascending id; after the last, the first.
 
     Ids are dealt to runs between quantiles, each run is sorted by itself, and the first row of a
-    run is also sent to the run before. So no task sees more than a run, and texts move once.
+    run is also sent to the run before. An id that many rows repeat, or null, is dealt to several
+    runs by the hash that orders these rows. So no task sees much more than a run, and texts move once.
     """
-    rows = docs.count()
-    runs = 1
-    while runs < min(RUNS, rows / RUN):
-        runs *= 2
-    if runs > 1:
-        at = [i / runs for i in range(1, runs)]
-        bounds = docs.agg(F.percentile_approx(id_col, at, 4 * runs + 10_000)).first()[0] or []
-    else:
-        bounds = []
+    rows, known = docs.agg(F.count("*"), F.count(id_col)).first()
+    n = 1
+    while n < min(RUNS, known / RUN):
+        n *= 2
+    bounds = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 4 * n + 10_000)).first()[0] or [] if n > 1 else []
+    spread = (F.xxhash64(text_col) / F.lit(2.0**64) + 0.5) * (1 - 1e-12)  # from 0 to less than 1, as the hash ascends
+    empty = min(RUNS, -(-(rows - known) // RUN)) or 1
     if bounds:
-        kind = docs.schema[id_col].dataType.simpleString()
-        held = F.from_json(F.lit(str(bounds)), f"array<{kind}>")  # a constant of the plan
-        steps = []
-        s = runs // 2
-        while s:
-            steps.append(s)
-            s //= 2
-        run = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, s: acc + F.when(F.element_at(held, acc + s) <= F.col(id_col), s).otherwise(0))
-        docs = docs.withColumn("_run", F.when(F.col(id_col).isNull(), 0).otherwise(run))
+        ids = sorted(set(bounds))
+        copies = [bounds.count(i) for i in ids] if len(ids) < len(bounds) else [1] * len(ids)
+        begins = [empty]  # the first run of what comes before the first bound, and of each bound's id
+        for c in [1, *(c + 1 for c in copies)][: len(ids)]:
+            begins.append(begins[-1] + c)
+        array = lambda x, kind: F.from_json(F.lit(str(x)), f"array<{kind}>")  # noqa: E731  # a constant of the plan
+        held = array(ids, docs.schema[id_col].dataType.simpleString())
+        steps, s = [], 1
+        while s <= len(ids):
+            steps.insert(0, s)
+            s *= 2
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, s: acc + F.when(F.get(held, acc + s - 1) <= F.col(id_col), s).otherwise(0))
+        docs = docs.withColumn("_at", at)
+        parts = F.get(array(copies, "int"), F.col("_at") - 1)
+        own = F.when(F.get(held, F.col("_at") - 1) == F.col(id_col), F.floor(spread * parts)).otherwise(parts).cast("int")
+        run = F.get(array(begins, "int"), F.col("_at")) + F.coalesce(own, F.lit(0))
     else:
-        docs = docs.withColumn("_run", F.lit(0))
+        run = F.lit(empty)
+    docs = docs.withColumn("_run", F.when(F.col(id_col).isNull(), F.floor(spread * empty).cast("int")).otherwise(run)).drop("_at")
     docs = docs.withColumn("_order", F.struct(F.col(id_col), F.xxhash64(text_col)))
     firsts = docs.groupBy("_run").agg(F.min("_order").alias("_first"))
     by_run = Window.partitionBy(F.lit(0)).orderBy("_run")
@@ -99,7 +140,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row, and with_edit()'s columns.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or
     all, of the next row's text by ascending id; the last row's next is the first.
@@ -117,18 +158,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("edited_sha256", F.sha2("_edited", 256))
     rows = with_fingerprint(rows, "_edited", "edited_fingerprint").drop("_edited")
     own = F.col("fingerprint")
-    return rows.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(own, F.col("edited_fingerprint")).alias("near_edited"), likeness(own, F.col("_next_fingerprint")).alias("near_next"))
+    rows = rows.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(own, F.col("edited_fingerprint")).alias("near_edited"), likeness(own, F.col("_next_fingerprint")).alias("near_next"))
+    return with_edit(rows, "fingerprint", "edited_fingerprint")
 
 
 def _tree_sql(text: str) -> str:
-    return f"""array_to_string(list_transform(list_transform(string_split({text}, chr(10)),
-        lambda p: coalesce(array_to_string(list_transform(regexp_extract_all(p, '{LEAF}'), lambda x: '.' || substr(md5(x), 1, 8)), ''), '')),
-        lambda p: ',' || substr(md5(p), 1, 8) || p), '')"""
+    return f"""rtrim(array_to_string(list_transform(list_transform(list_transform(string_split({text}, chr(10)),
+        lambda p: list_transform(regexp_extract_all(p, '{LEAF}'), lambda x: md5(x))),
+        lambda l: struct_pack(h := md5(coalesce(array_to_string(l, ''), '')), l := coalesce(array_to_string(list_transform(l, lambda x: '.' || left(x, 8)), ''), ''))),
+        lambda p: ',' || p.h || p.l || CASE WHEN left(p.h, 1) IN ('0', '1') THEN ' ' ELSE '' END), ''), ' ')"""
 
 
 def _print_sql(tree: str) -> str:
-    sections = f"""array_to_string(list_transform(string_split(rtrim(regexp_replace(regexp_replace({tree}, '\\.[0-9a-f]{{8}}', '', 'g'),
-        ',([01][0-9a-f]{{7}})', ',\\1 ', 'g'), ' '), ' '), lambda x: substr(md5(x), 1, 8)), ' ')"""
+    sections = f"array_to_string(list_transform(string_split(regexp_replace({tree}, '\\.[0-9a-f]{{8}}', '', 'g'), ' '), lambda x: md5(x)), ' ')"
     return f"(md5({sections}) || ';' || {sections} || ';' || {tree})"
 
 
@@ -137,11 +179,28 @@ def _near_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN len({of(a)}) + len({of(b)}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({of(a)}, {of(b)})) * 2.0::DOUBLE / (len({of(a)}) + len({of(b)})) END"
 
 
+def _agreeing_sql(a: str, b: str) -> str:
+    return f"coalesce(nullif(list_position(list_transform(list_zip({a}, {b}), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false), 0) - 1, len({a}))"
+
+
+def _paragraphs_sql(trees: str) -> str:
+    return f"regexp_extract_all(coalesce(array_to_string({trees}, ''), ''), ',([0-9a-f]{{32}})', 1)"
+
+
 ORACLE = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), (SELECT text FROM t ORDER BY doc_id LIMIT 1)) AS follow FROM t),
 e AS (SELECT doc_id, text, follow, length(text) AS n_chars, left(text, length(text) - length(text) // 2) || left(follow, length(text) // 2) AS edited FROM n),
-w AS (SELECT doc_id, n_chars, edited, {_tree_sql('text')} AS a, {_tree_sql('follow')} AS b, {_tree_sql('edited')} AS c FROM e),
-f AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_print_sql('a')} AS fingerprint, {_print_sql('b')} AS follow, {_print_sql('c')} AS edited_fingerprint FROM w)
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near_sql('fingerprint', 'edited_fingerprint')} AS near_edited, {_near_sql('fingerprint', 'follow')} AS near_next FROM f
+w AS (SELECT doc_id, n_chars, edited, {_tree_sql("text")} AS a, {_tree_sql("follow")} AS b, {_tree_sql("edited")} AS c FROM e),
+f AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_print_sql("a")} AS fingerprint, {_print_sql("b")} AS follow, {_print_sql("c")} AS edited_fingerprint, a, c FROM w),
+g AS (SELECT *, string_split(split_part(fingerprint, ';', 2), ' ') AS s0, string_split(split_part(edited_fingerprint, ';', 2), ' ') AS s1, string_split(a, ' ') AS t0, string_split(c, ' ') AS t1 FROM f),
+h AS (SELECT *, {_agreeing_sql("s0", "s1")} AS head FROM g),
+i AS (SELECT *, {_agreeing_sql("list_reverse(s0[head + 1:])", "list_reverse(s1[head + 1:])")} AS tail FROM h),
+j AS (SELECT *, {_paragraphs_sql("t0[head + 1:len(t0) - tail]")} AS p0, {_paragraphs_sql("t1[head + 1:len(t1) - tail]")} AS p1 FROM i),
+k AS (SELECT *, {_agreeing_sql("p0", "p1")} AS first FROM j),
+l AS (SELECT *, {_agreeing_sql("list_reverse(p0[first + 1:])", "list_reverse(p1[first + 1:])")} AS last, fingerprint <> edited_fingerprint AS differ FROM k)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near_sql("fingerprint", "edited_fingerprint")} AS near_edited, {_near_sql("fingerprint", "follow")} AS near_next,
+    CASE WHEN differ THEN head::INTEGER END AS edit_section, CASE WHEN differ THEN (len({_paragraphs_sql("t0[1:head]")}) + first)::INTEGER END AS edit_paragraph,
+    CASE WHEN differ THEN (len(p0) - first - last)::INTEGER END AS edit_removed, CASE WHEN differ THEN (len(p1) - first - last)::INTEGER END AS edit_added
+FROM l
 """
