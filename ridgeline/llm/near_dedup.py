@@ -204,14 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = cut(met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct().withColumn("nth", F.row_number().over(own)))
     compared = lambda pairs: cut(_verified(_likely(pairs.select("a", "b"), classes, m, similarity), sets, percent))
     links = compared(stars.where("nth = 1"))
-    labels = cut(components(links))
-    at = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    at = lambda x: links.select(F.col("b").alias(x), F.col("a").alias(f"c{x}"))  # noqa: E731  # the first head of a class, if it is similar
     apart = stars.where("nth > 1").join(at("b"), "b", "left").join(at("a"), "a", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    for more in (lambda: compared(apart), lambda: cut(_apart(met, sets, labels, percent))):
-        found = more()
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = cut(components(links))
+    labels = cut(components(links.union(compared(apart))))
+    more = cut(_apart(met, sets, labels, percent))
+    if not more.isEmpty():
+        labels = cut(components(more.union(labels.where("node <> component"))))
     info = classes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = info.groupBy("component").agg(F.min("id").alias("component_id"))
     info = info.join(least, "component").select("node", "component_id")
