@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.config import interface_kind
 from ridgeline.plans.program import compile_program, fields, let
 
 
@@ -102,16 +103,106 @@ def juniper_routes(output: Column) -> Column:
     return F.filter(every, lambda r, i: F.coalesce(F.get(every, i + 1)["prefix"] != r["prefix"], F.lit(True)))
 
 
+def cisco_labels(output: Column) -> Column:
+    """fec, in_label, out_label, action, outgoing_interface, next_hop of the forwarding table (PAR-08): Pop Label and No Label are two words."""
+
+    def row(line: Column) -> Column:
+        f = fields(line)
+        word = F.lower(F.get(f, F.lit(1)))
+        shift = F.when(word.isin("pop", "no"), 1).otherwise(0)
+        pops = (word == "pop") | word.startswith("no")
+        at = lambda i: F.when(F.size(f) >= 6 + shift, F.get(f, F.lit(i) + shift)).otherwise("")
+        return _struct(fec=at(2), in_label=number(F.get(f, F.lit(0))), out_label=F.when(pops, "").otherwise(F.get(f, F.lit(1))), action=F.when(pops, "pop").otherwise("swap"), outgoing_interface=at(4), next_hop=at(5))
+
+    ls = F.split(F.coalesce(output, F.lit("")), "\n", -1)
+    head = F.array_position(F.transform(ls, lambda x: x.contains("Local") & x.contains("Outgoing")), True).cast("int")
+    body = F.when(head > 0, F.slice(ls, head + 1, F.size(ls))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.filter(body, lambda x: x.rlike(r"^\s*\d+\s") & (F.size(fields(x)) >= 5)), row)
+
+
+# How H3C's verbose listing of an interface begins, and what letters in its routing table stand for.
+H3C_NAMES = "gigabitethernet|ten-gigabitethernet|fortygige|fge|xge|hundredgige|loopback|vlanif|bridge-aggregation|bagg|tunnel|null"
+H3C_CODES = {"o": "ospf", "s": "static", "b": "bgp", "d": "direct", "i": "isis"}
+
+
+def _face(name: Column, state: Column, ip: Column, description: Column) -> Column:
+    return _struct(name=name, type=interface_kind(name), status=state, ip_address=ip, description=description)
+
+
+def _below(ls: Column, is_head) -> Column:
+    """Lines behind the first for which is_head holds; none without one."""
+    head = F.array_position(F.transform(ls, is_head), True).cast("int")
+    return F.when(head > 0, F.slice(ls, head + 1, F.size(ls))).otherwise(F.array().cast("array<string>"))
+
+
+def h3c_interfaces(output: Column) -> Column:
+    """name, type, status, ip_address, description (PAR-10): the header tells which of two tables it is; without one, blocks are read."""
+    ls = F.transform(F.split(F.coalesce(output, F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    with_ip = lambda x: (x.contains("IP Address") | x.contains("Primary IP")) & x.rlike("Physical|Protocol|Link")
+    brief = lambda x: x.contains("Link") & x.contains("Speed")
+    rest = lambda f, n: F.array_join(F.slice(f, F.lit(n + 1), F.greatest(F.size(f) - n, F.lit(0))), " ")
+
+    def ip_row(x: Column) -> Column:
+        f = fields(x)
+        ip, state = F.coalesce(F.get(f, F.lit(3)), F.lit("")), F.lower(F.get(f, F.lit(1)))
+        return _face(F.get(f, F.lit(0)), F.when(state.startswith("*"), "admin-down").otherwise(state), F.when(ip.contains(".") , ip).otherwise(""), rest(f, 4))
+
+    def brief_row(x: Column) -> Column:
+        f = fields(x)
+        state = F.lower(F.get(f, F.lit(1)))
+        return _face(F.get(f, F.lit(0)), F.when(state == "adm", "admin-down").otherwise(state), F.lit(""), rest(f, 5))
+
+    def block(b: Column) -> Column:
+        said = lambda p: F.coalesce(F.get(F.filter(F.transform(b, lambda x: F.regexp_extract(x, p, 1)), lambda v: v != ""), F.lit(-1) + F.size(F.filter(F.transform(b, lambda x: F.regexp_extract(x, p, 1)), lambda v: v != ""))), F.lit(""))
+        return _face(F.regexp_extract(F.get(b, F.lit(0)), r"^(\S+)", 1), F.lower(said(r"(?i)^\s+current state:\s*(\S+)")), said(r"(?i)^\s+internet address is.*?\s([^\s/]*\.[^\s/]*)/"), said(r"(?i)^\s+description:\s*(.*)$"))
+
+    def blocks(every: Column) -> Column:
+        kept = F.filter(every, lambda x: x.rlike(rf"^[ \t]|(?i)^(?:{H3C_NAMES})"))
+        heads = F.filter(F.transform(kept, lambda x, i: F.when(x.rlike(r"^[^ \t]"), i)), lambda i: i.isNotNull())
+        return let(F.struct(kept.alias("k"), heads.alias("h")), lambda s: F.transform(s["h"], lambda a, n: block(F.slice(s["k"], a + 1, F.coalesce(F.get(s["h"], n + 1), F.size(s["k"])) - a))))
+
+    table = lambda is_head, least, row: F.transform(F.filter(_below(ls, is_head), lambda x: (F.size(fields(x)) >= least) & ~F.trim(x).rlike(r"^[*(]")), row)
+    top = F.slice(ls, F.lit(1), F.lit(30))
+    return F.when(F.exists(top, with_ip), table(with_ip, 3, ip_row)).when(F.exists(top, brief), table(brief, 2, brief_row)).otherwise(blocks(ls))
+
+
+def h3c_peers(output: Column) -> Column:
+    """protocol, remote_id, area_id, local_interface, state (PAR-12): a table of BGP peers, with the AS for an area, or of OSPF peers, as the header says."""
+    ls = F.split(F.coalesce(output, F.lit("")), "\n", -1)
+    is_bgp = lambda x: x.contains("Peer") & x.contains("AS") & x.contains("State")
+    is_ospf = lambda x: x.contains("Area Id") & x.contains("Neighbor")
+    get = lambda x, i: F.get(fields(x), F.lit(i))
+    bgp = F.transform(F.filter(_below(ls, is_bgp), lambda x: (F.size(fields(x)) >= 8) & ~F.trim(x).rlike("^[*-]")), lambda x: _struct(protocol=F.lit("bgp"), remote_id=get(x, 0), area_id=get(x, 1), local_interface=F.lit(""), state=F.lower(get(x, 7))))
+    ospf = F.transform(F.filter(_below(ls, is_ospf), lambda x: F.size(fields(x)) >= 4), lambda x: _struct(protocol=F.lit("ospf"), remote_id=get(x, 2), area_id=get(x, 0), local_interface=get(x, 1), state=F.lower(get(x, 3))))
+    told = F.exists(F.slice(ls, F.lit(1), F.lit(30)), lambda x: x.contains("BGP local router ID") | x.contains("MsgRcvd"))
+    return F.when(told | (F.size(bgp) > 0), bgp).otherwise(ospf)
+
+
+def h3c_routes(output: Column) -> Column:
+    """prefix, mask_len, protocol, preference, metric, next_hop, outgoing_interface: O_INTRA and other O_ are ospf, letters stand for protocols (PAR-11)."""
+    codes = F.create_map(*(F.lit(x) for pair in H3C_CODES.items() for x in pair))
+    f = fields
+    kept = F.filter(F.split(F.coalesce(output, F.lit("")), "\n", -1), lambda x: x.rlike(r"^\s*\d+\.\d+\.\d+\.\d+/\d+\s") & (F.size(f(x)) >= 6))
+    word = lambda x: F.lower(F.get(f(x), F.lit(1)))
+    return F.transform(
+        kept,
+        lambda x: _struct(
+            vrf=F.lit("default"), prefix=F.substring_index(F.get(f(x), F.lit(0)), "/", 1), mask_len=number(F.substring_index(F.get(f(x), F.lit(0)), "/", -1)), protocol=F.when(word(x).startswith("o_"), "ospf").otherwise(F.coalesce(F.element_at(codes, word(x)), word(x))),
+            preference=number(F.get(f(x), F.lit(2))), metric=number(F.get(f(x), F.lit(3))), next_hop=F.get(f(x), F.lit(4)), outgoing_interface=F.get(f(x), F.lit(5)),
+        ),
+    )
+
+
 #: vendor, command type, rows.
 PARSERS: dict[tuple[str, str], Callable[[Column], Column]] = {
     ("huawei", "interface"): huawei_interfaces, ("huawei", "rib"): huawei_routes, ("huawei", "lfib"): huawei_labels, ("huawei", "ospf"): huawei_ospf, ("huawei", "ldp"): huawei_ldp,
     ("cisco", "interface"): cisco_interfaces, ("cisco", "rib"): cisco_routes, ("cisco", "ospf"): cisco_ospf, ("juniper", "interface"): juniper_interfaces, ("juniper", "ospf"): juniper_ospf, ("juniper", "rib"): juniper_routes,
-    ("h3c", "rib"): huawei_routes, ("h3c", "interface"): huawei_interfaces,
+    ("h3c", "rib"): h3c_routes, ("h3c", "interface"): h3c_interfaces, ("h3c", "peers"): h3c_peers, ("cisco", "lfib"): cisco_labels,
 }
 
 
 def parsed(blocks: DataFrame, vendor: str, kind: str, keys: list[str]) -> DataFrame:
     """keys, row_no and the typed columns of a vendor's outputs of one kind, from blocks with vendor, cmd_type and output."""
-    base = "neighbor" if kind in ("ospf", "ldp") else kind
+    base = "neighbor" if kind in ("ospf", "ldp", "peers") else kind
     own = blocks.where((F.col("vendor") == vendor) & (F.col("cmd_type") == base))
     return own.select(*keys, F.posexplode(PARSERS[vendor, kind](F.col("output"))).alias("row_no", "r")).select(*keys, "row_no", "r.*")

@@ -140,3 +140,46 @@ def test_stream_equals_batch(spark, tmp_path):
     got = [(r.hostname, r.command, r.output) for r in spark.table("blocks_seen").orderBy("seq", "block_no").collect()]
     whole = sessions.split_log(spark.createDataFrame([(log,)], "t string"), "t", [], complete_only=True)
     assert got == [(r.hostname, r.command, r.output) for r in whole.orderBy("block_no").collect()]
+
+
+def test_pieces_in_any_order_and_rotated_files():
+    import random
+
+    from ridgeline.streaming.ingest import Log
+
+    text = (LOG.lstrip("noise\n") + "<core-2>display clock ü\n12:00\n<core-2>q x\n").encode()
+    whole = Log()
+    whole.add(0, text)
+    want = whole.complete()
+    rng = random.Random(1)
+    for _ in range(50):
+        cuts = sorted({0, len(text), *(rng.randrange(len(text)) for _ in range(6))})
+        pieces = [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
+        rng.shuffle(pieces)
+        log, got = Log(), []
+        for offset, data in pieces:
+            log.add(offset, data)
+            log = Log(*log.state())
+            got.append(log.complete())
+        assert "\n".join(x for x in got if x) == want and log.reached == len(text) and not log.waiting
+    log = Log()
+    log.add(0, b"<a-host>one\n1\n<a-host>two\n")
+    assert log.complete() == "<a-host>one\n1"
+    log.add(0, b"<b-host>one\n1\n<b-host>two\nand more than before\n<b-host>three\n")  # rotated, and longer
+    assert log.complete() == "<b-host>one\n1\n<b-host>two\nand more than before"
+    log.add(0, b"<b-host>one\n1\n<b-host>two\nand more than before\n<b-host>three\n3\n<b-host>four\n")  # the same file, grown
+    assert log.complete() == "<b-host>three\n3"
+
+
+def test_upserts_go_on_from_what_is_stored(spark, tmp_path):
+    from ridgeline.streaming import ingest
+
+    target = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v string, at long, s long")
+    ingest.upserting(target, ["k"], "at", "s", 4)(rows((1, "a", 1, 1), (2, "b", 1, 2), (1, "c", 2, 3)), 0)
+    ingest.upserting(target, ["k"], "at", "s", 4)(rows((1, "old", 0, 1), (3, "d", 1, 2)), 0)  # another checkpoint
+    fold = ingest.upserting(target, ["k"], "at", "s", 4)
+    fold(rows((2, "e", 5, 1)), 1)
+    fold(rows((2, "e", 5, 1)), 1)  # run again
+    fold(rows().limit(0), 2)
+    assert sorted((r.k, r.v) for r in ingest.stored(spark, target).collect()) == [(1, "c"), (2, "e"), (3, "d")]
