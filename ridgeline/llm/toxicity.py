@@ -27,6 +27,10 @@ from ridgeline.session import cut
 
 PREFIXES = (6, 4, 3)
 DISCOUNT = 0.75
+#: An entry of an order that was seen less often than so, in both classes together, takes the value it
+#: backs off to, at any size of the sample. If all entries count, held-out toxic texts found fall from
+#: 0.99 to 0.89, since the largest of a text's windows is then that of a chance word.
+SEEN = {"p3": 1, "p4": 2, "p6": 2, "w": 3, "pair": 4}
 WINDOW = 6
 FEATURES = 5
 
@@ -136,11 +140,10 @@ def _by_class(df: DataFrame, keys: list[str], value) -> DataFrame:
     return df.groupBy(*keys).agg(*(F.sum(F.when(F.col("toxic") == c, value).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
 
 
-def _take(df: DataFrame, most: int, least: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """The `most` commonest rows seen `least` times; what all rows sum to and how many there are, by class."""
+def _take(df: DataFrame, least: int = 1) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The rows seen `least` times; what all rows sum to and how many there are, by class. The sample bounds them."""
     total = df.agg(*(F.sum(f"n{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0) for c in (0, 1))).first()
-    keys = [c for c in df.columns if c not in ("n0", "n1")]
-    got = df.where(F.col("n0") + F.col("n1") >= least).orderBy(F.desc(F.col("n0") + F.col("n1")), *keys).limit(most).toArrow()
+    got = df.where(F.col("n0") + F.col("n1") >= least).toArrow()
     columns = {c: got.column(c).to_numpy() for c in got.column_names}
     return columns, np.array([float(x or 0) for x in total[:2]]), np.array([float(x or 0) for x in total[2:]])
 
@@ -149,20 +152,19 @@ def _discounted(n: np.ndarray, total: float) -> np.ndarray:
     return np.maximum(n - DISCOUNT, 0) / max(total, 1.0)
 
 
-def fit_counts(rows: DataFrame, most: int) -> Model:
-    """The two models, from rows of toxic (0, 1) and text. At most `most` entries of each order are kept; rarer ones back off."""
+def fit_counts(rows: DataFrame) -> Model:
+    """The two models, from rows of toxic (0, 1) and text."""
     counted = cut(_counted(rows))
     orders = {"w": ["w", "p6", "p4", "p3"], "p6": ["p6", "p4", "p3"], "p4": ["p4", "p3"], "p3": ["p3"]}
     level, types = counted, {}
     for name, keys in orders.items():  # each order counts the distinct entries of the one above
         level = level.groupBy("toxic", *keys).agg(F.count("*").alias("n"))
         types[name] = level
-    share: dict[int, dict[str, np.ndarray]] = {}
     beta: dict[str, np.ndarray] = {}
     kept, levels, unseen = {}, {}, 0.0
     above = None
     for name in ("p3", "p4", "p6", "w"):
-        columns, totals, distinct = _take(_by_class(types[name], orders[name], F.col("n")), most, 1 if name == "p3" else 3 if name == "w" else 2)
+        columns, totals, distinct = _take(_by_class(types[name], orders[name], F.col("n")), SEEN[name])
         n = np.stack([columns["n0"], columns["n1"]]).astype(float)
         rest = DISCOUNT * distinct / np.maximum(totals, 1)
         rest = np.where(rest > 0, rest, 1.0)
@@ -185,7 +187,6 @@ def fit_counts(rows: DataFrame, most: int) -> Model:
         # A word that is not kept takes the ratio of its prefix, after the weights of backing off.
         beta[name] = np.log(p[1] / p[0])[order]
         kept[name], levels[name] = (columns, order, rest), sorted_keys
-    share[0] = {}
     back = {name: float(np.log(kept[name][2][1] / kept[name][2][0])) for name in ("w", "p6", "p4")}
     shift = {"p6": back["w"], "p4": back["w"] + back["p6"], "p3": back["w"] + back["p6"] + back["p4"]}
     by_hash = lambda keys, values: Level(*(lambda u, o: (u[o], values[o]))(keys.view(np.uint64), np.argsort(keys.view(np.uint64))))
@@ -194,7 +195,7 @@ def fit_counts(rows: DataFrame, most: int) -> Model:
     # Words after words: P = discounted + weight(before) * P(word).
     context = counted.groupBy("toxic", "p").agg(F.sum("n").alias("c"), F.count("*").alias("t"))
     by = context.groupBy("p").agg(*(F.sum(F.when(F.col("toxic") == c, F.col(x)).otherwise(0)).alias(f"{x}{c}") for c in (0, 1) for x in "ct"))
-    by = by.where("p <> 0").orderBy(F.desc(F.col("c0") + F.col("c1")), "p").limit(most).toArrow()
+    by = by.where("p <> 0").toArrow()
     weights = np.stack([DISCOUNT * by.column(f"t{c}").to_numpy() / np.maximum(by.column(f"c{c}").to_numpy(), 1) for c in (0, 1)])
     weights = np.where(weights > 0, weights, 1.0)
     size = np.stack([by.column(f"c{c}").to_numpy() for c in (0, 1)]).astype(float)
@@ -206,7 +207,7 @@ def fit_counts(rows: DataFrame, most: int) -> Model:
     if len(trust):
         i = contexts.values[at[known]].astype(int)
         after[known] = trust[i] * np.log(weights[1, i] / weights[0, i])
-    pair, _, _ = _take(_by_class(counted, ["pair", "p", "w"], F.col("n")), most, 4)
+    pair, _, _ = _take(_by_class(counted, ["pair", "p", "w"], F.col("n")), SEEN["pair"])
     n = np.stack([pair["n0"], pair["n1"]]).astype(float)
     pi, pk = contexts.find(pair["p"].view(np.uint64))
     wi, wk = words.find(pair["w"].view(np.uint64))
@@ -254,7 +255,7 @@ def fit_curve(model: Model, rows: DataFrame, rate: float) -> Model:
     return model
 
 
-def fit(labels: DataFrame, docs: DataFrame, per_class: int = 4000, most: int = 200_000) -> Model:
+def fit(labels: DataFrame, docs: DataFrame, per_class: int = 4000) -> Model:
     """A model from labels (doc_id, toxic: 0 or 1) of docs (doc_id, text).
 
     It is fitted on a bounded sample: of each class the per_class labels with the least hash of
@@ -266,7 +267,7 @@ def fit(labels: DataFrame, docs: DataFrame, per_class: int = 4000, most: int = 2
     ids = [labels.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class).select("doc_id", F.col("toxic").cast("int").alias("toxic")) for c in (0, 1)]
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id"))
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(4))
-    model = fit_counts(sample.where(part != 0), most)
+    model = fit_counts(sample.where(part != 0))
     return fit_curve(model, sample.where(part == 0), min(max(rate or 0.5, 0.01), 0.99))
 
 
@@ -298,9 +299,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs, learnt from the labels that are not held out. Labels that are null are left out."""
+    """doc_id, held_out, score, predicted for each row of docs, learnt from the labels that are not held out.
+
+    Labels other than 0 and 1 are left out. A document with labels of both kinds is toxic.
+    """
     small_batches(docs.sparkSession)
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     model = fit(known, docs)
     scored = score(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

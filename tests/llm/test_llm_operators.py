@@ -56,7 +56,7 @@ def test_toxicity_on_odd_rows(spark, odd):
 
 def test_backing_off_shares_counts(spark):
     rows = spark.createDataFrame([(1, f"the gruntish{i} one gruntled{i}") for i in range(60)] + [(0, f"the pleasant{i} one quietly{i}") for i in range(60)], "toxic int, text string")
-    model = toxicity.fit_counts(rows, 1000)
+    model = toxicity.fit_counts(rows)
     import pyarrow as pa
 
     block = next(toxicity.textblocks.blocks(pa.array(["the gruntishness pleasantry"]), toxicity.LOOSE))
@@ -64,6 +64,53 @@ def test_backing_off_shares_counts(spark):
     assert r[1] > 0.5 > -0.5 > r[2]  # words never seen, told by how they begin
 
 
+def test_models_against_kneser_ney_by_hand(spark):
+    """Each order's probabilities, from counts of distinct entries above, one at a time."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    pool = ["".join(rng.choice(list("abc"), rng.integers(2, 9))) for _ in range(40)]
+    rows = [(int(c), " ".join(rng.choice(pool[: 30 + 10 * c], 25))) for c in (0, 1) for _ in range(30)]
+    model = toxicity.fit_counts(spark.createDataFrame(rows, "toxic int, text string"))
+    orders = {"w": lambda w: w, "p6": lambda w: w[:6], "p4": lambda w: w[:4], "p3": lambda w: w[:3]}
+    pairs = {c: {(a, b) for t, text in rows if t == c for a, b in zip(["", *text.split()], text.split(), strict=False)} for c in (0, 1)}
+    level = {c: {w: sum(b == w for _, b in pairs[c]) for w in {b for _, b in pairs[c]}} for c in (0, 1)}
+    counts = {"w": level}
+    for above, name in (("w", "p6"), ("p6", "p4"), ("p4", "p3")):
+        counts[name] = {c: {} for c in (0, 1)}
+        for c in (0, 1):
+            for w in counts[above][c]:
+                k = orders[name](w)
+                counts[name][c][k] = counts[name][c].get(k, 0) + 1
+    total = {n: [max(sum(counts[n][c].values()), 1) for c in (0, 1)] for n in counts}
+    rest = {n: [toxicity.DISCOUNT * len(counts[n][c]) / total[n][c] for c in (0, 1)] for n in counts}
+    both = lambda n, k: sum(counts[n][c].get(k, 0) for c in (0, 1))
+    kept = {n: {k for c in (0, 1) for k in counts[n][c] if both(n, k) >= toxicity.SEEN[n]} for n in counts}
+
+    def p(name, k, c):
+        if name == "p3":
+            lower = both("p3", k) / sum(both("p3", x) for x in kept["p3"])
+        else:
+            down = {"w": "p6", "p6": "p4", "p4": "p3"}[name]
+            parent = orders[down](k)
+            lower = p(down, parent, c) * both(name, k) / max(both(down, parent), both(name, k)) if parent in kept[down] else 1e-9
+        return max(counts[name][c].get(k, 0) - toxicity.DISCOUNT, 0) / total[name][c] + rest[name][c] * lower
+
+    block = next(toxicity.textblocks.blocks(pa.array([" ".join(pool)]), toxicity.LOOSE))
+    found, hit = model.words.find(toxicity.expressions(block)["w"])
+    assert {w for w, h in zip(pool, hit, strict=True) if h} == kept["w"] != set()
+    for w, h, i in zip(pool, hit, found, strict=True):
+        if h:
+            assert abs(model.words.values[i] - np.log(p("w", w, 1) / p("w", w, 0))) < 1e-9
+
+
+def test_clashing_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i in range(40) for k in ((0, 1) if i % 2 else (1, 0, None, 7))], "doc_id long, toxic int")
+    one = [sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs, labels.orderBy(F.rand(k))).collect()) for k in (1, 2)]
+    assert one[0] == one[1]
+
+
 # Licences.
 
 
