@@ -24,6 +24,8 @@ from ridgeline.session import cut
 
 #: Values of the vectors in a block, queries in one, and lists that set a query's bound.
 BLOCK_VALUES, ASKED, LEAD = 1 << 18, 512, 8
+#: Queries whose lists one task finds.
+WALKS = 128
 
 
 @dataclass
@@ -126,7 +128,13 @@ def build(sample: np.ndarray, lists: int, recall: float, closure: float, copies:
     return index
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring the largest component near one: cosines stay what they are, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -144,9 +152,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, id_col: str =
     come back.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, on either
-    side, nor do those of another length than the commonest (the longest of equally common). Rows
-    that repeat an id and vector count once; a null id takes no part. An empty table gives no rows.
-    Other columns are not looked at.
+    side; vectors of different lengths are no neighbours, so each length that queries have is a
+    search of its own. Rows that repeat an id and vector count once; a null id takes no part. An
+    empty table gives no rows. Other columns are not looked at.
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
@@ -161,16 +169,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, id_col: str =
         return df.where(fine & F.exists("v", lambda x: x != 0))
 
     whole, asked = clean(vectors), clean(queries)
-    common = whole.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if common is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    dim = common.dim
+    out = spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    for (dim,) in asked.select(F.size("v")).distinct().collect():  # lengths, as a rule one
+        of_length = [df.where(F.size("v") == dim) for df in (whole, asked)]
+        out = out.union(_nearest(*of_length, dim, kind, vector, id_col, top, sample, per_list, most_lists, recall, closure, copies))
+    return out
+
+
+def _nearest(whole: DataFrame, asked: DataFrame, dim: int, kind: str, vector: str, id_col: str, top: int, sample: int, per_list: int, most_lists: int, recall: float, closure: float, copies: int) -> DataFrame:
+    """nearest() among vectors of one length."""
+    spark = whole.sparkSession
     of = Window.partitionBy("v").orderBy("id")
-    rows = whole.where(F.size("v") == dim).distinct().withColumn("n", F.row_number().over(of)).where(F.col("n") <= top + 1)
+    rows = whole.distinct().withColumn("n", F.row_number().over(of)).where(F.col("n") <= top + 1)
     rows = cut(rows.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # at most top + 1 ids
-    asked = cut(asked.where(F.size("v") == dim).distinct())
+    asked = cut(asked.distinct())
     goals = cut(asked.select("v").distinct().withColumn("q", F.monotonically_increasing_id()))
-    total = rows.count()
+    total, walks = rows.count(), 1 + goals.count() // WALKS
+    if not total:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
     took = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(sample).select("v").toArrow()
     lists = max(1, min(most_lists, total // per_list))
     index = build(_unit(_matrix(took.column(0), dim)), lists, recall, closure, copies, top)
@@ -191,14 +207,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), pa.array(place.astype(np.int32)), batch.column(1).take(pa.array(np.repeat(np.arange(len(found)), sizes)))], names=["list", "place", "q"])
 
     placed = cut(rows.mapInArrow(place, f"list int, v {vector}, ids array<{kind}>"))
-    read = cut(goals.mapInArrow(walk, "list int, place int, q long"))
+    read = cut(goals.repartition(walks, "q").mapInArrow(walk, "list int, place int, q long"))
     block = max(256, BLOCK_VALUES // dim)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     def meet(base: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(asks):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
-        x, y = np.stack(base.v.to_numpy()).astype(np.float64), np.stack(asks.v.to_numpy()).astype(np.float64)
+        x, y = (_scaled(np.stack(df.v.to_numpy()).astype(np.float64)) for df in (base, asks))
         k = min(top + 3, len(x))
         best = np.argpartition(-(_unit(y) @ _unit(x).T), k - 1, axis=1)[:, :k]
         flat = best.ravel()

@@ -257,7 +257,21 @@ def test_neighbours_of_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("q", F.lit(2))
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 50, 1.0), (0, 4, 7, 0.0), (50, 1, 0, 1.0), (50, 2, 2, 1.0), (50, 3, 3, 1.0), (50, 4, 7, 0.0)]
-    assert ann.nearest(df.limit(0), df).count() == 0
+    assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
+
+
+def test_neighbours_of_other_lengths_and_sizes(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4 if i % 3 else 2) * 10.0 ** rng.choice([-200, -160, 0, 5, 160, 200])).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    want = brute(scaled, 5)
+    assert sorted(got) == list(range(0, 300, 50))
+    for q, found in got.items():
+        assert [i for i, _ in found] == [i for i, _ in want[q]] and np.allclose([x for _, x in found], [x for _, x in want[q]], atol=1e-12)
 
 
 # Lines.
