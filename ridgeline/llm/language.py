@@ -147,15 +147,16 @@ def priors(told: DataFrame, n: int) -> DataFrame:
     return hosts.select("host", "suffix", F.transform("_prior", lambda p: F.log(p)).alias("prior"))
 
 
-def identify(rows: DataFrame, model: Model, text_col: str, host: Column, suffix: Column, declared: Column, least: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def identify(rows: DataFrame, model: Model, text_col: str, host: Column, suffix: Column, declared: Column, least: float = 0.5, keep: list[str] | None = None, once: bool | None = None) -> DataFrame:
     """Columns keep of rows (all of them), with language, confidence, accepted.
 
     host, suffix and declared are expressions over rows; null where there is no such evidence. A
     row is accepted if a language has a posterior of `least` or more. A null or empty text, or one
     without letters, is `und` with confidence 0 and not accepted, whatever the other evidence says.
     Equal rows get equal results. An empty table gives no rows. Columns may have any names; those
-    named like the three new ones are replaced. Texts are not shuffled. If keep leaves the text
-    out, each is scored once and its few numbers are kept; else once for the counts and once more.
+    named like the three new ones are replaced. Texts are not shuffled. once: each text is scored once
+    and what keep names is written to the checkpoint folder with its few numbers, as is meant where
+    keep leaves the text out; else a text is scored for the counts and once more.
     """
     n, names, wanted = len(model.languages), F.array(*[F.lit(x) for x in model.languages]), rows.columns if keep is None else keep
     primary = F.lower(F.regexp_extract(F.trim(declared), "^([A-Za-z]+)", 1))
@@ -163,7 +164,7 @@ def identify(rows: DataFrame, model: Model, text_col: str, host: Column, suffix:
     row = F.struct(*(F.col(f"`{c}`") for c in wanted)).alias("row")
     evidence = text_evidence(rows.sparkSession, F.col(text_col), model)
     rows = rows.select(row, F.coalesce(F.lower(host), F.lit("")).alias("host"), F.coalesce(F.lower(suffix), F.lit("")).alias("suffix"), said.alias("declared"), evidence.alias("text"))
-    if text_col not in wanted:
+    if once if once is not None else text_col not in wanted:
         rows = cut(rows)
     told = rows.where("text is not null").select("host", "suffix", "declared", _best(F.col("text")).cast("int").alias("said"))
     told = cut(told.groupBy("host", "suffix", "declared", "said").agg(F.count("*").alias("n")))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ridgeline.llm import textblocks
 from ridgeline.llm.textblocks import U
-from ridgeline.llm.tuning import small_batches
+from ridgeline.llm.tuning import release, small_batches
 from ridgeline.session import cut
 
 
@@ -173,6 +173,7 @@ def _held(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
                     [batch.column(0).slice(block.first, n), batch.column(1).slice(block.first, n), lists(bounds, textblocks.signed(h)), lists(bounds, w.astype(np.int32)), lists(np.searchsorted(owner, np.arange(n + 1)), textblocks.signed(found))],
                     names=["id", "hash", "h", "w", "keys"],
                 )
+        release()
 
     own = F.coalesce(F.col(text_col), F.lit(""))
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("hash", T.LongType())]

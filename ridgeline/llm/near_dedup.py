@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ridgeline.llm import setsketch, textblocks
 from ridgeline.llm.components import components
-from ridgeline.llm.tuning import small_batches
+from ridgeline.llm.tuning import release, small_batches
 from ridgeline.session import cut
 
 #: Bytes of sets on either side of a block that one task compares in full.
@@ -62,6 +62,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, m: int) ->
                     ],
                     names=["id", "node", "n", "sketch"],
                 )
+        release()
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
@@ -106,6 +107,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, t
                     [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["node", "n", "shingles"],
                 )
+        release()
 
     ids = classes.join(wanted, "node").select("id")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.tuning import small_batches
+from ridgeline.llm.tuning import release, small_batches
 
 #: Parts of texts whose ids a process keeps, beside those of one batch.
 MEMO = 1_200_000
@@ -226,9 +226,10 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 20
                 packer.add(key, np.append(own, np.uint32(end_id)).astype("<u4"))
             yield from flush(packer)
         packer.deal()
+        yield from flush(packer)
         if not keep:
             encode.memo = {}
-        yield from flush(packer)
+            release()
 
     def flush(packer: Packer) -> Iterator[pa.RecordBatch]:
         rows, packer.rows = packer.rows, []

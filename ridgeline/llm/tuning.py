@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Rows of an Arrow batch at most: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release() -> None:
+    """Gives memory that a task needs no more back to the system: Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
