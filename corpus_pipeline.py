@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, line dedup, near dedup, mixing to target weights, packing.
 
 Each stage takes the documents that the one before kept, written as Parquet and read again, and
-returns documents with the same columns; the last returns packed pieces.
+returns documents with the same columns; the last returns packed pieces. A null text is one without
+words: the first stage rejects it, as it rejects empty texts. Rows that repeat an id and text are
+told apart nowhere: a stage keeps or drops them alike, and the mix takes each. A null id comes
+first where order counts. Further columns are carried along, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,26 +26,39 @@ from ridgeline.session import checkpoint_dir
 ORACLE_SQL = None
 
 
+def _whole(docs: DataFrame):
+    """A row of documents as one column, so that no name in it meets those of an operator."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def _columns(docs: DataFrame, new: dict | None = None) -> list:
+    """The columns of documents from such a row, some of them new."""
+    return [(new or {}).get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known from the text and the habits of their source."""
     model = language.fit(docs, "lang", "text", "doc_id")
     nothing = F.lit(None).cast("string")
-    told = language.identify(docs, model, "text", F.concat(F.lit("source:"), F.col("source")), nothing, nothing)
-    return told.where("accepted").select(docs.columns)
+    rows = docs.select(_whole(docs), "text", F.concat(F.lit("source:"), F.col("source")).alias("host"))
+    told = language.identify(rows, model, "text", F.col("host"), nothing, nothing, keep=["row"], once=False)
+    return told.where("accepted").select(_columns(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; those of which nothing is left go."""
-    out = line_dedup(docs)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    out = line_dedup(docs.select("doc_id", "text", rest))
     changed = F.col("lines_deleted") > 0
     out = out.where(~changed | (F.length(F.trim(F.col("text"))) > 0))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return out.select(_columns(docs, {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates. Runs of five words, similarity of 0.8."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_id"]), "left_semi").select(docs.columns)
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(_whole(docs))
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
