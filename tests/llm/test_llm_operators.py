@@ -595,7 +595,7 @@ def test_classes_against_occurrence_vectors(spark):
         rows.append((i, f"http://h{i % 3}.org/", f"<html><body>{''.join(parts)}</body></html>" if i % 7 else rows[i - 3][2] if i > 3 else "<p>x"))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     host = F.regexp_extract("url", "//([^/]+)", 1)
-    got = {r.host: (set(r.always), set(r.mostly)) for r in pages.templates(pages._tokens(df.select("html", host.alias("host")))).collect()}
+    got = {r.host: (set(r.always), set(r.mostly)) for r in pages.templates(df.select("html", host.alias("host"))).collect()}
     for h in range(3):
         own = [pages.Reader(x).tokens for x in dict.fromkeys(html for i, _, html in rows if i % 3 == h)]
         vectors = {}
