@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from ridgeline import fixtures
 from ridgeline.queries import FOUND, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(FOUND)
+    return FOUND | fixtures.FOUND
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | fixtures.oracle_sql()

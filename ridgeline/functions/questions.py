@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.config import lines
+from ridgeline.operators.topology import pieces
 
 # Words that tell what is asked.
 COMPLEX = ("为什么", "是否", "分析", "诊断", "经过", "影响", "如果", "假设", "比较", "why", "analyze", "diagnose", "impact", "what if", "compare")
@@ -64,10 +65,7 @@ def relevant_devices(questions: DataFrame, devices: DataFrame, key: str = "quest
     have, so no question meets every device.
     """
     names = devices.select(F.col("id").alias("device_id"), F.explode(F.array(F.lower("id"), F.lower("hostname"))).alias("name")).where("name <> ''").distinct()
-    lengths = sorted(r[0] for r in names.select(F.length("name")).distinct().collect())  # as many as there are lengths of names
-    low = F.lower(F.col(text))
-    pieces = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(0)), F.lit(1)), lambda i, n=n: F.substring(low, i, F.lit(n))) for n in lengths))) if lengths else F.array().cast("array<string>")
-    asked = questions.select(key, F.explode(F.array_distinct(pieces)).alias("name"))
+    asked = questions.select(key, F.explode(pieces(F.lower(F.col(text)), names, "name")).alias("name"))
     found = asked.join(names, "name").select(key, "device_id").distinct()
     only = devices.agg(F.count("*").alias("n"), F.min("id").alias("device_id")).where("n = 1").select("device_id")
     rest = questions.select(key).join(found.select(key), key, "left_anti").join(F.broadcast(only))  # a row at most

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions.classify import command_type
 from ridgeline.functions.network import dotted_mask
 from ridgeline.plans.program import let
 
@@ -58,19 +59,24 @@ def interfaces(df: DataFrame, text: str, vendor: str, keys: list[str]) -> DataFr
     return rows.select(*keys, name.alias("name"), interface_kind(name).alias("type"), first_match(F.col("b"), address, 1).alias("ip_address"), first_match(F.col("b"), address, 2).alias("mask"), first_match(F.col("b"), r"^\s+description (.+)$").alias("description"), F.when(F.exists("b", lambda x: x.rlike(r"^\s+shutdown$")), "down").otherwise("up").alias("status"))
 
 
+#: A statement of brace-nested text and what ends it, and what in it is a comment; quoted parts are kept whole.
+STATEMENT = r'(?s)(?:"[^"]*+"|/\*.*?\*/|#[^\n]*+|[^{};"#/]++|/)*+[{};]'
+COMMENT = r'(?s)("[^"]*+")|/\*.*?\*/|#[^\n]*+'
+
+
 def nested(text: Column) -> Column:
     """path and statement of every leaf of brace-nested text, in order: a fold with the stack of open names (CFG-03)."""
     kind = "struct<stack:array<string>,rows:array<struct<path:string,statement:string>>>"
 
-    def step(acc: Column, line: Column) -> Column:
-        x = F.regexp_replace(line, r"^\s+|\s+$|\s*#.*$", "")
-        opened, leaf = F.regexp_extract(x, r"^(.*\S)\s*\{$", 1), F.regexp_extract(x, r"^(.*);$", 1)
-        stack = F.when(opened != "", F.concat(acc["stack"], F.array(opened))).when(x.startswith("}"), F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))).otherwise(acc["stack"])
-        row = F.struct(F.array_join(acc["stack"], " / ").alias("path"), leaf.alias("statement"))
-        return F.struct(stack.alias("stack"), F.when(leaf != "", F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows")).cast(kind)
+    def step(acc: Column, part: Column) -> Column:
+        said = F.regexp_replace(F.regexp_replace(F.regexp_replace(part, COMMENT, "$1"), r"\s+", " "), r"^ | ?[{};]$", "")
+        end, stack = F.right(part, F.lit(1)), acc["stack"]
+        after = F.when(end == "{", F.concat(stack, F.array(said))).when(end == "}", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
+        row = F.struct(F.array_join(stack, " / ").alias("path"), said.alias("statement"))
+        return F.struct(after.alias("stack"), F.when((end == ";") & (said != ""), F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows")).cast(kind)
 
     start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<path:string,statement:string>>").alias("rows")).cast(kind)
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n", -1), start, step, lambda acc: acc["rows"])
+    return F.aggregate(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STATEMENT), F.lit(0)), start, step, lambda acc: acc["rows"])
 
 
 def nested_interfaces(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -133,7 +139,7 @@ def bgp_peers(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return out.select(*keys, "local_as", F.when(F.col("af").startswith("vrf:"), "ipv4-unicast").otherwise(F.col("af")).alias("address_family"), F.when(F.col("af").startswith("vrf:"), F.substring(F.col("af"), 5, 1 << 30)).otherwise("").alias("vrf"), F.col("peer").alias("peer_ip"), F.coalesce("peer_group", F.lit("")).alias("peer_group"), *(value(c).alias(c) for c in inherited))
 
 
-#: What a configuration that says so is expected to be asked for: pattern, command, category, priority (CFG-12).
+# What a configuration that says so is expected to be asked for: pattern, command, category, priority (CFG-12).
 EXPECTED = (("", "display version", "system", 1), ("", "display interface brief", "interface", 1), ("", "display ip routing-table", "routing", 2), (r"(?m)^ospf \d+", "display ospf peer", "ospf", 2), (r"(?m)^bgp \d+", "display bgp peer", "bgp", 2), (r"(?m)^isis\b", "display isis peer", "isis", 2), (r"(?m)^\s*mpls ldp", "display mpls ldp session", "mpls", 3), (r"(?m)^acl ", "display acl all", "acl", 3))
 
 
@@ -143,3 +149,15 @@ def expected_commands(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     vpns = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^ip vpn-instance (\S+)"), F.lit(1)))
     extra = F.transform(vpns, lambda v: F.struct(F.concat(F.lit("display ip routing-table vpn-instance "), v).alias("command"), F.lit("routing").alias("category"), F.lit(3).alias("priority"), F.lit(True).alias("hit")))
     return df.select(*keys, F.explode(F.filter(F.concat(rows, extra), lambda r: r["hit"])).alias("r")).select(*keys, "r.command", "r.category", "r.priority")
+
+
+def coverage(df: DataFrame, text: str, vendor: str, keys: list[str]) -> DataFrame:
+    """keys, vendor, command, category, priority, cmd_type, covered: whether what a configuration is expected to be asked for is understood (QRY-08, JOIN-12)."""
+    found = expected_commands(df, text, [*keys, vendor])
+    kind = command_type(F.col(vendor), F.col("command"))
+    return found.select("*", kind.alias("cmd_type")).withColumn("covered", F.col("cmd_type") != "unknown")
+
+
+def coverage_share(items: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total, covered, percent (AGG-09)."""
+    return items.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("covered").alias("covered")).withColumn("percent", 100.0 * F.col("covered") / F.col("total"))

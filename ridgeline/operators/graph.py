@@ -55,6 +55,28 @@ def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
+def neighbours(edges: DataFrame, ids: DataFrame, kind: str | None = None) -> DataFrame:
+    """id, neighbour, type: what the edges of ids (id) lead to, of one type or all (GRA-02)."""
+    own = edges.where(F.col("type") == kind) if kind else edges
+    return own.join(ids.select("id"), own.src == F.col("id"), "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "type").distinct()
+
+
+def between(edges: DataFrame, a, b) -> DataFrame:
+    """Edges from a to b (GRA-02)."""
+    return edges.where((F.col("src") == F.lit(a)) & (F.col("dst") == F.lit(b)))
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what (node or edge), type, n (GRA-02)."""
+    return nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "type", "n").union(edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge"), "type", "n"))
+
+
+def distances_over(nodes: DataFrame, edges: DataFrame, start: DataFrame, kind: str, most: int = 1_000) -> DataFrame:
+    """distances() over nodes of one type alone; a start may be of any type (GRA-04)."""
+    allowed = nodes.where(F.col("type") == kind).select("id")
+    return distances(edges.join(allowed, edges.dst == allowed.id, "left_semi"), start, most)
+
+
 def distances(edges: DataFrame, start: DataFrame, most: int = 1_000) -> DataFrame:
     """origin, node, hops: the fewest edges (src, dst) from each origin to each node it reaches (GRA-03). start: origin, node."""
     out = edges.select("src", "dst").distinct()
@@ -109,17 +131,47 @@ def simple_paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return found
 
 
-def on_cycles(edges: DataFrame, most: int = 1_000) -> DataFrame:
-    """node: nodes that a walk of one edge or more leads back to (GRA-06). Ends without a way in or out are taken off first."""
-    left = cut(edges.select("src", "dst").distinct())
-    while True:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those whose ends have no way in or no way out."""
+    left, n = edges, edges.count()
+    while n:
         ends = left.select(F.col("src").alias("n")).distinct().join(left.select(F.col("dst").alias("n")).distinct(), "n", "left_semi")
-        less = cut(left.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
-        if less.count() == left.count():
+        left = cut(left.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
+        n, before = left.count(), n
+        if n == before:
             break
-        left = less
-    reach = distances(left, left.select(F.col("src").alias("origin"), F.col("dst").alias("node")), most)
-    return reach.where("origin = node").select("node").distinct()
+    return left
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """node: nodes that a walk of one edge or more leads back to (GRA-06).
+
+    By colouring: a node takes the greatest node that reaches it; the nodes of a colour that reach
+    back to its own node are strongly connected and on cycles, if an edge is between them. They are
+    taken off and the rest is coloured anew. A round is a join over the edges, whatever their number.
+    """
+    left, found = _trimmed(cut(edges.select("src", "dst").distinct())), None
+    while not left.isEmpty():
+        colour = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            step = colour.join(left, colour.node == left.src).select(F.col("dst").alias("node"), "colour")
+            more = cut(colour.union(step).groupBy("node").agg(F.max("colour").alias("colour")))
+            if more.join(colour, ["node", "colour"], "left_anti").isEmpty():
+                break
+            colour = more
+        at = lambda x: colour.select(F.col("node").alias(x), F.col("colour").alias(f"c{x}"))  # noqa: E731, B023
+        within = cut(left.join(at("src"), "src").join(at("dst"), "dst").where("csrc = cdst").select("src", "dst"))
+        back = cut(colour.where("node = colour").select("node"))
+        front = back
+        while not front.isEmpty():
+            front = cut(within.join(front, within.dst == front.node).select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
+            back = cut(back.union(front))
+        inner = within.join(back.withColumnRenamed("node", "src"), "src", "left_semi").join(back.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        hit = cut(inner.select(F.col("src").alias("node")).union(inner.select("dst")).distinct())
+        found = hit if found is None else cut(found.union(hit))
+        rest = left.join(back.withColumnRenamed("node", "src"), "src", "left_anti").join(back.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _trimmed(cut(rest.select("src", "dst")))
+    return found if found is not None else left.select(F.col("src").alias("node"))
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:

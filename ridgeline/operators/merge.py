@@ -86,7 +86,25 @@ def cascade(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def affected(rows: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose key was changed (JOIN-11)."""
+    return rows.join(changed.select(*keys).distinct(), keys, "left_semi")
+
+
 def transition(rows: DataFrame, status: str, allowed: dict[str, tuple[str, ...]], to: str, where: Column) -> DataFrame:
     """rows with the status moved where asked and allowed (UPS-15)."""
     may = [s for s, targets in allowed.items() if to in targets]
     return rows.withColumn(status, F.when(where & F.col(status).isin(*may), F.lit(to)).otherwise(F.col(status)))
+
+
+def insert_unique(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """stored with the batch behind it; a key that would be there twice aborts the whole insert (UPS-06)."""
+    if not duplicates(stored.select(*keys).union(batch.select(*keys)), keys).isEmpty():
+        raise ValueError(f"rows repeat {', '.join(keys)}")
+    return stored.unionByName(batch)
+
+
+def touched(stored: DataFrame, changed: DataFrame, keys: list[str], updated: str, at: Column) -> DataFrame:
+    """stored with the time of change set on the rows whose key was changed (UPS-14)."""
+    hit = changed.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    return stored.join(hit, keys, "left").withColumn(updated, F.when(F.col("_hit"), at).otherwise(F.col(updated))).select(stored.columns)

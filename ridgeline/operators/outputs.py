@@ -96,11 +96,18 @@ def huawei_labels(output: Column) -> Column:
 
 
 def juniper_routes(output: Column) -> Column:
-    """prefix, mask_len, protocol, preference, next_hop, outgoing_interface: a head line and the next hop below it, the last of which counts (PAR-15)."""
-    rows = compile_program("REPEAT_FOR ^(?P<prefix>\\d+\\.\\d+\\.\\d+\\.\\d+)/(?P<len>\\d+)\\s+\\*?\\[(?P<protocol>[A-Za-z-]+)/(?P<pref>\\d+)\\]\nSKIP_BLANK\nFILTER (to|via) \nREGEX to (?P<hop>\\S+)( via (?P<out>\\S+))?", output)
-    kept = F.filter(rows.array, lambda r: r["hop"].isNotNull())
-    every = F.transform(kept, lambda r: _struct(prefix=r["prefix"], mask_len=number(r["len"]), protocol=F.lower(r["protocol"]), preference=number(r["pref"]), next_hop=r["hop"], outgoing_interface=r["out"]))
-    return F.filter(every, lambda r, i: F.coalesce(F.get(every, i + 1)["prefix"] != r["prefix"], F.lit(True)))
+    """vrf, prefix, mask_len, protocol, preference, metric, next_hop, outgoing_interface: a head line, and the last next hop below it (PAR-15)."""
+    head = r"^(\d+\.\d+\.\d+\.\d+)/(\d+)\s+\*?\[([^/]+)/(\d+)\]"
+    hop = r"to\s+(\d+\.\d+\.\d+\.\d+)\s+via\s+(\S+)"
+    ls = F.filter(F.split(F.coalesce(output, F.lit("")), "\n", -1), lambda x: x.rlike(head) | x.rlike(hop))
+    heads = F.filter(F.transform(ls, lambda x, i: F.when(x.rlike(head), i)), lambda i: i.isNotNull())
+
+    def row(x: Column, last: Column) -> Column:
+        g = lambda i: F.regexp_extract(x, head, i)
+        return _struct(vrf=F.lit("default"), prefix=g(1), mask_len=number(g(2)), protocol=F.lower(g(3)), preference=number(g(4)), metric=number(F.regexp_extract(x, r"metric (\d+)", 1)), next_hop=F.regexp_extract(last, hop, 1), outgoing_interface=F.regexp_extract(last, hop, 2))
+
+    last = lambda s, k: F.get(s["l"], F.coalesce(F.get(s["h"], k + 1), F.size(s["l"])) - 1)  # noqa: E731  # the line before the next head, which may be the head itself
+    return let(F.struct(ls.alias("l"), heads.alias("h")), lambda s: F.transform(s["h"], lambda a, k: row(F.get(s["l"], a), last(s, k))))
 
 
 def cisco_labels(output: Column) -> Column:

@@ -92,3 +92,31 @@ def sequence_difference(pairs: DataFrame, keys: list[str], old: str, new: str) -
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
     return pairs.select(*keys, F.posexplode(script(F.col(old), F.col(new))).alias("pos", "s")).select(*keys, "pos", "s.*")
+
+
+def dashboard(devices: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """what, name, n: devices by vendor and interfaces by status, over all rows (AGG-12)."""
+    named = lambda df, what, c: df.groupBy(F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")).alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    return named(devices, "vendor", "vendor").union(named(interfaces, "status", "status"))
+
+
+def supported_types(rules: DataFrame) -> DataFrame:
+    """vendor, types: how many kinds of output are understood (AGG-19). rules: vendor, kind."""
+    return rules.groupBy("vendor").agg(F.count_distinct("kind").alias("types"))
+
+
+def compare_fields(fields: DataFrame, vendors: list[str]) -> DataFrame:
+    """field and a column for each vendor, with how that one describes it or the empty string (QRY-11). fields: vendor, field, description."""
+    return fields.groupBy("field").pivot("vendor", vendors).agg(F.first("description")).na.fill("")
+
+
+def inventory(devices: DataFrame, interfaces: DataFrame, cut_off: DataFrame) -> DataFrame:
+    """line_no, line of a Markdown report: numbers, a table of devices, and those that nothing can replace (SNK-04).
+
+    devices: id, hostname, vendor. cut_off: id. Each device is one row of text; nothing is collected.
+    """
+    said = lambda part, line: devices.sparkSession.createDataFrame([(part, line)], "part int, line string")
+    number = lambda df, part, name: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), F.concat(F.lit(f"- {name}: "), "n").alias("line"))
+    head = said(0, "# Inventory").union(number(devices, 1, "devices")).union(number(interfaces, 2, "interfaces")).union(said(3, "| id | host | vendor |"))
+    rows = devices.select(F.lit(4).alias("part"), F.concat(F.lit("| "), F.concat_ws(" | ", "id", "hostname", "vendor"), F.lit(" |")).alias("line"))
+    return head.union(rows).union(cut_off.select(F.lit(5), F.concat(F.lit("- single point: "), "id"))).orderBy("part", "line")

@@ -124,6 +124,69 @@ def vrfs(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "vrf_name").agg(*(F.coalesce(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))), F.lit("")).alias(c) for c in said))
 
 
+def indented_vrfs(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """keys, vrf_name, rd, import_rt, export_rt (joined by blanks), import_policy, export_policy, address_family of `vrf` blocks (CFG-07).
+
+    Blocks of one name, at the top or in `router bgp`, are merged: those at the top come first, then
+    the first that says a thing counts; lists are taken whole from one block.
+    """
+    rows = df.select(*keys, F.posexplode(outline(F.col(text))).alias("pos", "r")).select(*keys, "pos", F.concat("r.path", F.array("r.statement")).alias("p"), "r.statement")
+    deep = F.when(F.get("p", F.lit(0)).rlike(r"^router bgp \d+"), 1).otherwise(0)
+    head = F.regexp_extract(F.coalesce(F.get("p", deep), F.lit("")), r"^vrf\s+(\S+)", 1)
+    rows = rows.withColumns({"deep": deep, "vrf_name": head}).where("vrf_name <> ''")
+    # A block begins where its own line stands; lines below it follow.
+    begins = F.when(F.size("p") == F.col("deep") + 1, F.col("pos"))
+    starts = rows.where(begins.isNotNull()).groupBy(*keys, "vrf_name").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
+    rows = rows.join(starts, [*keys, "vrf_name"]).withColumn("block", F.array_max(F.filter("starts", lambda x: x <= F.col("pos"))))
+    under = lambda p: F.exists("p", lambda x: x.rlike(p))
+    target = F.nullif(F.regexp_extract("statement", r"^(\d+:\d+)$", 1), F.lit(""))
+    joined = lambda way: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(under(rf"(?i)^{way}\s+route-target") & target.isNotNull(), F.struct("pos", target.alias("t"))))), lambda x: x["t"]), " "), F.lit("")).alias(f"{way}_rt")
+    said = rows.groupBy(*keys, "vrf_name", "deep", "block").agg(_last(r"(?i)^rd\s+(\S+)", "rd"), joined("import"), joined("export"), _last(r"(?i)^import\s+route-policy\s+(\S+)", "import_policy"), _last(r"(?i)^export\s+route-policy\s+(\S+)", "export_policy"), _last(r"(?i)^address-family\s+(.+)$", "address_family"))
+    place = F.struct("deep", "block")
+    return said.groupBy(*keys, "vrf_name").agg(*(F.coalesce(F.min_by(c, F.when(F.col(c).isNotNull(), place)), F.lit("")).alias(c) for c in ("rd", "import_rt", "export_rt", "import_policy", "export_policy", "address_family")))
+
+
+# Conditions of a policy, and the names of what they match.
+CONDITIONS = (("community", r"(?i)community\s+(?:matches-any|matches-every)\s+(\([^)]+\)|\S+)"), ("extcommunity-soo", r"(?i)extcommunity\s+soo\s+(?:matches-any|matches-every)\s+(\([^)]+\)|\S+)"), ("destination-prefix-set", r"(?i)destination\s+in\s+(\([^)]+\)|\S+)"), ("next-hop", r"(?i)next-hop\s+in\s+(\S+)"))
+
+
+def indented_policy_nodes(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """keys, policy, sequence, action, match, apply of `route-policy NAME ... end-policy`: a node for each if, elseif and else (CFG-08).
+
+    Nodes are numbered by tens, or one 0 where nothing is conditional. match and apply are arrays of (type, value).
+    """
+    pair = "array<struct<type:string,value:string>>"
+    kind = f"struct<action:string,match:{pair},apply:{pair}>"
+    node = lambda match: F.struct(F.lit("").alias("action"), match.alias("match"), F.array().cast(pair).alias("apply")).cast(kind)
+    clause = lambda t, v: F.struct(t.alias("type"), F.trim(v).alias("value"))
+
+    def of_kind(x: Column, name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda v: clause(F.lit(name), v))
+
+    def conditions(x: Column) -> Column:
+        return F.flatten(F.array(*(of_kind(x, name, p) for name, p in CONDITIONS))).cast(pair)
+
+    def step(acc: Column, line: Column) -> Column:
+        x = F.trim(line)
+        test, other = F.regexp_extract(x, r"(?i)^(?:if|elseif)\s+(.+)\s+then$", 1), x.rlike("(?i)^else$")
+        opens = (test != "") | other
+        nodes = F.when(opens, F.concat(acc["nodes"], F.array(node(conditions(test))))).when(F.size(acc["nodes"]) == 0, F.array(node(F.array().cast(pair)))).otherwise(acc["nodes"])
+        sets = r"(?i)^set\s+(\S+)\s+(.+)$"
+        added = F.when(x.rlike(sets), clause(F.regexp_extract(x, sets, 1), F.regexp_extract(x, sets, 2))).when(x.rlike(r"(?i)^apply\s+\S"), clause(F.lit("apply"), F.regexp_extract(x, r"(?i)^apply\s+(\S+)", 1))).when(x.rlike(r"(?i)^prepend\s+\S"), clause(F.lit("prepend"), F.regexp_extract(x, r"(?i)^prepend\s+(.+)$", 1)))
+        act = F.when(x.rlike("(?i)^pass$"), "permit").when(x.rlike("(?i)^drop$"), "deny")
+        last = F.size(nodes) - 1
+        filled = F.transform(nodes, lambda n, i: F.when(i == last, F.struct(F.coalesce(act, n["action"]).alias("action"), n["match"].alias("match"), F.when(added.isNotNull(), F.concat(n["apply"], F.array(added))).otherwise(n["apply"]).alias("apply")).cast(kind)).otherwise(n))
+        blank = x.rlike(r"(?i)^(|endif|end-policy|!)$")
+        return F.struct((acc["ifs"] | opens).alias("ifs"), F.when(blank, acc["nodes"]).when(opens, nodes).otherwise(filled).alias("nodes"))
+
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?m)^route-policy[ \t]+\S[^\n]*(?:\n(?!end-policy)[^\n]*)*"), F.lit(0))
+    rows = df.select(*keys, F.explode(found).alias("b")).select(*keys, F.regexp_extract("b", r"^route-policy\s+(\S+)", 1).alias("policy"), F.split("b", "\n", -1).alias("l"))
+    start = F.struct(F.lit(False).alias("ifs"), F.array().cast(f"array<{kind}>").alias("nodes"))
+    rows = rows.select(*keys, "policy", F.aggregate(F.slice("l", F.lit(2), F.size("l")), start, step).alias("n"))
+    nodes = F.when(F.size("n.nodes") == 0, F.array(node(F.array().cast(pair)))).otherwise(F.col("n.nodes"))
+    return rows.select(*keys, "policy", "n.ifs", F.posexplode(nodes).alias("i", "n")).select(*keys, "policy", F.when(F.col("ifs"), (F.col("i") + 1) * 10).otherwise(0).alias("sequence"), "n.action", "n.match", "n.apply")
+
+
 def nested_vrfs(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """keys, vrf_name, rd, import_policy, export_policy of routing instances of type vrf (CFG-07)."""
     rows = _nested_rows(df, text, keys).where("path like 'routing-instances / %'").withColumn("vrf_name", F.split("path", " / ")[1])

@@ -18,27 +18,66 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _idf(n: float, df: float) -> float:
+    return max(1e-6, float(math.log((n - df + 0.5) / (df + 0.5)))) if n else 0.0
+
+
+def _weight(tf: Column, length: Column, average: float, idf: Column | float) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average or 1.0)))
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """key, score of the documents that hold every term (FTS-01, 02).
 
-    Only the query's terms are counted, per document, without exploding texts; corpus numbers are
-    one aggregate. So a search is a scan and a one-row join, whatever the corpus.
+    Only the query's terms are counted, in the text itself, and only where it contains them; corpus
+    numbers are one aggregate. So one search is two scans and no shuffle of texts; for many, use index().
     """
     terms = [t.lower() for t in terms]
-    tokens = docs.select(key, words(F.col(text)).alias("w"))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t)).cast("double")
-    counted = tokens.select(key, F.size("w").cast("double").alias("len"), *(count(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    whole_word = lambda t: F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(t)}(?![\p{{L}}\p{{N}}])")
+    count = lambda t: F.when(F.col("low").contains(t), F.regexp_count("low", whole_word(t))).otherwise(0).cast("double")
+    counted = docs.select(key, low.alias("low")).select(key, F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("len"), *(count(t).alias(f"t{i}") for i, t in enumerate(terms)))
     whole = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"t{i}") > 0).cast("double").alias(f"d{i}") for i in range(len(terms)))).first()
     score, held = F.lit(0.0), F.lit(True)
     for i in range(len(terms)):
-        n, df = whole["n"], whole[f"d{i}"]
-        idf = F.lit(max(1e-6, float(math.log((n - df + 0.5) / (df + 0.5)))) if n else 0.0)
         tf = F.col(f"t{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(whole["avg"] or 1.0)))
+        score = score + _weight(tf, F.col("len"), whole["avg"], F.lit(_idf(whole["n"], whole[f"d{i}"])))
         held = held & (tf > 0)
     return counted.where(held).select(key, score.alias("score"))
 
 
+def index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, key, tf, len, docs, avg: an inverted index of a corpus, to be written once, sorted by term, and searched often (FTS-03, JOIN-01).
+
+    Counts are summed before the shuffle, so a term that most documents hold is a row of each.
+    """
+    tokens = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    whole = tokens.agg(F.count("*").cast("double").alias("docs"), F.avg(F.size("w").cast("double")).alias("avg")).first()
+    held = tokens.select(key, F.size("w").cast("double").alias("len"), F.explode("w").alias("term")).groupBy("term", key, "len").agg(F.count("*").cast("double").alias("tf"))
+    return held.select("term", key, "tf", "len", F.lit(whole["docs"]).alias("docs"), F.lit(whole["avg"]).alias("avg"))
+
+
+def with_documents(old: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """An index with further documents (FTS-04): only theirs are read; the corpus numbers are made anew."""
+    new = index(docs, key, text).drop("docs", "avg")
+    both = old.drop("docs", "avg").unionByName(new)
+    fresh = docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(words(F.coalesce(F.col(text), F.lit("")))).cast("double")).alias("a")).first()
+    was = old.select("docs", "avg").first()
+    n, total = fresh.n + (was.docs if was else 0), fresh.n * (fresh.a or 0) + (was.docs * was.avg if was else 0)
+    return both.withColumns({"docs": F.lit(n), "avg": F.lit(total / n if n else 0.0)})
+
+
+def search_index(postings: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """key, score as bm25() has them: only the rows of the terms are read (JOIN-01)."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    own = postings.where(F.col("term").isin(terms))
+    frequency = own.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # a row for each term asked
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    tf, length = F.col("tf"), F.col("len")
+    scored = own.join(F.broadcast(frequency), "term").select(key, (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("avg")))).alias("s"))
+    return scored.groupBy(key).agg(F.sum("s").alias("score"), F.count("*").alias("n")).where(F.col("n") == len(terms)).select(key, "score")
+
+
 def query_test(text: Column, query: str) -> Column:
     """Whether a text meets a query of terms, "phrases", prefixes*, OR and NOT; terms that stand together must all be met."""
     padded = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
@@ -85,6 +124,15 @@ def merged(sources: list[DataFrame], k: int, order: list[str]) -> DataFrame:
     return out.orderBy(F.desc("score"), *order).limit(k)
 
 
+# What hits of sources without a score of their own count (VEC-04).
+SOURCE_SCORES = {"local": 0.5, "ima": 0.8}
+
+
+def scored(hits: DataFrame, source: str) -> DataFrame:
+    """hits with the source's fixed score, or their own (VEC-04)."""
+    return hits.withColumn("score", F.lit(SOURCE_SCORES[source])) if source in SOURCE_SCORES else hits
+
+
 def chunks(text: Column, mark: str = "\n## ", least: int = 50) -> Column:
     """The parts between headings, trimmed, of more than `least` characters (VEC-03)."""
     parts = F.transform(F.split(text, re.escape(mark).replace("\\\n", "\n"), -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.network import mask_length, network, subnet, to_long
+from ridgeline.functions.network import dotted_mask, mask_length, network, subnet, to_long
 
 
 def links_by_description(interfaces: DataFrame, devices: DataFrame) -> DataFrame:
-    """device_id, name, peer: interfaces whose description names another device (JOIN-04).
+    """device_id, name, peer: interfaces whose description contains the host name of another device, whatever the case (JOIN-04).
 
-    Descriptions are cut into words and joined on equality; names that are no whole word of a
-    description do not count, so no pair of tables is compared row by row.
+    A description's pieces of the lengths that host names have are joined on equality, so no pair of
+    tables is compared row by row.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("description"), F.lit(r"[a-z0-9][a-z0-9._-]*"), F.lit(0)))
-    said = interfaces.select("device_id", "name", F.explode(words).alias("word"))
-    named = devices.where("hostname <> ''").select(F.lower("hostname").alias("word"), F.col("id").alias("peer"))
-    return said.join(named, "word").where("peer <> device_id").select("device_id", "name", "peer").distinct()
+    named = devices.where("hostname <> ''").select(F.lower("hostname").alias("piece"), F.col("id").alias("peer"))
+    said = interfaces.select("device_id", "name", F.explode(pieces(F.lower("description"), named, "piece")).alias("piece"))
+    return said.join(named, "piece").where("peer <> device_id").select("device_id", "name", "peer").distinct()
+
+
+def pieces(text: Column, names: DataFrame, name: str) -> Column:
+    """The distinct pieces of a text that are as long as some name."""
+    lengths = sorted(r[0] for r in names.select(F.length(name)).distinct().collect() if r[0])  # as many as names have lengths
+    if not lengths:
+        return F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
 
 
 def links_by_subnet(interfaces: DataFrame) -> DataFrame:
@@ -119,3 +130,45 @@ def isolation_plan(devices: DataFrame, objects: DataFrame) -> DataFrame:
     every = fixed.unionByName(own)
     place = F.row_number().over(Window.partitionBy("device_id", "phase").orderBy("rank", "name"))
     return every.select("device_id", "phase", place.alias("step"), F.replace("text", F.lit("{name}"), F.col("name")).alias("command"))
+
+
+#: Steps of an upgrade for the device itself: collection, checks, the upgrade, its check, and what follows the recovery (QRY-06).
+UPGRADE = (
+    (0, "display version"), (1, "confirm that the target version is {version}"), (1, "confirm that flash: has room"), (1, "confirm that {file} is on the device"),
+    (4, "start {file} and reload"), (5, "confirm that display version says {version}"), (5, "confirm that no hardware alarm is there"), (7, "display version"),
+)
+
+
+def upgrade_plan(devices: DataFrame, objects: DataFrame, version: str, file: str) -> DataFrame:
+    """device_id, phase, step, command of eight phases: 0 collection, 1 checks, 2 protocols and 3 interfaces
+    out of service, 4 the upgrade, 5 its check, 6 all that was taken out back in reverse, 7 a last check (QRY-06).
+    """
+    fixed = devices.select(F.col("id").alias("device_id"), F.posexplode(F.array(*(F.struct(F.lit(p).alias("phase"), F.lit(c).alias("command")) for p, c in UPGRADE))).alias("at", "t"))
+    fixed = fixed.select("device_id", "t.phase", F.struct(F.lit(0).alias("x"), F.col("at").alias("y")).alias("place"), F.replace(F.replace("t.command", F.lit("{version}"), F.lit(version)), F.lit("{file}"), F.lit(file)).alias("command"))
+    out = isolation_plan(devices, objects).where("phase > 1")
+    undone = F.regexp_replace(F.regexp_replace(F.regexp_replace("command", "^shut ", "undo shut "), "^disable ", "enable "), "^raise cost of ", "restore cost of ")
+    place = lambda sign: F.struct((sign * F.col("phase")).alias("x"), (sign * F.col("step")).alias("y")).alias("place")
+    rows = fixed.union(out.select("device_id", F.when(F.col("phase") < 6, 2).otherwise(3), place(1), "command")).union(out.select("device_id", F.lit(6), place(-1), undone))
+    step = F.row_number().over(Window.partitionBy("device_id", "phase").orderBy("place"))  # the objects of one device
+    return rows.select("device_id", "phase", step.alias("step"), "command")
+
+
+def cutover_plan(cutovers: DataFrame, found: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """device_id, old, new, phase, command: what an interface has goes to another (QRY-06).
+
+    cutovers: device_id, vendor, old, new. found: device_id, name, peer, as of links(). The old
+    interface is looked up whatever the case; address, mask and description are copied; Cisco writes
+    masks with dots, the others as they are.
+    """
+    own = interfaces.select("device_id", F.lower("name").alias("_old"), "ip_address", "mask", "description")
+    peers = found.groupBy("device_id", F.lower("name").alias("_old")).agg(F.array_join(F.array_sort(F.collect_set("peer")), ",").alias("peers"))
+    rows = cutovers.withColumn("_old", F.lower("old")).join(own, ["device_id", "_old"], "left").join(peers, ["device_id", "_old"], "left").na.fill("", ["ip_address", "mask", "description", "peers"])
+    cisco = F.col("vendor") == "cisco"
+    mask = F.when(cisco, F.coalesce(dotted_mask(mask_length(F.col("mask"))), F.col("mask"))).otherwise(F.col("mask"))
+    address = F.when(F.col("ip_address") != "", F.concat(F.when(cisco, "ipv4 address ").otherwise("ip address "), "ip_address", F.lit(" "), mask))
+    steps = [
+        (0, F.concat(F.lit("display interface "), "old")), (1, F.concat(F.lit("confirm that "), "old", F.lit(" leads to "), F.when(F.col("peers") == "", "no known device").otherwise(F.col("peers")))), (2, F.concat(F.lit("interface "), "new")),
+        (2, F.when(F.col("description") != "", F.concat(F.lit("description "), "description"))), (2, address), (3, F.concat(F.lit("display interface "), "new")), (4, F.concat(F.lit("move traffic from "), "old", F.lit(" to "), "new")), (5, F.concat(F.lit("shut interface "), "old")), (6, F.concat(F.lit("display interface "), "new")),
+    ]
+    each = F.filter(F.array(*(F.struct(F.lit(p).alias("phase"), F.lit(i).alias("step"), c.alias("command")) for i, (p, c) in enumerate(steps))), lambda x: x["command"].isNotNull())
+    return rows.select("device_id", "old", "new", F.explode(each).alias("t")).select("device_id", "old", "new", "t.*")

@@ -11,6 +11,7 @@ from ridgeline.functions import classify, commands, network
 from ridgeline.operators import graph, merge, reports, search, sessions
 from ridgeline.plans import program
 from ridgeline.session import table
+from ridgeline.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -184,7 +185,7 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    return merge.latest(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
 @query("""
@@ -237,15 +238,16 @@ def config_history(spark: SparkSession, d: str) -> DataFrame:
     return merge.changed_texts(table(spark, d, "documents").select("source", "text", "doc_id"), "source", "text", "doc_id").select("source", "content_hash", "doc_id", "changed")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_expected(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return merge.cascade(table(spark, d, "customer"), urgent, ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def semi_reset(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45")
-    return table(spark, d, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return merge.affected(table(spark, d, "part"), lines, ["p_partkey"]).select("p_partkey", "p_name")
 
 
 @query("SELECT user_id, event_type, count(*) AS rows FROM events GROUP BY 1, 2 HAVING count(*) > 1")
@@ -375,19 +377,16 @@ def subnet_links(spark: SparkSession, d: str) -> DataFrame:
     return graph.links_by_subnet(_addresses(spark, d), "c_custkey", "ip", "mask").select("a", "b")
 
 
-EDGES_SQL = "edges AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity = 50 AND l_linenumber = 7)"
-SPARSE_SQL = EDGES_SQL + ", sparse AS (SELECT src, dst FROM edges WHERE (src * 7 + dst * 3) % 5 = 0)"
+# A root, regions, nations and suppliers, each tied both ways to what holds it.
+EDGES_SQL = """ties AS (SELECT 0::BIGINT AS a, 1 + r_regionkey::BIGINT AS b FROM region UNION ALL SELECT 1 + n_regionkey::BIGINT, 100 + n_nationkey::BIGINT FROM nation UNION ALL SELECT 100 + s_nationkey::BIGINT, 1000 + s_suppkey::BIGINT FROM supplier),
+edges AS (SELECT a AS src, b AS dst FROM ties UNION ALL SELECT b, a FROM ties)"""
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 7").select("l_suppkey", "l_orderkey")
-    rows = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).distinct()
-
-
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    """A graph of another shape: the edges whose ends meet a rule."""
-    return _edges(spark, d).where("(src * 7 + dst * 3) % 5 = 0")
+    tie = lambda df, a, base, b, other: df.select((F.lit(base) + F.col(a).cast("long")).alias("a"), (F.lit(other) + F.col(b).cast("long")).alias("b"))
+    region = table(spark, d, "region").withColumn("root", F.lit(0))
+    ties = tie(region, "root", 0, "r_regionkey", 1).union(tie(table(spark, d, "nation"), "n_regionkey", 1, "n_nationkey", 100)).union(tie(table(spark, d, "supplier"), "s_nationkey", 100, "s_suppkey", 1000))
+    return ties.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
 
 
 @query(f"WITH {EDGES_SQL} SELECT src, dst FROM edges")
@@ -406,34 +405,34 @@ def peer_undirected(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {SPARSE_SQL}, r AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM r JOIN sparse ON node = src WHERE hops < 25)
+WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM r JOIN edges ON node = src WHERE hops < 8)
 SELECT node, min(hops) AS hops FROM r GROUP BY node""")
 def graph_bfs_dist(spark: SparkSession, d: str) -> DataFrame:
     start = spark.range(1).select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    return graph.distances(_sparse(spark, d), start).select("node", "hops")
+    return graph.distances(_edges(spark, d), start).select("node", "hops")
 
 
 @query(f"""
-WITH RECURSIVE {SPARSE_SQL}, r AS (SELECT [0::BIGINT] AS p UNION ALL SELECT list_append(p, dst) FROM r JOIN sparse ON p[-1] = src WHERE NOT list_contains(p, dst) AND len(p) < 4)
+WITH RECURSIVE {EDGES_SQL}, r AS (SELECT [0::BIGINT] AS p UNION ALL SELECT list_append(p, dst) FROM r JOIN edges ON p[-1] = src WHERE NOT list_contains(p, dst) AND len(p) < 4)
 SELECT array_to_string(p, '-') AS path FROM r""")
 def graph_all_paths(spark: SparkSession, d: str) -> DataFrame:
     start = spark.range(1).select(F.col("id").alias("node"))
-    return graph.simple_paths(_sparse(spark, d), start, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+    return graph.simple_paths(_edges(spark, d), start, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
 
 
 @query(f"""
-WITH RECURSIVE {SPARSE_SQL}, r AS (SELECT src AS o, dst AS node FROM sparse UNION SELECT o, dst FROM r JOIN sparse ON node = src)
+WITH RECURSIVE {EDGES_SQL}, r AS (SELECT src AS o, dst AS node FROM edges UNION SELECT o, dst FROM r JOIN edges ON node = src)
 SELECT DISTINCT node FROM r WHERE o = node""")
 def graph_cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.on_cycles(_sparse(spark, d))
+    return graph.on_cycles(_edges(spark, d))
 
 
-NODES_SQL = "nodes AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse)"
+NODES_SQL = "nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
 
 
 @query(f"""
-WITH RECURSIVE {SPARSE_SQL}, {NODES_SQL}, s AS (SELECT g.id AS gone, min(n.id) AS node FROM nodes g JOIN nodes n ON g.id <> n.id GROUP BY g.id),
-r AS (SELECT gone, node FROM s UNION SELECT gone, dst FROM r JOIN sparse ON node = src WHERE dst <> gone)
+WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, s AS (SELECT g.id AS gone, min(n.id) AS node FROM nodes g JOIN nodes n ON g.id <> n.id GROUP BY g.id),
+r AS (SELECT gone, node FROM s UNION SELECT gone, dst FROM r JOIN edges ON node = src WHERE dst <> gone)
 SELECT g.id AS gone, n.id AS node FROM nodes g JOIN nodes n ON g.id <> n.id WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.gone = g.id AND r.node = n.id)""")
 def graph_impact(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = _with_nodes(spark, d)
@@ -441,13 +440,13 @@ def graph_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = _sparse(spark, d)
+    edges = _edges(spark, d)
     return edges, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
 @query(f"""
-WITH RECURSIVE {SPARSE_SQL}, {NODES_SQL}, w AS (SELECT min(id) AS node FROM nodes UNION SELECT dst FROM w JOIN sparse ON node = src), s AS (SELECT g.id AS gone, min(n.id) AS node FROM nodes g JOIN nodes n ON g.id <> n.id GROUP BY g.id),
-r AS (SELECT gone, node FROM s UNION SELECT gone, dst FROM r JOIN sparse ON node = src WHERE dst <> gone)
+WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, w AS (SELECT min(id) AS node FROM nodes UNION SELECT dst FROM w JOIN edges ON node = src), s AS (SELECT g.id AS gone, min(n.id) AS node FROM nodes g JOIN nodes n ON g.id <> n.id GROUP BY g.id),
+r AS (SELECT gone, node FROM s UNION SELECT gone, dst FROM r JOIN edges ON node = src WHERE dst <> gone)
 SELECT g.id, count(*) AS cut_off FROM nodes g JOIN nodes n ON g.id <> n.id JOIN w ON w.node = n.id WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.gone = g.id AND r.node = n.id) GROUP BY g.id""")
 def graph_spof(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = _with_nodes(spark, d)
@@ -466,6 +465,16 @@ def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(table(spark, d, "documents"), "doc_id", "text", ["the", "of"]).withColumn("score", six(F.col("score")))
 
 
+@query("""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+c AS (SELECT doc_id, len(w) * 1.0::DOUBLE AS l, len(list_filter(w, lambda x: x = 'license')) * 1.0::DOUBLE AS a, len(list_filter(w, lambda x: x = 'under')) * 1.0::DOUBLE AS b FROM t),
+s AS (SELECT count(*) * 1.0::DOUBLE AS n, avg(l) AS v, count(*) FILTER (WHERE a > 0) * 1.0::DOUBLE AS da, count(*) FILTER (WHERE b > 0) * 1.0::DOUBLE AS db FROM c)
+SELECT doc_id, round(greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / v)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / v)), 6) AS score FROM c, s WHERE a > 0 AND b > 0""")
+def fts_index(spark: SparkSession, d: str) -> DataFrame:
+    held = search.index(table(spark, d, "documents"), "doc_id", "text")
+    return search.search_index(held, "doc_id", ["License", "under"]).withColumn("score", six(F.col("score")))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS snippet FROM documents")
 def snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", search.snippet(F.col("text")).alias("snippet"))
@@ -520,14 +529,12 @@ def permission_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
 def limit_offset(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50)
+    return scan(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), order=["-o_totalprice", "o_orderkey"], limit=50, offset=100)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_size = 10 AND lower(p_type) LIKE '%steel%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size = 10 AND lower(p_type) LIKE '%eco%'")
 def filtered_scan(spark: SparkSession, d: str) -> DataFrame:
-    from ridgeline.sources.tables import scan
-
-    return scan(table(spark, d, "part"), {"p_size": 10, "p_brand": None}, {"p_type": "STEEL", "p_name": ""}).select("p_partkey", "p_name")
+    return scan(table(spark, d, "part"), {"p_size": 10, "p_brand": None}, {"p_type": "Eco", "p_name": ""}).select("p_partkey", "p_name")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")

@@ -183,3 +183,27 @@ def test_upserts_go_on_from_what_is_stored(spark, tmp_path):
     fold(rows((2, "e", 5, 1)), 1)  # run again
     fold(rows().limit(0), 2)
     assert sorted((r.k, r.v) for r in ingest.stored(spark, target).collect()) == [(1, "c"), (2, "e"), (3, "d")]
+
+
+def test_index_grows(spark):
+    rows = [(i, f"alpha beta {'gamma ' * (i % 4)}x{i}") for i in range(20)] + [(20, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    grown = search.with_documents(search.index(df.where("k < 9"), "k", "t"), df.where("k >= 9"), "k", "t")
+    want = {r.k: round(r.score, 9) for r in search.bm25(df, "k", "t", ["gamma", "Beta"]).collect()}
+    assert {r.k: round(r.score, 9) for r in search.search_index(grown, "k", ["gamma", "Beta"]).collect()} == want and len(want) == 15
+
+
+def test_cycles_against_reachability(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(17)} | {(20, 20), (21, 22)}
+    reach = dict.fromkeys(edges)
+    while True:
+        more = {(a, d) for a, b in reach for c, d in edges if b == c} - set(reach)
+        if not more:
+            break
+        reach |= dict.fromkeys(more)
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert {r.node for r in graph.on_cycles(df).collect()} == {a for a, b in reach if a == b}
+    assert graph.on_cycles(df.limit(0)).count() == 0
