@@ -1,7 +1,9 @@
-"""Licence scan: Dice's coefficient over word bigrams between lines of a text and licence templates.
+"""Licence scan: Dice's coefficient over word bigrams between stretches of a text and licence templates.
 
-Text is normalised to lower-case words and numbers without punctuation. A line is compared only
-with templates whose size allows the wanted coefficient: 2 min(a, b) / (a + b) >= least.
+Text is normalised to lower-case words and numbers without punctuation or line ends, so it does not
+matter how a notice is wrapped or led in. A text's bigrams that a template has say where the template
+would begin and end, if they were the same part of it; a stretch between is compared only if its size
+allows the wanted coefficient, 2 min(a, b) / (a + b) >= least, and if enough of its bigrams are known.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,13 @@ from pyspark.sql import types as T
 from ridgeline.llm import textblocks
 from ridgeline.llm.tuning import small_batches
 
-# Notices by which texts state their licence.
+# Notices by which texts state their licence, and short licences whole.
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+HOLDERS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -29,15 +36,18 @@ TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        MIT,
+        f"{MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {AS_IS}",
         "SPDX-License-Identifier: MIT",
     ],
+    "BSD-2-Clause": [f"{BSD_2} {HOLDERS}", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": [
+        f"{BSD_2}{BSD_3} {HOLDERS}",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "ISC": [ISC],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -53,7 +63,9 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
 }
 
 #: What parts words: white space and ASCII punctuation.
@@ -61,68 +73,99 @@ PARTS = textblocks.SPACE.copy()
 PARTS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
-def bigrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For blocks of texts: number of the first, distinct bigrams of each, and their bounds. A text of one word has that word."""
-    for block in textblocks.blocks(texts, PARTS):
-        found, bounds = textblocks.runs(block.hashes(), block.words, 2)
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        order = np.lexsort((found, owner))
-        found, owner = found[order], owner[order]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-        found, owner = found[new], owner[new]
-        yield block.first, found, np.searchsorted(owner, np.arange(len(bounds)))
+class Templates:
+    """Bigrams of templates, by hash: which templates have one, and at which place first."""
+
+    def __init__(self, templates: dict[str, list[str]], least: float):
+        self.least = least
+        self.names = [name for name, texts in templates.items() for _ in texts]
+        sequences: list[np.ndarray] = []
+        for block in textblocks.blocks(pa.array([t for texts in templates.values() for t in texts], pa.string()), PARTS):
+            found, bounds = textblocks.runs(block.hashes(), block.words, 2)
+            sequences += [found[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
+        firsts = [np.unique(x, return_index=True) for x in sequences]
+        self.sets = [keys for keys, _ in firsts]
+        self.sizes = np.array([len(keys) for keys in self.sets])
+        self.lengths = np.array([len(x) for x in sequences])
+        keys = np.concatenate([keys for keys, _ in firsts]) if firsts else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.of = np.concatenate([np.full(len(k), i) for i, (k, _) in enumerate(firsts)])[order] if firsts else np.zeros(0, int)
+        self.place = np.concatenate([at for _, at in firsts])[order] if firsts else np.zeros(0, int)
+
+    def dice(self, part: np.ndarray, i: int) -> float:
+        own = np.unique(part)
+        return 2.0 * len(np.intersect1d(own, self.sets[i], assume_unique=True)) / (len(own) + self.sizes[i])
+
+    def notices(self, grams: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """template, coefficient, start, end of the notices in a text's bigrams, in order: of stretches that overlap the best one."""
+        lo, hi = np.searchsorted(self.keys, grams, "left"), np.searchsorted(self.keys, grams, "right")
+        hits = np.repeat(np.arange(len(grams)), hi - lo)
+        if not len(hits):
+            return []
+        which = np.concatenate([np.arange(a, b) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True)])
+        found = []
+        order = np.argsort(self.of[which], kind="stable")  # by template, then by place in the text
+        bounds = np.searchsorted(self.of[which][order], np.arange(len(self.names) + 1))
+        for i in np.flatnonzero(2 * np.diff(bounds) >= self.least * self.sizes):
+            some = order[bounds[i] : bounds[i + 1]]
+            at, place = hits[some], self.place[which[some]]
+            start = np.maximum(at - place, 0)
+            end = np.minimum(start + self.lengths[i], len(grams))
+            shared = np.searchsorted(at, end) - np.searchsorted(at, start)  # at least as many as distinct ones
+            size = self.sizes[i]
+            starts = np.unique(start[2 * shared >= self.least * (size + np.minimum(shared, size))])
+            for s in starts.tolist():
+                e = min(s + int(self.lengths[i]), len(grams))
+                own = np.searchsorted(at, [s, e])
+                a, b = int(at[own[0]]), int(at[own[1] - 1]) + 1  # without what stands around the known bigrams
+                for x, y in {(s, e), (a, b)}:
+                    if 2 * min(y - x, size) >= self.least * (min(y - x, size) + size):
+                        d = self.dice(grams[x:y], i)
+                        if d >= self.least:
+                            found.append((-float(d), int(i), x, y))
+        taken: list[tuple[int, float, int, int]] = []
+        for d, i, x, y in sorted(found, key=lambda f: (f[0], f[2] - f[3], f[2], f[1])):
+            if all(y <= t[2] or x >= t[3] for t in taken):
+                taken.append((i, -d, x, y))
+        return sorted(taken, key=lambda t: t[2])
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, licence, dice, line, notices for each row of docs.
+    """id, licence, dice, line, notices, found for each row of docs.
 
-    notices: lines that reach `least` with some template. licence, dice and line (from 1) are those
-    of the highest coefficient; of equal ones the first line, then the first template. Null without
-    notices, as for null and empty texts. Lines are those between \\n. Rows that repeat get equal
-    results; a null id is kept; an empty table gives no rows; other columns are not looked at.
+    found: the licence, coefficient, first and last line (from 1) of every notice, in order; a
+    notice is a stretch of words that reaches `least` with a template, and of stretches that overlap
+    the best one, of equal ones the longest, then the first, then the first template. notices: how many. licence,
+    dice and line are those of the best. Null without notices, as for null and empty texts. Lines
+    are those between \\n. Rows that repeat get equal results; a null id is kept; an empty table
+    gives no rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    names = [name for name, texts in (templates or TEMPLATES).items() for _ in texts]
-    own = [set() for _ in names]
-    for first, found, bounds in bigrams(pa.array([t for texts in (templates or TEMPLATES).values() for t in texts])):
-        for i in range(len(bounds) - 1):
-            own[first + i] = set(found[bounds[i] : bounds[i + 1]].tolist())
-    sizes = np.array([len(s) for s in own])
-    known = np.array(sorted(set().union(*own)), np.uint64)
-    has = np.array([[int(k) in s for s in own] for k in known.tolist()], np.int64)
+    known = Templates(templates or TEMPLATES, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            parts = pc.split_pattern(batch.column(1).cast(pa.large_string()).fill_null(""), "\n")
-            parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
-            starts = parts.offsets.to_numpy()
-            best: dict[int, tuple] = {}
-            notices = np.zeros(n, np.int64)
-            for first, found, bounds in bigrams(parts.flatten()):
-                size = np.diff(bounds)
-                if not len(found):
-                    continue
-                at = np.searchsorted(known, found)
-                at[at == len(known)] = 0
-                hit = np.flatnonzero(known[at] == found)
-                line = np.searchsorted(bounds, hit, "right") - 1
-                for i in np.unique(line):
-                    fits = np.flatnonzero(2 * np.minimum(size[i], sizes) >= least * (size[i] + sizes))
-                    if not len(fits):
-                        continue
-                    both = has[at[hit[line == i]]][:, fits].sum(0)
-                    dice = 2.0 * both / (size[i] + sizes[fits])
-                    k = int(np.argmax(dice))
-                    if dice[k] >= least:
-                        number = first + i
-                        doc = int(np.searchsorted(starts - starts[0], number, "right")) - 1
-                        notices[doc] += 1
-                        if doc not in best or dice[k] > best[doc][1]:
-                            best[doc] = names[fits[k]], float(dice[k]), int(number - (starts[doc] - starts[0]) + 1)
-            of = [best.get(i, (None, None, None)) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in of], pa.string()), pa.array([x[1] for x in of], pa.float64()), pa.array([x[2] for x in of], pa.int64()), pa.array(notices)], names=[id_col, "licence", "dice", "line", "notices"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("line", T.LongType()), T.StructField("notices", T.LongType())])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+            for block in textblocks.blocks(batch.column(1), PARTS):
+                grams, bounds = textblocks.runs(block.hashes(), block.words, 2)
+                newline = np.flatnonzero(block.data == 10)
+                rows = []
+                for t in range(len(bounds) - 1):
+                    own = []
+                    for i, d, x, y in known.notices(grams[bounds[t] : bounds[t + 1]]):
+                        first = int(block.starts[block.words[t] + x])
+                        last = int(block.starts[min(block.words[t] + y, block.words[t + 1] - 1)])
+                        before = int(np.searchsorted(newline, block.offsets[t]))
+                        lines = np.searchsorted(newline, [first, last]) - before + 1
+                        own.append({"licence": known.names[i], "dice": d, "line": int(lines[0]), "last": int(lines[1])})
+                    rows.append(own)
+                best = [max(r, key=lambda x: x["dice"]) if r else {} for r in rows]
+                ids = batch.column(0).slice(block.first, len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *(pa.array([b.get(c) for b in best], k) for c, k in (("licence", pa.string()), ("dice", pa.float64()), ("line", pa.int64()))), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, kind)],
+                    names=[id_col, "licence", "dice", "line", "notices", "found"],
+                )
+
+    kind = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("line", pa.int64()), ("last", pa.int64())]))
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL("licence string, dice double, line long, notices long, found array<struct<licence:string,dice:double,line:long,last:long>>").fields]
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType(fields))

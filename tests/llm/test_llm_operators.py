@@ -114,29 +114,56 @@ def test_clashing_labels(spark):
 # Licences.
 
 
+def grams(words):
+    return {tuple(words[i : i + 2]) for i in range(len(words) - 1)} if len(words) > 1 else set(map(tuple, [words] if words else []))
+
+
+def plain(text):
+    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 def test_licences_against_brute_force(spark, docs):
-    def grams(t):
-        w = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else set(map(tuple, [w] if w else []))
-
-    templates = [(n, grams(t)) for n, ts in licences.TEMPLATES.items() for t in ts]
-    extra = spark.createDataFrame([(-1, "x\nReleased under the MIT License\nLicensed under the Apache License, Version 2.0"), (-2, "permission is hereby granted"), (-3, None)], "doc_id long, text string")
-    rows = docs.select("doc_id", "text").union(extra)
-    got = {r.doc_id: (r.licence, r.dice and round(r.dice, 9), r.line, r.notices) for r in licences.scan(rows).collect()}
+    """Each notice's coefficient is reckoned anew; every line that is a notice by itself is found in one; no stretch of any size is much better."""
+    templates = [(n, grams(plain(t))) for n, ts in licences.TEMPLATES.items() for t in ts]
+    dice = lambda g, t: 2 * len(g & t) / (len(g) + len(t)) if g else 0.0
+    extra = [(-1, "x\nReleased under the MIT License\nLicensed under the Apache License, Version 2.0"), (-2, "permission is hereby granted"), (-3, None), (-4, "Licensed\nunder the Apache\n\nLicense, Version 2.0 and so on")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: r for r in licences.scan(rows).collect()}
     for r in rows.collect():
-        best, n = (None, None, None), 0
-        for k, line in enumerate((r.text or "").split("\n"), 1):
-            g = grams(line)
-            found = max(((2 * len(g & t) / (len(g) + len(t)), -i) for i, (_, t) in enumerate(templates) if g), default=(0, 0))
-            if found[0] >= 0.8:
-                n += 1
-                if best[1] is None or found[0] > best[1]:
-                    best = (templates[-found[1]][0], found[0], k)
-        assert got[r.doc_id] == (best[0], best[1] and round(best[1], 9), best[2], n)
+        own, lines = got[r.doc_id], (r.text or "").split("\n")
+        assert own.notices == len(own.found) and (own.dice or 0) == max([x.dice for x in own.found], default=0)
+        for k, line in enumerate(lines, 1):
+            best = max(dice(grams(plain(line)), t) for _, t in templates)
+            if best >= 0.8:
+                assert any(x.line <= k <= x.last and x.dice >= best - 1e-9 for x in own.found)
+        for x in own.found:
+            assert x.dice >= 0.8 and any(n == x.licence for n, _ in templates)
+            assert max(dice(grams(plain(" ".join(lines[x.line - 1 : x.last]))), t) for n, t in templates if n == x.licence) <= x.dice + 1e-9
+    for i, text in extra:  # every stretch of words
+        w = plain(text)
+        best = max((dice(grams(w[a:b]), t) for a in range(len(w)) for b in range(a + 1, len(w) + 1) for _, t in templates), default=0)
+        assert (got[i].dice or 0) == (best if best >= 0.8 else 0)
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for name, texts in licences.TEMPLATES.items():
+        for text in texts:
+            for lead, width in (("", 10_000), ("", 60), ("# ", 40), (" * ", 72)):
+                body = "\n".join(lead + x for x in textwrap.wrap(text, width))
+                rows.append((len(rows), f"some words come first\n{body}\nand others follow here"))
+                want[len(rows) - 1] = name
+    both = "\n".join([*textwrap.wrap(licences.TEMPLATES["GPL-3.0"][1], 50), "in between", *textwrap.wrap(licences.MIT, 50)])
+    rows.append((1000, both))
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].licence for i in want} == want and all(got[i].dice == 1.0 and got[i].notices == 1 for i in want)
+    assert [x.licence for x in got[1000].found] == ["GPL-3.0", "MIT"] and got[1000].found[1].last == len(both.split("\n"))
 
 
 def test_licences_on_odd_rows(odd):
-    assert licences.scan(odd).where("licence is null and notices = 0").count() == len(ODD)
+    assert licences.scan(odd).where("licence is null and notices = 0 and size(found) = 0").count() == len(ODD)
     assert licences.scan(odd.limit(0)).count() == 0
 
 
