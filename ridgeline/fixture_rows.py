@@ -594,4 +594,39 @@ ROWS: dict[str, tuple[list[str], list[tuple]]] = {
             (4, None, '255.255.255.255'),
         ],
     ),
+    "log_analysis": (
+        ["vendor VARCHAR", "command_norm VARCHAR", "command VARCHAR", "cmd_type VARCHAR", "has_output BOOLEAN", "is_control BOOLEAN", "is_help BOOLEAN", "is_error BOOLEAN", "selected BOOLEAN", "place INTEGER"],
+        [
+            ('cisco', 'show clock detail', 'show clock detail', 'unknown', True, True, False, False, False, 5),
+            ('huawei', 'display bar ?', 'display bar ?', 'unknown', True, False, True, False, False, 6),
+            ('huawei', 'display foo {id}', 'display foo 2', 'unknown', True, False, False, True, True, 1),
+            ('huawei', 'display ospf peer', 'display ospf peer', 'neighbor', True, False, False, False, False, 4),
+            ('huawei', 'quit', 'quit', 'unknown', False, True, False, False, False, 3),
+        ],
+    ),
+    "user_permissions": (
+        ["user VARCHAR", "grp VARCHAR"],
+        [
+            ('ann', 'admin'),
+            ('bob', 'ops'),
+            ('cid', 'rest'),
+            ('dan', 'rest'),
+        ],
+    ),
+    "knowledge_files": (
+        ["what VARCHAR", "file VARCHAR", "chunk_no INTEGER", "start VARCHAR"],
+        [
+            ('fresh', 'a.md', 0, 'One\nfirst '),
+            ('fresh', 'a.md', 1, 'Two\nsecond'),
+            ('known', 'b.md', 0, 'kept'),
+        ],
+    ),
+    "vector_codec": (
+        ["i INTEGER", "floats VARCHAR"],
+        [
+            (1, '1.0,-2.0'),
+            (2, None),
+            (3, ''),
+        ],
+    ),
 }

@@ -206,6 +206,37 @@ def longest_outputs(spark: SparkSession, d: str) -> DataFrame:
     return sessions.longest_outputs(rows, "n")
 
 
+@query
+def log_analysis(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(
+        spark, "n int, vendor string, command string, output string", (1, "huawei", "display foo 1", "short"), (2, "huawei", "display foo 2", "Error: no such thing, and this is the longest"), (3, "huawei", "quit", ""), (4, "huawei", "display ospf peer", "rows"),
+        (5, "cisco", "show clock detail", "12:00"), (6, "huawei", "display bar ?", "  all       Show all\n  brief     Show brief\n  detail    Show detail"),
+    )
+    return sessions.analysed(rows, "n").select("vendor", "command_norm", "command", "cmd_type", "has_output", "is_control", "is_help", "is_error", "selected", "place")
+
+
+@query
+def user_permissions(spark: SparkSession, d: str) -> DataFrame:
+    groups = _rows(spark, "place int, grp string, users array<string>", (1, "admin", ["ann"]), (2, "guest", ["*"]), (3, "ops", ["bob", "ann"]), (4, "rest", ["cid", "*"]))
+    return classify.user_groups(_rows(spark, "user string", ("ann",), ("bob",), ("cid",), ("dan",)), groups)
+
+
+@query
+def knowledge_files(spark: SparkSession, d: str) -> DataFrame:
+    text = "intro\n## One\n" + "first part " * 8 + "\n## Two\n" + "second part " * 8
+    files = _rows(spark, "file string, text string", ("a.md", text), ("b.md", "# B\n" + "only one " * 9))
+    cached = _rows(spark, "file string, text string, chunk_no int, chunk string", ("b.md", "# B\n" + "only one " * 9, 0, "kept"), ("a.md", "old", 0, "gone")).select("file", F.sha2("text", 256).alias("content_hash"), "chunk_no", "chunk")
+    known, fresh = search.knowledge(files, cached)
+    part = lambda df, what: df.select(F.lit(what).alias("what"), "file", "chunk_no", F.left("chunk", F.lit(10)).alias("start"))
+    return part(known, "known").union(part(fresh, "fresh"))
+
+
+@query
+def vector_codec(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, "i int, h string", (1, "0000803f000000c0"), (2, "00"), (3, ""))
+    return rows.select("i", F.array_join(F.transform(search.float_vector(F.unhex("h")), lambda x: x.cast("string")), ",").alias("floats"))
+
+
 # Questions and names.
 
 ASKED = ((1, "Show all interfaces of CORE-1"), (2, "why is bgp down on edge2?"), (3, "search config vlan 12"), (4, "列出 设备"), (5, "display ospf neighbor"), (6, "hello mpls ldp"), (7, "list peers over te"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.commands import expanded
+from ridgeline.functions.naming import pieces
 
 # For each vendor the prefixes of commands and what they show, in order.
 PREFIXES = {
@@ -40,18 +41,22 @@ def command_type(vendor: Column, command: Column, compat: bool = False) -> Colum
 def longest_prefix(values: DataFrame, value: str, rules: DataFrame, keys: list[str], default: str = "unknown") -> DataFrame:
     """values with `kind`: that of the rule (prefix, kind, priority) of highest priority, then longest prefix, that a value has (CLS-06).
 
-    The rules are a table of a vendor's prefixes; they are joined to the distinct values, not to
-    every row, and values of no rule get the default.
+    The beginnings of the distinct values, of the lengths that prefixes have, are joined to the rules
+    on equality; values of no rule get the default.
     """
-    own = values.select(value).distinct()
-    hit = own.join(rules, F.lower(F.col(value)).startswith(F.lower(F.col("prefix"))))
+    text = F.lower(F.col(value))
+    lengths = sorted(r[0] for r in rules.select(F.length("prefix")).distinct().collect())  # as many as prefixes have lengths
+    own = values.select(value).distinct().withColumn("_start", F.explode(F.array_distinct(F.array(*(F.left(text, F.lit(n)) for n in lengths))))) if lengths else values.select(value, F.lit("").alias("_start")).limit(0)
+    hit = own.join(rules, F.col("_start") == F.lower("prefix"))
     best = hit.groupBy(value).agg(F.max_by("kind", F.struct("priority", F.length("prefix"), "prefix")).alias("kind"))
     return values.join(best, value, "left").withColumn("kind", F.coalesce("kind", F.lit(default))).select(*keys, value, "kind")
 
 
 def longest_hint(values: DataFrame, value: str, hints: DataFrame) -> DataFrame:
     """value, keyword, result: the longest keyword that a value contains, whatever the case; of equal ones the first by name (SPL-04)."""
-    hit = values.select(value).distinct().join(hints, F.lower(F.col(value)).contains(F.lower(F.col("keyword"))))
+    own = values.select(value).distinct()
+    own = own.select(value, F.explode(pieces(F.lower(F.col(value)), hints.select(F.lower("keyword").alias("k")), "k")).alias("_piece"))
+    hit = own.join(hints, F.col("_piece") == F.lower("keyword")).drop("_piece")
     order = Window.partitionBy(value).orderBy(F.desc(F.length("keyword")), "keyword")
     return hit.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
@@ -85,3 +90,11 @@ def tool_allowed(name: Column, rule: Column) -> Column:
     """Whether a rule allows a name: `*` any, `p*` those that start with p, else the name itself (FN-23)."""
     start = F.left(rule, F.greatest(F.length(rule) - 1, F.lit(0)))
     return (rule == "*") | (rule.endswith("*") & name.startswith(start)) | (rule == name)
+
+
+def user_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
+    """user, grp: the first group that names a user, else the last group of all, `*` (FN-23). users: user; groups: place, grp, users (an array)."""
+    named = groups.select("place", "grp", F.explode("users").alias("user"))
+    own = named.where("user <> '*'").groupBy("user").agg(F.min_by("grp", "place").alias("own"))
+    rest = named.where("user = '*'").agg(F.max_by("grp", "place").alias("rest"))  # a row
+    return users.select("user").distinct().join(own, "user", "left").join(F.broadcast(rest)).select("user", F.coalesce("own", "rest").alias("grp"))

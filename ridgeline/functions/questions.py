@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions.naming import pieces
 from ridgeline.operators.config import lines
-from ridgeline.operators.topology import pieces
 
 # Words that tell what is asked.
 COMPLEX = ("为什么", "是否", "分析", "诊断", "经过", "影响", "如果", "假设", "比较", "why", "analyze", "diagnose", "impact", "what if", "compare")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,3 +162,25 @@ def _pieces(text: str, size: int = 1000) -> list[str]:
             out.append(piece)
         at = end
     return out
+
+
+def knowledge(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is known of each file's present content, and the chunks that are new (SRC-12).
+
+    files: file, text of *.md files, as read whole. cached: file, content_hash, chunk_no, chunk (and
+    more, such as vectors). A file that has changed, by the hash of its text, is chunked anew.
+    """
+    now = files.select("file", F.sha2("text", 256).alias("content_hash"), "text")
+    known = cached.join(now.select("file", "content_hash"), ["file", "content_hash"], "left_semi")
+    fresh = now.join(known.select("file", "content_hash").distinct(), ["file", "content_hash"], "left_anti")
+    return known, fresh.select("file", "content_hash", F.posexplode(chunks(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+def float_vector(raw: Column) -> Column:
+    """The little-endian 32-bit floats that bytes hold (FN-17); null if they are not whole."""
+
+    @F.arrow_udf("array<float>")
+    def decode(values: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(v, "<f4").tolist() if v is not None and len(v) % 4 == 0 else None for v in values.to_pylist()], pa.list_(pa.float32()))
+
+    return decode(raw)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import classify, commands
 from ridgeline.plans.program import is_blank, let
 
+# Time stamps before a line, and prompts by vendor.
 STAMP = r"^\d{4}-\d{2}-\d{2}[-T ]\d{2}[-:]\d{2}[-:]\d{2}[:.][\t\n\f\r ]*"
 LOOSE_STAMP = r"^\d{4}-\d{2}-\d{2}[-T ]\d{2}[-:]\d{2}[-:]\d{2}[:.]?[\t\n\f\r ]*"
 HOST = "([A-Za-z][A-Za-z0-9._-]*)"
@@ -106,6 +107,26 @@ def longest_outputs(blocks: DataFrame, order: str) -> DataFrame:
     return found.select("vendor", "command_norm", "b.command", "b.output", "first_seen_at", "blocks")
 
 
+def marked(blocks: DataFrame) -> DataFrame:
+    """Blocks, none left out, with command_norm, category, cmd_type and what each is: has_output, is_control, is_help,
+    is_error, and selected, where a rule of its own is worth making (SPL-09)."""
+    vendor, command = F.col("vendor"), F.col("command")
+    said = F.regexp_replace(F.coalesce("output", F.lit("")), r"^\s+|\s+$", "")
+    norm = commands.normalise(vendor, command)
+    full = said != ""
+    out = blocks.withColumns({"command_norm": commands.strip_args(norm), "category": commands.category(norm), "cmd_type": classify.command_type(vendor, command), "has_output": full, "is_control": commands.is_control(vendor, command), "is_help": full & commands.is_help(said), "is_error": full & commands.is_error(said)})
+    return out.withColumn("selected", F.col("has_output") & ~F.col("is_control") & ~F.col("is_help") & ~F.col("is_error") & (F.col("cmd_type") == "unknown"))
+
+
+def analysed(blocks: DataFrame, order: str) -> DataFrame:
+    """marked() blocks, one for each vendor and pattern: that with the longest output, the first of equal ones; selected if
+    any is; place is the first one's (SPL-09, SRC-14)."""
+    keep = ["command", "output", "category", "cmd_type", "has_output", "is_control", "is_help", "is_error"]
+    best = F.max_by(F.struct(*keep), F.struct(F.length(F.coalesce("output", F.lit(""))), -F.col(order)))
+    found = marked(blocks).groupBy("vendor", "command_norm").agg(best.alias("b"), F.bool_or("selected").alias("selected"), F.min(order).alias("place"))
+    return found.select("vendor", "command_norm", "b.*", "selected", "place")
+
+
 def raw_config(text: Column) -> Column:
     """host, vendor and text of a configuration without prompts, from its first 30 lines; null if there is no sysname (SRC-05)."""
 

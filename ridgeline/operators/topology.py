@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.naming import pieces
 from ridgeline.functions.network import dotted_mask, mask_length, network, subnet, to_long
 
 
@@ -19,18 +20,6 @@ def links_by_description(interfaces: DataFrame, devices: DataFrame) -> DataFrame
     return said.join(named, "piece").where("peer <> device_id").select("device_id", "name", "peer").distinct()
 
 
-def pieces(text: Column, names: DataFrame, name: str) -> Column:
-    """The distinct pieces of a text that are as long as some name."""
-    lengths = sorted(r[0] for r in names.select(F.length(name)).distinct().collect() if r[0])  # as many as names have lengths
-    if not lengths:
-        return F.array().cast("array<string>")
-
-    def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-
-    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
-
-
 def links_by_subnet(interfaces: DataFrame) -> DataFrame:
     """device_id, name, peer, peer_interface: interfaces of two devices in one subnet."""
     own = interfaces.select("device_id", "name", subnet(F.col("ip_address"), F.col("mask")).alias("subnet")).where("subnet is not null")

@@ -29,11 +29,13 @@ def ship(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a folder of this machine is taken.
+    Only where that is unset and all runs on this machine, as in tests, a folder of it is taken.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ridgeline-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -1,0 +1,19 @@
+"""Each query over literal texts and facts against the rows that its SQL names."""
+
+import duckdb
+import pytest
+
+from ridgeline import fixtures
+
+
+def test_every_query_has_rows():
+    assert set(fixtures.FOUND) == set(fixtures.ROWS) == set(fixtures.oracle_sql())
+    assert all(rows for _, rows in fixtures.ROWS.values())
+
+
+@pytest.mark.parametrize("name", sorted(fixtures.FOUND))
+def test_rows(spark, name):
+    got = fixtures.FOUND[name](spark, "")
+    want = duckdb.sql(fixtures.oracle_sql()[name])
+    assert got.columns == want.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
