@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -123,15 +124,22 @@ class Packer:
         self.left = []
 
 
+#: Texts that show whether a tokenizer encodes what stands between blanks by itself, and marks behind words.
+PROBES = ("ab cd", "Ab, cd. ef", "the of and", "x\ny z", "in  on", "one; two! three?")
+
+
 class Encoder:
-    """Ids of texts. Ids of the parts between blanks don't depend on each other, nor do those of a
-    word and the mark behind it, so each distinct word is encoded once and kept."""
+    """Ids of texts. Where ids of the parts between blanks don't depend on each other, nor those of a
+    word and the mark behind it, each distinct word is encoded once and kept. A tokenizer of which
+    that is not true encodes whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.whole = Tokenizer.from_file(path), {}, {}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_parts = all(ids(t) == [i for p in re.findall(r"[^\s.,;:!?]+|[.,;:!?]", t) for i in ids(p)] for t in PROBES)
 
     def plain(self, word: str) -> bool:
         """Whether a word is letters that the tokenizer doesn't part: it makes some, such as U+0130, into a letter and a mark."""
@@ -176,6 +184,10 @@ class Encoder:
                 memo[p] = memo[stem] + memo[mark] if mark else memo[stem]
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        if not self.by_parts:
+            for t in texts:
+                yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4")
+            return
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}

@@ -686,6 +686,26 @@ def test_letters_that_the_tokenizer_parts():
         assert ids.tolist() == one.encode(text, add_special_tokens=False).ids
 
 
+def test_every_public_tokenizer():
+    """Those that see blanks as parts of words encode whole texts."""
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    files = sorted(Path(packing.tokenizer_path("word_bpe_49k.json")).parent.glob("*.json"))
+    texts = ["Some words, and more. 12 of 3!", "two\nlines  here", "", "ünï çödé İx", " led by a blank"]
+    seen = 0
+    for path in files:
+        try:
+            one = Tokenizer.from_file(str(path))
+        except Exception:  # noqa: BLE001, S112  # other vocabulary files
+            continue
+        seen += 1
+        for text, ids in zip(texts, packing.Encoder(str(path))(texts), strict=True):
+            assert ids.tolist() == one.encode(text, add_special_tokens=False).ids, path.name
+    assert seen
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(8)
     for n, k in ((1, 1), (5, 2), (200, 7), (64, 64), (3, 9)):
