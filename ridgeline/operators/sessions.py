@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import classify, commands
+from ridgeline.operators.running import running_last, running_sum
 from ridgeline.plans.program import is_blank, let
 
 # Time stamps before a line, and prompts by vendor.
@@ -142,11 +143,9 @@ def raw_config(text: Column) -> Column:
 
 def sessions(df: DataFrame, keys: list[str], order: list[str], opens: Column) -> DataFrame:
     """df with session_no: rows from one that opens a session to the next; 0 before the first."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("session_no", F.sum(opens.cast("long")).over(w))
+    return running_sum(df, keys, order, opens.cast("long"), "session_no")
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """df with the last value, null left out, at or before each row (PAR-02, 03, 15)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return running_last(df, keys, order, value, name)

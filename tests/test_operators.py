@@ -207,3 +207,19 @@ def test_cycles_against_reachability(spark):
     df = spark.createDataFrame(sorted(edges), "src long, dst long")
     assert {r.node for r in graph.on_cycles(df).collect()} == {a for a, b in reach if a == b}
     assert graph.on_cycles(df.limit(0)).count() == 0
+
+
+def test_running_values_of_hot_keys(spark, monkeypatch):
+    import random
+
+    from ridgeline.operators import running
+
+    rng = random.Random(5)
+    rows = [(0 if rng.random() < 0.7 else rng.randrange(1, 6), rng.randrange(40), i, rng.choice([None, rng.randrange(9)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int, i int, v int").repartition(4)
+    plain = sorted(map(tuple, sessions.carried(sessions.sessions(df, ["k"], ["t", "i"], F.coalesce(F.col("v") > 6, F.lit(False))), ["k"], ["t", "i"], F.col("v"), "last").collect()), key=str)
+    monkeypatch.setattr(running, "HOT", 30)
+    monkeypatch.setattr(running, "PARTS", 8)
+    split = sessions.carried(sessions.sessions(df, ["k"], ["t", "i"], F.coalesce(F.col("v") > 6, F.lit(False))), ["k"], ["t", "i"], F.col("v"), "last")
+    assert split.columns == [*df.columns, "session_no", "last"]
+    assert sorted(map(tuple, split.collect()), key=str) == plain
