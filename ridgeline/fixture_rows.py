@@ -629,4 +629,40 @@ ROWS: dict[str, tuple[list[str], list[tuple]]] = {
             (3, ''),
         ],
     ),
+    "rule_self_tests": (
+        ["k INTEGER", "level INTEGER", "rows BIGINT", "rate DOUBLE", "passed BOOLEAN"],
+        [
+            (1, -1, 0, None, False),
+            (1, 3, 2, 0.5, True),
+            (2, 1, 0, None, False),
+            (3, 2, 3, 0.333333, False),
+        ],
+    ),
+    "rule_too_few_rows": (
+        ["k INTEGER", "what VARCHAR", "blocks BIGINT", "n INTEGER"],
+        [
+            (1, '(?i)^Route-policy:\\s+', 6, 2),
+            (3, 'Peer state', 5, 1),
+        ],
+    ),
+    "edit_scripts": (
+        ["k INTEGER", "sign VARCHAR", "lines BIGINT"],
+        [
+            (1, ' ', 4),
+            (1, '+', 2),
+            (1, '-', 3),
+            (2, ' ', 1),
+            (3, '+', 1),
+            (3, '-', 1),
+        ],
+    ),
+    "rule_seeds": (
+        ["v VARCHAR", "kind VARCHAR"],
+        [
+            ('DISPLAY SA', 'config'),
+            ('display int brief', 'interface'),
+            ('display ip routing-table vpn', 'rib'),
+            ('quit', 'unknown'),
+        ],
+    ),
 }

@@ -237,6 +237,34 @@ def vector_codec(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("i", F.array_join(F.transform(search.float_vector(F.unhex("h")), lambda x: x.cast("string")), ",").alias("floats"))
 
 
+@query
+def rule_self_tests(spark: SparkSession, d: str) -> DataFrame:
+    samples = _rows(spark, "k int, t string", (1, "Name Value\na 1\nb 2\n"), (2, "nothing"), (3, "Name Value\na\nb\nc 1\n"))
+    good = reports.self_test(samples, "SKIP_UNTIL ^Name\nSKIP_BLANK\nSPLIT $name $value $more $rest", "k", "t")
+    return good.withColumn("rate", F.round("rate", 6)).union(reports.self_test(samples.where("k = 1"), "NO_SUCH_VERB x", "k", "t"))
+
+
+@query
+def rule_too_few_rows(spark: SparkSession, d: str) -> DataFrame:
+    policies = "".join(f"Route-policy: P{i}\n  permit : 10\n" for i in range(6))
+    peers = "".join(f"Peer state of {i}\n" for i in range(5))
+    rows = _rows(spark, "k int, t string, n int", (1, policies, 2), (2, policies, 3), (3, peers, 1), (4, "a\nb\n", 0))
+    return reports.too_few_rows(rows, "k", "t", "n")
+
+
+@query
+def edit_scripts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, "k int, old string, new string", (1, "a\nb\nc\na\nb\nb\na", "c\nb\na\nb\na\nc"), (2, "x", "x"), (3, None, "y"))
+    out = reports.sequence_difference(rows, ["k"], "old", "new")
+    return out.groupBy("k", "sign").agg(F.count("*").alias("lines"))
+
+
+@query
+def rule_seeds(spark: SparkSession, d: str) -> DataFrame:
+    rules = classify.seeded(_rows(spark, "vendor string, prefix string, kind string, priority int"))
+    return classify.longest_prefix(_rows(spark, "v string", ("display ip routing-table vpn",), ("display int brief",), ("DISPLAY SA",), ("quit",)), "v", rules.where("vendor = 'huawei'"), [])
+
+
 # Questions and names.
 
 ASKED = ((1, "Show all interfaces of CORE-1"), (2, "why is bgp down on edge2?"), (3, "search config vlan 12"), (4, "列出 设备"), (5, "display ospf neighbor"), (6, "hello mpls ldp"), (7, "list peers over te"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.plans.program import ProgramError, run
+
 
 def group_summary(df: DataFrame, group: Column, name: str, distinct: str, sample: str, order: Column, n: int = 3) -> DataFrame:
     """group, rows, distinct values, and the first n samples by order, joined by commas (AGG-06, AGG-08).
@@ -76,20 +76,77 @@ def repeated_prefixes(df: DataFrame, key: str, text: str, n: int = 3) -> DataFra
     return lines.select(key, F.regexp_replace(prefix, r"\s+", " ").alias("prefix")).where("prefix <> ''").groupBy(key, "prefix").agg(F.count("*").alias("lines")).where(F.col("lines") >= n)
 
 
+# How blocks of outputs begin.
+BLOCKS = (r"(?i)^Route-policy:\s+", r"(?i)^(Basic|Advanced|Layer 2) IPv[46] ACL\s+", r"(?i)^interface\s+\S+", r"(?i)^BGP Peer\s+", r"(?i)^Tunnel\s+\d+", r"(?i)^VPN Instance:\s+", r"(?i)^ip prefix-list\s+", r"(?i)^community-filter\s+")
+
+
+def too_few_rows(df: DataFrame, key: str, text: str, rows: str) -> DataFrame:
+    """key, what, blocks, rows: samples that hold three blocks or more of a kind, or as many lines of one beginning, of
+    which less than half came out as rows (AGG-17). Blocks by pattern count before beginnings; of these the commonest, then the first by name."""
+    ls = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), F.trim)
+    counts = F.array(*(F.struct(F.lit(0).alias("order"), F.lit(i).alias("place"), F.lit(p).alias("what"), F.size(F.filter(ls, lambda x: x.rlike(p))).cast("long").alias("blocks")) for i, p in enumerate(BLOCKS)))
+    few = lambda n: (n >= 3) & (F.col(rows) < F.floor(n / 2))
+    known = df.where(F.size(ls) >= 5).select(key, rows, F.explode(F.filter(counts, lambda c: few(c["blocks"]))).alias("c")).select(key, rows, "c.*")
+    prefix = F.regexp_extract("line", r"^(\S+(?:\s+\S+)?)", 1)
+    lines = df.where(F.size(ls) >= 5).select(key, rows, F.explode(ls).alias("line")).where("length(line) > 2").select(key, rows, F.regexp_replace(prefix, r"\s+", " ").alias("what")).where("what rlike '^[A-Za-z]'")
+    begun = lines.groupBy(key, rows, "what").agg(F.count("*").alias("blocks")).where(few(F.col("blocks"))).select(key, rows, F.lit(1).alias("order"), (-F.col("blocks")).cast("int").alias("place"), "what", "blocks")
+    best = known.union(begun).groupBy(key, rows).agg(F.min_by(F.struct("what", "blocks"), F.struct("order", "place", "what")).alias("b"))
+    return best.select(key, "b.what", "b.blocks", rows)
+
+
+def self_test(samples: DataFrame, program: str, key: str, text: str) -> DataFrame:
+    """key, level, rows, rate, passed of a line program on each sample (AGG-16): -1 if it is no program, 1 if it gives no
+    rows, 2 if less than half of the fields are filled, else 3."""
+    try:
+        found = run(samples, program, text, [key])
+    except ProgramError:
+        return samples.select(key, F.lit(-1).alias("level"), F.lit(0).cast("long").alias("rows"), F.lit(None).cast("double").alias("rate"), F.lit(False).alias("passed"))
+    fields = [c for c in found.columns if c not in (key, "row_no")]
+    filled = sum((F.when(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) != "", 1).otherwise(0) for c in fields), F.lit(0))
+    told = found.groupBy(key).agg(F.count("*").alias("rows"), (F.sum(filled) / F.lit(max(1, len(fields))) / F.count("*")).alias("rate"))
+    out = samples.select(key).join(told, key, "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    level = F.when(F.col("rows") == 0, 1).when(F.col("rate") < 0.5, 2).otherwise(3)
+    return out.select(key, level.alias("level"), "rows", "rate", (level == 3).alias("passed"))
+
+
+def shortest_script(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """The shortest edit script of two lists, by the furthest-reaching paths of each number of edits."""
+    n, m = len(x), len(y)
+    reach, trace = {1: 0}, []
+    for d in range(n + m + 1):
+        trace.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            i = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
+            j = i - k
+            while i < n and j < m and x[i] == y[j]:
+                i, j = i + 1, j + 1
+            reach[k] = i
+            if i >= n and j >= m:
+                break
+        else:
+            continue
+        break
+    out, i, j = [], n, m
+    for d in range(len(trace) - 1, -1, -1):
+        k, reach = i - j, trace[d]
+        before = k + 1 if k == -d or k != d and reach[k - 1] < reach[k + 1] else k - 1
+        a = reach[before]
+        b = a - before
+        while i > a and j > b:
+            i, j = i - 1, j - 1
+            out.append((" ", x[i]))
+        if d:
+            out.append(("+", y[b]) if i == a else ("-", x[a]))
+        i, j = a, b
+    return out[::-1]
+
+
 def sequence_difference(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
-    """keys, pos, sign, line: an edit script of two texts' lines, with lines kept (blank), gone (-) and new (+) (SET-02).
+    """keys, pos, sign, line: the shortest edit script of two texts' lines, with lines kept (blank), gone (-) and new (+) (SET-02). Each pair of texts is a row."""
 
-    The script is a valid one, not the shortest in all cases. Each pair of texts is a row.
-    """
     @F.pandas_udf("array<struct<sign:string,line:string>>")
     def script(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> list[tuple[str, str]]:
-            x, y, out = (x or "").split("\n"), (y or "").split("\n"), []
-            for kind, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                out += [(" ", s) for s in x[i:j]] if kind == "equal" else [("-", s) for s in x[i:j]] + [("+", s) for s in y[k:m]]
-            return [{"sign": s, "line": t} for s, t in out]
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+        return pd.Series([[{"sign": s, "line": t} for s, t in shortest_script((x or "").split("\n"), (y or "").split("\n"))] for x, y in zip(a, b, strict=True)])
 
     return pairs.select(*keys, F.posexplode(script(F.col(old), F.col(new))).alias("pos", "s")).select(*keys, "pos", "s.*")
 

@@ -223,3 +223,21 @@ def test_running_values_of_hot_keys(spark, monkeypatch):
     split = sessions.carried(sessions.sessions(df, ["k"], ["t", "i"], F.coalesce(F.col("v") > 6, F.lit(False))), ["k"], ["t", "i"], F.col("v"), "last")
     assert split.columns == [*df.columns, "session_no", "last"]
     assert sorted(map(tuple, split.collect()), key=str) == plain
+
+
+def test_edit_scripts_are_the_shortest():
+    import random
+
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        script = reports.shortest_script(a, b)
+        assert [x for s, x in script if s != "+"] == a and [x for s, x in script if s != "-"] == b
+        assert sum(s == " " for s, _ in script) == common(a, b)
