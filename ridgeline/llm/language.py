@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm import textblocks
-from ridgeline.llm.tuning import small_batches
+from ridgeline.llm.tuning import release, small_batches
 from ridgeline.session import cut
 
 CODES = 1 << 16
@@ -110,11 +110,13 @@ def text_evidence(spark: SparkSession, text: Column, model: Model) -> Column:
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")
-    def evidence(texts: pa.Array) -> pa.Array:
-        found = likelihoods(texts, held.value)
-        return pa.array([x[:-1].tolist() if x[-1] else None for x in found], pa.list_(pa.float64()))
+    def evidence(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            found = likelihoods(texts, held.value)
+            yield pa.array([x[:-1].tolist() if x[-1] else None for x in found], pa.list_(pa.float64()))
+        release()
 
-    return evidence(text)
+    return evidence.asNondeterministic()(text)  # so that a filter on it does not score texts once more
 
 
 def _best(scores: Column) -> Column:

@@ -187,8 +187,10 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     small_batches(docs.sparkSession, 256)
 
     @F.pandas_udf("array<int>")
-    def align(a: pd.Series, b: pd.Series, words: pd.Series, shared: pd.Series) -> pd.Series:
-        return pd.Series([aligned(*map(np.asarray, x), min_words) for x in zip(a, b, words, shared, strict=True)])
+    def align(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([aligned(*map(np.asarray, x), min_words) for x in zip(*part, strict=True)])
+        release()
 
     held = cut(_held(docs, id_col, text_col, min_words))
     seen = held.select("k", F.explode("keys").alias("line"))

@@ -86,10 +86,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, similarity: float) ->
     """a, b, na, nb of the pairs that sizes and sketches do not rule out."""
 
     @F.pandas_udf("boolean")
-    def keep(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint16).reshape(-1, m)
-        y = np.frombuffer(b"".join(b), np.uint16).reshape(-1, m)
-        return pd.Series(setsketch.worth_verifying(x, y, na.to_numpy(), nb.to_numpy(), similarity))
+    def keep(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b, na, nb in parts:
+            x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, m) for s in (a, b))
+            yield pd.Series(setsketch.worth_verifying(x, y, na.to_numpy(), nb.to_numpy(), similarity))
+        release()
 
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a")  # a may have many partners: what is dealt by it is split where it is skewed
@@ -119,8 +120,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs whose full sets are similar enough."""
 
     @F.pandas_udf("long")
-    def both(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    def both(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            yield pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+        release()
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", both("sa", "sb").alias("both"))
