@@ -70,7 +70,7 @@ def test_typed_outputs(spark):
     brief = "Interface    IP-Address  OK? Method Status   Protocol\nGi0/0 10.0.0.1 YES NVRAM up up\nGi0/1 unassigned YES NVRAM administratively down down\n"
     assert one(outputs.cisco_interfaces, brief) == [("Gi0/0", "10.0.0.1", "up", "up"), ("Gi0/1", "", "admin-down", "down")]
     assert one(outputs.cisco_routes, "O 10.1.0.0/16 [110/20] via 10.0.0.2, 00:01:02, Gi0/0\nC 10.0.0.0/30 is directly connected, Gi0/1") == [("10.1.0.0", 16, "ospf", 110, 20, "10.0.0.2", "Gi0/0"), ("10.0.0.0", 30, "connected", 0, 0, "", "Gi0/1")]
-    assert one(outputs.juniper_routes, "10.0.0.0/8 *[OSPF/10] 1d\n  > to 1.1.1.1 via ge-0/0/0.0\n    to 2.2.2.2 via ge-0/0/1.0\n20.0.0.0/8 *[Static/5] 2d\n  > to 3.3.3.3 via ge-0/0/2.0") == [("10.0.0.0", 8, "ospf", 10, "2.2.2.2", "ge-0/0/1.0"), ("20.0.0.0", 8, "static", 5, "3.3.3.3", "ge-0/0/2.0")]
+    assert one(outputs.juniper_routes, "10.0.0.0/8 *[OSPF/10] 1d\n  > to 1.1.1.1 via ge-0/0/0.0\n    to 2.2.2.2 via ge-0/0/1.0\n20.0.0.0/8 *[Static/5] 2d\n  > to 3.3.3.3 via ge-0/0/2.0") == [("default", "10.0.0.0", 8, "ospf", 10, 0, "2.2.2.2", "ge-0/0/1.0"), ("default", "20.0.0.0", 8, "static", 5, 0, "3.3.3.3", "ge-0/0/2.0")]
     assert one(outputs.juniper_interfaces, "Interface Admin Link Proto Local\nge-0/0/0 up down\nge-0/0/0.0 up up inet 10.0.0.1/30") == [("ge-0/0/0", "down", "", ""), ("ge-0/0/0.0", "up", "10.0.0.1", "30")]
     assert one(outputs.huawei_labels, "FEC In/Out IF Vrf\n1.1.1.1/32 NULL/1024 -/GE1\n2.2.2.2/32 3/NULL -/-\n3.3.3.3/32 1025/1026 GE1/GE2") == [("1.1.1.1/32", 0, "1024", "push", "GE1"), ("2.2.2.2/32", 3, "NULL", "pop", "-"), ("3.3.3.3/32", 1025, "1026", "swap", "GE2")]
 
