@@ -665,4 +665,109 @@ ROWS: dict[str, tuple[list[str], list[tuple]]] = {
             ('quit', 'unknown'),
         ],
     ),
+    "plan_vendor_isolation": (
+        ["device_id VARCHAR", "phase INTEGER", "step INTEGER", "on_device VARCHAR", "seq INTEGER", "command VARCHAR"],
+        [
+            ('a', 0, 0, 'a', 0, 'display interface brief'),
+            ('a', 0, 0, 'a', 1, 'display ip routing-table statistics'),
+            ('a', 0, 0, 'a', 2, 'display ospf peer brief'),
+            ('a', 0, 0, 'a', 3, 'display bgp peer'),
+            ('a', 0, 0, 'a', 4, 'display mpls ldp session'),
+            ('a', 0, 0, 'a', 5, 'display current-configuration'),
+            ('a', 0, 0, 'a', 6, 'display lldp neighbor brief'),
+            ('a', 0, 0, 'a', 7, 'display version'),
+            ('a', 0, 1, 'b', 0, 'display interface brief'),
+            ('a', 0, 1, 'b', 1, 'display ip routing-table statistics'),
+            ('a', 0, 1, 'b', 2, 'display ospf peer brief'),
+            ('a', 0, 1, 'b', 3, 'display bgp peer'),
+            ('a', 0, 2, 'c', 0, 'display interface brief'),
+            ('a', 0, 2, 'c', 1, 'display ip routing-table statistics'),
+            ('a', 0, 2, 'c', 2, 'display bgp peer'),
+            ('a', 0, 2, 'c', 3, 'display mpls ldp session'),
+            ('a', 1, 3, 'a', 0, 'display interface brief'),
+            ('a', 1, 3, 'a', 1, 'display ip routing-table statistics'),
+            ('a', 1, 3, 'a', 2, 'display ospf peer brief'),
+            ('a', 1, 3, 'a', 3, 'display bgp peer'),
+            ('a', 1, 3, 'a', 4, 'display mpls ldp session'),
+            ('a', 2, 4, 'a', 0, 'system-view'),
+            ('a', 2, 4, 'a', 1, 'interface GE1'),
+            ('a', 2, 4, 'a', 10, 'return'),
+            ('a', 2, 4, 'a', 2, 'ospf cost 65535'),
+            ('a', 2, 4, 'a', 3, 'quit'),
+            ('a', 2, 4, 'a', 4, 'bgp'),
+            ('a', 2, 4, 'a', 5, 'peer 10.0.0.2 ignore'),
+            ('a', 2, 4, 'a', 6, 'quit'),
+            ('a', 2, 4, 'a', 7, 'interface GE1'),
+            ('a', 2, 4, 'a', 8, 'undo mpls ldp'),
+            ('a', 2, 4, 'a', 9, 'quit'),
+            ('a', 2, 5, 'a', 0, 'display ospf peer brief'),
+            ('a', 2, 5, 'a', 1, 'display bgp peer'),
+            ('a', 3, 6, 'a', 0, 'system-view'),
+            ('a', 3, 6, 'a', 1, 'interface GE1'),
+            ('a', 3, 6, 'a', 2, 'shutdown'),
+            ('a', 3, 6, 'a', 3, 'quit'),
+            ('a', 3, 6, 'a', 4, 'return'),
+            ('a', 4, 7, 'b', 0, 'display interface brief'),
+            ('a', 4, 7, 'b', 1, 'display ip routing-table statistics'),
+            ('a', 4, 7, 'b', 2, 'display ospf peer brief'),
+            ('a', 4, 7, 'b', 3, 'display bgp peer'),
+            ('a', 4, 8, 'c', 0, 'display interface brief'),
+            ('a', 4, 8, 'c', 1, 'display ip routing-table statistics'),
+            ('a', 4, 8, 'c', 2, 'display bgp peer'),
+            ('a', 4, 8, 'c', 3, 'display mpls ldp session'),
+            ('a', 5, 10, 'a', 0, 'system-view'),
+            ('a', 5, 10, 'a', 1, 'interface GE1'),
+            ('a', 5, 10, 'a', 2, 'undo shutdown'),
+            ('a', 5, 10, 'a', 3, 'quit'),
+            ('a', 5, 10, 'a', 4, 'return'),
+            ('a', 5, 9, 'a', 0, 'system-view'),
+            ('a', 5, 9, 'a', 1, 'interface GE1'),
+            ('a', 5, 9, 'a', 10, 'return'),
+            ('a', 5, 9, 'a', 2, 'undo ospf cost'),
+            ('a', 5, 9, 'a', 3, 'quit'),
+            ('a', 5, 9, 'a', 4, 'bgp'),
+            ('a', 5, 9, 'a', 5, 'undo peer 10.0.0.2 ignore'),
+            ('a', 5, 9, 'a', 6, 'quit'),
+            ('a', 5, 9, 'a', 7, 'interface GE1'),
+            ('a', 5, 9, 'a', 8, 'mpls ldp'),
+            ('a', 5, 9, 'a', 9, 'quit'),
+            ('h', 0, 0, 'h', 0, 'display interface brief'),
+            ('h', 0, 0, 'h', 1, 'display ip routing-table statistics'),
+            ('h', 0, 0, 'h', 2, 'display ospf peer'),
+            ('h', 0, 0, 'h', 3, 'display current-configuration'),
+            ('h', 0, 0, 'h', 4, 'display lldp neighbor brief'),
+            ('h', 0, 0, 'h', 5, 'display version'),
+            ('h', 0, 1, 'b', 0, 'display interface brief'),
+            ('h', 0, 1, 'b', 1, 'display ip routing-table statistics'),
+            ('h', 0, 1, 'b', 2, 'display ospf peer'),
+            ('h', 1, 2, 'h', 0, 'display interface brief'),
+            ('h', 1, 2, 'h', 1, 'display ip routing-table statistics'),
+            ('h', 1, 2, 'h', 2, 'display ospf peer'),
+            ('h', 2, 3, 'h', 0, 'system-view'),
+            ('h', 2, 3, 'h', 1, 'interface FGE1'),
+            ('h', 2, 3, 'h', 2, 'ospf cost 65535'),
+            ('h', 2, 3, 'h', 3, 'quit'),
+            ('h', 2, 3, 'h', 4, 'return'),
+            ('h', 2, 4, 'h', 0, 'display ospf peer'),
+            ('h', 2, 4, 'h', 1, 'display bgp peer'),
+            ('h', 3, 5, 'h', 0, 'system-view'),
+            ('h', 3, 5, 'h', 1, 'interface FGE1'),
+            ('h', 3, 5, 'h', 2, 'shutdown'),
+            ('h', 3, 5, 'h', 3, 'quit'),
+            ('h', 3, 5, 'h', 4, 'return'),
+            ('h', 4, 6, 'b', 0, 'display interface brief'),
+            ('h', 4, 6, 'b', 1, 'display ip routing-table statistics'),
+            ('h', 4, 6, 'b', 2, 'display ospf peer'),
+            ('h', 5, 7, 'h', 0, 'system-view'),
+            ('h', 5, 7, 'h', 1, 'interface FGE1'),
+            ('h', 5, 7, 'h', 2, 'undo ospf cost'),
+            ('h', 5, 7, 'h', 3, 'quit'),
+            ('h', 5, 7, 'h', 4, 'return'),
+            ('h', 5, 8, 'h', 0, 'system-view'),
+            ('h', 5, 8, 'h', 1, 'interface FGE1'),
+            ('h', 5, 8, 'h', 2, 'undo shutdown'),
+            ('h', 5, 8, 'h', 3, 'quit'),
+            ('h', 5, 8, 'h', 4, 'return'),
+        ],
+    ),
 }

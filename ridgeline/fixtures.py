@@ -440,6 +440,15 @@ def plan_cutover(spark: SparkSession, d: str) -> DataFrame:
     return topology.cutover_plan(_rows(spark, "device_id string, vendor string, old string, new string", ("a", "huawei", "ge1", "GE8"), ("b", "cisco", "GI0/1", "Gi0/9"), ("c", "huawei", "nope", "GE5")), topology.links(f["interfaces"], f["devices"]), f["interfaces"])
 
 
+@query
+def plan_vendor_isolation(spark: SparkSession, d: str) -> DataFrame:
+    links = _rows(
+        spark, "device_id string, vendor string, n int, local_interface string, peer_device string, peer_ip string, protocols array<string>",
+        ("a", "huawei", 1, "GE1", "b", "10.0.0.2", ["ospf", "bgp"]), ("a", "huawei", 2, "GE1", "c", "", ["bgp", "ldp"]), ("h", "h3c", 1, "FGE1", "b", "10.1.0.2", ["ospf"]),
+    )
+    return topology.vendor_isolation_plan(links)
+
+
 def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     f = _facts(spark)
     return graph.build(f["devices"], f["interfaces"], f["neighbors"])

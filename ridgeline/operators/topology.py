@@ -161,3 +161,56 @@ def cutover_plan(cutovers: DataFrame, found: DataFrame, interfaces: DataFrame) -
     ]
     each = F.filter(F.array(*(F.struct(F.lit(p).alias("phase"), F.lit(i).alias("step"), c.alias("command")) for i, (p, c) in enumerate(steps))), lambda x: x["command"].isNotNull())
     return rows.select("device_id", "old", "new", F.explode(each).alias("t")).select("device_id", "old", "new", "t.*")
+
+
+# What two vendors' devices are asked, what takes a protocol or an interface out of service, and what brings it back.
+ASKED = (("", "display interface brief"), ("", "display ip routing-table statistics"), ("ospf", "display ospf peer brief"), ("bgp", "display bgp peer"), ("ldp", "display mpls ldp session"))
+BASELINE = ("display current-configuration", "display lldp neighbor brief", "display version")
+CHANGES = {"ospf": ("interface {interface}", "ospf cost 65535", "undo ospf cost"), "bgp": ("bgp", "peer {peer} ignore", "undo peer {peer} ignore"), "ldp": ("interface {interface}", "undo mpls ldp", "mpls ldp")}
+
+
+def vendor_isolation_plan(links: DataFrame) -> DataFrame:
+    """device_id, phase, step, on_device, seq, command: a device taken out of service in its vendor's words (QRY-07).
+
+    links: device_id, vendor (huawei or h3c), n (their order), local_interface, peer_device, peer_ip,
+    protocols (an array). Phases: 0 baseline of the device and of each peer, as first seen, 1 checks,
+    2 protocols, 3 interfaces, each once, 4 each peer again, 5 the way back. A device's links are one row.
+    """
+    ls = F.array_sort(F.collect_list(F.struct("n", "local_interface", "peer_device", "peer_ip", "protocols")))
+    rows = links.na.fill("", ["local_interface", "peer_ip"]).groupBy("device_id", "vendor").agg(ls.alias("l"))
+    none = F.array().cast("array<string>")
+    words = lambda *x: F.array(*map(F.lit, x))
+    ospf = F.when(F.col("vendor") == "h3c", "display ospf peer").otherwise("display ospf peer brief")
+
+    def asked(ls: Column) -> Column:
+        has = F.array_distinct(F.flatten(F.transform(ls, lambda x: x["protocols"])))
+        return F.concat(*(F.array(ospf if p == "ospf" else F.lit(c)) if not p else F.when(F.array_contains(has, p), F.array(ospf if p == "ospf" else F.lit(c))).otherwise(none) for p, c in ASKED))
+
+    def change(link: Column, protocol: Column, way: int) -> Column:
+        said = lambda c: F.replace(F.replace(F.lit(c), F.lit("{interface}"), link["local_interface"]), F.lit("{peer}"), F.coalesce(link["peer_ip"], F.lit("")))
+        out = none
+        for name, texts in CHANGES.items():
+            fits = (protocol == name) & ((F.coalesce(link["peer_ip"], F.lit("")) != "") if name == "bgp" else F.lit(True))
+            out = F.when(fits, F.array(said(texts[0]), said(texts[way]), F.lit("quit"))).otherwise(out)
+        return out
+
+    def within(commands: Column) -> Column:
+        return F.concat(words("system-view"), commands, words("return"))
+
+    def protocols(way: int) -> Column:
+        return within(F.flatten(F.transform("l", lambda x: F.flatten(F.transform(x["protocols"], lambda q: change(x, q, way))))))
+
+    def interfaces(said: str) -> Column:
+        names = F.array_distinct(F.filter(F.transform("l", lambda x: x["local_interface"]), lambda n: n != ""))
+        return within(F.flatten(F.transform(names, lambda n: F.array(F.concat(F.lit("interface "), n), F.lit(said), F.lit("quit")))))
+
+    peers = F.array_distinct(F.transform("l", lambda x: x["peer_device"]))
+    step = lambda phase, device, commands: F.struct(F.lit(phase).alias("phase"), device.alias("on_device"), commands.alias("commands"))
+    of_peers = lambda phase: F.transform(peers, lambda q: step(phase, q, asked(F.filter("l", lambda x: x["peer_device"] == q))))
+    own = lambda phase, commands: F.array(step(phase, F.col("device_id"), commands))
+    steps = F.concat(
+        own(0, F.concat(asked(F.col("l")), words(*BASELINE))), of_peers(0), own(1, asked(F.col("l"))), own(2, protocols(1)), own(2, F.array(ospf, F.lit("display bgp peer"))),
+        own(3, interfaces("shutdown")), of_peers(4), own(5, protocols(2)), own(5, interfaces("undo shutdown")),
+    )
+    each = rows.select("device_id", F.posexplode(steps).alias("step", "s"))
+    return each.select("device_id", "s.phase", "step", "s.on_device", F.posexplode("s.commands").alias("seq", "command"))
