@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import language, manifest, merkle
+from ridgeline.llm import dialogue, language, manifest, merkle
 from ridgeline.llm.ann import nearest
 from ridgeline.llm.licences import scan
 from ridgeline.llm.line_dedup import line_dedup
@@ -70,9 +70,13 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.checked(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.checked(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fingerprints": merkle.ORACLE, "op11_manifest": manifest.ORACLE}
+    return {"op3_fingerprints": merkle.ORACLE, "op11_manifest": manifest.ORACLE, "op12_conversations": dialogue.ORACLE}
