@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.order import numbered
 from ridgeline.session import cut
 
-#: A block holds so many levels of a tree: 256 leaves.
+#: A block holds so many levels of a tree, unless another number is asked for: 256 leaves.
 LEVELS = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODES = "tree string, index long, count long, root string"
@@ -84,66 +84,61 @@ def proof(witness: list[str]) -> str:
     return joined(*(step[1:] for step in witness))
 
 
-def _grown(roots: list[str], count: int) -> tuple[Growing, str]:
+def _grown(roots: list[str], count: int, levels: int) -> tuple[Growing, str]:
     """One block of a level of `count` nodes, complete."""
     tree = Growing()
     for r in roots:
         tree.append(r)
-    return tree, tree.close(min(LEVELS, (count - 1).bit_length()))
+    return tree, tree.close(min(levels, (count - 1).bit_length()))
 
 
 def _in_order(table: pa.Table) -> pa.Table:
     return table.sort_by("index")
 
 
-def _roots(nodes: DataFrame) -> DataFrame:
+def _roots(nodes: DataFrame, levels: int) -> DataFrame:
     """The roots of the blocks of a level, which are the nodes of the one above."""
 
     def run(table: pa.Table) -> pa.Table:
         table = _in_order(table)
         tree, at, count = (table.column(c)[0].as_py() for c in ("tree", "index", "count"))
-        _, root = _grown(table.column("root").to_pylist(), count)
-        size = 1 << LEVELS
-        return pa.table({"tree": [tree], "index": [at >> LEVELS], "count": [(count + size - 1) >> LEVELS], "root": [root]})
+        _, root = _grown(table.column("root").to_pylist(), count, levels)
+        return pa.table({"tree": [tree], "index": [at >> levels], "count": [((count - 1) >> levels) + 1], "root": [root]})
 
-    return nodes.select("tree", "index", "count", "root", F.shiftright("index", LEVELS).alias("block")).groupBy("tree", "block").applyInArrow(run, NODES)
+    return nodes.select("tree", "index", "count", "root", F.shiftright("index", levels).alias("block")).groupBy("tree", "block").applyInArrow(run, NODES)
 
 
-def _levels(nodes: DataFrame) -> list[DataFrame]:
-    """nodes and the roots of its blocks, level by level, up to one node for each tree."""
-    levels, most = [nodes], nodes.agg(F.max("count")).first()[0] or 1
+def _storeys(nodes: DataFrame, levels: int) -> list[DataFrame]:
+    """nodes, the roots of its blocks, the roots of their blocks, up to one node for each tree."""
+    storeys, most = [nodes], nodes.agg(F.max("count")).first()[0] or 1
     while most > 1:
-        levels.append(cut(_roots(levels[-1])))
-        most = (most + (1 << LEVELS) - 1) >> LEVELS
-    return levels
+        storeys.append(cut(_roots(storeys[-1], levels)))
+        most = ((most - 1) >> levels) + 1
+    return storeys
 
 
-def _extended(children: DataFrame, above: DataFrame, run, schema: str) -> DataFrame:
+def _extended(children: DataFrame, above: DataFrame, levels: int, run, schema: str) -> DataFrame:
     """children (tree, index, ...) with what `above` (tree, index, steps, ...) holds of their blocks."""
-    below = children.withColumn("block", F.shiftright("index", LEVELS))
+    below = children.withColumn("block", F.shiftright("index", levels))
     return below.groupBy("tree", "block").cogroup(above.withColumnRenamed("index", "block").groupBy("tree", "block")).applyInArrow(run, schema)
 
 
-def _down(levels: list[DataFrame], above: DataFrame) -> DataFrame:
-    """The witnesses of the level above the lowest, from those of the highest (tree, index 0, steps, subroot, top)."""
+def _down(storeys: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
+    """The witnesses of the storey above the lowest, from those of the highest (tree, index 0, steps, subroot, top)."""
     schema = "tree string, index long, steps string, subroot string, top string"
 
     def run(nodes: pa.Table, up: pa.Table) -> pa.Table:
         nodes = _in_order(nodes)
-        tree, _ = _grown(nodes.column("root").to_pylist(), nodes.column("count")[0].as_py())
+        tree, _ = _grown(nodes.column("root").to_pylist(), nodes.column("count")[0].as_py(), levels)
         n, rest = len(nodes), up.column("steps")[0].as_py()
         steps = [" ".join(filter(None, [*w, rest])) for w in tree.witness]
         return pa.table({"tree": nodes.column("tree"), "index": nodes.column("index"), "steps": pa.array(steps, pa.string()), **{c: pa.array(up.column(c).to_pylist() * n, pa.string()) for c in ("subroot", "top")}})
 
-    for nodes in reversed(levels[1:-1]):
-        above = cut(_extended(nodes, above, run, schema))
+    for nodes in reversed(storeys[1:-1]):
+        above = cut(_extended(nodes, above, levels, run, schema))
     return above
 
 
-def _top(levels: list[DataFrame], steps: Column, subroot: Column, top: Column) -> DataFrame:
-    return levels[-1].select("tree", "index", steps.alias("steps"), subroot.alias("subroot"), top.alias("top"))
-
-
 def part(value: Column) -> Column:
     """A field as it is hashed: - if null, else its bytes' number, a colon and its text."""
     text = value.cast("string")
@@ -155,7 +150,7 @@ def leaf(fields: list[Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*map(part, fields)), 256))
 
 
-def manifest(leaves: DataFrame, key: str, group: str) -> DataFrame:
+def manifest(leaves: DataFrame, key: str, group: str, levels: int = LEVELS) -> DataFrame:
     """key, leaf, subroot, root, witness, proof_sha256, folded_root of leaves: key, group, leaf and other (bytes).
 
     A tree for each group, by key (null first) and then leaf; equal rows take following places.
@@ -167,37 +162,35 @@ def manifest(leaves: DataFrame, key: str, group: str) -> DataFrame:
     name = F.when(F.col(group).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     own = leaves.select(F.col(key).alias("key"), "leaf", "other", name.alias("tree"))
     placed = cut(numbered(own, "tree", ["key", "leaf"]))
-    inner = _levels(placed.withColumn("root", F.lower(F.hex("leaf"))))
+    inner = _storeys(placed.withColumn("root", F.lower(F.hex("leaf"))), levels)
     subroots = inner[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "root")
     subroots = cut(numbered(subroots, "tree", ["name"]))
-    outer = _levels(subroots)
-    none = F.lit("")
-    over = _down(outer, _top(outer, none, none, F.col("root")))
+    outer = _storeys(subroots, levels)
+    top = outer[-1].select("tree", "index", F.lit("").alias("steps"), F.lit("").alias("subroot"), F.col("root").alias("top"))
+    over = _down(outer, top, levels)
 
     def groups(nodes: pa.Table, up: pa.Table) -> pa.Table:
         nodes = _in_order(nodes)
-        tree, _ = _grown(nodes.column("root").to_pylist(), nodes.column("count")[0].as_py())
+        tree, _ = _grown(nodes.column("root").to_pylist(), nodes.column("count")[0].as_py(), levels)
         n, rest, top = len(nodes), up.column("steps")[0].as_py(), up.column("top").to_pylist()
         steps = [" ".join(filter(None, [*w, rest])) for w in tree.witness]
         return pa.table({"tree": nodes.column("name"), "index": pa.array([0] * n, pa.int64()), "steps": pa.array(steps, pa.string()), "subroot": nodes.column("root"), "top": pa.array(top * n, pa.string())})
 
-    tops = cut(_extended(subroots, over, groups, "tree string, index long, steps string, subroot string, top string"))
+    tops = cut(_extended(subroots, over, levels, groups, "tree string, index long, steps string, subroot string, top string"))
     kind = leaves.schema[key].dataType.simpleString()
     out = f"key {kind}, leaf string, subroot string, root string, witness string, proof_sha256 string, folded_root string"
 
     def rows(nodes: pa.Table, up: pa.Table) -> pa.Table:
         nodes = _in_order(nodes)
         digests = [x.hex() for x in nodes.column("leaf").to_pylist()]
-        tree, _ = _grown(digests, nodes.column("count")[0].as_py())
+        tree, _ = _grown(digests, nodes.column("count")[0].as_py(), levels)
         n, rest = len(nodes), up.column("steps")[0].as_py().split()
         witness = [w + rest for w in tree.witness]
         other = [d if o is None else o.hex() for o, d in zip(nodes.column("other").to_pylist(), digests, strict=True)]
         found = {"leaf": digests, "subroot": up.column("subroot").to_pylist() * n, "root": up.column("top").to_pylist() * n, "witness": [" ".join(w) for w in witness], "proof_sha256": [proof(w) for w in witness], "folded_root": [folded(o, w) for o, w in zip(other, witness, strict=True)]}
         return pa.table({"key": nodes.column("key"), **{c: pa.array(v, pa.string()) for c, v in found.items()}})
 
-    # A tree of one row has its subroot as its only leaf, without steps of its own.
-    lowest = _down(inner, tops) if len(inner) > 2 else tops
-    return _extended(placed, lowest, rows, out).withColumnRenamed("key", key)
+    return _extended(placed, _down(inner, tops, levels), levels, rows, out).withColumnRenamed("key", key)
 
 
 def tampered(key: str = "doc_id") -> Column:

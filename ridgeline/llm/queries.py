@@ -13,6 +13,7 @@ from ridgeline.llm.mixing import mix
 from ridgeline.llm.near_dedup import near_duplicates
 from ridgeline.llm.packing import pack
 from ridgeline.llm.pages import article_texts, extract
+from ridgeline.llm.quality import quality
 from ridgeline.llm.toxicity import toxicity
 from ridgeline.session import table
 
@@ -74,6 +75,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.checked(table(spark, sf_dir, "conversations"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
