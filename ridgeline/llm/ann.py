@@ -215,13 +215,18 @@ def _nearest(whole: DataFrame, asked: DataFrame, dim: int, kind: str, vector: st
         if not len(base) or not len(asks):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         x, y = (_scaled(np.stack(df.v.to_numpy()).astype(np.float64)) for df in (base, asks))
-        k = min(top + 3, len(x))
-        best = np.argpartition(-(_unit(y) @ _unit(x).T), k - 1, axis=1)[:, :k]
-        flat = best.ravel()
-        own = np.repeat(np.arange(len(y)), k)
+        # All that are as near as the last one, but for rounding, are reckoned in full; of equal ones the least ids stay.
+        near = _unit(y) @ _unit(x).T
+        k = min(top + 1, len(x))
+        least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] - 1e-9
+        own, flat = np.nonzero(near >= least[:, None])
         dots = (x[flat] * y[own]).sum(1)
         score = dots / (np.sqrt((x * x).sum(1))[flat] * np.sqrt((y * y).sum(1))[own])
-        keep = score >= asks.bound.to_numpy()[own]
+        first = np.array([i[0] for i in base.ids])
+        order = np.lexsort((first[flat], -score, own))
+        own, flat, score = own[order], flat[order], score[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        keep = (place < k) & (score >= asks.bound.to_numpy()[own])
         return pd.DataFrame({"q": asks.q.to_numpy()[own[keep]], "ids": base.ids.to_numpy()[flat[keep]], "score": score[keep]})
 
     def search(asks: DataFrame) -> DataFrame:
