@@ -4,10 +4,12 @@ Text is normalised to lower-case words and numbers without punctuation or line e
 matter how a notice is wrapped or led in. A text's bigrams that a template has say where the template
 would begin and end, if they were the same part of it; a stretch between is compared only if its size
 allows the wanted coefficient, 2 min(a, b) / (a + b) >= least, and if enough of its bigrams are known.
+Tags of SPDX are too short for coefficients: most of their words are the tag's own, so identifiers are compared.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,27 +33,23 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-        "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         MIT,
         f"{MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {AS_IS}",
-        "SPDX-License-Identifier: MIT",
     ],
-    "BSD-2-Clause": [f"{BSD_2} {HOLDERS}", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-2-Clause": [f"{BSD_2} {HOLDERS}"],
     "BSD-3-Clause": [
         f"{BSD_2}{BSD_3} {HOLDERS}",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "ISC": [ISC],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
@@ -68,6 +66,36 @@ TEMPLATES: dict[str, list[str]] = {
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
 }
 
+# How the files of whole licences begin.
+FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+HEADS = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "GPL-3.0": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {FSF}",
+    "GPL-2.0": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {FSF}",
+    "LGPL-3.0": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {FSF}",
+    "AGPL-3.0": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {FSF}",
+    "MPL-2.0": 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.',
+}
+for _name, _head in HEADS.items():
+    TEMPLATES[_name].append(_head)
+
+#: A tag states its licence by an identifier, which must be one of these as a whole.
+TAG = b"spdx-license-identifier:"
+IDENTIFIERS = {name.lower(): name for name in TEMPLATES} | {f"{name}{more}".lower(): name for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0") for more in ("-only", "-or-later", "+")}
+
+
+def tagged(text: bytes) -> list[tuple[str, int]]:
+    """Licence and line (from 1) of each identifier of a lower-cased text's tags that is known; an expression may hold several."""
+    out, at = [], text.find(TAG)
+    while at >= 0:
+        end = text.find(b"\n", at)
+        line = text.count(b"\n", 0, at) + 1
+        stated = text[at + len(TAG) : end if end >= 0 else len(text)]
+        out += [(IDENTIFIERS[x.decode()], line) for x in re.findall(rb"[a-z0-9.+-]+", stated) if x.decode() in IDENTIFIERS]
+        at = text.find(TAG, at + 1)
+    return out
+
+
 #: What parts words: white space and ASCII punctuation.
 PARTS = textblocks.SPACE.copy()
 PARTS[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -137,19 +165,22 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     found: the licence, coefficient, first and last line (from 1) of every notice, in order; a
     notice is a stretch of words that reaches `least` with a template, and of stretches that overlap
     the best one, of equal ones the longest, then the first, then the first template. notices: how many. licence,
-    dice and line are those of the best. Null without notices, as for null and empty texts. Lines
+    dice and line are those of the best. A tag of SPDX is a notice if its identifier is that of a
+    template's licence as a whole, with coefficient 1; other identifiers give nothing. Null without notices, as for null and empty texts. Lines
     are those between \\n. Rows that repeat get equal results; a null id is kept; an empty table
     gives no rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
     known = Templates(templates or TEMPLATES, least)
+    names = set(known.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in textblocks.blocks(batch.column(1), PARTS):
                 grams, bounds = textblocks.runs(block.hashes(), block.words, 2)
                 newline = np.flatnonzero(block.data == 10)
-                rows = []
+                whole = block.data.tobytes()
+                tags, rows = TAG in whole, []
                 for t in range(len(bounds) - 1):
                     own = []
                     for i, d, x, y in known.notices(grams[bounds[t] : bounds[t + 1]]):
@@ -158,6 +189,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
                         before = int(np.searchsorted(newline, block.offsets[t]))
                         lines = np.searchsorted(newline, [first, last]) - before + 1
                         own.append({"licence": known.names[i], "dice": d, "line": int(lines[0]), "last": int(lines[1])})
+                    if tags:
+                        stated = [(n, x) for n, x in tagged(whole[block.offsets[t] : block.offsets[t + 1]]) if n in names]
+                        own = sorted([*own, *({"licence": n, "dice": 1.0, "line": x, "last": x} for n, x in stated)], key=lambda r: r["line"])
                     rows.append(own)
                 best = [max(r, key=lambda x: x["dice"]) if r else {} for r in rows]
                 ids = batch.column(0).slice(block.first, len(rows))
