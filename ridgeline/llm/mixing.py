@@ -123,15 +123,19 @@ def mix(docs: DataFrame, most: int = 3, id_col: str = "doc_id", source_col: str
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "taken", "copies", "begun")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mixed(docs: DataFrame, most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
     """docs as the mix has them: each row as often as it has copies, a begun copy cut after its words; columns as before. Texts are not shuffled."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"))
     out = _planned(rows, *_solved(rows.select("source", "size"), most), most, seed)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies") + (F.col("begun") > 0).cast("int")))
     out = out.where("copies > 0 or begun > 0").select("row", "copies", "begun", copies.alias("copy"))
-    text = F.col(f"row.{text_col}")
+    text = F.col(f"row.{_quoted(text_col)}")
     start = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("begun").cast("int")), "")
-    columns = {c: F.col(f"row.{c}") for c in docs.columns}
+    columns = {c: F.col(f"row.{_quoted(c)}") for c in docs.columns}
     part = F.col("copy") > F.col("copies")
     columns[text_col] = F.when(part, start).otherwise(text)
     if "n_chars" in columns:
