@@ -39,7 +39,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def leaves(fingerprint: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(fingerprint, F.lit(r"\.([0-9a-f]{8})"), F.lit(1)))
+    """The leaves of a fingerprint, each as often as it stands there."""
+    return F.regexp_extract_all(fingerprint, F.lit(r"\.([0-9a-f]{8})"), F.lit(1))
 
 
 def root(fingerprint: Column) -> Column:
@@ -47,10 +48,22 @@ def root(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared leaves of two fingerprints: Dice's coefficient, 1 for equal ones."""
-    both = F.size(F.array_intersect(leaves(a), leaves(b))) * 2.0
-    total = F.size(leaves(a)) + F.size(leaves(b))
-    return F.when(root(a) == root(b), 1.0).when(total == 0, 0.0).otherwise(both / total)
+    """Dice's coefficient of the leaves of two fingerprints, repeats counted; 1 for equal roots, and below 1 for others.
+
+    Texts of the same leaves in another order would reach 1: then one leaf more, of neither, is added
+    to all. Leaves are sorted together, so the cost is that of sorting, however long a text is.
+    """
+    marked = F.array_sort(F.concat(F.transform(leaves(a), lambda x: F.concat(x, F.lit("a"))), F.transform(leaves(b), lambda x: F.concat(x, F.lit("b")))))
+    start = F.struct(F.lit("").alias("leaf"), F.lit(0).alias("more"), F.lit(0).alias("apart"))
+
+    def count(s: Column, x: Column) -> Column:
+        leaf, one = F.left(x, F.lit(8)), F.when(x.endswith("a"), 1).otherwise(-1)
+        same = s["leaf"] == leaf
+        return F.struct(leaf.alias("leaf"), F.when(same, s["more"] + one).otherwise(one).alias("more"), F.when(same, s["apart"]).otherwise(s["apart"] + F.abs(s["more"])).alias("apart"))
+
+    apart = F.aggregate(marked, start, count, lambda s: s["apart"] + F.abs(s["more"]))
+    total = F.size(marked)
+    return F.when(root(a) == root(b), 1.0).when(total == 0, 0.0).when(apart == 0, total / (total + 1.0)).otherwise((total - apart) / (total * F.lit(1.0)))
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -146,7 +159,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all, of the next row's text by ascending id; the last row's next is the first.
 
     A null text is empty; the fingerprint of an empty text is that of one empty paragraph. Rows
-    that repeat an id follow each other by a hash of their text; a null id comes first. A row alone
+    that repeat an id follow each other by a hash of their text; those that repeat the text too stay in one run. A null id comes first. A row alone
     is its own next. An empty table gives no rows. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -175,8 +188,10 @@ def _print_sql(tree: str) -> str:
 
 
 def _near_sql(a: str, b: str) -> str:
-    of = lambda c: f"list_distinct(regexp_extract_all({c}, '\\.([0-9a-f]{{8}})', 1))"
-    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN len({of(a)}) + len({of(b)}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({of(a)}, {of(b)})) * 2.0::DOUBLE / (len({of(a)}) + len({of(b)})) END"
+    of = lambda c: f"regexp_extract_all({c}, '\\.([0-9a-f]{{8}})', 1)"
+    total = f"(len({of(a)}) + len({of(b)}))"
+    apart = f"(SELECT coalesce(sum(abs(d)), 0) FROM (SELECT sum(s) AS d FROM (SELECT unnest({of(a)}) AS x, 1 AS s UNION ALL SELECT unnest({of(b)}), -1) GROUP BY x))"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {total} = 0 THEN 0.0::DOUBLE WHEN {apart} = 0 THEN {total} / ({total} + 1.0::DOUBLE) ELSE ({total} - {apart}) / ({total} * 1.0::DOUBLE) END"
 
 
 def _agreeing_sql(a: str, b: str) -> str:
