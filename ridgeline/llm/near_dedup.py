@@ -45,7 +45,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, m: int) -> DataFrame:
-    """id, node (class; null without words), n (size of the set), sketch."""
+    """id, text_hash, node (class; null without words), n (size of the set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,17 +56,18 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, m: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)),
+                        batch.column(2).slice(first, len(sets)),
                         pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array([r.tobytes() if k else None for r, k in zip(regs, sizes, strict=True)], pa.binary()),
                     ],
-                    names=["id", "node", "n", "sketch"],
+                    names=["id", "text_hash", "node", "n", "sketch"],
                 )
         release()
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", kind), T.StructField("text_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, schema)
 
 
 def _banded(classes: DataFrame, m: int, bands: int) -> DataFrame:
@@ -186,7 +187,7 @@ def _apart(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = 128, bands: int = 32) -> DataFrame:
-    """id_col, n_shingles, component_id, kept for each row of docs.
+    """id_col, n_shingles, component_id, kept, text_hash (xxhash64 of the text) for each row of docs.
 
     Texts are linked if 100 * |A and B| >= percent * |A or B| for their sets of word shingles;
     component_id is the smallest id reachable by links, kept is whether that is the row's own.
@@ -218,6 +219,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = classes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = info.groupBy("component").agg(F.min("id").alias("component_id"))
     info = info.join(least, "component").select("node", "component_id")
-    out = rows.select("id", "node", "n").join(info, "node", "left")
+    out = rows.select("id", "text_hash", "node", "n").join(info, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from ridgeline.llm import setsketch, textblocks
 from ridgeline.llm.near_dedup import near_duplicates
 
@@ -91,3 +93,13 @@ def test_words_are_those_of_the_pattern():
         assert np.diff(block.words).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
         h = block.hashes()
         assert h[-1] == h[-2] and len(set(h.tolist())) == len(h) - 1 - 1 or len(pd.unique(h)) >= len(h) - 2
+
+
+def test_rows_of_one_id_are_told_by_their_text(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, long), (7, long + " more"), (7, "quite another text of several words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "a.b": F.lit(1)})
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([rows[0], rows[2]])
