@@ -56,9 +56,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates. Runs of five words, similarity of 0.8."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(_whole(docs))
-    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(_columns(docs))
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"), "text_hash").distinct()
+    rows = docs.select(_whole(docs), F.xxhash64("text").alias("hash"))
+    own = F.col("row.doc_id").eqNullSafe(F.col("_kept")) & (F.col("hash") == F.col("text_hash"))
+    return rows.join(kept, own, "left_semi").select(_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
