@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.manifest import CRC_SQL, crc_sql
-from ridgeline.llm.order import numbered
+from ridgeline.operators.ordering import numbered
 from ridgeline.session import cut
 
 CHUNK = 4096

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.order import numbered
+from ridgeline.operators.ordering import numbered
 from ridgeline.session import cut
 
 #: A block holds so many levels of a tree, unless another number is asked for: 256 leaves.

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm import dialogue, manifest, quality
-from ridgeline.llm.order import numbered
+from ridgeline.operators.ordering import numbered
 from ridgeline.llm.queries import oracle_sql, queries
 from tests.llm.test_llm_operators import ODD
 
