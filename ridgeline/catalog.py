@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from ridgeline import fixtures
 from ridgeline.queries import FOUND, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return FOUND | fixtures.FOUND
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | fixtures.oracle_sql()
+    return dict(SQL)

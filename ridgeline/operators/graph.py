@@ -71,18 +71,19 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "type", "n").union(edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge"), "type", "n"))
 
 
-def distances_over(nodes: DataFrame, edges: DataFrame, start: DataFrame, kind: str, most: int = 1_000) -> DataFrame:
+def distances_over(nodes: DataFrame, edges: DataFrame, start: DataFrame, kind: str, most: int | None = None) -> DataFrame:
     """distances() over nodes of one type alone; a start may be of any type (GRA-04)."""
     allowed = nodes.where(F.col("type") == kind).select("id")
     return distances(edges.join(allowed, edges.dst == allowed.id, "left_semi"), start, most)
 
 
-def distances(edges: DataFrame, start: DataFrame, most: int = 1_000) -> DataFrame:
-    """origin, node, hops: the fewest edges (src, dst) from each origin to each node it reaches (GRA-03). start: origin, node."""
+def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """origin, node, hops: the fewest edges (src, dst) from each origin to each node it reaches, in `most` hops if that is given (GRA-03). start: origin, node."""
     out = edges.select("src", "dst").distinct()
     seen = cut(start.select("origin", "node", F.lit(0).alias("hops")).distinct())
-    frontier = seen
-    for hop in range(1, most + 1):
+    frontier, hop = seen, 0
+    while most is None or hop < most:
+        hop += 1
         step = frontier.join(out, frontier.node == out.src).select("origin", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen, ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)).select("origin", "node", "hops"))
         if frontier.isEmpty():
@@ -91,30 +92,54 @@ def distances(edges: DataFrame, start: DataFrame, most: int = 1_000) -> DataFram
     return seen
 
 
-def shortest_path(edges: DataFrame, a, b, most: int = 1_000) -> list:
-    """Nodes of a shortest path from a to b; of equal ones that with the least nodes. [] if there is none; [a] if a is b (GRA-03)."""
-    if a == b:
-        return [a]
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
+def _followed(ends: DataFrame, steps: DataFrame, side: str) -> DataFrame:
+    """a, b, nodes: from a pair's meeting node (a, b, node) the nodes that `steps` (a, b, node, to) lead to, one after another; to is null at an end."""
+    left = cut(ends.select("a", "b", "node", F.array().cast(f"array<{ends.schema['node'].dataType.simpleString()}>").alias("nodes")))
+    done = None
+    while not left.isEmpty():
+        step = cut(left.join(steps, ["a", "b", "node"]))
+        over = step.where("to is null").select("a", "b", "nodes")
+        done = over if done is None else done.union(over)
+        nodes = F.concat(F.array("to"), "nodes") if side == "before" else F.concat("nodes", F.array("to"))
+        left = step.where("to is not null").select("a", "b", F.col("to").alias("node"), nodes.alias("nodes"))
+    return ends.select("a", "b", "node").join(done, ["a", "b"]) if done is not None else ends.select("a", "b", "node", F.array("node").alias("nodes"))
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, path: for each pair (a, b) the nodes of a shortest path, null if there is none; [a] if a is b (GRA-03).
+
+    Each pair is searched from both ends at once, a level on one side and then one on the other, until the
+    sides meet or one has nothing left; all pairs go together. Of equal paths that over the least
+    meeting node is taken, and from there the least node at each step.
+    """
     out = edges.select("src", "dst").distinct()
-    frontier = cut(spark.createDataFrame([(a, None)], f"node {kind}, before {kind}"))
-    levels, seen = [frontier], frontier.select("node")
-    for _ in range(most):
-        step = frontier.join(out, frontier.node == out.src).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before"))
-        frontier = cut(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return []
-        levels.append(frontier)
-        seen = cut(seen.union(frontier.select("node")))
-        if not frontier.where(F.col("node") == F.lit(b)).isEmpty():
-            break
-    else:
-        return []
-    path = [b]
-    for level in reversed(levels[1:]):  # one node of each level
-        path.append(level.where(F.col("node") == F.lit(path[-1])).first().before)
-    return path[::-1]
+    pairs = cut(pairs.select("a", "b").distinct())
+    sides = {}
+    for side in ("a", "b"):
+        sides[side] = cut(pairs.select("a", "b", F.col(side).alias("node"), F.lit(None).cast(pairs.schema[side].dataType).alias("to")))
+    fronts, left, met = dict(sides), pairs, pairs.limit(0).select("a", "b", F.col("a").alias("node"))
+    while True:
+        for side in ("a", "b"):
+            hit = sides["a"].select("a", "b", "node").join(sides["b"].select("a", "b", "node"), ["a", "b", "node"]).join(left, ["a", "b"], "left_semi")
+            met = cut(met.union(hit.groupBy("a", "b").agg(F.min("node").alias("node"))))
+            alive = fronts["a"].select("a", "b").intersect(fronts["b"].select("a", "b"))
+            left = cut(left.join(met, ["a", "b"], "left_anti").join(alive, ["a", "b"], "left_semi"))
+            if left.isEmpty():
+                before, after = _followed(met, sides["a"], "before"), _followed(met, sides["b"], "after")
+                whole = before.withColumnRenamed("nodes", "x").join(after.select("a", "b", F.col("nodes").alias("y")), ["a", "b"])
+                return pairs.join(whole.select("a", "b", F.concat("x", F.array("node"), "y").alias("path")), ["a", "b"], "left")
+            ways = out if side == "a" else out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            own = fronts[side].join(left, ["a", "b"], "left_semi")
+            step = own.join(ways, own.node == ways.src).groupBy("a", "b", F.col("dst").alias("_new")).agg(F.min("src").alias("to")).withColumnRenamed("_new", "node")
+            fronts[side] = cut(step.join(sides[side], ["a", "b", "node"], "left_anti").select("a", "b", "node", "to"))
+            sides[side] = cut(sides[side].union(fronts[side]))
+
+
+def shortest_path(edges: DataFrame, a, b) -> list:
+    """The path of shortest_paths() of one pair; [] if there is none (GRA-03)."""
+    kind = edges.schema["src"].dataType.simpleString()
+    row = shortest_paths(edges, edges.sparkSession.createDataFrame([(a, b)], f"a {kind}, b {kind}")).first()
+    return row.path or []
 
 
 def simple_paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
@@ -172,25 +197,3 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         rest = left.join(back.withColumnRenamed("node", "src"), "src", "left_anti").join(back.withColumnRenamed("node", "dst"), "dst", "left_anti")
         left = _trimmed(cut(rest.select("src", "dst")))
     return found if found is not None else left.select(F.col("src").alias("node"))
-
-
-def unreachable(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """gone, node: for each removed node, those that the least remaining node no longer reaches (GRA-08). nodes, gone: id."""
-    pairs = gone.select(F.col("id").alias("gone")).join(nodes.select(F.col("id").alias("node")), F.col("gone") != F.col("node"))  # as many removals as are asked
-    start = pairs.groupBy("gone").agg(F.min("node").alias("node"))
-    left = edges.select("src", "dst").distinct()
-    seen = cut(start)
-    frontier = seen
-    while not frontier.isEmpty():
-        step = frontier.join(left, frontier.node == left.src).where("dst <> gone").select("gone", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["gone", "node"], "left_anti"))
-        seen = cut(seen.union(frontier))
-    return pairs.join(seen, ["gone", "node"], "left_anti")
-
-
-def single_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, cut_off: nodes whose removal cuts others off, and how many, beside those that were cut off before (GRA-07)."""
-    least = nodes.agg(F.min("id").alias("node"))
-    whole = distances(edges, least.select(F.col("node").alias("origin"), "node")).select("node")
-    lost = unreachable(nodes, edges, nodes).join(whole, "node", "left_semi")
-    return lost.groupBy(F.col("gone").alias("id")).agg(F.count("*").alias("cut_off"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.naming import pieces
 from ridgeline.functions.network import dotted_mask, mask_length, network, subnet, to_long
+from ridgeline.operators import blocks
 
 
 def links_by_description(interfaces: DataFrame, devices: DataFrame) -> DataFrame:
@@ -101,6 +102,16 @@ def summary(devices: DataFrame, interfaces: DataFrame, peers: DataFrame, found:
     return out
 
 
+def single_points(nodes: DataFrame, edges: DataFrame, devices: DataFrame) -> DataFrame:
+    """device, single_point, affected: of each device asked about (id), whether others lose their way without it, and how many (GRA-09); blocks.impact() has which.
+
+    nodes: id; edges: src, dst, both ways. The whole graph is taken apart once for all devices.
+    """
+    lost = blocks.impact(nodes, edges, devices).groupBy(F.col("gone").alias("id")).agg(F.count("*").alias("affected"))
+    out = devices.select("id").distinct().join(lost, "id", "left")
+    return out.select(F.col("id").alias("device"), F.col("affected").isNotNull().alias("single_point"), F.coalesce("affected", F.lit(0)).alias("affected"))
+
+
 #: Steps of taking a device out of service: phase, kind of object, what is said for each (QRY-06).
 ISOLATION = ((1, "device", "save configuration"), (2, "igp", "raise cost of {name}"), (3, "wait", "wait for convergence"), (4, "ldp", "disable ldp on {name}"), (5, "bgp", "shut peer group {name}"), (6, "interface", "shut interface {name}"))
 RANKS = ("downstream", "external", "upstream", "internal", "reflector")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import classify, commands, network
-from ridgeline.operators import graph, merge, reports, search, sessions
+from ridgeline.operators import blocks, graph, merge, reports, search, sessions, topology
+from ridgeline.operators.ordering import numbered
 from ridgeline.plans import program
-from ridgeline.session import table
+from ridgeline.session import cut, table
 from ridgeline.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,37 +421,75 @@ def graph_all_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.simple_paths(_edges(spark, d), start, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
 
 
+# The suppliers of each nation in a row by key, the first behind the nation; of nations with even keys the last leads back to it.
+ROW_SQL = """line AS (SELECT 1000 + s_suppkey::BIGINT AS id, 100 + s_nationkey::BIGINT AS nation, lag(1000 + s_suppkey::BIGINT) OVER w AS before, lead(s_suppkey) OVER w IS NULL AS last FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+ways AS (SELECT 0::BIGINT AS src, 1 + r_regionkey::BIGINT AS dst FROM region UNION ALL SELECT 1 + n_regionkey::BIGINT, 100 + n_nationkey::BIGINT FROM nation UNION ALL SELECT coalesce(before, nation), id FROM line UNION ALL SELECT id, nation FROM line WHERE last AND nation % 2 = 0),
+edges AS (SELECT src, dst FROM ways UNION ALL SELECT dst, src FROM ways), nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"""
+
+
+def _ways(spark: SparkSession, d: str) -> DataFrame:
+    long = lambda c, base: (F.lit(base) + F.col(c).cast("long"))
+    region = table(spark, d, "region").select(F.lit(0).cast("long").alias("src"), long("r_regionkey", 1).alias("dst"))
+    nation = table(spark, d, "nation").select(long("n_regionkey", 1), long("n_nationkey", 100))
+    line = numbered(table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("of"), long("s_nationkey", 100).alias("nation"), long("s_suppkey", 1000).alias("id")), "of", ["id"])
+    before = line.select("of", F.col("id").alias("before"), (F.col("index") + 1).alias("index"))
+    row = line.join(before, ["of", "index"], "left").select(F.coalesce("before", "nation"), "id")
+    back = line.where((F.col("index") + 1 == F.col("count")) & (F.col("nation") % 2 == 0)).select("id", "nation")
+    return region.union(nation).union(row).union(back)
+
+
+def _both_ways(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of _ways(), which count both ways."""
+    ways = cut(_ways(spark, d))
+    edges = ways.union(ways.select("dst", "src"))
+    return edges.select(F.col("src").alias("id")).distinct(), edges
+
+
 @query(f"""
-WITH RECURSIVE {EDGES_SQL}, r AS (SELECT src AS o, dst AS node FROM edges UNION SELECT o, dst FROM r JOIN edges ON node = src)
+WITH RECURSIVE {ROW_SQL}, r AS (SELECT src AS o, dst AS node FROM ways UNION SELECT o, dst FROM r JOIN ways ON node = src)
 SELECT DISTINCT node FROM r WHERE o = node""")
 def graph_cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.on_cycles(_edges(spark, d))
+    return graph.on_cycles(_ways(spark, d))
 
 
-NODES_SQL = "nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
+LOST_SQL = """s AS (SELECT g.id AS gone, min(n.id) AS node FROM nodes g JOIN nodes n ON g.id <> n.id GROUP BY g.id),
+r AS (SELECT gone, node FROM s UNION SELECT gone, dst FROM r JOIN edges ON node = src WHERE dst <> gone)"""
 
 
 @query(f"""
-WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, s AS (SELECT g.id AS gone, min(n.id) AS node FROM nodes g JOIN nodes n ON g.id <> n.id GROUP BY g.id),
-r AS (SELECT gone, node FROM s UNION SELECT gone, dst FROM r JOIN edges ON node = src WHERE dst <> gone)
+WITH RECURSIVE {ROW_SQL}, {LOST_SQL}
 SELECT g.id AS gone, n.id AS node FROM nodes g JOIN nodes n ON g.id <> n.id WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.gone = g.id AND r.node = n.id)""")
 def graph_impact(spark: SparkSession, d: str) -> DataFrame:
-    edges, nodes = _with_nodes(spark, d)
-    return graph.unreachable(nodes, edges, nodes)
-
-
-def _with_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = _edges(spark, d)
-    return edges, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    nodes, edges = _both_ways(spark, d)
+    return blocks.impact(nodes, edges, nodes)
 
 
 @query(f"""
-WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, w AS (SELECT min(id) AS node FROM nodes UNION SELECT dst FROM w JOIN edges ON node = src), s AS (SELECT g.id AS gone, min(n.id) AS node FROM nodes g JOIN nodes n ON g.id <> n.id GROUP BY g.id),
-r AS (SELECT gone, node FROM s UNION SELECT gone, dst FROM r JOIN edges ON node = src WHERE dst <> gone)
+WITH RECURSIVE {ROW_SQL}, {LOST_SQL}, w AS (SELECT min(id) AS node FROM nodes UNION SELECT dst FROM w JOIN edges ON node = src)
 SELECT g.id, count(*) AS cut_off FROM nodes g JOIN nodes n ON g.id <> n.id JOIN w ON w.node = n.id WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.gone = g.id AND r.node = n.id) GROUP BY g.id""")
 def graph_spof(spark: SparkSession, d: str) -> DataFrame:
-    edges, nodes = _with_nodes(spark, d)
-    return graph.single_points(nodes, edges)
+    nodes, edges = _both_ways(spark, d)
+    return blocks.cut_points(nodes, edges)
+
+
+@query(f"""
+WITH RECURSIVE {ROW_SQL}, {LOST_SQL}, l AS (SELECT g.id AS device, n.id AS node FROM nodes g JOIN nodes n ON g.id <> n.id WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.gone = g.id AND r.node = n.id))
+SELECT id AS device, count(node) > 0 AS single_point, count(node) AS affected FROM nodes LEFT JOIN l ON id = device WHERE id BETWEEN 100 AND 999 GROUP BY id""")
+def topology_single_points(spark: SparkSession, d: str) -> DataFrame:
+    """What a topology says of each device asked about (here the nations): whether it is a single point, and what it would cut off."""
+    nodes, edges = _both_ways(spark, d)
+    return topology.single_points(nodes, edges, nodes.where("id between 100 and 999"))
+
+
+@query(f"""
+WITH RECURSIVE {ROW_SQL}, p AS (SELECT 1000 + s_suppkey::BIGINT AS a, 1000 + (SELECT max(s_suppkey) FROM supplier)::BIGINT AS b FROM supplier WHERE s_suppkey % 10 = 0),
+r AS (SELECT DISTINCT a, a AS node, 0 AS hops FROM p UNION SELECT a, dst, hops + 1 FROM r JOIN edges ON node = src WHERE hops < 40)
+SELECT p.a, p.b, min(hops) AS hops FROM p LEFT JOIN r ON r.a = p.a AND r.node = p.b GROUP BY p.a, p.b""")
+def graph_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    _, edges = _both_ways(spark, d)
+    keys = table(spark, d, "supplier").select((F.col("s_suppkey").cast("long") + 1000).alias("a"))
+    pairs = keys.where("a % 10 = 0").join(F.broadcast(keys.agg(F.max("a").alias("b"))))  # a row
+    return graph.shortest_paths(edges, pairs).select("a", "b", (F.size("path") - 1).alias("hops"))
 
 
 # Search and vectors.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,6 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again.
+
+    Unlike cut() it forgets what was estimated: in a loop of joins of a table with itself the
+    estimates of its size would be squared each time, to numbers of millions of digits.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; any path that Spark's readers open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

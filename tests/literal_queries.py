@@ -1,11 +1,11 @@
-"""Queries of operators over texts and facts that stand here, since no table of the driver holds the like; their SQL names the rows that come out."""
+"""Operators over texts and facts that stand here; the rows that come out stand in literal_rows.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.fixture_rows import ROWS
+from literal_rows import ROWS
 from ridgeline.functions import classify, commands, naming, network, questions
 from ridgeline.operators import config, devices, graph, merge, outputs, reports, routing, search, sessions, topology
 from ridgeline.plans import program

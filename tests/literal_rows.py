@@ -1,4 +1,4 @@
-"""What the queries of fixtures.py return: columns with their types, and rows, read through by hand."""
+"""What the queries of literal_queries.py return: columns with their types, and rows, read through by hand."""
 
 # fmt: off
 ROWS: dict[str, tuple[list[str], list[tuple]]] = {

@@ -1,19 +1,19 @@
-"""Each query over literal texts and facts against the rows that its SQL names."""
+"""Each operator over literal texts and facts against the rows that were read through by hand."""
 
 import duckdb
 import pytest
 
-from ridgeline import fixtures
+import literal_queries
 
 
 def test_every_query_has_rows():
-    assert set(fixtures.FOUND) == set(fixtures.ROWS) == set(fixtures.oracle_sql())
-    assert all(rows for _, rows in fixtures.ROWS.values())
+    assert set(literal_queries.FOUND) == set(literal_queries.ROWS) == set(literal_queries.oracle_sql())
+    assert all(rows for _, rows in literal_queries.ROWS.values())
 
 
-@pytest.mark.parametrize("name", sorted(fixtures.FOUND))
+@pytest.mark.parametrize("name", sorted(literal_queries.FOUND))
 def test_rows(spark, name):
-    got = fixtures.FOUND[name](spark, "")
-    want = duckdb.sql(fixtures.oracle_sql()[name])
+    got = literal_queries.FOUND[name](spark, "")
+    want = duckdb.sql(literal_queries.oracle_sql()[name])
     assert got.columns == want.columns
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import classify, commands, network
-from ridgeline.operators import graph, merge, outputs, reports, search, sessions
+from ridgeline.operators import blocks, graph, merge, outputs, reports, search, sessions
 from ridgeline.sources.tables import NotFound, point, scan
 
 
@@ -99,7 +99,7 @@ def test_graphs(spark):
     assert ("a", "b", "c", "d") in paths and ("a", "b", "e", "d") in paths and all(len(set(p)) == len(p) <= 5 for p in paths)
     star = spark.createDataFrame(both([("b", "a"), ("b", "c"), ("b", "d")]), "src string, dst string")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
-    assert {(r.id, r.cut_off) for r in graph.single_points(nodes, star).collect()} == {("b", 2)}
+    assert {(r.id, r.cut_off) for r in blocks.cut_points(nodes, star).collect()} == {("b", 2)}
     loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     assert {r.node for r in graph.on_cycles(loop).collect()} == {"a", "b", "c"}
     devices = spark.createDataFrame([("r1", "1.1.1.1"), ("R2", "2.2.2.2")], "id string, router_id string")
