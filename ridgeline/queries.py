@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import classify, commands, network
 from ridgeline.operators import blocks, graph, merge, reports, search, sessions, topology
+from ridgeline.operators.index import Index
 from ridgeline.operators.ordering import numbered
 from ridgeline.plans import program
-from ridgeline.session import cut, table
+from ridgeline.session import checkpoint_dir, cut, table
+from ridgeline.sources.store import Duplicate, Store
 from ridgeline.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -514,6 +517,70 @@ def fts_index(spark: SparkSession, d: str) -> DataFrame:
     return search.search_index(held, "doc_id", ["License", "under"]).withColumn("score", six(F.col("score")))
 
 
+def _changed_index(spark: SparkSession, d: str) -> Index:
+    """An index of documents in parts: every tenth is replaced by its first half, one in seven is deleted."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = Index(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", 16)
+    held.add(docs.where("lang = 'en'"), "doc_id", "text")
+    held.add(docs.where("lang <> 'en'"), "doc_id", "text")
+    held.add(docs.where("doc_id % 10 = 0").select("doc_id", F.left("text", F.floor(F.length("text") / 2).cast("int")).alias("text")), "doc_id", "text")
+    held.delete(docs.where("doc_id % 7 = 3"), "doc_id")
+    return held
+
+
+CHANGED_SQL = "changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(text, length(text) // 2) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+@query(f"""
+WITH {CHANGED_SQL}, p AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS w FROM changed)
+SELECT doc_id FROM p WHERE contains(w, ' of the ') AND contains(w, ' licen') AND NOT contains(w, ' mit ') OR contains(w, ' la de ') AND contains(w, ' eau')""")
+def fts_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return _changed_index(spark, d).match('"of the" licen* NOT mit OR "la de" eau*').withColumnRenamed("doc", "doc_id")
+
+
+@query(f"""
+WITH {CHANGED_SQL}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM changed),
+c AS (SELECT doc_id, len(w) * 1.0::DOUBLE AS l, len(list_filter(w, lambda x: x = 'license')) * 1.0::DOUBLE AS a, len(list_filter(w, lambda x: x = 'under')) * 1.0::DOUBLE AS b FROM t),
+s AS (SELECT count(*) * 1.0::DOUBLE AS n, avg(l) AS v, count(*) FILTER (WHERE a > 0) * 1.0::DOUBLE AS da, count(*) FILTER (WHERE b > 0) * 1.0::DOUBLE AS db FROM c)
+SELECT doc_id, round(greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / v)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / v)), 6) AS score FROM c, s WHERE a > 0 AND b > 0""")
+def fts_changed(spark: SparkSession, d: str) -> DataFrame:
+    held = _changed_index(spark, d)
+    held.merge()
+    return held.ranked(["license", "under"]).select(F.col("doc").alias("doc_id"), six(F.col("score")).alias("score"))
+
+
+@query("""
+SELECT version, what, o_orderstatus, count(*) AS n FROM (
+  SELECT 1 AS version, 'order' AS what, o_orderstatus FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, 'line', o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'
+  UNION ALL SELECT 2, 'order', o_orderstatus FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT 2, 'line', o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O') GROUP BY ALL""")
+def atomic_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their lines come in together; a batch with one order twice leaves nothing, and each version can be read."""
+    store = Store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", 16)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice")))
+    lines = lines.select("l_orderkey", "line", "o_orderstatus")
+
+    def batch(status: str, more: DataFrame | None = None) -> dict:
+        own = orders.where(F.col("o_orderstatus") == status)
+        return {"lines": (lines.where(F.col("o_orderstatus") == status), ["l_orderkey", "line"]), "orders": (own if more is None else own.union(more), ["o_orderkey"])}
+
+    store.insert(batch("F"))
+    first = orders.where("o_orderstatus = 'F'").orderBy("o_orderkey").limit(1)
+    if not first.isEmpty():
+        try:
+            store.insert(batch("O", first))
+            raise AssertionError("the batch repeats an order")
+        except Duplicate:
+            pass
+    store.insert(batch("P"))
+    found = None
+    for n in (1, 2):
+        for name, what in (("orders", "order"), ("lines", "line")):
+            own = store.at(n).read(name).groupBy("o_orderstatus").agg(F.count("*").alias("n")).select(F.lit(n).alias("version"), F.lit(what).alias("what"), "o_orderstatus", "n")
+            found = own if found is None else found.union(own)
+    return found
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS snippet FROM documents")
 def snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", search.snippet(F.col("text")).alias("snippet"))
