@@ -109,36 +109,60 @@ def self_test(samples: DataFrame, program: str, key: str, text: str) -> DataFram
     return out.select(key, level.alias("level"), "rows", "rate", (level == 3).alias("passed"))
 
 
-def shortest_script(x: list[str], y: list[str]) -> list[tuple[str, str]]:
-    """The shortest edit script of two lists, by the furthest-reaching paths of each number of edits."""
+def _meeting(x: list[str], y: list[str]) -> tuple[int, int, int, int]:
+    """Where the furthest-reaching paths from both ends of two lists meet: a run of equal lines, from its start to its end, that may be empty."""
     n, m = len(x), len(y)
-    reach, trace = {1: 0}, []
-    for d in range(n + m + 1):
-        trace.append(dict(reach))
+    most = (n + m + 1) // 2
+    ahead, behind = {1: 0}, {1: 0}
+    for d in range(most + 1):
         for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
-            j = i - k
+            i = ahead[k + 1] if k == -d or k != d and ahead[k - 1] < ahead[k + 1] else ahead[k - 1] + 1
+            j = at = i - k
             while i < n and j < m and x[i] == y[j]:
                 i, j = i + 1, j + 1
-            reach[k] = i
-            if i >= n and j >= m:
-                break
-        else:
+            ahead[k] = i
+            back = n - m - k
+            if (n - m) % 2 and abs(back) < d and back in behind and i + behind[back] >= n:
+                return at + k, at, i, j
+        for k in range(-d, d + 1, 2):
+            i = behind[k + 1] if k == -d or k != d and behind[k - 1] < behind[k + 1] else behind[k - 1] + 1
+            j = at = i - k
+            while i < n and j < m and x[n - i - 1] == y[m - j - 1]:
+                i, j = i + 1, j + 1
+            behind[k] = i
+            fore = n - m - k
+            if (n - m) % 2 == 0 and abs(fore) <= d and fore in ahead and i + ahead[fore] >= n:
+                return n - i, m - j, n - at - k, m - at
+    raise AssertionError("paths meet")
+
+
+def shortest_script(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """A shortest edit script of two lists, in memory that grows with their lengths: what lies before and behind the
+    middle of a shortest path is done by itself."""
+    out, left = [], [(0, len(x), 0, len(y))]
+    while left:
+        xlo, xhi, ylo, yhi = left.pop()
+        if xhi < 0:  # a run of equal lines
+            out += [(" ", line) for line in x[xlo : -xhi]]
+            continue
+        start = xlo
+        while xlo < xhi and ylo < yhi and x[xlo] == y[ylo]:
+            xlo, ylo = xlo + 1, ylo + 1
+        out += [(" ", line) for line in x[start:xlo]]
+        end = xhi
+        while xlo < xhi and ylo < yhi and x[xhi - 1] == y[yhi - 1]:
+            xhi, yhi = xhi - 1, yhi - 1
+        if end > xhi:
+            left.append((xhi, -end, 0, 0))
+        if xlo == xhi or ylo == yhi:
+            out += [("-", line) for line in x[xlo:xhi]] + [("+", line) for line in y[ylo:yhi]]
             continue
-        break
-    out, i, j = [], n, m
-    for d in range(len(trace) - 1, -1, -1):
-        k, reach = i - j, trace[d]
-        before = k + 1 if k == -d or k != d and reach[k - 1] < reach[k + 1] else k - 1
-        a = reach[before]
-        b = a - before
-        while i > a and j > b:
-            i, j = i - 1, j - 1
-            out.append((" ", x[i]))
-        if d:
-            out.append(("+", y[b]) if i == a else ("-", x[a]))
-        i, j = a, b
-    return out[::-1]
+        a, b, c, d = _meeting(x[xlo:xhi], y[ylo:yhi])
+        left.append((xlo + c, xhi, ylo + d, yhi))
+        if c > a:
+            left.append((xlo + a, -(xlo + c), 0, 0))
+        left.append((xlo, xlo + a, ylo, ylo + b))
+    return out
 
 
 def sequence_difference(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Files arrive as pieces of a log: a path, the offset of the piece in bytes, and its text. The state of
 a path is the offset reached, the bytes behind the last prompt, pieces that came before the ones they
 follow, and how the log begins. A block is given out when the next prompt shows that it is complete.
-A piece at 0 that begins otherwise than what was read, or is shorter, means that the file was
-rotated; what was read already is left out.
+A whole log that is shorter than what was read, or a piece at 0 that begins otherwise, means that
+the file was rotated: it is read from its start. What was read already is left out.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ HEAD = 1024
 
 
 def logs(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
-    """path, offset, text (bytes) of files that appear in a folder: landed pieces of logs named <log>.<offset>, or whole logs (SRC-03, SRC-04)."""
+    """path, offset, text (bytes), whole of files that appear in a folder: landed pieces of logs named <log>.<offset>, or whole logs (SRC-03, SRC-04)."""
     rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_trigger).load(folder)
     part = F.regexp_extract("path", r"\.(\d+)$", 1)
-    return rows.select(F.when(part != "", F.regexp_replace("path", r"\.\d+$", "")).otherwise(F.col("path")).alias("path"), F.coalesce(part.try_cast("long"), F.lit(0)).alias("offset"), F.col("content").alias("text"))
+    return rows.select(F.when(part != "", F.regexp_replace("path", r"\.\d+$", "")).otherwise(F.col("path")).alias("path"), F.coalesce(part.try_cast("long"), F.lit(0)).alias("offset"), F.col("content").alias("text"), (part == "").alias("whole"))
 
 
 def is_prompt(line: str) -> bool:
@@ -51,9 +51,10 @@ class Log:
         self.reached, self.seq, self.tail, self.head = reached, seq, tail, head
         self.waiting = {int(k): base64.b64decode(v) for k, v in json.loads(waiting).items()}
 
-    def add(self, offset: int, data: bytes) -> None:
-        """Takes a piece, and those that waited for it."""
-        if offset == 0 and self.reached and (len(data) < self.reached and len(data) < len(self.head) or not data.startswith(self.head[: len(data)])):
+    def add(self, offset: int, data: bytes, whole: bool = False) -> None:
+        """Takes a piece, or a whole log, and pieces that waited for it."""
+        short = len(data) < (self.reached if whole else len(self.head))
+        if offset == 0 and self.reached and (short or not data.startswith(self.head[: len(data)])):
             self.__init__(seq=self.seq)  # rotated
         if len(data) > len(self.waiting.get(offset, b"")):
             self.waiting[offset] = data
@@ -64,6 +65,13 @@ class Log:
                     self.head += fresh[: HEAD - len(self.head)]
                 self.tail, self.reached = self.tail + fresh, self.reached + len(fresh)
 
+    def skip(self, offset: int) -> None:
+        """Leaves out what is missing up to an offset: the block that it cuts through is given up, and reading goes on at the next prompt."""
+        lines = self.tail.split(b"\n")
+        at = [i for i, x in enumerate(lines[:-1]) if is_prompt(x.decode(errors="replace"))]
+        self.tail = b"\n".join(lines[: at[-1]]) + b"\n" if at else b""
+        self.reached = offset
+
     def complete(self) -> str:
         """The text from the first prompt to the last, which stays. The last line may be unfinished."""
         lines = self.tail.split(b"\n")
@@ -77,6 +85,12 @@ class Log:
         return self.reached, self.seq, self.tail, self.head, json.dumps({k: base64.b64encode(v).decode() for k, v in self.waiting.items()})
 
 
+def plain(pieces: DataFrame) -> DataFrame:
+    """path, offset, data, whole of pieces: path, offset, text, and whole if they tell."""
+    whole = F.coalesce("whole", F.lit(False)) if "whole" in pieces.columns else F.lit(False)
+    return pieces.select("path", "offset", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"), whole.alias("whole"))
+
+
 def complete_text(pieces: DataFrame) -> DataFrame:
     """path, seq, text: for each micro-batch the part of a log up to its last prompt, beginning with a prompt.
 
@@ -87,14 +101,13 @@ def complete_text(pieces: DataFrame) -> DataFrame:
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log = Log(*state.get) if state.exists else Log()
         for row in pd.concat(list(frames)).sort_values("offset").itertuples():
-            log.add(row.offset, bytes(row.data))
+            log.add(row.offset, bytes(row.data), bool(row.whole))
         seq, out = log.seq, log.complete()
         state.update(log.state())
         if out:
             yield pd.DataFrame({"path": [key[0]], "seq": [seq], "text": [out]})
 
-    pieces = pieces.select("path", "offset", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
-    return pieces.groupBy("path").applyInPandasWithState(step, "path string, seq long, text string", "reached long, seq long, tail binary, head binary, waiting string", "append", GroupStateTimeout.NoTimeout)
+    return plain(pieces).groupBy("path").applyInPandasWithState(step, "path string, seq long, text string", "reached long, seq long, tail binary, head binary, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 def blocks(pieces: DataFrame) -> DataFrame:
@@ -144,7 +157,7 @@ def _manifest(spark: SparkSession, target: str) -> tuple[int, dict[int, str]]:
     return last, {r.bucket: f"{target}/{r.folder}/bucket={r.bucket}" for r in rows}
 
 
-def stored(spark: SparkSession, target: str) -> DataFrame:
-    """The current rows of a table that upserting() keeps."""
+def stored(spark: SparkSession, target: str, schema: str = "") -> DataFrame:
+    """The current rows of a table that upserting() keeps; none, of that schema, before its first batch."""
     _, folders = _manifest(spark, target)
-    return spark.read.parquet(*folders.values())
+    return spark.read.parquet(*folders.values()) if folders else spark.createDataFrame([], schema)
