@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.commands import expanded
-from ridgeline.functions.naming import pieces
+from ridgeline.functions.mentions import mentions
 
 # For each vendor the prefixes of commands and what they show, in order.
 PREFIXES = {
@@ -55,8 +55,7 @@ def longest_prefix(values: DataFrame, value: str, rules: DataFrame, keys: list[s
 def longest_hint(values: DataFrame, value: str, hints: DataFrame) -> DataFrame:
     """value, keyword, result: the longest keyword that a value contains, whatever the case; of equal ones the first by name (SPL-04)."""
     own = values.select(value).distinct()
-    own = own.select(value, F.explode(pieces(F.lower(F.col(value)), hints.select(F.lower("keyword").alias("k")), "k")).alias("_piece"))
-    hit = own.join(hints, F.col("_piece") == F.lower("keyword")).drop("_piece")
+    hit = mentions(own, [value], F.col(value), hints, "keyword").join(hints, F.col("mention") == F.lower("keyword")).drop("mention")
     order = Window.partitionBy(value).orderBy(F.desc(F.length("keyword")), "keyword")
     return hit.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.naming import pieces
+from ridgeline.functions.mentions import mentions
 from ridgeline.operators.config import lines
 
 # Words that tell what is asked.
@@ -61,12 +61,11 @@ def search_term(question: Column) -> Column:
 def relevant_devices(questions: DataFrame, devices: DataFrame, key: str = "question_id", text: str = "question") -> DataFrame:
     """key, device_id: devices whose id or host name a question contains, else the only device there is (CLS-12).
 
-    A name is looked for by equality, among the pieces of the question of the lengths that names
-    have, so no question meets every device.
+    All names are looked for at once in one pass over a question, so no question meets every device.
     """
     names = devices.select(F.col("id").alias("device_id"), F.explode(F.array(F.lower("id"), F.lower("hostname"))).alias("name")).where("name <> ''").distinct()
-    asked = questions.select(key, F.explode(pieces(F.lower(F.col(text)), names, "name")).alias("name"))
-    found = asked.join(names, "name").select(key, "device_id").distinct()
+    asked = mentions(questions, [key], F.col(text), names, "name")
+    found = asked.join(names, F.col("mention") == F.col("name")).select(key, "device_id").distinct()
     only = devices.agg(F.count("*").alias("n"), F.min("id").alias("device_id")).where("n = 1").select("device_id")
     rest = questions.select(key).join(found.select(key), key, "left_anti").join(F.broadcast(only))  # a row at most
     return found.union(rest.select(key, "device_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.naming import pieces
+from ridgeline.functions.mentions import mentions
 from ridgeline.functions.network import dotted_mask, mask_length, network, subnet, to_long
 from ridgeline.operators import blocks
 
@@ -13,12 +13,12 @@ from ridgeline.operators import blocks
 def links_by_description(interfaces: DataFrame, devices: DataFrame) -> DataFrame:
     """device_id, name, peer: interfaces whose description contains the host name of another device, whatever the case (JOIN-04).
 
-    A description's pieces of the lengths that host names have are joined on equality, so no pair of
-    tables is compared row by row.
+    All host names are looked for at once in one pass over a description, so no pair of tables is
+    compared row by row.
     """
-    named = devices.where("hostname <> ''").select(F.lower("hostname").alias("piece"), F.col("id").alias("peer"))
-    said = interfaces.select("device_id", "name", F.explode(pieces(F.lower("description"), named, "piece")).alias("piece"))
-    return said.join(named, "piece").where("peer <> device_id").select("device_id", "name", "peer").distinct()
+    named = devices.where("hostname <> ''").select(F.lower("hostname").alias("mention"), F.col("id").alias("peer"))
+    said = mentions(interfaces, ["device_id", "name"], F.col("description"), named, "mention")
+    return said.join(named, "mention").where("peer <> device_id").select("device_id", "name", "peer").distinct()
 
 
 def links_by_subnet(interfaces: DataFrame) -> DataFrame:

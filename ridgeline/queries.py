@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import classify, commands, network
+from ridgeline.functions.mentions import best_rules, mentions
 from ridgeline.operators import blocks, graph, merge, reports, search, sessions, topology
 from ridgeline.operators.index import Index
 from ridgeline.operators.ordering import numbered
@@ -166,6 +167,31 @@ def hint_contains(spark: SparkSession, d: str) -> DataFrame:
     return classify.longest_hint(table(spark, d, "part"), "p_name", spark.sql(f"SELECT * FROM {HINT_SQL}")).select("p_name", "keyword", "result")
 
 
+LONG_WORDS_SQL = "words AS (SELECT w, CAST(row_number() OVER (ORDER BY w) AS INTEGER) AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 10)"
+
+
+def _long_words(spark: SparkSession, d: str) -> DataFrame:
+    """w, id: the long words of the benchmark, in order."""
+    found = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).where("length(w) >= 10").distinct()
+    return numbered(found.withColumn("all", F.lit("")), "all", ["w"]).select("w", (F.col("index") + 1).cast("int").alias("id"))
+
+
+@query(f"WITH {LONG_WORDS_SQL} SELECT DISTINCT doc_id, w AS mention FROM documents JOIN words ON contains(lower(text), w)")
+def name_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return mentions(table(spark, d, "documents"), ["doc_id"], F.col("text"), _long_words(spark, d), "w")
+
+
+@query(f"""
+WITH {LONG_WORDS_SQL}, rules AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS vendor, w || '[ .,]' AS content, CASE WHEN id % 3 = 0 THEN 'src[0-4]$' END AS model, CASE WHEN id % 5 = 0 THEN '[135]' ELSE '' END AS os FROM words UNION ALL SELECT 0, 'de', '^.*[.]', NULL, '7$'),
+h AS (SELECT doc_id, id, 2 * CAST(model IS NOT NULL AS INTEGER) + CAST(os <> '' AS INTEGER) AS score FROM documents JOIN rules ON lang = vendor WHERE (id = 0 OR contains(text, left(content, length(content) - 5))) AND regexp_matches(text, content) AND (model IS NULL OR regexp_matches(source, model)) AND (os = '' OR regexp_matches(source, os)))
+SELECT d.doc_id, arg_max(h.id, h.score * 1000000 - h.id) AS rule, max(score) AS score FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""")
+def rules_as_data(spark: SparkSession, d: str) -> DataFrame:
+    word, none = F.col("id"), F.lit(None).cast("string")
+    rules = _long_words(spark, d).select("id", F.when(word % 2 == 0, "en").otherwise("fr").alias("vendor"), F.concat("w", F.lit("[ .,]")).alias("content"), F.when(word % 3 == 0, "src[0-4]$").alias("model"), F.when(word % 5 == 0, "[135]").otherwise("").alias("os"))
+    rules = rules.union(spark.range(1).select(F.lit(0), F.lit("de"), F.lit("^.*[.]"), none, F.lit("7$")))
+    return best_rules(table(spark, d, "documents"), ["doc_id"], rules, "lang", "source", "source", "text")
+
+
 @query(f"""
 WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0b\\x{{85}}\\p{{Z}}]')) AS l FROM documents),
 n AS (SELECT doc_id, len(l) AS total, len(list_filter(l, lambda x: regexp_matches(x, '{commands.HELP_LINE}'))) AS hits, len(list_filter(l, lambda x: regexp_matches(x, '{commands.DATA}'))) AS data, len(list_filter(l, lambda x: regexp_matches(x, '{commands.HELP_TEXT}'))) AS told FROM l)
@@ -341,6 +367,22 @@ def line_diff(spark: SparkSession, d: str) -> DataFrame:
     return reports.line_difference(pairs, ["conv_id", "turn"], "old", "text")
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT conv_id, turn, string_split(text, ' ') AS new, string_split(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ' ') AS old FROM conversations),
+q AS MATERIALIZED (SELECT * FROM p WHERE old IS NOT NULL),
+r AS (SELECT conv_id, turn, 0 AS i, list_transform(range(len(new) + 1), lambda z: 0::BIGINT) AS same FROM q
+  UNION ALL SELECT r.conv_id, r.turn, i + 1, list_reduce([[0::BIGINT]] || list_transform(range(1, len(new) + 1), lambda j: [CASE WHEN old[i + 1] = new[j] THEN same[j] + 1 ELSE same[j + 1] END]), lambda acc, v: acc || [greatest(acc[-1], v[1])])
+  FROM r JOIN q ON q.conv_id = r.conv_id AND q.turn = r.turn WHERE i < len(old))
+SELECT q.conv_id, q.turn, same[-1] AS kept, len(old) - same[-1] AS gone, len(new) - same[-1] AS new FROM q JOIN r ON q.conv_id = r.conv_id AND q.turn = r.turn AND i = len(old)""")
+def edit_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """How many words a shortest edit script keeps, takes and adds from each turn to the next."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    lines = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("\n"))
+    pairs = table(spark, d, "conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit("\v")).alias("text")).withColumn("old", before).where("old is not null")
+    script = reports.sequence_difference(pairs.select("conv_id", "turn", lines("old").alias("old"), lines("text").alias("text")), ["conv_id", "turn"], "old", "text")
+    return script.groupBy("conv_id", "turn").agg(*(F.count_if(F.col("sign") == s).alias(n) for s, n in ((" ", "kept"), ("-", "gone"), ("+", "new"))))
+
+
 @query("""
 WITH a AS (SELECT c_nationkey AS k, CAST(count(*) AS VARCHAR) AS n, CAST(max(c_custkey) AS VARCHAR) AS m FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, CAST(count(*) AS VARCHAR) AS n, CAST(max(s_suppkey) AS VARCHAR) AS m FROM supplier GROUP BY 1),
 j AS (SELECT coalesce(a.k, b.k) AS k, a.n AS an, b.n AS bn, a.m AS am, b.m AS bm FROM a FULL JOIN b ON a.k = b.k)

@@ -97,3 +97,21 @@ def test_queries_that_ask_for_nothing():
     with pytest.raises(ValueError):
         parsed("fox OR NOT quick")
     assert parsed('a "b c" NOT d* OR e') == [([(["a"], False), (["b", "c"], False)], [(["d"], True)]), ([(["e"], False)], [])]
+
+
+def test_mentions_and_rules(spark, monkeypatch):
+    from ridgeline.functions import mentions
+
+    texts = spark.createDataFrame([(1, "The quick Fox"), (2, None), (3, ""), (4, "foxfox quick"), (4, "foxfox quick")], "id int, t string")
+    names = spark.createDataFrame([("fox",), ("FOX",), ("quick f",), ("",), (None,), ("ox",)], "n string")
+    want = {(1, "fox"), (1, "ox"), (1, "quick f"), (4, "fox"), (4, "ox")}
+    for part in (1 << 22, 20):  # one automaton, and several
+        monkeypatch.setattr(mentions, "PART", part)
+        got = [tuple(r) for r in mentions.mentions(texts, ["id"], F.col("t"), names, "n").collect()]
+        assert set(got) == want and len(got) == 7
+    assert mentions.mentions(texts, ["id"], F.col("t"), names.limit(0), "n").count() == 0
+    assert [mentions.factor(p) for p in ("(?i)abc+d", "x|yz", "a(bcd)?ef", "(hello) wor", "[ab]", "(?<!x)q", "a{2,}bc")] == ["ab", "", "ef", "hello", "", "q", "bc"]
+    rules = spark.createDataFrame([(1, "v", "fox", "", None), (2, "v", "quick$", "m1", ""), (3, "v", "^.*o", "m1", "o$"), (4, "w", "fox", "", ""), (5, "v", None, "", "")], "id int, vendor string, content string, model string, os string")
+    rows = spark.createDataFrame([(1, "v", "m1", "foo", "a fox"), (2, "v", "m1", "x", "fox quick"), (3, "v", None, None, None), (4, "u", "m1", "foo", "fox"), (5, "w", "", "", "a FOX")], "k int, vendor string, model string, os string, content string")
+    got = {r.k: (r.rule, r.score) for r in mentions.best_rules(rows, ["k"], rules, "vendor", "model", "os", "content").collect()}
+    assert got == {1: (3, 3), 2: (2, 2), 3: (5, 0), 4: (None, None), 5: (None, None)}
