@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ridgeline import log_queries  # noqa: F401  # adds its queries
 from ridgeline.queries import FOUND, SQL, Query
 
 
