@@ -20,9 +20,12 @@ def _parted(df: DataFrame, keys: list[str], first: str) -> DataFrame | None:
     """df with _bounds (null: a key with few rows) and _part; None if no key has many rows, or the order has no quantiles."""
     if not isinstance(df.schema[first].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return None
-    hot = cut(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*keys))
-    if hot.isEmpty():
+    if df.count() <= HOT:  # no key can have more rows; a table of files tells by its footers
         return None
+    many = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*keys)
+    if many.isEmpty():
+        return None
+    hot = cut(many)
     kind = df.schema[first].dataType
     value = F.col(first).cast("timestamp") if isinstance(kind, T.TimestampNTZType) else F.col(first)
     at = [i / PARTS for i in range(1, PARTS)]

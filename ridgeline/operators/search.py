@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.session import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -31,14 +33,13 @@ def _weight(tf: Column, length: Column, average: float, idf: Column | float) ->
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """key, score of the documents that hold every term (FTS-01, 02).
 
-    Only the query's terms are counted, in the text itself, and only where it contains them; corpus
-    numbers are one aggregate. So one search is two scans and no shuffle of texts; for many, use index().
+    Texts are read once and cut into words once; a document's length and its counts of the query's terms are kept,
+    and corpus numbers and scores are made of these. So no text is shuffled; for many searches, use index().
     """
     terms = [t.lower() for t in terms]
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    whole_word = lambda t: F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(t)}(?![\p{{L}}\p{{N}}])")
-    count = lambda t: F.when(F.col("low").contains(t), F.regexp_count("low", whole_word(t))).otherwise(0).cast("double")
-    counted = docs.select(key, low.alias("low")).select(key, F.regexp_count("low", F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("len"), *(count(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    count = lambda t: F.size(F.filter("w", lambda w: w == t)).cast("double")
+    split = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    counted = cut(split.select(key, F.size("w").cast("double").alias("len"), *(count(t).alias(f"t{i}") for i, t in enumerate(terms))))
     whole = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"t{i}") > 0).cast("double").alias(f"d{i}") for i in range(len(terms)))).first()
     score, held = F.lit(0.0), F.lit(True)
     for i in range(len(terms)):
