@@ -6,12 +6,14 @@ must be what the tables say, which the SQL takes from them without any text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators import config, devices, graph, sessions, topology
 from ridgeline.queries import query
-from ridgeline.session import table
+from ridgeline.session import checkpoint_dir, table
 
 LINES_SQL = """lines AS (SELECT s_suppkey AS s, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS INTEGER) AS i,
   '10.' || l_orderkey // 65536 % 256 || '.' || l_orderkey // 256 % 256 || '.' || l_orderkey % 256 AS ip, '172.16.' || l_partkey // 256 % 256 || '.' || l_partkey % 256 AS hop, l_returnflag AS flag, l_linestatus AS state, l_linenumber AS cost, s_suppkey % 2 = 0 AS first
@@ -68,6 +70,18 @@ def log_blocks(spark: SparkSession, d: str) -> DataFrame:
     return sessions.classified(sessions.split_log(_logs(spark, d), "content", ["file"])).select("file", "block_no", "hostname", "vendor", "command", "cmd_type")
 
 
+@query(f"""
+WITH {LINES_SQL}, b AS (SELECT s, count(*) AS n FROM lines GROUP BY s)
+SELECT 'Sup' || s AS hostname, {VENDOR} AS vendor, CASE WHEN s % 2 = 0 THEN ['display interface brief', 'display ip routing-table', 'display ospf peer brief', 'quit'][k + 1] ELSE ['show ip interface brief', 'show ip route', 'show ip ospf neighbor', 'quit'][k + 1] END AS command,
+  CAST(CASE WHEN k = 3 THEN 0 WHEN k = 1 AND s % 2 = 0 THEN n + 2 ELSE n + 1 END AS INTEGER) AS lines FROM b, range(4) AS r(k)""")
+def log_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The logs stand one behind another in a few files, which are read in ranges."""
+    folder = f"{checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
+    _logs(spark, d).select("content").coalesce(2).write.text(folder)
+    found = sessions.split_ranges(spark, folder)
+    return found.select("hostname", "vendor", "command", F.when(F.col("output") == "", 0).otherwise(F.size(F.split("output", "\n"))).alias("lines"))
+
+
 @query(f"WITH {LINES_SQL} SELECT DISTINCT 'sup' || s AS device_id, 'Sup' || s AS hostname, {VENDOR} AS vendor, CAST(4 AS INTEGER) AS commands FROM lines")
 def log_device_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return devices.ingest(_logs(spark, d))["devices"].select("device_id", "hostname", "vendor", F.size("commands").alias("commands"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import classify, commands
 from ridgeline.operators.running import running_last, running_sum
 from ridgeline.plans.program import is_blank, let
+from ridgeline.session import cut
 
 # Time stamps before a line, and prompts by vendor.
 STAMP = r"^\d{4}-\d{2}-\d{2}[-T ]\d{2}[-:]\d{2}[-:]\d{2}[:.][\t\n\f\r ]*"
@@ -76,6 +77,26 @@ def split_log(df: DataFrame, text_col: str, keys: list[str], complete_only: bool
     return df.select(*keys, F.posexplode(array).alias("block_no", "b")).select(*keys, "block_no", "b.*")
 
 
+def split_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """file and the columns of split_log() of log files of any size, each read in byte ranges by as many tasks (SPL-05, SRC-01).
+
+    Prompts are counted within each range; what the ranges before hold, one row for a range, is added up, so
+    every line knows its block wherever a file is cut. A block's lines then meet in one row, as they do in its
+    output; no file does.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    marked = cut(lines.withColumn("p", prompt(unstamped(F.regexp_replace("value", r"[\r \t]+$", "")))))
+    held = marked.groupBy("file", "start").agg(F.count("p").alias("_n"))
+    before = held.select("file", "start", (F.sum("_n").over(Window.partitionBy("file").orderBy("start")) - F.col("_n")).alias("_before"))  # a row for each range
+    own = F.count("p").over(Window.partitionBy("file", "start").orderBy("at"))
+    placed = marked.withColumn("_own", own).join(before, ["file", "start"]).withColumn("block_no", (F.col("_before") + F.col("_own") - 1).cast("int")).where("block_no >= 0")
+    held = F.array_sort(F.collect_list(F.struct("start", "at", "value", "p")))
+    rows = placed.groupBy("file", "block_no").agg(held.alias("h")).withColumn("head", F.element_at("h", 1))
+    body = F.transform(F.slice("h", F.lit(2), F.size("h")), lambda x: unstamped(F.regexp_replace(x["value"], r"\r+$", "")))
+    output = F.regexp_replace(F.array_join(body, "\n"), r"[\n\r \t]+$", "")
+    return rows.select("file", "block_no", "head.p.hostname", "head.p.vendor", "head.p.command", output.alias("output"), stamp(F.col("head.value")).alias("captured_at"))
+
+
 def reclassified(blocks: DataFrame) -> DataFrame:
     """Blocks with vendor h3c for every host, whatever its case, that says so in the first ten lines of an output (SPL-07)."""
     head = F.slice(F.split("output", "\n", -1), 1, 10)
