@@ -259,13 +259,14 @@ def fit(labels: DataFrame, docs: DataFrame, per_class: int = 4000) -> Model:
     """A model from labels (doc_id, toxic: 0 or 1) of docs (doc_id, text).
 
     It is fitted on a bounded sample: of each class the per_class labels with the least hash of
-    doc_id, 2 * per_class ids in all, which is what is broadcast. Three in four of those texts are
+    doc_id, 2 * per_class ids in all, which is what is broadcast; of rows that repeat an id one counts. Three in four of those texts are
     counted, the rest place the curve. The share of toxic labels is that of all labels.
     """
     rate = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
     ids = [labels.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class).select("doc_id", F.col("toxic").cast("int").alias("toxic")) for c in (0, 1)]
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    sample = cut(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(4))
     model = fit_counts(sample.where(part != 0))
     return fit_curve(model, sample.where(part == 0), min(max(rate or 0.5, 0.01), 0.99))
