@@ -28,7 +28,7 @@ def docs(spark):
 
 
 def test_registered():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries())] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in queries())] == []
     assert set(oracle_sql()) <= set(queries())
 
 
