@@ -65,9 +65,9 @@ VENDOR = "CASE WHEN s % 2 = 0 THEN 'huawei' ELSE 'cisco' END"
 @query(f"""
 WITH {LINES_SQL}, b AS (SELECT DISTINCT s FROM lines)
 SELECT 'log-' || s AS file, CAST(n AS INTEGER) AS block_no, 'Sup' || s AS hostname, {VENDOR} AS vendor, CASE WHEN s % 2 = 0 THEN ['display interface brief', 'display ip routing-table', 'display ospf peer brief', 'quit'][n + 1] ELSE ['show ip interface brief', 'show ip route', 'show ip ospf neighbor', 'quit'][n + 1] END AS command,
-  ['interface', 'rib', 'neighbor', 'unknown'][n + 1] AS cmd_type FROM b, range(4) AS r(n)""")
+  ['interface', 'rib', 'neighbor', 'unknown'][n + 1] AS cmd_type, command AS command_norm FROM b, range(4) AS r(n)""")
 def log_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.classified(sessions.split_log(_logs(spark, d), "content", ["file"])).select("file", "block_no", "hostname", "vendor", "command", "cmd_type")
+    return sessions.classified(sessions.split_log(_logs(spark, d), "content", ["file"])).select("file", "block_no", "hostname", "vendor", "command", "cmd_type", "command_norm")
 
 
 @query(f"""
