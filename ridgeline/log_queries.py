@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators import config, devices, graph, sessions, topology
+from ridgeline.operators import config, devices, graph, scenarios, sessions, topology
 from ridgeline.queries import query
 from ridgeline.session import checkpoint_dir, table
 
@@ -195,3 +195,32 @@ def topology_summary(spark: SparkSession, d: str) -> DataFrame:
     hosts = _devices(faces)
     peers = faces.select("device_id", F.col("name").alias("peer_ip"))
     return topology.summary(hosts, faces, peers, topology.links(faces, hosts))
+
+
+@query(f"""
+WITH {LINES_SQL} SELECT DISTINCT 'sup' || s AS device_id, kind, command FROM (
+  SELECT s, 'reference' AS kind, 'display interface GE0/0/' || i AS command FROM lines WHERE s % 2 = 0 UNION ALL SELECT s, 'context', 'display interface GE0/0/' || i FROM lines WHERE s % 2 = 0 UNION ALL SELECT s, 'reference', 'display arp' FROM lines WHERE s % 2 = 0)""")
+def follow_up_commands(spark: SparkSession, d: str) -> DataFrame:
+    """What follows from the routes and interfaces that the logs show."""
+    facts = devices.ingest(_logs(spark, d))
+    of = lambda name, command, *fields: facts[name].select("device_id", F.lit(command).alias("command"), F.create_map(*(x for f, c in fields for x in (F.lit(f), F.col(c)))).alias("fields"))
+    rows = of("routes", "display ip routing-table", ("NextHop", "next_hop"), ("Interface", "outgoing_interface")).union(of("interfaces", "display interface brief", ("Interface", "name")))
+    rows = rows.where(F.substring("device_id", 4, 20).cast("long") % 2 == 0)  # the relations are of one vendor's commands
+    return scenarios.follow_ups(rows, scenarios.relations(spark), ["device_id"])
+
+
+@query(f"""
+WITH {FACES_SQL}, f AS (SELECT n, device_id, count(*) FILTER (WHERE shut) AS down FROM faces GROUP BY n, device_id), o AS (SELECT (o_custkey + 3) // 10 AS n, count(*) AS seen FROM orders GROUP BY 1),
+x AS (SELECT device_id, down, coalesce(seen, 0) AS seen FROM f LEFT JOIN o USING (n))
+SELECT device_id AS id, CASE WHEN seen = 0 THEN '1' WHEN down >= 3 THEN '1,2' WHEN down = 0 THEN '1,2,3' ELSE '1,2' END AS visited, CASE WHEN seen = 0 THEN 'no peers' WHEN down >= 3 THEN 'many are down' WHEN down = 0 AND seen >= 100 THEN 'busy' END AS conclusion FROM x""")
+def scenario_walks(spark: SparkSession, d: str) -> DataFrame:
+    faces = _faces(spark, d)
+    down = faces.groupBy("device_id").agg(F.count_if(F.col("status") == "down").alias("n")).select(F.col("device_id").alias("id"), F.lit("down").alias("field"), F.col("n").cast("string").alias("value"))
+    device = F.concat(F.lit("d"), F.floor((F.col("o_custkey") + 3) / 10))
+    seen = table(spark, d, "orders").groupBy(device.alias("id")).agg(F.count("*").cast("string").alias("value")).select("id", F.lit("seen").alias("field"), "value")
+    steps = spark.createDataFrame(
+        [("s", 1, 1, "seen", "^$", 0, "no peers"), ("s", 1, 2, "seen", ".", 2, None), ("s", 2, 1, "down", "^([3-9]|[0-9]{2,})$", 0, "many are down"), ("s", 2, 2, "down", "^0$", 3, None), ("s", 3, 1, "seen", "^[0-9]{3,}$", 0, "busy"), ("s", 3, 2, "seen", ".", 1, None)],
+        "scenario string, step int, place int, field string, pattern string, next int, conclusion string",
+    )
+    subjects = faces.select(F.col("device_id").alias("id"), F.lit("s").alias("scenario")).distinct()
+    return scenarios.walked(subjects, down.union(seen), steps).select("id", F.array_join(F.transform("visited", lambda x: x.cast("string")), ",").alias("visited"), "conclusion")
