@@ -100,70 +100,69 @@ def user_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 # The rules that an empty table of rules is filled with: vendor, what is shown, priority, prefix (CLS-07).
-SEEDS = """
-huawei rib 10 display ip routing-table
-huawei rib 5 display ip rout
-huawei fib 10 display fib
-huawei lfib 10 display mpls lsp
-huawei lfib 10 display mpls forwarding
-huawei interface 10 display interface
-huawei interface 5 display int
-huawei neighbor 10 display ospf peer
-huawei neighbor 10 display bgp peer
-huawei neighbor 10 display isis peer
-huawei neighbor 10 display mpls ldp session
-huawei neighbor 10 display mpls ldp peer
-huawei neighbor 10 display rsvp session
-huawei neighbor 10 display lldp neighbor
-huawei tunnel 10 display mpls te tunnel
-huawei sr_mapping 10 display segment-routing
-huawei sr_mapping 10 display isis segment-routing
-huawei config 10 display current-configuration
-huawei config 10 display saved-configuration
-huawei config 5 display cur
-huawei config 5 display sa
-cisco rib 10 show ip route
-cisco rib 5 show route
-cisco fib 10 show ip cef
-cisco lfib 10 show mpls forwarding
-cisco interface 10 show interface
-cisco interface 10 show ip interface
-cisco neighbor 10 show ip ospf neighbor
-cisco neighbor 10 show ip bgp summary
-cisco neighbor 10 show bgp summary
-cisco neighbor 10 show isis neighbor
-cisco neighbor 10 show mpls ldp neighbor
-cisco neighbor 10 show lldp neighbor
-cisco tunnel 10 show mpls traffic-eng tunnel
-cisco config 10 show running-config
-cisco config 10 show startup-config
-h3c rib 10 display ip routing-table
-h3c fib 10 display fib
-h3c lfib 10 display mpls lsp
-h3c lfib 10 display mpls forwarding
-h3c interface 10 display ip interface
-h3c interface 5 display interface
-h3c neighbor 10 display ospf peer
-h3c neighbor 10 display bgp peer
-h3c neighbor 10 display isis peer
-h3c neighbor 10 display mpls ldp session
-h3c config 10 display current-configuration
-juniper rib 10 show route
-juniper interface 10 show interface
-juniper neighbor 10 show ospf neighbor
-juniper neighbor 10 show bgp summary
-juniper neighbor 10 show isis adjacency
-juniper neighbor 10 show ldp session
-juniper tunnel 10 show rsvp session
-juniper lfib 10 show route table mpls
-juniper config 10 show configuration
-juniper config_set 10 | display set
-"""
+SEEDS = (
+    ("huawei", "rib", 10, "display ip routing-table"),
+    ("huawei", "rib", 5, "display ip rout"),
+    ("huawei", "fib", 10, "display fib"),
+    ("huawei", "lfib", 10, "display mpls lsp"),
+    ("huawei", "lfib", 10, "display mpls forwarding"),
+    ("huawei", "interface", 10, "display interface"),
+    ("huawei", "interface", 5, "display int"),
+    ("huawei", "neighbor", 10, "display ospf peer"),
+    ("huawei", "neighbor", 10, "display bgp peer"),
+    ("huawei", "neighbor", 10, "display isis peer"),
+    ("huawei", "neighbor", 10, "display mpls ldp session"),
+    ("huawei", "neighbor", 10, "display mpls ldp peer"),
+    ("huawei", "neighbor", 10, "display rsvp session"),
+    ("huawei", "neighbor", 10, "display lldp neighbor"),
+    ("huawei", "tunnel", 10, "display mpls te tunnel"),
+    ("huawei", "sr_mapping", 10, "display segment-routing"),
+    ("huawei", "sr_mapping", 10, "display isis segment-routing"),
+    ("huawei", "config", 10, "display current-configuration"),
+    ("huawei", "config", 10, "display saved-configuration"),
+    ("huawei", "config", 5, "display cur"),
+    ("huawei", "config", 5, "display sa"),
+    ("cisco", "rib", 10, "show ip route"),
+    ("cisco", "rib", 5, "show route"),
+    ("cisco", "fib", 10, "show ip cef"),
+    ("cisco", "lfib", 10, "show mpls forwarding"),
+    ("cisco", "interface", 10, "show interface"),
+    ("cisco", "interface", 10, "show ip interface"),
+    ("cisco", "neighbor", 10, "show ip ospf neighbor"),
+    ("cisco", "neighbor", 10, "show ip bgp summary"),
+    ("cisco", "neighbor", 10, "show bgp summary"),
+    ("cisco", "neighbor", 10, "show isis neighbor"),
+    ("cisco", "neighbor", 10, "show mpls ldp neighbor"),
+    ("cisco", "neighbor", 10, "show lldp neighbor"),
+    ("cisco", "tunnel", 10, "show mpls traffic-eng tunnel"),
+    ("cisco", "config", 10, "show running-config"),
+    ("cisco", "config", 10, "show startup-config"),
+    ("h3c", "rib", 10, "display ip routing-table"),
+    ("h3c", "fib", 10, "display fib"),
+    ("h3c", "lfib", 10, "display mpls lsp"),
+    ("h3c", "lfib", 10, "display mpls forwarding"),
+    ("h3c", "interface", 10, "display ip interface"),
+    ("h3c", "interface", 5, "display interface"),
+    ("h3c", "neighbor", 10, "display ospf peer"),
+    ("h3c", "neighbor", 10, "display bgp peer"),
+    ("h3c", "neighbor", 10, "display isis peer"),
+    ("h3c", "neighbor", 10, "display mpls ldp session"),
+    ("h3c", "config", 10, "display current-configuration"),
+    ("juniper", "rib", 10, "show route"),
+    ("juniper", "interface", 10, "show interface"),
+    ("juniper", "neighbor", 10, "show ospf neighbor"),
+    ("juniper", "neighbor", 10, "show bgp summary"),
+    ("juniper", "neighbor", 10, "show isis adjacency"),
+    ("juniper", "neighbor", 10, "show ldp session"),
+    ("juniper", "tunnel", 10, "show rsvp session"),
+    ("juniper", "lfib", 10, "show route table mpls"),
+    ("juniper", "config", 10, "show configuration"),
+    ("juniper", "config_set", 10, "| display set"),
+)
 
 
 def seeded(rules: DataFrame) -> DataFrame:
     """rules (vendor, prefix, kind, priority), or the seeds where there are none (CLS-07)."""
     if not rules.isEmpty():
         return rules
-    rows = [line.split(" ", 3) for line in SEEDS.strip().split("\n")]
-    return rules.sparkSession.createDataFrame([(v, p, k, int(n)) for v, k, n, p in rows], "vendor string, prefix string, kind string, priority int")
+    return rules.sparkSession.createDataFrame([(v, p, k, n) for v, k, n, p in SEEDS], "vendor string, prefix string, kind string, priority int")
