@@ -607,6 +607,34 @@ def test_wrappers_with_names_of_boxes(spark):
     assert {r.page_id: r.text for r in pages.article_texts(df).collect()} == want
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<p>Area <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> end.</p>", "Area x=2 end."),
+        ('<section id="legal"><p>Law.</p></section><section id="cookies"><p>Baked.</p></section>', "Law.\nBaked."),
+        ("<p>Press <button>Go</button> or <label>Name</label> now.</p><p><button><span>Share</span></button></p><button>out</button>", "Press Go or Name now."),
+        ('<p>Story.</p><div class="user-comments"><p>nice</p></div><div class="sponsored-story">buy</div><div class="post-meta">by me</div>', "Story."),
+        ('<div class="post-header"><h1>Title</h1></div><div class="no-comments"><p>Story.</p></div><section id="comments"><p>nice</p></section>', "Title\nStory."),
+        ('<p>a <svg><title>icon</title><g><text>q</text></g></svg> b <script>var a="<p>"</script> c</p><form><label>n</label></form>', "a b c"),
+        ("<p>x<svg><g>never closed</p><p>y</p>", "x\ny"),
+        ("<p>Choose <select><option>a<option>b</select> now</p><label>stray</label><p>next", "Choose now\nnext"),
+    ],
+)
+def test_elements_in_lines_and_parts_of_articles(body, want):
+    assert pages.slots(pages.Reader(f"<html><body><article>{body}</article></body></html>")) == want
+    assert pages.slots(pages.Reader(f'<div class="layout-ads"><article>{body}</article></div>')) == want
+
+
+def test_templates_decide_where_names_do_not(spark):
+    """Fixed texts of boxes that no name tells go by the host's classes alone, in an article as elsewhere."""
+    story = [f"Story {i} is told here.\nIt ends with {i * 7}." for i in range(12)]
+    body = lambda x, main: f"<{main}><div class=q1>Follow us</div>" + "".join(f"<p>{p}</p>" for p in x.split("\n")) + f"<div class=q2>All rights</div></{main}>"
+    rows = [(i, f"http://{main}.org/{i}", f"<html><body>{body(x, main)}</body></html>") for main in ("article", "div") for i, x in enumerate(story)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [(r.page_id, r.text) for r in pages.extract(df).orderBy("url", "page_id").collect() if r.text != story[r.page_id]] == []
+    assert all(r.text != story[r.page_id] for r in pages.article_texts(df).collect())
+
+
 def test_paragraphs_that_few_pages_share_stay(spark):
     rows = [(i, "http://a.org/", f"<html><body><article><h1>t{i}</h1><p>Shared words.</p><p>own {i}</p></article></body></html>") for i in range(5)]
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
