@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ CODES = 1 << 16
 UNKNOWN = "und"
 #: Weight of a parent's prior, in rows; characters whose evidence counts in full.
 PULL, FULL = 20.0, 120.0
+#: How often a trigram counts that a language's sample lacks.
+UNSEEN = 0.05
+#: Hosts are dealt to so many shares where they meet the counts of all rows and of their suffix.
+SHARES = 32
 #: Up to so many hosts, priors are broadcast (a number for each language); beyond, they are joined.
 FEW = 20_000
 #: Bytes of texts that are scored at a time, and for how many classes; with more classes, fewer bytes.
@@ -35,8 +40,16 @@ _FOLD = np.where(textblocks.LOOSE, 32, textblocks.LOWER).astype(np.uint8)
 
 @dataclass
 class Model:
+    """What each language says of a trigram's code: its floor, and what codes that were seen in it have above that.
+
+    A language takes memory by the different codes that its sample has, not by all there could be.
+    """
+
     languages: list[str]  # the last is UNKNOWN
-    weights: np.ndarray  # log probability of a trigram's code in each
+    floors: np.ndarray  # of languages
+    starts: np.ndarray  # where each code's entries begin
+    owners: np.ndarray  # numbers of languages, by code
+    gains: np.ndarray  # log probability above the floor, beside owners
 
 
 def _codes(raw: np.ndarray) -> np.ndarray:
@@ -47,6 +60,11 @@ def _codes(raw: np.ndarray) -> np.ndarray:
     return (((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., many of them, one range after the other."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
 def likelihoods(texts: pa.Array, model: Model) -> np.ndarray:
     """Tempered log likelihoods of texts, and in the last column whether a text has letters."""
     offsets, data = textblocks.buffers(texts)
@@ -56,11 +74,16 @@ def likelihoods(texts: pa.Array, model: Model) -> np.ndarray:
         own = offsets[lo : hi + 1] - offsets[lo]
         for at in range(0, max(1, int(own[-1])), part):  # more than once for a text that is longer
             raw = data[offsets[lo] + at : min(offsets[hi], offsets[lo] + at + part + 2)]
-            w = model.weights[_codes(raw)]
-            w = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, 0)])
+            codes = _codes(raw)
             letters = np.concatenate([[0], np.cumsum(~textblocks.LOOSE[raw[:part]])])
-            a, b = np.clip(own[:-1] - at, 0, len(w) - 1), np.clip(own[1:] - 2 - at, 0, len(w) - 1)
-            out[lo:hi, :-1] += w[np.maximum(a, b)] - w[a]
+            a, b = np.clip(own[:-1] - at, 0, len(codes)), np.clip(own[1:] - 2 - at, 0, len(codes))
+            m = np.maximum(b - a, 0)
+            codes = codes[_ranges(a, m)]
+            first, many = model.starts[codes], model.starts[codes + 1] - model.starts[codes]
+            entry = _ranges(first, many)
+            cell = np.repeat(np.repeat(np.arange(hi - lo) * len(model.floors), m), many) + model.owners[entry]
+            gains = np.bincount(cell, model.gains[entry], (hi - lo) * len(model.floors))
+            out[lo:hi, :-1] += m[:, None] * model.floors + gains.reshape(hi - lo, -1)
             out[lo:hi, -1] += letters[np.clip(own[1:] - at, 0, len(letters) - 1)] - letters[np.clip(own[:-1] - at, 0, len(letters) - 1)]
     n = np.diff(offsets) - 2
     out[:, :-1] *= (np.minimum(n, FULL) / np.maximum(n, 1) * (n > 0))[:, None]
@@ -71,7 +94,7 @@ def likelihoods(texts: pa.Array, model: Model) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language: int = 400) -> Model:
     """Trigram models of all languages that lang_col names, each from the per_language rows with the least hash of their ids.
 
-    A language takes half a megabyte of each process's memory.
+    A language takes some ten bytes of each process's memory for each different trigram of its sample.
     """
     small_batches(docs.sparkSession)
     named = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "")).select(F.col(lang_col).alias("_l"), F.col(id_col).alias("_i"))
@@ -92,16 +115,14 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at].astype(np.int64))], names=["l", "code", "n"])
 
-    weights = np.full((CODES, len(languages) + 1), -np.log(CODES))
-    if languages:
-        rows = docs.join(F.broadcast(taken.distinct()), F.col(id_col) == F.col("_i")).select("_l", text_col)  # per_language ids a language
-        got = rows.mapInArrow(run, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toArrow()  # CODES rows a language at most
-        name, code, n = (got.column(c).to_numpy(zero_copy_only=False) for c in ("l", "code", "n"))
-        for i, language in enumerate(languages):
-            c = np.zeros(CODES)
-            c[code[name == language]] = n[name == language]
-            weights[:, i] = np.log((c + 0.05) / (c.sum() + 0.05 * CODES))
-    return Model([*languages, UNKNOWN], weights)
+    rows = docs.join(F.broadcast(taken.distinct()), F.col(id_col) == F.col("_i")).select("_l", text_col)  # per_language ids a language
+    got = rows.mapInArrow(run, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toArrow()  # what the samples have, CODES rows a language at most
+    name = pa.compute.index_in(got.column("l"), pa.array(languages, pa.string())).to_numpy()
+    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
+    order = np.lexsort((name, code))
+    totals = np.bincount(name, n, len(languages)) if languages else np.zeros(0)
+    floors = np.append(np.log(UNSEEN / (totals + UNSEEN * CODES)), -np.log(CODES))
+    return Model([*languages, UNKNOWN], floors, np.searchsorted(code[order], np.arange(CODES + 1)), name[order].astype(np.int32), np.log1p(n[order] / UNSEEN))
 
 
 def text_evidence(spark: SparkSession, text: Column, model: Model) -> Column:
@@ -136,16 +157,19 @@ def priors(told: DataFrame, n: int) -> DataFrame:
     counts = told.groupBy("host", "suffix", "said").agg(F.sum("n").alias("n"))
     hosts = counts.select("host", "suffix").distinct()
     names = _levels(F.col("host"), F.col("suffix"))
-    prior = F.array(*[F.lit(1.0 / n)] * n)
     for k, name in enumerate(names):
-        level = counts.withColumn("level", name).groupBy("level").agg(*(F.sum(F.when(F.col("said") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(n)))
-        level = level.select("level", F.array(*(F.col(f"c{i}").cast("double") for i in range(n))).alias("c"))
-        hosts = hosts.withColumn("level", name).join(level, "level").drop("level")
+        # A row for each language that a level has, then one for the level.
+        level = counts.groupBy(name.alias("level"), "said").agg(F.sum("n").cast("double").alias("n"))
+        level = level.groupBy("level").agg(F.map_from_entries(F.collect_list(F.struct("said", "n"))).alias("c"), F.sum("n").alias("_total"))
+        share, shares = F.lit(0), F.array(F.lit(0))
+        if k < 2:  # few levels, of very many hosts each
+            share, shares = F.pmod(F.xxhash64("host"), F.lit(SHARES)).cast("int"), F.sequence(F.lit(0), F.lit(SHARES - 1))
+        level = level.select("*", F.explode(shares).alias("share"))
+        hosts = hosts.select("*", name.alias("level"), share.alias("share")).join(level, ["level", "share"]).drop("level", "share")
         pull = F.lit(PULL if k else 1.0)
-        total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
-        hosts = hosts.withColumn("_total", total)
-        below = F.col("_prior") if k else prior
-        hosts = hosts.withColumn("_prior", F.zip_with("c", below, lambda c, p: (c + pull * p) / (F.col("_total") + pull))).drop("c", "_total")
+        below = F.col("_prior") if k else F.array_repeat(F.lit(1.0 / n), n)
+        fused = F.transform(below, lambda p, i: (F.coalesce(F.element_at("c", i), F.lit(0.0)) + pull * p) / (F.col("_total") + pull))  # noqa: B023
+        hosts = hosts.withColumn("_prior", fused).drop("c", "_total")
     return hosts.select("host", "suffix", F.transform("_prior", lambda p: F.log(p)).alias("prior"))
 
 

@@ -446,6 +446,39 @@ def test_evidence_decides_where_text_does_not(spark):
     assert {(r.h, r.language) for r in rows} == {("www.fr.example.org", "fr"), ("www.de.example.org", "de"), ("new.example.org", "fr")}
 
 
+def test_likelihoods_against_counts_by_hand(spark, monkeypatch):
+    """Every trigram of every text in each language, one at a time, from a whole table; also where texts are scored in small parts."""
+    import pyarrow as pa
+
+    texts = [("x", "abab cab"), ("y", "bca bca"), ("x", None), ("dirty 1", "a-b"), ("none", None), ("y", "aß")]
+    model = language.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "doc_id long, lang string, text string"), "lang", "text", "doc_id")
+    codes = lambda text: language._codes(np.frombuffer((text or "").encode(), np.uint8)).tolist()
+    asked = ["abab", "", None, "ca", "bca abß " * 9, "zzz", "aß a-b"]
+    assert model.languages == ["dirty 1", "none", "x", "y", "und"] and len(model.gains) < 20
+    for part in (language.PART, 7):
+        monkeypatch.setattr(language, "PART", part)
+        got = language.likelihoods(pa.array(asked), model)
+        for text, row in zip(asked, got, strict=True):
+            n = len((text or "").encode()) - 2
+            for name, value in zip(model.languages, row, strict=False):
+                seen = [c for own, t in texts if own == name for c in codes(t)]
+                p = [(seen.count(c) + 0.05) / (len(seen) + 0.05 * 65536) if name != "und" else 1 / 65536 for c in codes(text)]
+                assert abs(value - (np.log(p).sum() * min(n, 120) / n if n > 0 else 0)) < 1e-9
+
+
+def test_many_dirty_codes_of_languages(spark):
+    """A column with a thousand values that name no language: models stay small, and the plan of priors has no column for each."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("v"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")).alias("lang"), "text", "source")
+    docs = docs.withColumn("text", F.when(F.col("lang").startswith("v"), F.substring("text", 1, 40)).otherwise(F.col("text")))
+    model = language.fit(docs, "lang", "text", "doc_id")
+    assert len(model.languages) > docs.where("doc_id % 3 = 0").count() and len(model.gains) * 12 < 2_000 * len(model.languages)
+    told = docs.select(F.col("source").alias("host"), F.lit("").alias("suffix"), (F.col("doc_id") % 5).cast("int").alias("said"), F.lit(1).alias("n"))
+    prior = language.priors(told, len(model.languages))
+    assert len(prior._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    for r in prior.collect():
+        assert len(r.prior) == len(model.languages) and abs(np.exp(r.prior).sum() - 1) < 1e-9
+
+
 def posterior_by_hand(rows, model, table):
     """Bayes' rule for rows of text, host, suffix, declared, one at a time."""
     import pyarrow as pa
