@@ -340,6 +340,44 @@ def precheck_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"), F.bool_and(F.col("o_totalprice") > 0).alias("all_priced"), F.bool_or(F.col("o_orderstatus") == "P").alias("some_open"))
 
 
+#: Facts of devices from lineitems: an order is a device, its lineitems are neighbours, interfaces and expected peers.
+FACTS_SQL = """
+seen AS (SELECT l_orderkey AS device_id, l_linenumber % 2 = 0 AS igp, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag <> 'R' ELSE l_linestatus = 'F' END AS up, l_partkey AS peer FROM lineitem),
+due AS (SELECT DISTINCT l_orderkey AS device_id, l_partkey AS peer FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 25)"""
+
+
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """devices, neighbours, interfaces, expected peers, as FACTS_SQL has them."""
+    lines, igp = table(spark, d, "lineitem"), F.col("l_linenumber") % 2 == 0
+    states = F.when(igp, F.when(F.col("l_returnflag") != "R", "Full/DR").otherwise("Init")).otherwise(F.when(F.col("l_linestatus") == "F", "Established").otherwise("Idle"))
+    peer = F.col("l_partkey").cast("string")
+    neighbors = lines.select(F.col("l_orderkey").alias("device_id"), F.when(igp, "ospf").otherwise("bgp").alias("protocol"), states.alias("state"), peer.alias("remote_id"))
+    interfaces = lines.select(F.col("l_orderkey").alias("device_id"), F.when(F.col("l_quantity") > 10, "up").otherwise("down").alias("status"))
+    peers = lines.where("l_linenumber <= 2 and l_quantity > 25").select(F.col("l_orderkey").alias("device_id"), peer.alias("peer_ip"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("hostname")), neighbors, interfaces, peers
+
+
+@query(f"""
+WITH {FACTS_SQL}, n AS (
+  SELECT device_id, count(*) FILTER (WHERE igp) AS ospf, count(*) FILTER (WHERE igp AND up) AS ospf_full, count(*) FILTER (WHERE NOT igp) AS bgp, count(*) FILTER (WHERE NOT igp AND up) AS bgp_up FROM seen GROUP BY 1),
+f AS (SELECT l_orderkey AS device_id, count(*) AS interfaces, count(*) FILTER (WHERE l_quantity > 10) AS interfaces_up FROM lineitem GROUP BY 1),
+m AS (SELECT device_id, count(*) AS missing FROM due WHERE NOT EXISTS (SELECT 1 FROM seen WHERE NOT igp AND seen.device_id = due.device_id AND seen.peer = due.peer) GROUP BY 1),
+o AS (SELECT o_orderkey AS device_id, coalesce(ospf, 0) AS ospf, coalesce(ospf_full, 0) AS ospf_full, coalesce(bgp, 0) AS bgp, coalesce(bgp_up, 0) AS bgp_up, coalesce(interfaces, 0) AS interfaces, coalesce(interfaces_up, 0) AS interfaces_up, coalesce(missing, 0) AS missing
+  FROM orders LEFT JOIN n ON n.device_id = o_orderkey LEFT JOIN f ON f.device_id = o_orderkey LEFT JOIN m ON m.device_id = o_orderkey)
+SELECT *, ospf = ospf_full AND bgp = bgp_up AND missing = 0 AS safe FROM o""")
+def device_precheck(spark: SparkSession, d: str) -> DataFrame:
+    return topology.precheck(*_facts(spark, d))
+
+
+@query(f"""
+WITH {FACTS_SQL}
+SELECT o_orderkey AS device_id, o_orderpriority AS hostname, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS interfaces, (SELECT count(*) FROM due WHERE device_id = o_orderkey) AS peers, (SELECT count(DISTINCT peer) FROM seen WHERE device_id = o_orderkey) AS linked
+FROM orders""")
+def device_summary(spark: SparkSession, d: str) -> DataFrame:
+    devices, neighbors, interfaces, peers = _facts(spark, d)
+    return topology.summary(devices, interfaces, peers, neighbors.select("device_id", F.col("remote_id").alias("peer")))
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, round(avg(CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate, avg(CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN 1.0 ELSE 0.0 END) >= 0.5 AS ok FROM part" for c in ("p_name", "p_brand", "p_type", "p_size")))
 def nonempty_rate(spark: SparkSession, d: str) -> DataFrame:
     return reports.filled_rates(table(spark, d, "part"), ["p_name", "p_brand", "p_type", "p_size"]).withColumn("rate", six(F.col("rate")))
