@@ -19,3 +19,10 @@ def test_cycles_of_long_rows_take_few_rounds(spark):
     found, n = jobs(spark, "cycles", lambda: sorted(r.node for r in graph.on_cycles(df).collect()))
     assert found == [*range(60, 120), *range(200, 260)]
     assert n < 350
+
+
+def test_shortest_paths_within_a_number_of_edges(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    pairs = spark.createDataFrame([(0, 3), (0, 4), (1, 4), (4, 4), (4, 0)], "a long, b long")
+    found = {(r.a, r.b): r.path for r in graph.shortest_paths(df, pairs, 3).collect()}
+    assert found == {(0, 3): [0, 1, 2, 3], (0, 4): None, (1, 4): [1, 2, 3, 4], (4, 4): [4], (4, 0): None}
