@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import outputs, sessions
 from ridgeline.operators.merge import first_by
+from ridgeline.session import written
 
 # How each vendor's models are written in host names, in order.
 MODELS = {
@@ -62,15 +63,18 @@ def bulk_category(kind: Column) -> Column:
 
 
 def ingest(files: DataFrame) -> dict[str, DataFrame]:
-    """From file, content to tables of facts, as one plan for any number of logs (SRC-01, SRC-14).
+    """From file, content to tables of facts, for any number of logs (SRC-01, SRC-14).
 
+    Logs are cut into blocks once, which are written to the shared folder; every table is taken from there.
     blocks (classified), devices (with model and version), configs (cleaned), interfaces, neighbors,
     routes, labels, pad (outputs that go aside by category). A file without prompts is a raw
     configuration, if it names its host, or else gives nothing. Routes of no VRF are of `default` (UPS-05).
     """
-    split = sessions.split_log(files, "content", ["file"])
+    logs = files.select("file", "content", sessions.log_blocks(F.col("content")).alias("b")).select("file", "b", F.when(F.size("b") == 0, F.col("content")).alias("content"))
+    found = written(logs.select("file", "content", F.posexplode_outer("b").alias("block_no", "b")).select("file", "block_no", "b.*", F.when(F.col("block_no").isNull(), sessions.raw_config(F.col("content"))).alias("r")))
+    split = found.where("block_no is not null").drop("r")
     blocks = sessions.classified(sessions.reclassified(split)).withColumn("device_id", F.lower("hostname"))
-    lone = files.join(split.select("file").distinct(), "file", "left_anti").select("file", sessions.raw_config(F.col("content")).alias("r")).where("r is not null")
+    lone = found.where("r is not null").select("file", "r").join(split.select("file").distinct(), "file", "left_anti")
     shown = blocks.where("cmd_type = 'config'").select("device_id", "vendor", "file", "block_no", clean_config(F.col("output")).alias("config_text"))
     raw = lone.select(F.lower("r.hostname").alias("device_id"), "r.vendor", "file", F.lit(0).alias("block_no"), clean_config(F.col("r.config")).alias("config_text"))
     configs = shown.unionByName(raw).where("config_text <> ''")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import classify, commands
+from ridgeline.operators.ordering import BROADCAST
 from ridgeline.operators.running import running_last, running_sum
 from ridgeline.plans.program import is_blank, let
 from ridgeline.session import cut
@@ -50,31 +51,41 @@ def prompt(line: Column) -> Column:
     return F.coalesce(*found)
 
 
-def split_log(df: DataFrame, text_col: str, keys: list[str], complete_only: bool = False) -> DataFrame:
-    """keys, block_no, hostname, vendor, command, output, captured_at: what lies between prompts.
+def _maybe_prompt(line: Column) -> Column:
+    """Whether a line begins as one of PROMPTS, with or without a stamp: one pattern, where prompt() tries each."""
+    return line.rlike(f"^(?:{LOOSE_STAMP[1:]})?(?:{'|'.join(p[1:] for patterns in PROMPTS.values() for p in patterns)})")
 
-    A log's lines are an array in its own row, so nothing is shuffled. complete_only leaves out the
-    last block, which may still grow (STR-02).
-    """
+
+def log_blocks(text: Column, complete_only: bool = False) -> Column:
+    """block_no's structs of hostname, vendor, command, output, captured_at: what lies between the prompts of a log, as an array."""
 
     def blocks(lines: Column) -> Column:
-        seen = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), prompt(unstamped(F.regexp_replace(x, r"[\r \t]+$", ""))).alias("p"), stamp(x).alias("t"))), lambda x: x["p"].isNotNull())
+        near = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: _maybe_prompt(s["x"]))
+        seen = F.filter(F.transform(near, lambda s: F.struct(s["i"].alias("i"), prompt(unstamped(F.regexp_replace(s["x"], r"[\r \t]+$", ""))).alias("p"), stamp(s["x"]).alias("t"))), lambda x: x["p"].isNotNull())
 
         def outputs(heads: Column) -> Column:
             def one(h: Column, k: Column) -> Column:
                 end = F.coalesce(F.get(heads, k + 1)["i"], F.size(lines))
-                body = F.transform(F.slice(lines, h["i"] + 2, end - h["i"] - 1), lambda x: unstamped(F.regexp_replace(x, r"\r+$", "")))
-                return F.struct(h["p"]["hostname"].alias("hostname"), h["p"]["vendor"].alias("vendor"), h["p"]["command"].alias("command"), F.regexp_replace(F.array_join(body, "\n"), r"[\n\r \t]+$", "").alias("output"), h["t"].alias("captured_at"))
+                body = F.slice(lines, h["i"] + 2, end - h["i"] - 1)
+                # Where no line has a stamp or a \r, there is nothing to take from any.
+                plain = let(F.array_join(body, "\n"), lambda x: F.when(x.contains("\r") | x.rlike(r"(?m)^\d{4}-\d{2}-"), F.array_join(F.transform(body, lambda y: unstamped(F.regexp_replace(y, r"\r+$", ""))), "\n")).otherwise(x))
+                return F.struct(h["p"]["hostname"].alias("hostname"), h["p"]["vendor"].alias("vendor"), h["p"]["command"].alias("command"), F.regexp_replace(plain, r"[\n\r \t]+$", "").alias("output"), h["t"].alias("captured_at"))
 
             return F.transform(heads, one)
 
         return let(seen, outputs)
 
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    array = let(lines, blocks)
-    if complete_only:
-        array = let(array, lambda b: F.slice(b, F.lit(1), F.greatest(F.size(b) - 1, F.lit(0))))
-    return df.select(*keys, F.posexplode(array).alias("block_no", "b")).select(*keys, "block_no", "b.*")
+    array = let(F.split(F.coalesce(text, F.lit("")), "\n", -1), blocks)
+    return let(array, lambda b: F.slice(b, F.lit(1), F.greatest(F.size(b) - 1, F.lit(0)))) if complete_only else array
+
+
+def split_log(df: DataFrame, text_col: str, keys: list[str], complete_only: bool = False) -> DataFrame:
+    """keys, block_no, hostname, vendor, command, output, captured_at: what lies between prompts.
+
+    A log's lines are an array in its own row, so nothing is shuffled. complete_only leaves out the
+    last block, which may still grow (STR-02).
+    """
+    return df.select(*keys, F.posexplode(log_blocks(F.col(text_col), complete_only)).alias("block_no", "b")).select(*keys, "block_no", "b.*")
 
 
 def split_ranges(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +96,7 @@ def split_ranges(spark: SparkSession, path: str) -> DataFrame:
     output; no file does.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
-    marked = cut(lines.withColumn("p", prompt(unstamped(F.regexp_replace("value", r"[\r \t]+$", "")))))
+    marked = cut(lines.withColumn("p", F.when(_maybe_prompt(F.col("value")), prompt(unstamped(F.regexp_replace("value", r"[\r \t]+$", ""))))))
     held = marked.groupBy("file", "start").agg(F.count("p").alias("_n"))
     before = held.select("file", "start", (F.sum("_n").over(Window.partitionBy("file").orderBy("start")) - F.col("_n")).alias("_before"))  # a row for each range
     own = F.count("p").over(Window.partitionBy("file", "start").orderBy("at"))
@@ -99,9 +110,13 @@ def split_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 def reclassified(blocks: DataFrame) -> DataFrame:
     """Blocks with vendor h3c for every host, whatever its case, that says so in the first ten lines of an output (SPL-07)."""
-    head = F.slice(F.split("output", "\n", -1), 1, 10)
+    head = F.split(F.substring_index("output", "\n", 10), "\n", -1)
     says = F.exists(head, lambda x: F.lower(commands.trim(x)).startswith("version 7.") | F.lower(x).contains("mdc admin id"))
-    ours = blocks.where((F.col("vendor") == "huawei") & says).select(F.lower("hostname").alias("_host")).distinct()
+    ours = cut(blocks.where((F.col("vendor") == "huawei") & says).select(F.lower("hostname").alias("_host")).distinct())
+    n = ours.count()
+    if not n:
+        return blocks
+    ours = F.broadcast(ours) if n <= BROADCAST else ours  # else outputs would be shuffled for it
     out = blocks.join(ours, F.lower("hostname") == F.col("_host"), "left")
     return out.withColumn("vendor", F.when(F.col("_host").isNotNull() & (F.col("vendor") == "huawei"), "h3c").otherwise(F.col("vendor"))).drop("_host")
 
