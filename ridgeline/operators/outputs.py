@@ -57,21 +57,25 @@ CISCO_CODES = {"C": "connected", "S": "static", "R": "rip", "B": "bgp", "D": "ei
 def huawei_routes(output: Column) -> Column:
     """vrf, prefix, mask_len, protocol, preference, metric, next_hop, outgoing_interface (PAR-02): the table's VRF holds for the lines below it."""
 
-    def step(acc: Column, line: Column) -> Column:
-        name = F.regexp_extract(line, r"Routing Tables?\s*:\s*(\S+)", 1)
+    def row(line: Column, vrf: Column) -> Column:
         f = fields(line)
         at = F.filter(F.sequence(F.lit(4), F.greatest(F.size(f) - 1, F.lit(4))), lambda i: F.get(f, i).rlike(r"^\d+\.\d+\.\d+\.\d+$"))
-        hit = line.rlike(r"^\s*\d+\.\d+\.\d+\.\d+/\d+\s") & (F.size(f) >= 6)
-        row = _struct(
-            vrf=acc["vrf"], prefix=F.substring_index(F.get(f, F.lit(0)), "/", 1), mask_len=number(F.substring_index(F.get(f, F.lit(0)), "/", -1)), protocol=F.lower(F.get(f, F.lit(1))), preference=number(F.get(f, F.lit(2))), metric=number(F.get(f, F.lit(3))),
+        return _struct(
+            vrf=vrf, prefix=F.substring_index(F.get(f, F.lit(0)), "/", 1), mask_len=number(F.substring_index(F.get(f, F.lit(0)), "/", -1)), protocol=F.lower(F.get(f, F.lit(1))), preference=number(F.get(f, F.lit(2))), metric=number(F.get(f, F.lit(3))),
             next_hop=F.coalesce(F.get(f, F.get(at, F.lit(0))), F.lit("")), outgoing_interface=F.element_at(f, -1),
         )
-        vrf = F.when(name == "", acc["vrf"]).when(name == "Public", "default").otherwise(name)
-        return F.struct(vrf.alias("vrf"), F.when(hit, F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows"))
 
-    kind = "array<struct<vrf:string,prefix:string,mask_len:bigint,protocol:string,preference:bigint,metric:bigint,next_hop:string,outgoing_interface:string>>"
-    start = F.struct(F.lit("default").alias("vrf"), F.array().cast(kind).alias("rows"))
-    return F.aggregate(F.split(F.coalesce(output, F.lit("")), "\n", -1), start, step, lambda acc: acc["rows"])
+    def tables(ls: Column) -> Column:
+        """The rows below each table's name, and of that line; those above the first are of default."""
+        name = lambda x: F.regexp_extract(x, r"Routing Tables?\s*:\s*(\S+)", 1)
+        named = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), name(x).alias("vrf"))), lambda h: h["vrf"] != "")
+        heads = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("default").alias("vrf"))), named)
+        vrf = lambda h: F.when(h["vrf"] == "Public", "default").otherwise(h["vrf"])
+        hit = lambda x: x.rlike(r"^\s*\d+\.\d+\.\d+\.\d+/\d+\s") & (F.size(fields(x)) >= 6)
+        own = lambda hs, h, k: F.slice(ls, h["i"] + 2, F.coalesce(F.get(hs, k + 1)["i"] + 1, F.size(ls)) - h["i"] - 1)
+        return let(heads, lambda hs: F.flatten(F.transform(hs, lambda h, k: F.transform(F.filter(own(hs, h, k), hit), lambda x: row(x, vrf(h))))))
+
+    return let(F.split(F.coalesce(output, F.lit("")), "\n", -1), tables)
 
 
 def cisco_routes(output: Column) -> Column:
