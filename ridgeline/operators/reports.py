@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,13 +168,39 @@ def shortest_script(x: list[str], y: list[str]) -> list[tuple[str, str]]:
 
 
 def sequence_difference(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
-    """keys, pos, sign, line: the shortest edit script of two texts' lines, with lines kept (blank), gone (-) and new (+) (SET-02). Each pair of texts is a row."""
-
-    @F.pandas_udf("array<struct<sign:string,line:string>>")
-    def script(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"sign": s, "line": t} for s, t in shortest_script((x or "").split("\n"), (y or "").split("\n"))] for x, y in zip(a, b, strict=True)])
+    """keys, pos, sign, line: the shortest edit script of two texts' lines, with lines kept (blank), gone (-) and new (+) (SET-02). Each pair of texts is a row.
 
-    return pairs.select(*keys, F.posexplode(script(F.col(old), F.col(new))).alias("pos", "s")).select(*keys, "pos", "s.*")
+    A task holds one pair's script and CHUNK characters of rows that go out, not the scripts of a whole batch.
+    """
+    rows = pairs.select(*keys, F.col(old).alias("_old"), F.col(new).alias("_new"))
+    names = [*keys, "pos", "sign", "line"]
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                x, y = batch.column("_old")[i].as_py() or "", batch.column("_new")[i].as_py() or ""
+                for pos, (sign, line) in enumerate(shortest_script(x.split("\n"), y.split("\n"))):
+                    held.append((i, pos, sign, line))
+                    size += len(line) + 16
+                    if size >= CHUNK:
+                        yield _rows(batch, keys, names, held)
+                        held, size = [], 0
+            if held:
+                yield _rows(batch, keys, names, held)
+
+    return rows.mapInArrow(scripts, f"{kinds}, pos int, sign string, line string")
+
+
+#: Characters of an edit script's rows that go out at once.
+CHUNK = 1 << 20
+
+
+def _rows(batch: pa.RecordBatch, keys: list[str], names: list[str], held: list[tuple]) -> pa.RecordBatch:
+    at, pos, sign, line = zip(*held, strict=True)
+    own = pa.array(at, pa.int32())
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in keys), pa.array(pos, pa.int32()), pa.array(sign, pa.string()), pa.array(line, pa.string())], names)
 
 
 def dashboard(devices: DataFrame, interfaces: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 """Steps whose rounds, passes or memory must not grow faster than their input."""
 
-from ridgeline.operators import graph
+import time
+
+from pyspark.sql import functions as F
+
+from ridgeline.operators import devices, graph, outputs, reports
 
 
 def jobs(spark, name, run):
@@ -26,3 +30,33 @@ def test_shortest_paths_within_a_number_of_edges(spark):
     pairs = spark.createDataFrame([(0, 3), (0, 4), (1, 4), (4, 4), (4, 0)], "a long, b long")
     found = {(r.a, r.b): r.path for r in graph.shortest_paths(df, pairs, 3).collect()}
     assert found == {(0, 3): [0, 1, 2, 3], (0, 4): None, (1, 4): [1, 2, 3, 4], (4, 4): [4], (4, 0): None}
+
+
+def test_each_log_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    logs = spark.createDataFrame([("a", "<ne-a>display ospf peer brief\n Area Id Interface\n 0.0.0.0 GE0/0/1 1.2.3.4 Full\n<ne-a>quit"), ("b", "#\nsysname lone\n#")], "file string, content string")
+    facts = devices.ingest(logs.withColumn("content", read.asNondeterministic()("content")))
+    assert [r.device_id for r in facts["devices"].orderBy("device_id").collect()] == ["lone", "ne-a"]
+    facts["neighbors"].collect()
+    assert seen.value == 2
+
+
+def test_routes_are_read_in_time_that_grows_with_lines(spark):
+    text = "\n".join(["1.0.0.0/8 OSPF 10 1 D 9.9.9.9 GE1"] + [x for v in range(3) for x in [f"Routing Tables: {('Public', 'RED', 'BLUE')[v]}", *["10.0.0.0/8 Static 60 0 RD 1.1.1.1 GE0"] * 20000]])
+    started = time.monotonic()
+    rows = spark.createDataFrame([(text,)], "t string").select(F.explode(outputs.huawei_routes(F.col("t"))).alias("r")).groupBy("r.vrf").count().collect()
+    assert {r.vrf: r["count"] for r in rows} == {"default": 20001, "RED": 20000, "BLUE": 20000}
+    assert time.monotonic() - started < 60
+
+
+def test_scripts_go_out_in_pieces(spark):
+    assert reports.CHUNK <= 1 << 20
+    df = spark.createDataFrame([(None, "a\nb", "b\nc"), (2, None, "q")], "k long, o string, n string")
+    rows = sorted((r.k or 0, r.pos, r.sign, r.line) for r in reports.sequence_difference(df, ["k"], "o", "n").collect())
+    assert rows == [(0, 0, "-", "a"), (0, 1, " ", "b"), (0, 2, "+", "c"), (2, 0, "-", ""), (2, 1, "+", "q")]
