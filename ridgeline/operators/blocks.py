@@ -198,4 +198,4 @@ def impact(nodes: DataFrame, edges: DataFrame, gone: DataFrame, held: DataFrame
     usual = asked.join(F.broadcast(ends)).where("gone <> first").join(away.select("node"), F.col("gone") != F.col("node")).select("gone", "node")
     first = asked.join(F.broadcast(ends)).where("gone = first").join(F.broadcast(home)).select("gone", "home")
     rest = first.join(away, F.col("root") != F.col("home")).select("gone", "node")
-    return below.union(usual).union(rest).distinct()
+    return below.union(usual).union(rest)  # intervals of a node's children and other components have no node in common
