@@ -62,12 +62,29 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
 VENDOR = "CASE WHEN s % 2 = 0 THEN 'huawei' ELSE 'cisco' END"
 
 
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    """file, content: the logs with time stamps, a configuration, a question for help and a prompt of another kind; every fourth device is of a third vendor, which only its configuration says."""
+    c = F.col
+    said = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.min("l_shipdate").alias("began"), F.max("l_shipdate").alias("ended"))
+    s, host = c("s"), F.concat(F.lit("Sup"), "s")
+    time = lambda x: F.concat(F.date_format(x, "yyyy-MM-dd-HH-mm-ss"), F.lit(": "))
+    prompt = F.when(s % 2 == 0, F.concat(F.lit("<"), host, F.lit(">"))).otherwise(F.concat(host, F.lit("#")))
+    shown = F.when(s % 4 == 0, F.concat(F.lit("display current-configuration\nversion 7.1.070\n#\nsysname "), host)).when(s % 2 == 0, F.concat(F.lit("display current-configuration\n#\nsysname "), host)).otherwise(F.concat(F.lit("show running-config\nhostname "), host))
+    asked = F.when(s % 2 == 0, "display ip rout ?").otherwise("show ip rout ?")
+    last = F.when(s % 2 == 0, F.concat(F.lit("["), host, F.lit("]dis cur"))).when(s % 4 == 1, F.concat(F.lit("RP/0/RSP0/CPU0:"), host, F.lit("#show mpls forwarding"))).otherwise(F.concat(F.lit("admin@"), host, F.lit(">show version")))
+    content = F.concat(F.lit("noise\n"), time("began"), "content", F.lit("\n"), time("ended"), prompt, shown, F.lit("\n"), prompt, asked, F.lit("\nhelp\n"), last, F.lit("\n12:00\n"))
+    return _logs(spark, d).join(said.withColumn("file", F.concat(F.lit("log-"), "s")), "file").select("file", content.alias("content"))
+
+
 @query(f"""
-WITH {LINES_SQL}, b AS (SELECT DISTINCT s FROM lines)
-SELECT 'log-' || s AS file, CAST(n AS INTEGER) AS block_no, 'Sup' || s AS hostname, {VENDOR} AS vendor, CASE WHEN s % 2 = 0 THEN ['display interface brief', 'display ip routing-table', 'display ospf peer brief', 'quit'][n + 1] ELSE ['show ip interface brief', 'show ip route', 'show ip ospf neighbor', 'quit'][n + 1] END AS command,
-  ['interface', 'rib', 'neighbor', 'unknown'][n + 1] AS cmd_type, command AS command_norm FROM b, range(4) AS r(n)""")
+WITH {LINES_SQL}, b AS (SELECT DISTINCT s FROM lines), t AS (SELECT l_suppkey AS s, min(l_shipdate) AS began, max(l_shipdate) AS ended FROM lineitem GROUP BY 1),
+k AS (SELECT s, n, began, ended, CASE WHEN s % 2 = 0 THEN ['display interface brief', 'display ip routing-table', 'display ospf peer brief', 'quit', 'display current-configuration', '', 'dis cur'][n + 1] WHEN n = 6 THEN CASE WHEN s % 4 = 1 THEN 'show mpls forwarding' ELSE 'show version' END ELSE ['show ip interface brief', 'show ip route', 'show ip ospf neighbor', 'quit', 'show running-config'][n + 1] END AS command FROM b JOIN t USING (s), range(7) AS r(n) WHERE n <> 5)
+SELECT 'log-' || s AS file, CAST(n AS INTEGER) AS block_no, 'Sup' || s AS hostname, CASE WHEN s % 4 = 0 THEN 'h3c' WHEN s % 4 = 3 AND n = 6 THEN 'juniper' ELSE {VENDOR} END AS vendor, command,
+  CASE WHEN n = 6 AND s % 2 = 1 THEN CASE WHEN s % 4 = 1 THEN 'lfib' ELSE 'unknown' END ELSE ['interface', 'rib', 'neighbor', 'unknown', 'config', '', 'config'][n + 1] END AS cmd_type, CASE command WHEN 'dis cur' THEN 'display current-configuration' ELSE command END AS command_norm,
+  CASE WHEN n = 6 AND s % 2 = 1 THEN CASE WHEN s % 4 = 1 THEN 'mpls' ELSE 'other' END ELSE ['interface', 'routing', 'ospf', 'other', 'config', '', 'config'][n + 1] END AS category,
+  strftime(CASE n WHEN 0 THEN began WHEN 4 THEN ended END, '%Y-%m-%d %H:%M:%S') AS captured_at FROM k""")
 def log_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.classified(sessions.split_log(_logs(spark, d), "content", ["file"])).select("file", "block_no", "hostname", "vendor", "command", "cmd_type", "command_norm")
+    return devices.ingest(_sessions(spark, d))["blocks"].select("file", "block_no", "hostname", "vendor", "command", "cmd_type", "command_norm", "category", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at"))
 
 
 @query(f"""
