@@ -134,17 +134,36 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _configs(spark: SparkSession, d: str) -> DataFrame:
-    """g, vendor, text: a configuration with an interface, a static route and a peer for each customer."""
-    rows = _members(spark, d)
-    face = F.concat(F.lit("interface GigabitEthernet0/0/"), "i", F.lit("\n description "), "c_name", F.lit("\n ip address "), "ip", F.lit(" 255.255.255.252"), F.when(F.col("shut"), "\n shutdown").otherwise(""), F.lit("\n#"))
-    route = F.concat(F.lit("ip route-static "), "ip", F.lit(" 255.255.255.255 172.16.0.1"))
-    text = _joined(rows, "g", "i", ("faces", face), ("routes", route))
-    return text.select("g", F.lit("huawei").alias("vendor"), F.concat(F.lit("#\nsysname Cus"), "g", F.lit("\n#\n"), "faces", F.lit("\n"), "routes", F.lit("\n#\n")).alias("text"))
+    """g, vendor, text: a configuration in the words of each vendor with an interface, a static route and a peer for each customer, a subinterface for each that is shut, and a loopback."""
+    c, lit = F.col, F.lit
+    off = lambda said: F.when(c("shut"), said).otherwise("")
+    face = F.concat(lit("interface GigabitEthernet0/0/"), "i", lit("\n description "), "c_name", lit("\n ip address "), "ip", lit(" 255.255.255.252"), off("\n shutdown"), lit("\n#"), off(F.concat(lit("\ninterface Eth-Trunk"), "i", lit(".12\n shutdown\n#"))))
+    route = F.concat(lit("ip route-static "), "ip", lit(" 255.255.255.255 172.16.0.1"))
+    flat = F.concat(lit("interface GigabitEthernet0/0/0/"), "i", lit("\n description "), "c_name", lit("\n ipv4 address "), "ip", lit(" 255.255.255.252"), off("\n shutdown"), lit("\n!"), off(F.concat(lit("\ninterface Bundle-Ether"), "i", lit(".12\n shutdown\n!"))))
+    unit = F.concat(lit(" unit 0 {\n family inet { # comment\n address "), "ip", lit("/30;\n }\n }\n"))
+    tree = F.concat(lit("ge-0/0/"), "i", lit(' {\n description "'), "c_name", lit(' #3; {main}";\n'), off(" disable;\n"), unit, off(" unit 5 {\n disable;\n }\n"), lit("}"))
+    text = _joined(_members(spark, d), "g", "i", ("faces", face), ("routes", route), ("flat", flat), ("tree", tree))
+    host = F.concat(lit("10.255."), F.pmod(F.floor(c("g") / 256), lit(256)).cast("string"), lit("."), F.pmod("g", lit(256)).cast("string"))
+    huawei = F.concat(lit("#\nsysname Cus"), "g", lit("\n#\n"), "faces", lit("\ninterface LoopBack0\n ip address "), host, lit(" 32\n#\n"), "routes", lit("\n#\n"))
+    cisco = F.concat(lit("hostname Cus"), "g", lit("\n!\n"), "flat", lit("\ninterface Loopback0\n ipv4 address "), host, lit(" 255.255.255.255\n!\n"))
+    juniper = F.concat(lit("system {\n host-name Cus"), "g", lit(";\n}\ninterfaces {\n"), "tree", lit("\nlo0 {\n unit 0 {\n family inet {\n address "), host, lit("/32;\n }\n }\n }\n}\n"))
+    each = F.array(*(F.struct(lit(v).alias("vendor"), x.alias("text")) for v, x in (("huawei", huawei), ("cisco", cisco), ("juniper", juniper))))
+    return text.select("g", F.explode(each).alias("e")).select("g", "e.*")
 
 
-@query(f"WITH {MEMBERS_SQL} SELECT g, 'GigabitEthernet0/0/' || i AS name, 'physical' AS type, ip AS ip_address, '255.255.255.252' AS mask, c_name AS description, CASE WHEN shut THEN 'down' ELSE 'up' END AS status FROM members")
+@query(f"""
+WITH {MEMBERS_SQL}, hosts AS (SELECT DISTINCT g, '10.255.' || g // 256 % 256 || '.' || g % 256 AS ip FROM members)
+SELECT g, vendor, 'GigabitEthernet0/0/' || CASE vendor WHEN 'cisco' THEN '0/' ELSE '' END || i AS name, 'physical' AS type, ip AS ip_address, '255.255.255.252' AS mask, c_name AS description, CASE WHEN shut THEN 'down' ELSE 'up' END AS status FROM members, (VALUES ('huawei'), ('cisco')) AS v(vendor)
+UNION ALL SELECT g, vendor, trunk || i || '.12', 'subinterface', '', '', '', 'down' FROM members, (VALUES ('huawei', 'Eth-Trunk'), ('cisco', 'Bundle-Ether')) AS v(vendor, trunk) WHERE shut
+UNION ALL SELECT g, vendor, name, 'loopback', ip, mask, '', 'up' FROM hosts, (VALUES ('huawei', 'LoopBack0', '32'), ('cisco', 'Loopback0', '255.255.255.255')) AS v(vendor, name, mask)
+UNION ALL SELECT g, 'juniper', 'ge-0/0/' || i, 'physical', '', '', c_name || ' #3; {{main}}', CASE WHEN shut THEN 'down' ELSE 'up' END FROM members
+UNION ALL SELECT g, 'juniper', 'ge-0/0/' || i || '.0', 'subinterface', ip, '30', '', CASE WHEN shut THEN 'down' ELSE 'up' END FROM members
+UNION ALL SELECT g, 'juniper', 'ge-0/0/' || i || '.5', 'subinterface', '', '', '', 'down' FROM members WHERE shut
+UNION ALL SELECT g, 'juniper', 'lo0.0', 'subinterface', ip, '32', '', 'up' FROM hosts""")
 def config_interfaces(spark: SparkSession, d: str) -> DataFrame:
-    return config.interfaces(_configs(spark, d), "text", "vendor", ["g"])
+    texts = _configs(spark, d)
+    flat = config.interfaces(texts.where("vendor <> 'juniper'"), "text", "vendor", ["g", "vendor"])
+    return flat.unionByName(config.nested_interfaces(texts.where("vendor = 'juniper'"), "text", ["g", "vendor"]))
 
 
 # Facts as they are stored.

@@ -22,3 +22,14 @@ def test_blocks_of_every_vendor_with_category_and_time(spark, tmp_path):
     assert found["log-2", 4] == ("huawei", "display current-configuration", "display current-configuration", "config", "config", "1996-01-04 01:02:03")
     assert found["log-2", 6][1:] == ("dis cur", "display current-configuration", "config", "config", None)
     assert found["log-1", 6][0] == "cisco" and found["log-3", 6][0] == "juniper" and ("log-1", 5) not in found
+
+
+def test_interfaces_of_every_vendor(spark, tmp_path):
+    rows = log_queries.config_interfaces(spark, _tables(spark, tmp_path)).collect()
+    found = {(r.vendor, r.name): (r.type, r.ip_address, r["mask"], r.description, r.status) for r in rows}
+    assert len(rows) == len(found) == 14 and {r.g for r in rows} == {1}
+    assert found["huawei", "GigabitEthernet0/0/1"] == ("physical", "10.0.0.101", "255.255.255.252", "Customer#101", "down")
+    assert found["cisco", "GigabitEthernet0/0/0/2"] == ("physical", "10.0.0.102", "255.255.255.252", "Customer#102", "up")
+    assert found["cisco", "Loopback0"] == ("loopback", "10.255.0.1", "255.255.255.255", "", "up") and found["huawei", "LoopBack0"][2] == "32"
+    assert found["juniper", "ge-0/0/1"] == ("physical", "", "", "Customer#101 #3; {main}", "down") and found["juniper", "ge-0/0/2.0"] == ("subinterface", "10.0.0.102", "30", "", "up")
+    assert {k for k, v in found.items() if v[0] == "subinterface" and v[4] == "down"} == {("huawei", "Eth-Trunk1.12"), ("cisco", "Bundle-Ether1.12"), ("juniper", "ge-0/0/1.0"), ("juniper", "ge-0/0/1.5")}
