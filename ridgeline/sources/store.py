@@ -25,7 +25,10 @@ class Duplicate(ValueError):
 
 @dataclass
 class Change:
-    """What becomes of a table: rows are added to it, or take the place of the buckets `only` (None: of all)."""
+    """What becomes of a table: rows are added to it, or take the place of the buckets `only` (None: of all).
+
+    placed: each task's rows are few enough to be sorted in memory, and go to files of its own in every bucket without a shuffle.
+    """
 
     table: str
     rows: DataFrame
@@ -34,6 +37,7 @@ class Change:
     only: Iterable[int] | None = None
     unique: bool = False
     sort: tuple[str, ...] = ()
+    placed: bool = False
 
 
 @dataclass
@@ -126,11 +130,14 @@ class Store:
             self._files.delete(self._path(f"{self.root}/{staged}"), True)
 
     def _stage(self, base: Version, c: Change, folder: str, tables: dict) -> None:
-        rows = c.rows.withColumn("bucket", self.bucket(*c.keys)).persist(StorageLevel.DISK_ONLY)
+        rows = c.rows.withColumn("bucket", self.bucket(*c.keys))
+        rows = rows.persist(StorageLevel.DISK_ONLY) if c.unique else rows  # read twice
         if c.unique and not rows.groupBy(*c.keys).count().where("count > 1").isEmpty():
             raise Duplicate(f"rows of {c.table} repeat {', '.join(c.keys)}")
-        rows.repartition("bucket").sortWithinPartitions("bucket", *c.sort).write.partitionBy("bucket").option("maxRecordsPerFile", 5_000_000).parquet(f"{self.root}/{folder}")
-        rows.unpersist()
+        dealt = rows if c.placed else rows.repartition("bucket")
+        dealt.sortWithinPartitions("bucket", *c.sort).write.partitionBy("bucket").option("maxRecordsPerFile", 5_000_000).parquet(f"{self.root}/{folder}")
+        if c.unique:
+            rows.unpersist()
         made = self._path(f"{self.root}/{folder}")
         names = [s.getPath().getName() for s in self._files.listStatus(made)]
         new = {n.removeprefix("bucket="): f"{folder}/{n}" for n in names if n.startswith("bucket=")}

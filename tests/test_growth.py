@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from ridgeline.operators import devices, graph, outputs, reports
+from ridgeline.operators import devices, graph, index, outputs, reports
 
 
 def jobs(spark, name, run):
@@ -60,3 +60,41 @@ def test_scripts_go_out_in_pieces(spark):
     df = spark.createDataFrame([(None, "a\nb", "b\nc"), (2, None, "q")], "k long, o string, n string")
     rows = sorted((r.k or 0, r.pos, r.sign, r.line) for r in reports.sequence_difference(df, ["k"], "o", "n").collect())
     assert rows == [(0, 0, "-", "a"), (0, 1, " ", "b"), (0, 2, "+", "c"), (2, 0, "-", ""), (2, 1, "+", "q")]
+
+
+def shuffled(spark):
+    """Rows that stages have shuffled so far."""
+    sc = spark.sparkContext
+    spark._jvm.java.lang.Thread.sleep(500)  # the listener's last events
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def words_index(spark, root):
+    """An index of 40 documents of 500 words in tasks of some documents each, ten of them replaced and one deleted; the texts; the rows shuffled for it."""
+    texts = [(i, " ".join(f"w{(i * 7 + j * j) % 311}" for j in range(500))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "id long, body string")
+    held = index.Index(spark, str(root / "i"), 4)
+    before = shuffled(spark)
+    held.add(docs.where("id < 30"), "id", "body")
+    held.add(docs.where("id >= 20"), "id", "body")
+    held.delete(docs.where("id = 5"), "id")
+    return held, dict(texts), shuffled(spark) - before
+
+
+def test_an_index_shuffles_documents_not_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "WORDS", 4000, raising=False)
+    held, texts, moved = words_index(spark, tmp_path)
+    assert moved < 1000  # of 25,000 words
+    rows = held.store.current().read("postings").collect()
+    want = {(i, w, 1 + later): [j for j, x in enumerate(t.split()) if x == w] for i, t in texts.items() for later in (False, True) if (i >= 20 if later else i < 30) for w in set(t.split())}
+    assert {(r.doc, r.term, r.part): r.places for r in rows} == want and len(rows) == len(want)
+    assert all(r.tf == len(r.places) and r.len == 500 for r in rows)
+    assert len(list((tmp_path / "i").glob("data/*/postings/bucket=0/*.parquet"))) > 2  # tasks that hold few words
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    held = index.Index(spark, str(tmp_path / "i"), 4)
+    held.add(spark.createDataFrame([(1, None), (2, " - ")], "id long, body string"), "id", "body")
+    held.merge()
+    assert held.match("fox").count() == 0 and held.store.current().notes == {"n": 2, "total": 0}
