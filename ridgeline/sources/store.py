@@ -49,9 +49,9 @@ class Version:
     tables: dict = field(default_factory=dict)
     notes: dict = field(default_factory=dict)
 
-    def read(self, table: str, schema: str | T.StructType | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+    def read(self, table: str, schema: str | T.StructType | None = None, buckets: Iterable[int] | None = None, spark: SparkSession | None = None) -> DataFrame:
         """A table's rows, of some buckets or all; without any, an empty table of that schema."""
-        spark, held = self.store.spark, self.tables.get(table)
+        spark, held = spark or self.store.spark, self.tables.get(table)
         kind = T.StructType.fromJson(json.loads(held["schema"])) if held else T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         if kind is None:
             raise KeyError(table)

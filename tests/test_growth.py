@@ -98,3 +98,18 @@ def test_an_index_of_nothing(spark, tmp_path):
     held.add(spark.createDataFrame([(1, None), (2, " - ")], "id long, body string"), "id", "body")
     held.merge()
     assert held.match("fox").count() == 0 and held.store.current().notes == {"n": 2, "total": 0}
+
+
+def test_a_merge_shuffles_no_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "WORDS", 4000, raising=False)
+    held, texts, _ = words_index(spark, tmp_path)
+    before = shuffled(spark)
+    held.merge()
+    assert shuffled(spark) - before < 1000
+    now = held.store.current()
+    want = {(i, w): 1 + (i >= 20) for i, t in texts.items() if i != 5 for w in set(t.split())}
+    assert {(r.doc, r.term): r.part for r in now.read("postings").collect()} == want and now.read("gone").count() == 0
+    for own in now.tables["postings"]["buckets"].values():
+        files = [f for x in own for f in (tmp_path / "i" / x).glob("*.parquet")]
+        seen = [(r.term, r.doc) for r in spark.read.parquet(str(files[0])).collect()]
+        assert len(files) == 1 and seen == sorted(seen)  # small files become one
