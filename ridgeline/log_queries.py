@@ -36,8 +36,8 @@ def _joined(rows: DataFrame, key: str, order: str, *texts: tuple[str, Column]) -
     return rows.groupBy(key).agg(held.alias("_h")).select(key, *(F.array_join(F.col(f"_h.{n}"), "\n").alias(n) for n, _ in texts))
 
 
-def _logs(spark: SparkSession, d: str) -> DataFrame:
-    """file, content: a log of each supplier, with the prompts and tables of one of two vendors."""
+def _logs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """file, content (and s, if asked for): a log of each supplier, with the prompts and tables of one of two vendors."""
     c, first = F.col, F.col("first")
     name = F.concat(F.lit("GE0/0/"), c("i"))
     proto = F.when(c("state") == "O", "up").otherwise("down")
@@ -56,7 +56,7 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
         part(("display ospf peer brief", "show ip ospf neighbor"), (" Area Id Interface Neighbor id State", "Neighbor ID Pri State Dead Time Address Interface"), "peers"),
         F.lit("\n"), prompt, F.lit("quit"),
     )
-    return text.select(F.concat(F.lit("log-"), "s").alias("file"), content.alias("content"))
+    return text.select(F.concat(F.lit("log-"), "s").alias("file"), content.alias("content"), *more)
 
 
 VENDOR = "CASE WHEN s % 2 = 0 THEN 'huawei' ELSE 'cisco' END"
@@ -73,7 +73,7 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     asked = F.when(s % 2 == 0, "display ip rout ?").otherwise("show ip rout ?")
     last = F.when(s % 2 == 0, F.concat(F.lit("["), host, F.lit("]dis cur"))).when(s % 4 == 1, F.concat(F.lit("RP/0/RSP0/CPU0:"), host, F.lit("#show mpls forwarding"))).otherwise(F.concat(F.lit("admin@"), host, F.lit(">show version")))
     content = F.concat(F.lit("noise\n"), time("began"), "content", F.lit("\n"), time("ended"), prompt, shown, F.lit("\n"), prompt, asked, F.lit("\nhelp\n"), last, F.lit("\n12:00\n"))
-    return _logs(spark, d).join(said.withColumn("file", F.concat(F.lit("log-"), "s")), "file").select("file", content.alias("content"))
+    return _logs(spark, d, "s").join(said, "s").select("file", content.alias("content"))  # by s, as logs lie already
 
 
 @query(f"""
