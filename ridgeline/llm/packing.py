@@ -9,13 +9,16 @@ ends) and is then dealt to windows. Larger pieces would leave three to four per
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,39 +28,43 @@ from ridgeline.llm.tuning import release, small_batches
 
 #: Parts of texts whose ids a process keeps, beside those of one batch.
 MEMO = 1_200_000
-MARKS = frozenset(".,;:!?")
+#: What may stand behind a word: no apostrophe, as tokenizers know "'s".
+MARKS = string.punctuation.replace("'", "")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Deals sizes to k windows: the two partial partitions with the largest spreads are merged,
     largest windows with smallest, until one is left. Returns the indices in each window."""
-    # A partial partition: windows that hold something, largest first, as (load, tree of indices);
-    # the other windows are empty. Loads are relative to the least once all windows are filled.
-    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes)]
+    # A partial partition: windows that hold something, least first, each one number: its load, and below
+    # it the node that stands for its indices; the other windows are empty. Loads are relative to the
+    # least once all windows are filled.
+    bits = (2 * len(sizes)).bit_length()
+    node = (1 << bits) - 1
+    heap = [(-s, i, [s << bits | i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    fresh = len(heap)
+    fresh, pairs = len(heap), []  # a node above the indices is a pair of nodes
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         room = max(0, len(a) + len(b) - k)  # so many windows of a take one of b's smallest, their least the largest of these
-        own, free = len(a) - room, len(b) - room
-        merged = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(reversed(a[own:]), b[free:], strict=True)]
-        merged += a[:own] + b[:free]
-        merged.sort(key=lambda w: -w[0])
-        if len(merged) == k:
-            low = merged[-1][0]
-            merged = [(load - low, tree) for load, tree in merged]
-        heapq.heappush(heap, (-merged[0][0], fresh, merged))
+        merged = a[room:] + b[room:]
+        for x, y in zip(a[:room], reversed(b[:room]), strict=True):
+            merged.append((x >> bits) + (y >> bits) << bits | len(sizes) + len(pairs))
+            pairs.append((x & node, y & node))
+        merged.sort()
+        if len(merged) == k and (low := merged[0] >> bits << bits):
+            merged = [x - low for x in merged]
+        heapq.heappush(heap, (-(merged[-1] >> bits), fresh, merged))
         fresh += 1
     out = []
-    for _, tree in heap[0][2] if heap else []:
-        flat, rest = [], [tree]
+    for x in reversed(heap[0][2] if heap else []):
+        flat, rest = [], [x & node]
         while rest:
-            x = rest.pop()
-            if isinstance(x, tuple):
-                rest += x
+            i = rest.pop()
+            if i < len(sizes):
+                flat.append(i)
             else:
-                flat.append(x)
+                rest += pairs[i - len(sizes)]
         out.append(sorted(flat))
     return out
 
@@ -130,73 +137,95 @@ PROBES = ("ab cd", "Ab, cd. ef", "the of and", "x\ny z", "in  on", "one; two! th
 
 class Encoder:
     """Ids of texts. Where ids of the parts between blanks don't depend on each other, nor those of a
-    word and the mark behind it, each distinct word is encoded once and kept. A tokenizer of which
-    that is not true encodes whole texts."""
+    word and the marks behind it, nor on case, each distinct word is looked up once a batch, and what is
+    new is encoded and kept. A tokenizer of which that is not true encodes whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.whole = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.solid, self.parted = set(string.ascii_letters), set()  # letters that words stay whole with, and others
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_parts = all(ids(t) == [i for p in re.findall(r"[^\s.,;:!?]+|[.,;:!?]", t) for i in ids(p)] for t in PROBES)
+        self.by_parts = self.by_parts and ids("Ab CD") == ids("ab cd") and all(ids(f"ab{m}") == ids("ab") + ids(m) for m in (*MARKS, "!!", "***", ".***", "?!)", '."', "$%&"))
 
     def plain(self, word: str) -> bool:
         """Whether a word is letters that the tokenizer doesn't part: it makes some, such as U+0130, into a letter and a mark."""
         if not word.isalpha():
             return False
-        if word.isascii():
-            return True
-        for c in word:
-            if c not in self.whole:
-                self.whole[c] = not any(self.tokenizer.encode(f"a{c}a", add_special_tokens=False).word_ids)
-        return all(self.whole[c] for c in word)
+        for c in set(word) - self.solid - self.parted:
+            (self.parted if any(self.tokenizer.encode(f"a{c}a", add_special_tokens=False).word_ids) else self.solid).add(c)
+        return self.solid.issuperset(word)
 
     def learn(self, parts: list[str]) -> None:
         """Adds parts to the memo. Plain words are one unit of the tokenizer each and are encoded together."""
-        memo, alike, words, odd = self.memo, {}, {}, []
+        memo, solid, alike, words, odd = self.memo, self.solid, [], {}, {}
         for p in parts:
-            stem, mark = (p[:-1], p[-1]) if p[-1:] in MARKS and p[:-1].isalpha() else (p, "")
-            if self.plain(stem):
-                stem = stem.lower() if stem.isascii() else stem
-                alike[p] = stem, mark
-                if stem not in memo:
-                    words[stem] = None
-                if mark and mark not in memo:
-                    odd.append(mark)
-            else:
-                odd.append(p)
-        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
+            stem = p.rstrip(MARKS)
+            if not (stem and solid.issuperset(stem) or self.plain(stem)):
+                odd[p] = None
+                continue
+            word = stem.lower() if stem.isascii() else stem
+            if word == p:
+                words[p] = None
+                continue
+            marks = p[len(stem) :]
+            alike.append((p, word, marks))
+            if word not in memo:
+                words[word] = None
+            if marks and marks not in memo:
+                odd[marks] = None
+        self.singly(list(odd))
         names = list(words)
-        for lo in range(0, len(names), 4096):
-            some = names[lo : lo + 4096]
+        for lo in range(0, len(names), 512):
+            some = names[lo : lo + 512]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            if len(set(e.word_ids)) != len(some):  # not a unit for each word after all
-                for name, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    memo[name] = np.array(e.ids, "<u4").tobytes()
+            units = e.word_ids
+            if len(set(units)) != len(some):  # not a unit for each word after all
+                self.singly(some)
                 continue
-            ids, bounds = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
-            for k, name in enumerate(some):
-                memo[name] = ids[4 * bounds[k] : 4 * bounds[k + 1]]
-        for p, (stem, mark) in alike.items():
-            if p != stem:
-                memo[p] = memo[stem] + memo[mark] if mark else memo[stem]
-
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+            ids, bounds = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(np.array(units), np.arange(len(some) + 1))).tolist()
+            for name, (at, end) in zip(some, itertools.pairwise(bounds), strict=True):
+                memo[name] = ids[at:end]
+        for p, word, marks in alike:
+            memo[p] = memo[word] + memo[marks] if marks else memo[word]
+
+    def singly(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.memo[p] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> Iterator[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_parts:
             for t in texts:
-                yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4")
+                yield np.array(self.tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids, "<u4")
             return
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        bounds = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy())).tolist()
+        coded = parts.flatten().dictionary_encode()
+        which, whole = coded.indices.to_numpy(), coded.dictionary
+        stems = pc.ascii_rtrim(whole, characters=MARKS)
+        plain = pc.ascii_is_alpha(stems)
+        words = pc.if_else(plain, pc.ascii_lower(stems), whole).dictionary_encode()
+        marks = pc.if_else(plain, pc.ascii_ltrim(whole, characters=string.ascii_letters), "").dictionary_encode()
+        distinct = [*words.dictionary.to_numpy(zero_copy_only=False), *marks.dictionary.to_numpy(zero_copy_only=False)]
+        units = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(words.dictionary)], 1)
+        del parts, coded
         if len(self.memo) > MEMO:
             self.memo = {}
         memo = self.memo
-        for own in parts:
-            new = {p for p in own if p not in memo}
-            if new:
-                self.learn(list(new))
-            yield np.frombuffer(b"".join([memo[p] for p in own]), "<u4")
+        known = [memo.get(p) for p in distinct]
+        if new := [i for i, k in enumerate(known) if k is None]:
+            self.learn([distinct[i] for i in new])
+            for i in new:
+                known[i] = memo[distinct[i]]
+        ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        for lo, hi in itertools.pairwise(bounds):
+            own = units[which[lo:hi]].ravel()
+            n = sizes[own]
+            yield ids[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -234,7 +263,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 20
         encode = encoder(tokenizer if os.sep in tokenizer else tokenizer_path(tokenizer))
         packer = Packer(window, group, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for key, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for key, own in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 packer.add(key, np.append(own, np.uint32(end_id)).astype("<u4"))
             yield from flush(packer)
         packer.deal()

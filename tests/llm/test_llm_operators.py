@@ -747,6 +747,44 @@ def test_letters_that_the_tokenizer_parts():
         assert ids.tolist() == one.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_a_batch_are_looked_up_once():
+    from tokenizers import Tokenizer
+
+    class Memo(dict):
+        seen = 0
+
+        def __contains__(self, key):
+            self.seen += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.seen += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            self.seen += 1
+            return super().get(key, default)
+
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    encode, one = packing.Encoder(path), Tokenizer.from_file(path)
+    encode.memo = memo = Memo()
+    texts = ["The cat, THE Cat!! the cat*** den Größen: Größen. größen\n" * 100, None, "", "cat\u0301 H\u0331. it's 'the' the' (cat) cat.*** $% 1984, a1b2.  \tcat\xa0the. "] * 10
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == one.encode(text or "", add_special_tokens=False).ids
+    assert memo.seen < 200
+
+
+def test_a_tokenizer_that_tells_case(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    one = Tokenizer(models.WordLevel({w: i for i, w in enumerate(["?", "Ab", "ab", "AB", *".,;!"])}, unk_token="?"))
+    one.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    one.save(str(tmp_path / "cased.json"))
+    texts = ["Ab ab, AB. Ab", "ab"]
+    for text, ids in zip(texts, packing.Encoder(str(tmp_path / "cased.json"))(texts), strict=True):
+        assert ids.tolist() == one.encode(text, add_special_tokens=False).ids
+
+
 def test_every_public_tokenizer():
     """Those that see blanks as parts of words encode whole texts."""
     from pathlib import Path
