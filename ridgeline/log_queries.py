@@ -92,9 +92,9 @@ WITH {LINES_SQL}, b AS (SELECT s, count(*) AS n FROM lines GROUP BY s)
 SELECT 'Sup' || s AS hostname, {VENDOR} AS vendor, CASE WHEN s % 2 = 0 THEN ['display interface brief', 'display ip routing-table', 'display ospf peer brief', 'quit'][k + 1] ELSE ['show ip interface brief', 'show ip route', 'show ip ospf neighbor', 'quit'][k + 1] END AS command,
   CAST(CASE WHEN k = 3 THEN 0 WHEN k = 1 AND s % 2 = 0 THEN n + 2 ELSE n + 1 END AS INTEGER) AS lines FROM b, range(4) AS r(k)""")
 def log_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """The logs stand one behind another in the files of the tasks that make them, which are read in ranges."""
+    """The logs stand one behind another in the files of the tasks that make them, packed by a codec whose files can be read in ranges, as they are."""
     folder = f"{checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
-    _logs(spark, d).select("content").write.text(folder)
+    _logs(spark, d).select("content").write.text(folder, compression="bzip2")
     found = sessions.split_ranges(spark, folder)
     return found.select("hostname", "vendor", "command", F.when(F.col("output") == "", 0).otherwise(F.size(F.split("output", "\n"))).alias("lines"))
 

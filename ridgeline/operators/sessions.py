@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,21 +96,63 @@ def split_log(df: DataFrame, text_col: str, keys: list[str], complete_only: bool
 def split_ranges(spark: SparkSession, path: str) -> DataFrame:
     """file and the columns of split_log() of log files of any size, each read in byte ranges by as many tasks (SPL-05, SRC-01).
 
+    A task joins the lines of its range to blocks as it reads them, and these are kept once in the shared folder.
     Prompts are counted within each range; what the ranges before hold, one row for a range, is added up, so
-    every line knows its block wherever a file is cut. A block's lines then meet in one row, as they do in its
-    output; no file does.
+    every block knows its number wherever a file is cut. Only what may go on in another range, two parts of each, is shuffled.
+    A block's lines meet in one row, as they do in its output; no file does.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
-    marked = cut(lines.withColumn("p", F.when(_maybe_prompt(F.col("value")), prompt(unstamped(F.regexp_replace("value", r"[\r \t]+$", ""))))))
-    held = marked.groupBy("file", "start").agg(F.count("p").alias("_n"))
-    before = held.select("file", "start", (F.sum("_n").over(Window.partitionBy("file").orderBy("start")) - F.col("_n")).alias("_before"))  # a row for each range
-    own = F.count("p").over(Window.partitionBy("file", "start").orderBy("at"))
-    placed = marked.withColumn("_own", own).join(before, ["file", "start"]).withColumn("block_no", (F.col("_before") + F.col("_own") - 1).cast("int")).where("block_no >= 0")
-    held = F.array_sort(F.collect_list(F.struct("start", "at", "value", "p")))
-    rows = placed.groupBy("file", "block_no").agg(held.alias("h")).withColumn("head", F.element_at("h", 1))
-    body = F.transform(F.slice("h", F.lit(2), F.size("h")), lambda x: unstamped(F.regexp_replace(x["value"], r"\r+$", "")))
-    output = F.regexp_replace(F.array_join(body, "\n"), r"[\n\r \t]+$", "")
-    return rows.select("file", "block_no", "head.p.hostname", "head.p.vendor", "head.p.command", output.alias("output"), stamp(F.col("head.value")).alias("captured_at"))
+    value = F.col("value")
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    p = F.when(_maybe_prompt(value), let(unstamped(F.regexp_replace(value, r"[\r \t]+$", "")), prompt))  # few lines are: the rest of the row's code stays small
+    line = F.when(value.contains("\r") | value.rlike(r"^\d{4}-"), unstamped(F.regexp_replace(value, r"\r+$", ""))).otherwise(value)
+    lines = read.withColumn("p", p).select("file", "start", "p", F.when(F.col("p").isNotNull(), F.unix_micros(stamp(value))).alias("time"), line.alias("body"))
+    parts = cut(lines.mapInArrow(_parts, "file string, start long, own int, last boolean, p struct<hostname:string,vendor:string,command:string>, time long, body string"))
+    held = parts.groupBy("file", "start").agg(F.max("own").alias("_n"))
+    before = cut(held.select("file", "start", (F.sum("_n").over(Window.partitionBy("file").orderBy("start")) - F.col("_n")).alias("_before")))  # a row for each range
+    before = F.broadcast(before) if before.count() <= BROADCAST else before  # else outputs would be shuffled for it
+    placed = parts.join(before, ["file", "start"]).withColumn("block_no", (F.col("_before") + F.col("own") - 1).cast("int")).where("block_no >= 0")
+    open_ = F.col("last") | (F.col("own") == 0)
+    cut_up = placed.where(open_).groupBy("file", "block_no").agg(F.array_sort(F.collect_list(F.struct("start", "p", "time", "body"))).alias("h")).withColumn("head", F.element_at("h", 1))
+    rows = placed.where(~open_).select("file", "block_no", "p", "time", "body").union(cut_up.select("file", "block_no", "head.p", "head.time", F.array_join("h.body", "\n")))
+    output = F.regexp_replace(F.coalesce("body", F.lit("")), r"[\n\r \t]+$", "")
+    return rows.select("file", "block_no", "p.hostname", "p.vendor", "p.command", output.alias("output"), F.timestamp_micros("time").alias("captured_at"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's lines, in order, as parts of blocks: own is the number of prompts up to it, 0 for what is before the first; last: the range's
+    last part; body: its lines but for the prompt, null if there are none."""
+    part, texts, schema = None, [], None  # the part that is open, and its lines
+
+    def closed(last: bool) -> dict:
+        return part | {"last": last, "body": "\n".join(texts) if texts else None}
+
+    for batch in batches:
+        n, done = len(batch), []
+        if not n:
+            continue
+        file, start, p, time, body = batch.columns
+        schema = pa.schema([("file", file.type), ("start", start.type), ("own", pa.int32()), ("last", pa.bool_()), ("p", p.type), ("time", time.type), ("body", body.type)])
+        heads = set(np.flatnonzero(p.is_valid().to_numpy(zero_copy_only=False)).tolist())
+        moved = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1])).to_numpy(zero_copy_only=False)
+        ranges = {0, *(np.flatnonzero(moved) + 1).tolist()}  # where another range may begin
+        edges = sorted(ranges | heads)
+        for i, end in zip(edges, [*edges[1:], n], strict=True):
+            at = {"file": file[i].as_py(), "start": start[i].as_py()}
+            if i in ranges and (part is None or at != {k: part[k] for k in at}):
+                if part is not None:
+                    done.append(closed(True))
+                part, texts = at | {"own": 0, "p": None, "time": None}, []
+            if i in heads:
+                if part["own"] or texts:
+                    done.append(closed(False))
+                part, texts = at | {"own": part["own"] + 1, "p": p[i].as_py(), "time": time[i].as_py()}, []
+            first = i + (i in heads)
+            if end > first:
+                texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), body[first:end]), "\n")[0].as_py())
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema)
+    if part is not None:
+        yield pa.RecordBatch.from_pylist([closed(True)], schema)
 
 
 def reclassified(blocks: DataFrame) -> DataFrame:

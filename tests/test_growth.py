@@ -1,10 +1,12 @@
 """Steps whose rounds, passes or memory must not grow faster than their input."""
 
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ridgeline.operators import devices, graph, index, outputs, reports
+from ridgeline.operators import devices, graph, index, outputs, reports, sessions
+from ridgeline.session import checkpoint_dir
 
 
 def jobs(spark, name, run):
@@ -113,3 +115,12 @@ def test_a_merge_shuffles_no_words(spark, tmp_path, monkeypatch):
         files = [f for x in own for f in (tmp_path / "i" / x).glob("*.parquet")]
         seen = [(r.term, r.doc) for r in spark.read.parquet(str(files[0])).collect()]
         assert len(files) == 1 and seen == sorted(seen)  # small files become one
+
+
+def test_only_ends_of_a_logs_ranges_are_shuffled_and_its_lines_are_kept_packed(spark, tmp_path):
+    log = "".join(f"<host-a>display clock\n{'a line of the output\n' * 500}" for _ in range(60))
+    (tmp_path / "a.log").write_text(log)
+    held = lambda: sum(p.stat().st_size for p in Path(checkpoint_dir(spark).removeprefix("file:")).rglob("*") if p.is_file())
+    rows, size = shuffled(spark), held()
+    assert sorted(r.block_no for r in sessions.split_ranges(spark, str(tmp_path)).collect()) == list(range(60))
+    assert shuffled(spark) - rows < 1000 and held() - size < len(log) / 4
