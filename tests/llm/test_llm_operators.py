@@ -668,6 +668,17 @@ def test_templates_decide_where_names_do_not(spark):
     assert all(r.text != story[r.page_id] for r in pages.article_texts(df).collect())
 
 
+@pytest.mark.parametrize("few", [pages.FEW, 0])
+def test_templates_of_kinds_that_fewer_than_half_of_the_pages_are(spark, monkeypatch, few):
+    """Three kinds of pages of one host, each with its own boxes; a box that under ten pages have, and paragraphs that some share, stay."""
+    monkeypatch.setattr(pages, "FEW", few)
+    story = {i: f"Story {i} is told here.\nIt ends with {i * 7}." + ("\nSaid before.\nAnd again." if i % 4 == 1 else "") for i in range(39)}
+    body = lambda i, k: f"<div class=a{k}>Kind {k} follows</div>" + "".join(f"<p>{p}</p>" for p in story[i].split("\n")) + f"<div class=b{k}>Rights of {k}</div>"
+    rows = [(i, "http://a.org/", f"<html><body><div>{body(i, i % 3)}</div></body></html>") for i in story] + [(50 + i, "http://a.org/", f"<html><body><div class=r>rare</div><p>Own {i}</p></body></html>") for i in range(4)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == story | {50 + i: f"rare\nOwn {i}" for i in range(4)}
+
+
 def test_paragraphs_that_few_pages_share_stay(spark):
     rows = [(i, "http://a.org/", f"<html><body><article><h1>t{i}</h1><p>Shared words.</p><p>own {i}</p></article></body></html>") for i in range(5)]
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
